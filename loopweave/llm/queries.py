@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import load, once
-from . import split
+from . import sentences, split
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -20,8 +20,12 @@ def p1_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return split.explode_pieces(split.split_files(files, load(spark, sf, "split_limits")))
 
 
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return sentences.sentence_ends(load(spark, sf, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_pieces": p1_pieces}
+    return {"p1_found": p1_found, "p1_pieces": p1_pieces, "p8_found": p8_found}
 
 
 def oracle_sql() -> dict[str, str]:
