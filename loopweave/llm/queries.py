@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import load, once
-from . import sentences, split
+from . import leaks, sentences, split
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -20,12 +20,27 @@ def p1_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return split.explode_pieces(split.split_files(files, load(spark, sf, "split_limits")))
 
 
+def p6_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    return leaks.leaks(load(spark, sf, "documents"), load(spark, sf, "eval_items"))
+
+
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p6_pairs(spark, sf).select("doc_id", "item_id")
+
+
+def p6_items(spark: SparkSession, sf: str) -> DataFrame:
+    """Which items leaked, into how many documents and how completely at most."""
+    found = p6_pairs(spark, sf).groupBy("item_id").agg(F.count("*").alias("documents"), F.max("share").alias("most"))
+    items = load(spark, sf, "eval_items", "item_id", "suite").dropDuplicates(["item_id"])
+    return items.join(found, "item_id", "left").select("item_id", "suite", F.coalesce("documents", F.lit(0)).alias("documents"), "most")
+
+
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     return sentences.sentence_ends(load(spark, sf, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_pieces": p1_pieces, "p8_found": p8_found}
+    return {"p1_found": p1_found, "p1_pieces": p1_pieces, "p6_found": p6_found, "p6_items": p6_items, "p8_found": p8_found}
 
 
 def oracle_sql() -> dict[str, str]:

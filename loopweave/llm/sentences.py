@@ -135,6 +135,7 @@ _LINE = re.compile(r"(?P<fence>```|~~~)|(?P<item>(?:(?P<bullet>[-*+•‣])|\d{1
 _GAP = re.compile(rf"(?:[ \t ​]+|{_BREAK}{_PREFIX})*")
 _LEFT = re.compile(r"[^\s\"„“”«»「」『』(\[{<>¿¡—–/`]*$")
 _PAIR = re.compile(rf"(?<![^\W_])([^\W\d_]{{1,2}})\.(?:[ \t ]|{_BREAK}{_PREFIX})+$")
+_INITIAL = re.compile(rf"(?<![^\s(\"„“«])[^\W\d_]\.(?:[ \t ]|{_BREAK}{_PREFIX})+$")
 _WORD = re.compile(r"[^\W_]+(?:[-'’][^\W_]+)*")
 _CAMEL = re.compile(r"[A-Z]?[a-z0-9]*[A-Z][a-z0-9]+[A-Z]|[a-z]+[A-Z]")
 _CALL = re.compile(r"\w+\(")
@@ -190,6 +191,7 @@ def _final_dot(text: str, start: int, nxt: int) -> bool:
     if len(tok) == 1 and tok.isalpha() and not _CJK.match(tok):
         if not c:
             return True
+        pair = _INITIAL.search(text, max(0, start - len(left) - 8), start - len(left))
         w = _WORD.match(text, nxt)
         word = w.group() if w else ""
         if len(word) == 1 and text[nxt + 1 : nxt + 2] == ".":
