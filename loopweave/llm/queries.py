@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import load, once
-from . import leaks, sentences, split
+from . import leaks, sentences, split, syntax
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -20,6 +20,23 @@ def p1_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return split.explode_pieces(split.split_files(files, load(spark, sf, "split_limits")))
 
 
+def _sources(spark: SparkSession, sf: str) -> DataFrame:
+    files = load(spark, sf, "cycle_files", "file_id", "path", "content", "project")
+    return syntax.sources(files, load(spark, sf, "patch_results", "patch_id", "path", "patched", "project"))
+
+
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return syntax.unparsed(_sources(spark, sf))
+
+
+def p3_faults(spark: SparkSession, sf: str) -> DataFrame:
+    return syntax.faults(_sources(spark, sf))
+
+
+def p3_rates(spark: SparkSession, sf: str) -> DataFrame:
+    return syntax.rates(_sources(spark, sf))
+
+
 def p6_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return leaks.leaks(load(spark, sf, "documents"), load(spark, sf, "eval_items"))
 
@@ -40,7 +57,7 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_pieces": p1_pieces, "p6_found": p6_found, "p6_items": p6_items, "p8_found": p8_found}
+    return {"p1_found": p1_found, "p1_pieces": p1_pieces, "p3_found": p3_found, "p3_faults": p3_faults, "p3_rates": p3_rates, "p6_found": p6_found, "p6_items": p6_items, "p8_found": p8_found}
 
 
 def oracle_sql() -> dict[str, str]:
