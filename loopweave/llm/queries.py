@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import load, once
-from . import leaks, sentences, split, syntax
+from . import leaks, pairs, sentences, split, syntax, truncation
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -20,6 +20,31 @@ def p1_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return split.explode_pieces(split.split_files(files, load(spark, sf, "split_limits")))
 
 
+def _answers(spark: SparkSession, sf: str) -> DataFrame:
+    a = load(spark, sf, "proposals", "proposal_id", "relay", "prompt", "llm_response")
+    return truncation.answers(a, load(spark, sf, "minimal_diffs", "diff_id", "relay", "prompt", "raw_llm_response"))
+
+
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    return pairs.defects(_answers(spark, sf))
+
+
+def _cuts(spark: SparkSession, sf: str) -> DataFrame:
+    patches = load(spark, sf, "patch_results", "patch_id", "relay", "path", "original", "patched")
+    return pairs.cut_values(_answers(spark, sf), patches)
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _cuts(spark, sf).where("cut").select("source_table", "row_id").distinct()
+
+
+def p5_rates(spark: SparkSession, sf: str) -> DataFrame:
+    """Share of cut values per relay and field, re-delivered rows counted once."""
+    one = _cuts(spark, sf).dropDuplicates(["source_table", "row_id"])
+    field = F.when(F.col("source_table") == "proposals", "llm_response").when(F.col("source_table") == "minimal_diffs", "raw_llm_response").otherwise("patched")
+    return one.groupBy("relay", field.alias("field")).agg(F.count("*").alias("n_values"), F.sum(F.col("cut").cast("bigint")).alias("n_cut")).withColumn("share", F.col("n_cut") / F.col("n_values"))
+
+
 def _sources(spark: SparkSession, sf: str) -> DataFrame:
     files = load(spark, sf, "cycle_files", "file_id", "path", "content", "project")
     return syntax.sources(files, load(spark, sf, "patch_results", "patch_id", "path", "patched", "project"))
@@ -57,7 +82,7 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_pieces": p1_pieces, "p3_found": p3_found, "p3_faults": p3_faults, "p3_rates": p3_rates, "p6_found": p6_found, "p6_items": p6_items, "p8_found": p8_found}
+    return {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p3_found": p3_found, "p3_faults": p3_faults, "p3_rates": p3_rates, "p5_found": p5_found, "p5_rates": p5_rates, "p6_found": p6_found, "p6_items": p6_items, "p8_found": p8_found}
 
 
 def oracle_sql() -> dict[str, str]:
