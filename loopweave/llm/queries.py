@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import load, once
-from . import leaks, pairs, sentences, split, syntax, truncation
+from . import handwritten, leaks, pairs, sentences, split, syntax, truncation
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -29,6 +29,14 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.defects(_answers(spark, sf))
 
 
+def p4_files(spark: SparkSession, sf: str) -> DataFrame:
+    return handwritten.not_handwritten(load(spark, sf, "cycle_files", "file_id", "path", "content"))
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p4_files(spark, sf).select("file_id")
+
+
 def _cuts(spark: SparkSession, sf: str) -> DataFrame:
     patches = load(spark, sf, "patch_results", "patch_id", "relay", "path", "original", "patched")
     return pairs.cut_values(_answers(spark, sf), patches)
@@ -82,7 +90,7 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p3_found": p3_found, "p3_faults": p3_faults, "p3_rates": p3_rates, "p5_found": p5_found, "p5_rates": p5_rates, "p6_found": p6_found, "p6_items": p6_items, "p8_found": p8_found}
+    return {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p3_found": p3_found, "p3_faults": p3_faults, "p3_rates": p3_rates, "p4_found": p4_found, "p4_files": p4_files, "p5_found": p5_found, "p5_rates": p5_rates, "p6_found": p6_found, "p6_items": p6_items, "p8_found": p8_found}
 
 
 def oracle_sql() -> dict[str, str]:
