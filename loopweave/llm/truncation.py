@@ -12,14 +12,15 @@ Three kinds of evidence, each over all values:
 
 from __future__ import annotations
 
+import functools
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpoint_dir
 from ..tables import clean_path, extension
 from . import syntax
 
@@ -30,6 +31,7 @@ OFTEN, OFTEN_SHARE = 5, 1 / 2000
 _JSON_START = re.compile(r"(?:\A|\n)[ \t]*(?:```\w*[ \t]*\r?\n?[ \t]*)?([{\[])(?=\s*(?:[\"}\]{\[]|\Z))")
 _JSON_TOKEN = re.compile(r'"(?:[^"\\]|\\[\s\S])*"|[\[\]{}]|"')
 _LIST = re.compile(r"[ \t]*(?:[-*+•]|\d{1,3}[.)])[ \t]+\S")
+_LIST_LINE = re.compile(r"^[ \t]*(?:[-*+•]|\d{1,3}[.)])[ \t]+(\S[^\r\n]*?)[ \t]*(?=\r?\n)", re.M)
 _STOPPED = re.compile(r"[.!?…。！？।؟;:][\"”’»」』)\]）'`*_]*$")
 _TAG = re.compile(r"</?\w+[^<>]*>$")
 #: Abbreviations that something must follow, and a lone initial.
@@ -41,6 +43,7 @@ _MARKERS = ("<<<<<<< SEARCH", ">>>>>>> REPLACE", "=======")
 _WORD_END = re.compile(r"\w\Z")
 
 
+@functools.lru_cache(maxsize=2)
 def json_end(text: str) -> tuple[str, int] | None:
     """``("open", _)`` or ``("closed", where it ends)`` for a text with a JSON payload, None for one without."""
     m = _JSON_START.search(text)
@@ -68,7 +71,7 @@ def shape(line: str) -> str:
 
 def ending(line: str) -> str:
     """The last two tokens of ``line``, typed."""
-    return " ".join(shape(line).split(" ")[-2:])
+    return " ".join(shape(line[-80:]).split(" ")[-2:])
 
 
 def answer_end(text: str) -> tuple[str, str, str]:
@@ -177,42 +180,29 @@ def answers(proposals: DataFrame, diffs: DataFrame) -> DataFrame:
     return a.unionByName(b).where("text is not null")
 
 
-def line_ends(texts: DataFrame) -> DataFrame:
-    """``(ending, lines)``: how many complete list lines (a line break follows) end in the same two tokens."""
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            c = Counter(ending(x.strip()) for t in pdf["text"] for x in t.split("\n")[:-1] if _LIST.match(x))
-            yield pd.DataFrame(list(c.items()), columns=["ending", "lines"])
-
-    return texts.select("text").mapInPandas(count, "ending string, lines bigint").groupBy("ending").agg(F.sum("lines").alias("lines"))
-
-
 def resolve(judged: DataFrame, texts: DataFrame) -> DataFrame:
-    """``judged`` with ``cut`` (boolean): open verdicts are settled by the corpus.
+    """What :func:`judge` gave, with ``cut`` (boolean): open verdicts are settled by the corpus.
 
-    ``judged`` has ``verdict, line, kind, hash`` beside other columns; ``texts`` are the answers themselves.
+    The judgements are needed by every count below, so they are computed once and kept in the shared folder.
     """
-    n = judged.select(F.count("*").alias("_n"))
-    least = F.greatest(F.lit(OFTEN), F.col("_n") * OFTEN_SHARE)
+    checkpoint_dir(judged.sparkSession)
+    judged = judged.checkpoint()
+    keys = ["source_table", "row_id", "relay", "defect"]
+    least = max(OFTEN, judged.count() * OFTEN_SHARE)
     asked = judged.where(F.col("verdict") == ASK)
-    lines = judged.where("line <> ''").groupBy("line").agg(F.count("*").alias("_times")).where(F.col("_times") >= OFTEN)
-    shapes = judged.where("kind = 'only'").groupBy("shape").agg(F.count("*").alias("_alike")).where(F.col("_alike") >= OFTEN)
-    j = (
-        asked.join(lines, "line", "left")
-        .join(shapes, "shape", "left")
-        .join(line_ends(texts), F.col("tail") == F.col("ending"), "left")
-        .join(prefixes(texts), "hash", "left")
-        .join(F.broadcast(n), F.lit(True), "inner")
-    )
-    longer = F.coalesce(F.col("in_word"), F.lit(False))
-    often = F.coalesce(F.col("_times") >= least, F.lit(False))
-    whole = often | (~longer & (((F.col("kind") == "only") & F.coalesce(F.col("_alike") >= least, F.lit(False))) | ((F.col("kind") == "list") & F.coalesce(F.col("lines") >= 1, F.lit(False)) & F.col("balanced"))))
-    settled = j.select(*judged.columns, (~whole).alias("cut"))
-    return judged.where(F.col("verdict") != ASK).select(*judged.columns, (F.col("verdict") == CUT).alias("cut")).unionByName(settled)
+    lines = judged.where("line <> ''").groupBy("line").agg(F.count("*").alias("_times")).where(F.col("_times") >= least)
+    shapes = asked.where("kind = 'only'").groupBy("shape").agg(F.count("*").alias("_alike")).where(F.col("_alike") >= least)
+    ends = judged.select(F.explode("ends").alias("tail")).groupBy("tail").agg(F.count("*").alias("_lines"))
+    j = asked.join(lines, "line", "left").join(shapes, "shape", "left").join(ends, "tail", "left").join(prefixes(texts), "hash", "left")
+    often = F.col("_times").isNotNull()
+    alike = (F.col("kind") == "only") & F.col("_alike").isNotNull()
+    listed = (F.col("kind") == "list") & F.col("_lines").isNotNull() & F.col("balanced")
+    whole = often | (~F.coalesce(F.col("in_word"), F.lit(False)) & (alike | listed))
+    settled = j.select(*keys, (~whole).alias("cut"))
+    return judged.where(F.col("verdict") != ASK).select(*keys, (F.col("verdict") == CUT).alias("cut")).unionByName(settled)
 
 
-JUDGED = "source_table string, row_id bigint, relay string, hash bigint, defect string, verdict string, line string, kind string, shape string, tail string, balanced boolean"
+JUDGED = "source_table string, row_id bigint, relay string, hash bigint, defect string, verdict string, line string, kind string, shape string, tail string, balanced boolean, ends array<string>"
 
 
 def judge(texts: DataFrame, defect) -> DataFrame:
@@ -223,8 +213,9 @@ def judge(texts: DataFrame, defect) -> DataFrame:
             rows = []
             for table, i, relay, prompt, text, h in pdf[["source_table", "row_id", "relay", "prompt", "text", "hash"]].itertuples(index=False):
                 verdict, line, kind = answer_end(text)
-                # what is so far neither cut nor in doubt may have another defect; so may what is in doubt
-                rows.append((table, i, relay, h, defect(prompt, text), verdict, line, kind, shape(line) if kind == "only" else "", ending(line) if kind == "list" else "", line.count("(") <= line.count(")")))
+                # how the complete list lines of the text (a line break follows) end
+                ends = list({ending(x) for x in _LIST_LINE.findall(text)})
+                rows.append((table, i, relay, h, defect(prompt, text), verdict, line, kind, shape(line) if kind == "only" else "", ending(line) if kind == "list" else "", line.count("(") <= line.count(")"), ends))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in JUDGED.split(", ")])
 
     return texts.select("source_table", "row_id", "relay", "prompt", "text", F.xxhash64("text").alias("hash")).mapInPandas(run, JUDGED)
