@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import load, once
-from . import handwritten, leaks, pairs, sentences, split, syntax, truncation
+from . import handwritten, leaks, mixing, pairs, sentences, split, syntax, truncation
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -85,12 +85,24 @@ def p6_items(spark: SparkSession, sf: str) -> DataFrame:
     return items.join(found, "item_id", "left").select("item_id", "suite", F.coalesce("documents", F.lit(0)).alias("documents"), "most")
 
 
+def _mix(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    return mixing.mix(mixing.sizes(load(spark, sf, "documents", "doc_id", "text", "source")), load(spark, sf, "mix_targets"))
+
+
+def p7_mix(spark: SparkSession, sf: str) -> DataFrame:
+    return _mix(spark, sf)[0].withColumnRenamed("id", "doc_id")
+
+
+def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.shares(*_mix(spark, sf))
+
+
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     return sentences.sentence_ends(load(spark, sf, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p3_found": p3_found, "p3_faults": p3_faults, "p3_rates": p3_rates, "p4_found": p4_found, "p4_files": p4_files, "p5_found": p5_found, "p5_rates": p5_rates, "p6_found": p6_found, "p6_items": p6_items, "p8_found": p8_found}
+    return {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p3_found": p3_found, "p3_faults": p3_faults, "p3_rates": p3_rates, "p4_found": p4_found, "p4_files": p4_files, "p5_found": p5_found, "p5_rates": p5_rates, "p6_found": p6_found, "p6_items": p6_items, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found}
 
 
 def oracle_sql() -> dict[str, str]:
