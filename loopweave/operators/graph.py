@@ -126,24 +126,30 @@ def _tarjan(graph: dict[str, list[str]]) -> list[list[str]]:
     return out
 
 
-def _graph(pdf: pd.DataFrame) -> dict[str, list[str]]:
+def _graph(edges) -> dict[str, list[str]]:
     g: dict[str, list[str]] = {}
-    for s, d in sorted(set(zip(pdf["src"], pdf["dst"], strict=True))):
+    for s, d in sorted({(e["src"], e["dst"]) for e in edges}):
         g.setdefault(s, []).append(d)
         g.setdefault(d, [])
     return g
 
 
+def _gathered(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per graph with its distinct edges, so that many small graphs share an Arrow batch."""
+    e = edges.where(F.col("src").isNotNull() & F.col("dst").isNotNull() & F.col(keys[0]).isNotNull())
+    return e.groupBy(*keys).agg(F.collect_set(F.struct("src", "dst")).alias("_edges"))
+
+
 def components(edges: DataFrame, key: str) -> DataFrame:
     """``(key, node, component, size)`` for graphs of which each fits a task; the label is the component's least node."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        k = pdf[key].iloc[0]
-        rows = [(k, n, min(part), len(part)) for part in _tarjan(_graph(pdf)) for n in part]
-        return pd.DataFrame(rows, columns=[key, "node", "component", "size"])
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(k, n, min(part), len(part)) for k, e in zip(pdf[key], pdf["_edges"], strict=True) for part in _tarjan(_graph(e)) for n in part]
+            yield pd.DataFrame(rows, columns=[key, "node", "component", "size"])
 
     kind = edges.schema[key].dataType.simpleString()
-    return distinct_edges(edges, key).groupBy(key).applyInPandas(run, f"{key} {kind}, node string, component string, size int")
+    return _gathered(edges, [key]).mapInPandas(run, f"{key} {kind}, node string, component string, size int")
 
 
 def components_distributed(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
@@ -245,22 +251,26 @@ def _circuits(graph: dict[str, list[str]], limit: int | None) -> Iterator[list[s
                             waits[v].add(node)
 
 
-def elementary_cycles(edges: DataFrame, key: str, max_cycles_per_component: int | None = None) -> DataFrame:
+def elementary_cycles(edges: DataFrame, key: str, max_cycles: int | None = None, component: DataFrame | None = None) -> DataFrame:
     """``(key, nodes, size)``: all elementary cycles, each from its least node on; edges of a node to itself make none.
 
-    With a limit, the first ones of each component in sorted order are given (a feature for dense graphs, whose cycles
-    grow exponentially).
+    A graph is one task's work; for one too large give its ``component`` (``node, component``, from
+    :func:`components_distributed`), and each component is a task's. With a limit, the first cycles of each graph in
+    sorted order are given (a feature for dense graphs, whose cycles grow exponentially).
     """
     kind = edges.schema[key].dataType.simpleString()
-    parts = components(edges, key).where("size > 1").select(key, F.col("node").alias("src"), "component")
-    e = distinct_edges(edges, key).join(parts, [key, "src"])
-    e = e.join(parts.withColumnRenamed("src", "dst").withColumnRenamed("component", "_c"), [key, "dst"]).where("component = _c").select(key, "component", "src", "dst")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        k = pdf[key].iloc[0]
-        return pd.DataFrame([(k, c, len(c)) for c in _circuits(_graph(pdf), max_cycles_per_component)], columns=[key, "nodes", "size"])
-
-    return e.groupBy(key, "component").applyInPandas(run, f"{key} {kind}, nodes array<string>, size int")
+    keys = [key]
+    if component is not None:
+        c = component.select(F.col("node").alias("src"), "component")
+        edges = edges.join(c, "src").join(c.select(F.col("src").alias("dst"), F.col("component").alias("_c")), "dst").where("component = _c")
+        keys.append("component")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(k, c, len(c)) for k, e in zip(pdf[key], pdf["_edges"], strict=True) for c in _circuits(_graph(e), max_cycles)]
+            yield pd.DataFrame(rows, columns=[key, "nodes", "size"])
+
+    return _gathered(edges, keys).mapInPandas(run, f"{key} {kind}, nodes array<string>, size int")
 
 
 def rotated(n: Column) -> Column:

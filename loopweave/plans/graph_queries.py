@@ -64,8 +64,8 @@ def g_flagship(spark: SparkSession, sf: str) -> DataFrame:
     e = _transitions(spark, sf)
     c = g.elementary_cycles(e, "graph").withColumn("cycle_key", g.cycle_key(F.col("nodes")))
     s = g.impact(c, e, "graph", weights=e.withColumn("weight", F.log10(F.col("weight") + 1)))
-    r = g.prioritized(s, "impact_first", ["graph"], "cycle_key")
-    return r.select("cycle_key", F.array_join("nodes", "->").alias("chain"), "size", F.round("impact_score", 4).alias("impact_score"), "severity", "position")
+    r = g.prioritized(s.withColumn("impact_score", F.round("impact_score", 6)), "impact_first", ["graph"], "cycle_key")
+    return r.select("cycle_key", F.array_join("nodes", "->").alias("chain"), "size", "impact_score", "severity", "position")
 
 
 def s7_edges(spark: SparkSession, sf: str) -> DataFrame:
@@ -173,8 +173,10 @@ def f6_jobs(spark: SparkSession, sf: str) -> DataFrame:
 
 def o2_priorities(spark: SparkSession, sf: str) -> DataFrame:
     s = _scored(spark, sf).withColumn("impact_score", F.round("impact_score", 6))
-    out = [g.prioritized(s, x, ["cycle_id"], "cycle_key").select(F.lit(x).alias("strategy"), "cycle_id", "cycle_key", "position") for x in ("impact_first", "severity_first", "size_first", "cross_layer_first")]
-    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
+    names = ("impact_first", "severity_first", "size_first", "cross_layer_first")
+    for x in names:
+        s = g.prioritized(s, x, ["cycle_id"], "cycle_key").withColumnRenamed("position", x)
+    return s.select("cycle_id", "cycle_key", F.inline(F.array(*[F.struct(F.lit(x).alias("strategy"), F.col(x).alias("position")) for x in names])))
 
 
 def o7_top_jobs(spark: SparkSession, sf: str) -> DataFrame:
@@ -256,7 +258,16 @@ _MD = "md AS (SELECT diff_id, any_value(cycle_id) AS cycle_id, any_value(success
 _RING = "ring AS (SELECT cycle_id, graph.nodes[i] AS src, graph.nodes[i % len(graph.nodes) + 1] AS dst FROM j, unnest(range(1, len(graph.nodes) + 1)) t(i))"
 _ROT = "CASE WHEN len(n) > 0 THEN n[list_position(n, list_min(n)):] || n[:list_position(n, list_min(n)) - 1] ELSE n END"
 
+_EVENTS = """t0 AS (SELECT event_type AS src, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst FROM events), ew AS (SELECT 'events' AS cycle_id, src, dst, log10(count(*) + 1) AS weight FROM t0 WHERE dst IS NOT NULL AND dst <> src GROUP BY 2, 3),
+ e AS (SELECT cycle_id, src, dst FROM ew)"""
+
 SQL = {
+    "g_flagship": f"""WITH RECURSIVE {_EVENTS}, {_CYC}, {_OVER}, dg AS (SELECT node, count(*) AS d FROM (SELECT src AS node FROM e UNION ALL SELECT dst FROM e) GROUP BY 1), sz AS (SELECT count(*) AS n FROM dg),
+        cn AS (SELECT cycle_key, unnest(nodes) AS node FROM cyc), c1 AS (SELECT cycle_key, 2.0 * avg(d / (2.0 * (n - 1))) AS cent FROM cn JOIN dg USING (node), sz GROUP BY 1),
+        ce AS (SELECT cycle_key, nodes[i] AS src, nodes[i % len(nodes) + 1] AS dst FROM cyc, unnest(range(1, len(nodes) + 1)) t(i)), c2 AS (SELECT cycle_key, 0.5 * sum(weight) AS ew FROM ce JOIN ew USING (src, dst) GROUP BY 1),
+        s AS (SELECT cycle_key, nodes, len(nodes) + cent + c2.ew + least(0.5 * overlap, 5.0) AS total FROM cyc JOIN c1 USING (cycle_key) JOIN c2 USING (cycle_key) JOIN ov USING (cycle_key)),
+        r AS (SELECT *, CASE WHEN total >= 15 THEN 'critical' WHEN total >= 8 THEN 'major' ELSE 'minor' END AS severity FROM s)
+        SELECT cycle_key, array_to_string(nodes, '->') AS chain, len(nodes)::INT AS size, round(total::DOUBLE, 6) AS impact_score, severity, row_number() OVER (ORDER BY round(total::DOUBLE, 6) DESC, cycle_key)::INT AS position FROM r""",
     "s7_edges": f"WITH {_E} SELECT cycle_id, pos, src, dst FROM e0",
     "adj_adjacency": f"WITH {_E} SELECT cycle_id, src, string_agg(dst, ',' ORDER BY dst) AS targets FROM e GROUP BY 1, 2",
     "adj_nodes": f"WITH {_E}, n AS (SELECT cycle_id, src AS node FROM e UNION SELECT cycle_id, dst FROM e) SELECT n.cycle_id, node, CASE WHEN list_contains(j.graph.nodes, node) THEN 1 ELSE 0 END::INT AS declared FROM n JOIN j USING (cycle_id)",
