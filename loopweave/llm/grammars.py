@@ -92,7 +92,7 @@ Cond <- Bin ('?' Assign ':' Assign)?
 Bin <- Unary (Op Unary / TS_ ('as' / 'satisfies') Type)*
 Op <- '>' '>'? '>'? / BINARY
 Unary <- UNARY Unary / TS_ TypeArgs Unary / Postfix
-Postfix <- Primary Tail* ('++' / '--')?
+Postfix <- TEMPLATE !TEMPLATE Tail* / !TEMPLATE Primary Tail* ('++' / '--')?
 Tail <- '.' Name / '?.' (Name / @args / @index) / @args / @index / TEMPLATE / TS_ '!' / TS_ TypeArgs (@args / TEMPLATE)
 Primary <- 'async'? 'function' '*'? Id? TypeParams? @params Ret? @block / ClassDecl / 'new' ('.' IDENT / NewTarget TypeArgs? @args?) / 'import' (@args / '.' Name)
     / 'super' / LITERAL / Id / @expr / @arr / @obj / @objpat / @arrpat
@@ -212,7 +212,7 @@ def _es(ts: bool) -> Language:
         return kinds.get(t) or classify(t)
 
     ends = IDENT + NUMBER + STRING + TEMPLATE + REGEX + ")]}" + of(f"{ES_CONTEXT} this null true false super return break continue throw ++ --")
-    starts = IDENT + NUMBER + STRING + "{@!~[" + "".join(kinds[w] for w in f"{ES_RESERVED} {ES_CONTEXT}".split() if w not in ("else", "catch", "finally", "in", "instanceof", "as", "satisfies", "extends", "implements", "from")) + of("++ -- ...")
+    starts = IDENT + NUMBER + STRING + "{@!~[" + "".join(kinds[w] for w in f"{ES_RESERVED} {ES_CONTEXT}".split() if w not in ("in", "instanceof", "as", "satisfies", "extends", "implements", "from")) + of("++ -- ...")
     keep = re.compile(rf"(?<![{re.escape(ends)}])\n|\n(?![{re.escape(starts)}])")
     # a bracket on a new line opens a member's name in a class but an index in a statement
     return Language(g, Kinds(kinds, classify), ES_TOKEN, "Program", lambda s: keep.sub("", s) if "\n" in s else s)
@@ -300,7 +300,7 @@ Op <- '>' '>'? '>'? / BINARY
 Unary <- UNARY Unary / @cast &CASTABLE (Lambda / Unary) / @castp Unary / Postfix
 CastP <- PRIMITIVE Dims? !.
 Postfix <- Primary Tail* ('++' / '--')*
-Tail <- '.' (TypeArgs? ('super' / 'new' / 'this' / 'class' / Id) &. / TypeArgs? Id / 'class' / 'this' / 'super') / @args / @index / @dim / '::' TypeArgs? (Id / 'new') / TypeArgs &('::' / @args) / TypeArgs @dim* '::' (Id / 'new')
+Tail <- '.' 'new' ClassType @args @class? / '.' (TypeArgs? ('super' / 'this' / 'class' / Id) &. / TypeArgs? Id / 'class' / 'this' / 'super') / @args / @index / @dim / '::' TypeArgs? (Id / 'new') / TypeArgs &('::' / @args) / TypeArgs @dim* '::' (Id / 'new')
 Primary <- 'new' Annot* TypeArgs? (PRIMITIVE / ClassType) (@args @class? / (@index / @dim)+ @init?) / 'switch' @expr @switch / LITERAL / 'this' / 'super' / PRIMITIVE Dims? ('.' 'class' / '::' 'new')
     / 'void' '.' 'class' / ClassType Dims? '::' (Id / 'new') / ClassType Dims '.' 'class' / Id / @expr
 """
@@ -398,7 +398,7 @@ QualType <- (Id '::')? Id TypeArgs? ('.' Id TypeArgs?)*
 STARTEXPR_ <- NUMBER / STRING / '!' / 'new' / 'this' / 'true' / 'false' / 'null'
 Rank <- ','* !.
 Tuple <- Type Id? (',' Type Id?)+ !.
-TypeArgs <- '<' (','* / @attr* ('in' / 'out')? Type (',' Type)*) '>'
+TypeArgs <- '<' (@attr* ('in' / 'out')? Type (',' Type)* / ','*) '>'
 TypeParams <- '<' @attr* ('in' / 'out')? Type (',' @attr* ('in' / 'out')? Type)* '>'
 Stmts <- StmtList !.
 StmtsX <- StmtList '\x01' !.
