@@ -135,7 +135,7 @@ _LINE = re.compile(r"(?P<fence>```|~~~)|(?P<item>(?:(?P<bullet>[-*+•‣])|\d{1
 _GAP = re.compile(rf"(?:[ \t ​]+|{_BREAK}{_PREFIX})*")
 _LEFT = re.compile(r"[^\s\"„“”«»「」『』(\[{<>¿¡—–/`]*$")
 _PAIR = re.compile(rf"(?<![^\W_])([^\W\d_]{{1,2}})\.(?:[ \t ]|{_BREAK}{_PREFIX})+$")
-_INITIAL = re.compile(rf"(?<![^\s(\"„“«])[^\W\d_]\.(?:[ \t ]|{_BREAK}{_PREFIX})+$")
+_INITIALS = re.compile(rf"(?:(?<![^\s(\"„“«])[^\W\d_]\.(?:[ \t ]|{_BREAK}{_PREFIX})+)+$")
 _WORD = re.compile(r"[^\W_]+(?:[-'’][^\W_]+)*")
 _CAMEL = re.compile(r"[A-Z]?[a-z0-9]*[A-Z][a-z0-9]+[A-Z]|[a-z]+[A-Z]")
 _CALL = re.compile(r"\w+\(")
@@ -191,19 +191,20 @@ def _final_dot(text: str, start: int, nxt: int) -> bool:
     if len(tok) == 1 and tok.isalpha() and not _CJK.match(tok):
         if not c:
             return True
-        pair = _INITIAL.search(text, max(0, start - len(left) - 8), start - len(left))
+        chain = _INITIALS.search(text, max(0, start - len(left) - 24), start - len(left))
+        before = chain.group().count(".") if chain else 0
         w = _WORD.match(text, nxt)
         word = w.group() if w else ""
         if len(word) == 1 and text[nxt + 1 : nxt + 2] == ".":
-            return bool(pair) and left.isupper()
+            return before % 2 == 1 and left.isupper()  # names have two initials at most
         if c.islower():
             return _starts(text, nxt) and left.isupper()
         if c.isdigit():
             return left.islower()
         if not word:
             return _starts(text, nxt)
-        if left.islower() and c.isupper() and not pair:
-            return text[start - 2 : start - 1].isspace() and text[start - 3 : start - 2].isdigit()  # a unit after a number
+        if left.islower() and c.isupper():
+            return True
         return word.lower() in STARTERS or bool(_CAMEL.match(word))
     if len(tok) == 2 and left.isupper() and re.match(r"[A-Z]{2}\.", text[nxt : nxt + 3]):
         return False
@@ -395,8 +396,8 @@ def chunks(text: str, size: int = CHUNK) -> list[tuple[int, int]]:
 
 
 def _chunk_letters(pdf: pd.DataFrame) -> Iterator[tuple]:
-    for row in pdf.itertuples(index=False):
-        yield row, letters(row._text, row._lo, row._hi, row._begins, row._ends)
+    for row in pdf.to_dict("records"):
+        yield row, letters(row["_text"], row["_lo"], row["_hi"], row["_begins"], row["_ends"])
 
 
 def sentence_ends(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
@@ -428,15 +429,15 @@ def sentence_ends(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
         for pdf in batches:
             for row, (cls, _, _) in _chunk_letters(pdf):
                 f = scan(np.array(cls, np.intp))[-1] if cls else np.arange(N)
-                yield pd.DataFrame({"_id": [row._id], "_no": [row._no], "_f": [[int(x) for x in f]]})
+                yield pd.DataFrame({"_id": [row["_id"]], "_no": [row["_no"]], "_f": [[int(x) for x in f]]})
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for row, (cls, before, after) in _chunk_letters(pdf):
                 c = np.array(cls, np.intp)
-                state = scan(c)[:, row._enter] if cls else np.array([], np.intp)
-                ends = _emit(row._text, c, np.concatenate([[row._enter], state[:-1]]).astype(np.intp)[: len(c)], before, after)
-                yield pd.DataFrame({"_id": [row._id] * len(ends), "_end": np.array(ends, np.int64) + row._base})
+                state = scan(c)[:, row["_enter"]] if cls else np.array([], np.intp)
+                ends = _emit(row["_text"], c, np.concatenate([[row["_enter"]], state[:-1]]).astype(np.intp)[: len(c)], before, after)
+                yield pd.DataFrame({"_id": [row["_id"]] * len(ends), "_end": np.array(ends, np.int64) + row["_base"]})
 
     whole = df.where(F.length("_text") <= chunk).mapInPandas(short, f"_id {id_type}, _end bigint")
     cuts = df.where(F.length("_text") > chunk).mapInPandas(cut, f"_id {id_type}, _no int, _base bigint, _lo bigint, _hi bigint, _begins boolean, _ends boolean, _text string")
