@@ -77,17 +77,21 @@ def layer_violation(names: Column) -> Column:
     return F.when(F.size(ranks) >= 2, F.concat(at(F.array_max(ranks)), F.lit(" → "), at(F.array_min(ranks))))
 
 
-def unbreakable(files: DataFrame, key: str, content: str = "content", least_chars: int = 100) -> DataFrame:
+def unbreakable(files: DataFrame, key: str, content: str = "content", least_chars: int = 100, id_col: str | None = None) -> DataFrame:
     """``(key, reason)``: why a cycle's files make it look unbreakable; cycles without a reason are left out.
 
     Too little text comes first, then files most of which look cut, then the rules in order, each on single lines.
-    Every file is looked at by itself, so no group of texts is ever joined into one value.
+    Every file is looked at by itself, so no group of texts is ever joined into one value. With ``id_col`` repeated rows
+    of a file count once.
     """
     from ..functions.text import truncation_note
 
     t = F.coalesce(F.col(content), F.lit(""))
-    flags = [F.max(F.lower(t).rlike(p).cast("int")).alias(f"_{n}") for n, p in UNBREAKABLE]
-    g = files.groupBy(key).agg(F.sum(F.length(t)).alias("_len"), F.count("*").alias("_n"), F.sum(F.when(truncation_note(F.col(content)).isNotNull(), 1).otherwise(0)).alias("_cut"), *flags)
+    flags = [F.lower(t).rlike(p).cast("int").alias(f"_{n}") for n, p in UNBREAKABLE]
+    narrow = files.select(key, *([id_col] if id_col else []), F.length(t).alias("_len"), truncation_note(F.col(content)).isNotNull().cast("int").alias("_cut"), *flags)
+    if id_col:
+        narrow = narrow.dropDuplicates([id_col])
+    g = narrow.groupBy(key).agg(F.sum("_len").alias("_len"), F.count("*").alias("_n"), F.sum("_cut").alias("_cut"), *[F.max(f"_{n}").alias(f"_{n}") for n, _ in UNBREAKABLE])
     why = F.when(F.col("_len") < least_chars, "incomplete").when(F.col("_cut") >= 0.5 * F.col("_n"), "incomplete")
     for n, _ in UNBREAKABLE:
         why = why.when(F.col(f"_{n}") == 1, n)

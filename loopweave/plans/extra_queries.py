@@ -10,7 +10,7 @@ from ..functions import text as t
 from ..operators import graph as g
 from ..operators import history as h
 from ..operators import reports as r
-from ..tables import clean_path, extension, load, once
+from ..tables import clean_path, extension, load, once, project
 
 #: Words that tell a pattern in a cycle's files, and what to look up for it; fixed values.
 INHERITS = r"\b(?:extends|implements)\b|class\s+\w+\s*\(\s*[A-Z]|:\s*[A-Z]\w+\s*\{"
@@ -23,16 +23,24 @@ QUERIES_BY_TYPE = {
 STRATEGY_CONFIDENCE = {"parameter_injection": 0.9, "lazy_import": 0.85, "callback": 0.8, "interface_extraction": 0.6}
 
 
-def _files(spark: SparkSession, sf: str) -> DataFrame:
-    f = once(load(spark, sf, "cycle_files", "file_id", "cycle_id", "project", "ord", "path", "content"), "file_id")
+def _raw_files(spark: SparkSession, sf: str) -> DataFrame:
+    f = load(spark, sf, "cycle_files", "file_id", "cycle_id", "project", "ord", "path", "content")
     return f.withColumn("cp", clean_path(F.col("path"))).withColumn("ext", extension(F.col("cp")))
 
 
-def _patches(spark: SparkSession, sf: str) -> DataFrame:
-    p = once(load(spark, sf, "patch_results", "patch_id", "cycle_id", "iteration", "path", "original", "patched", "status", "confidence", "warnings", "validation_issues", "applied_blocks", "total_blocks", "pre_validated", "original_patched", "revert_reason"), "patch_id")
+def _files(spark: SparkSession, sf: str, *columns) -> DataFrame:
+    return project(_raw_files(spark, sf), "file_id", *columns)
+
+
+def _raw_patches(spark: SparkSession, sf: str) -> DataFrame:
+    p = load(spark, sf, "patch_results", "patch_id", "cycle_id", "iteration", "path", "original", "patched", "status", "confidence", "warnings", "validation_issues", "applied_blocks", "total_blocks", "pre_validated", "original_patched", "revert_reason")
     return p.withColumn("ext", extension(clean_path(F.col("path"))))
 
 
+def _patches(spark: SparkSession, sf: str, *columns) -> DataFrame:
+    return project(_raw_patches(spark, sf), "patch_id", *columns)
+
+
 def _jobs(spark: SparkSession, sf: str) -> DataFrame:
     return once(load(spark, sf, "cycle_jobs"), "cycle_id")
 
@@ -45,16 +53,15 @@ def s9_materialised(spark: SparkSession, sf: str) -> DataFrame:
     """Nodes of a job with the characters of the files named after them; 0 where no file is."""
     n = _jobs(spark, sf).select("cycle_id", F.posexplode("graph.nodes").alias("pos", "node"))
     stem = F.lower(F.regexp_replace(F.regexp_replace(F.regexp_extract("cp", r"([^/]*)$", 1), r"\.[^.]*$", ""), "[-_]", ""))
-    f = _files(spark, sf).groupBy("cycle_id", stem.alias("_stem")).agg(F.sum(F.length("content")).alias("_c"))
+    f = _files(spark, sf, "file_id", "cycle_id", stem.alias("_stem"), F.length("content").alias("n")).groupBy("cycle_id", "_stem").agg(F.sum("n").alias("_c"))
     j = n.withColumn("_stem", F.lower("node")).join(f, ["cycle_id", "_stem"], "left")
     return j.select("cycle_id", "pos", "node", F.coalesce("_c", F.lit(0)).alias("chars"))
 
 
 def load_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Per cycle: files with and without content."""
-    f = _files(spark, sf)
-    has = F.coalesce(F.length("content") > 0, F.lit(False))
-    return f.groupBy("cycle_id").agg(F.sum(has.cast("int")).alias("loaded"), F.sum((~has).cast("int")).alias("missing"))
+    f = _files(spark, sf, "file_id", "cycle_id", F.coalesce(F.length("content") > 0, F.lit(False)).alias("has"))
+    return f.groupBy("cycle_id").agg(F.sum(F.col("has").cast("int")).alias("loaded"), F.sum((~F.col("has")).cast("int")).alias("missing"))
 
 
 def f4_internal_edges(spark: SparkSession, sf: str) -> DataFrame:
@@ -72,36 +79,36 @@ def adj_hotspot(spark: SparkSession, sf: str) -> DataFrame:
 
 def x4_introduced(spark: SparkSession, sf: str) -> DataFrame:
     """Brackets that a patch leaves worse than it found them."""
-    p = _patches(spark, sf).where("patched <> ''")
     each = []
     for pair in t.PAIRS:
         a, b = F.abs(t.balance(F.col("original"), pair)), F.abs(t.balance(F.col("patched"), pair))
         each.append(F.when(b > a, F.struct(F.lit("".join(pair)).alias("pair"), (b - a).alias("worse"), F.when(a == 0, "critical").otherwise("major").alias("severity"))))
-    return p.select("patch_id", F.inline(F.array_compact(F.array(*each))))
+    p = project(_raw_patches(spark, sf).where("patched <> ''"), "patch_id", "patch_id", F.array_compact(F.array(*each)).alias("b"))
+    return p.select("patch_id", F.inline("b"))
 
 
 def x5_confidence(spark: SparkSession, sf: str) -> DataFrame:
     """How sure one may be of a patched text by its worst bracket issue."""
     worst = F.array_max(F.transform(t.bracket_issues(F.col("patched"), F.lit("")), lambda x: F.when(x["severity"] == "critical", 2).otherwise(1)))
     c = F.when(F.coalesce(worst, F.lit(0)) == 2, 0.0).when(F.coalesce(worst, F.lit(0)) == 1, 0.3).otherwise(1.0)
-    return _patches(spark, sf).where("patched <> ''").groupBy(c.alias("confidence")).agg(F.count("*").alias("patches"))
+    return project(_raw_patches(spark, sf).where("patched <> ''"), "patch_id", "patch_id", c.alias("confidence")).groupBy("confidence").agg(F.count("*").alias("patches"))
 
 
 def x7_indent(spark: SparkSession, sf: str) -> DataFrame:
     """The least indentation of each file's lines that aren't blank."""
     lines = F.filter(F.split("content", "\n"), lambda x: F.trim(x) != "")
     least = F.array_min(F.transform(lines, lambda x: F.length(F.regexp_extract(x, "^( *)", 1))))
-    return _files(spark, sf).where("content <> ''").groupBy(F.coalesce(least, F.lit(0)).alias("indent")).agg(F.count("*").alias("files"))
+    return project(_raw_files(spark, sf).where("content <> ''"), "file_id", "file_id", F.coalesce(least, F.lit(0)).alias("indent")).groupBy("indent").agg(F.count("*").alias("files"))
 
 
 def x8_line_ends(spark: SparkSession, sf: str) -> DataFrame:
-    f = _files(spark, sf).where("content is not null")
-    return f.select("file_id", F.md5(t.lf(F.col("content"))).alias("digest"), t.occurrences(F.col("content"), "\r\n").alias("crlf"))
+    f = _raw_files(spark, sf).where("content is not null")
+    return project(f, "file_id", "file_id", F.md5(t.lf(F.col("content"))).alias("digest"), t.occurrences(F.col("content"), "\r\n").alias("crlf"))
 
 
 def x18_type_references(spark: SparkSession, sf: str) -> DataFrame:
     """Types that a project's files define and another file of the same cycle mentions."""
-    f = _files(spark, sf)
+    f = _raw_files(spark, sf)  # the result is distinct, re-delivered or not
     types = f.select("cycle_id", F.col("file_id").alias("_def"), F.explode(t.defined_types(F.col("content"))).alias("name"))
     words = f.select("cycle_id", "file_id", F.explode(F.array_distinct(F.regexp_extract_all(F.coalesce("content", F.lit("")), F.lit(r"\b[A-Z][A-Za-z0-9_]*"), F.lit(0)))).alias("name"))
     return words.join(types, ["cycle_id", "name"]).where("file_id <> _def").select("cycle_id", "file_id", "name").distinct()
@@ -109,23 +116,23 @@ def x18_type_references(spark: SparkSession, sf: str) -> DataFrame:
 
 def x20_locations(spark: SparkSession, sf: str) -> DataFrame:
     """Where a patched text departs from its original: the first line that differs, from 1."""
-    p = _patches(spark, sf).where("patched <> '' and original <> ''")
+    p = _raw_patches(spark, sf).where("patched <> '' and original <> ''")
     z = F.zip_with(F.split("original", "\n"), F.split("patched", "\n"), lambda a, b: F.coalesce(a == b, F.lit(False)))
     at = F.array_position(z, F.lit(False)).cast("int")
-    return p.select("patch_id", at.alias("line")).where("line > 0")
+    return project(p, "patch_id", "patch_id", at.alias("line")).where("line > 0")
 
 
 def x21_change_label(spark: SparkSession, sf: str) -> DataFrame:
     """What a patch is about, by its import lines and length."""
-    p = _patches(spark, sf).where("patched <> '' and original <> patched")
+    p = _raw_patches(spark, sf).where("patched <> '' and original <> patched")
     a, b = F.size(t.imports(F.col("original"), F.col("ext"))), F.size(t.imports(F.col("patched"), F.col("ext")))
     label = F.when(b < a, "removes imports").when(b > a, "adds imports").when(F.length("patched") > F.length("original"), "adds code").otherwise("changes code")
-    return p.groupBy(label.alias("label")).agg(F.count("*").alias("patches"))
+    return project(p, "patch_id", "patch_id", label.alias("label")).groupBy("label").agg(F.count("*").alias("patches"))
 
 
 def x36_pattern(spark: SparkSession, sf: str) -> DataFrame:
     """What dominates a cycle: interfaces, inheritance or neither, judged file by file."""
-    f = _files(spark, sf)
+    f = _raw_files(spark, sf)
     c = F.coalesce("content", F.lit(""))
     q = f.groupBy("cycle_id").agg(F.max(c.rlike(INTERFACE)).alias("i"), F.max(c.rlike(INHERITS)).alias("h"))
     return q.select("cycle_id", F.when(F.col("i"), "interface").when(F.col("h"), "inheritance").otherwise("plain").alias("pattern"))
@@ -148,7 +155,7 @@ def x42_line_hints(spark: SparkSession, sf: str) -> DataFrame:
 def x46_appended(spark: SparkSession, sf: str) -> DataFrame:
     """A header and a footer put around each file, line ends made one."""
     body = F.regexp_replace(t.lf(F.col("content")), r"\n+$", "")
-    return _files(spark, sf).where("content <> ''").select("file_id", F.md5(F.concat(F.lit("// begin\n"), body, F.lit("\n// end\n"))).alias("digest"))
+    return project(_raw_files(spark, sf).where("content <> ''"), "file_id", "file_id", F.md5(F.concat(F.lit("// begin\n"), body, F.lit("\n// end\n"))).alias("digest"))
 
 
 def x50_methods(spark: SparkSession, sf: str) -> DataFrame:
@@ -158,7 +165,7 @@ def x50_methods(spark: SparkSession, sf: str) -> DataFrame:
     c_like = F.regexp_extract_all(c, F.lit(r"(?m)^[ \t]+public[ \t]+(?:static[ \t]+)?[\w<>\[\]]+[ \t]+(\w+)[ \t]*\("), F.lit(1))
     ts = F.regexp_extract_all(c, F.lit(r"(?m)^  (\w+)\([^()\n]*\)(?:: [^{\n]+)? \{"), F.lit(1))
     m = F.when(F.col("ext") == "py", py).when(F.col("ext").isin("cs", "java"), c_like).when(F.col("ext").isin("ts", "js", "mjs"), ts).otherwise(F.array().cast("array<string>"))
-    return _files(spark, sf).select("file_id", F.size(F.array_distinct(m)).alias("methods"))
+    return _files(spark, sf, "file_id", F.size(F.array_distinct(m)).alias("methods"))
 
 
 def x52_weakest_edge(spark: SparkSession, sf: str) -> DataFrame:
@@ -171,7 +178,7 @@ def x52_weakest_edge(spark: SparkSession, sf: str) -> DataFrame:
 
 def y3_fenced(spark: SparkSession, sf: str) -> DataFrame:
     """Patched texts that stand in a code fence."""
-    return _patches(spark, sf).where(F.col("patched").rlike(r"^\s*```[\w+-]*[ \t]*\r?\n")).select("patch_id")
+    return project(_raw_patches(spark, sf).where(F.col("patched").rlike(r"^\s*```[\w+-]*[ \t]*\r?\n")), "patch_id", "patch_id")
 
 
 def y11_confidence(spark: SparkSession, sf: str) -> DataFrame:
@@ -198,32 +205,31 @@ def y17_first_text(spark: SparkSession, sf: str) -> DataFrame:
 
 def y27_context(spark: SparkSession, sf: str) -> DataFrame:
     """Three lines around the first line that names a class, for each file."""
-    f = _files(spark, sf).where("content is not null").select("file_id", F.split("content", "\n").alias("l"))
+    f = _raw_files(spark, sf).where("content is not null").select("file_id", F.split("content", "\n").alias("l"))
     at = F.array_position(F.transform("l", lambda x: x.rlike(r"\bclass [A-Z]")), F.lit(True)).cast("int")
     lo = F.greatest(at - 3, F.lit(1))
-    return f.where(at > 0).select("file_id", F.md5(F.array_join(F.slice("l", lo, at + 3 - lo + 1), "\n")).alias("digest"))
+    return project(f.where(at > 0), "file_id", "file_id", F.md5(F.array_join(F.slice("l", lo, at + 3 - lo + 1), "\n")).alias("digest"))
 
 
 def a14_confidence(spark: SparkSession, sf: str) -> DataFrame:
     """Mean confidence per cycle, less a tenth for each warning, within 0 and 1."""
-    p = _patches(spark, sf).groupBy("cycle_id").agg(F.avg("confidence").alias("m"), F.sum(F.size(F.coalesce("warnings", F.array().cast("array<string>")))).alias("w"))
+    p = _patches(spark, sf, "patch_id", "cycle_id", "confidence", "warnings").groupBy("cycle_id").agg(F.avg("confidence").alias("m"), F.sum(F.size(F.coalesce("warnings", F.array().cast("array<string>")))).alias("w"))
     return p.select("cycle_id", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("m", F.lit(0.0)) - 0.1 * F.col("w"))), 6).alias("confidence"))
 
 
 def a17_issues(spark: SparkSession, sf: str) -> DataFrame:
     """All issues of patches: reverted, empty, unchanged, or found by the validator."""
-    p = _patches(spark, sf)
     same = F.coalesce(F.col("patched"), F.lit("")) == F.coalesce(F.col("original"), F.lit(""))
     own = F.array_compact(F.array(F.when(F.col("status") == "reverted", "reverted"), F.when(F.coalesce(F.col("patched"), F.lit("")) == "", "empty"), F.when(same & (F.col("patched") != ""), "unchanged")))
-    i = p.select(F.explode(F.concat(own, F.transform(F.coalesce("validation_issues", F.array().cast("array<string>")), F.lower))).alias("issue"))
+    p = _patches(spark, sf, "patch_id", F.concat(own, F.transform(F.coalesce("validation_issues", F.array().cast("array<string>")), F.lower)).alias("issues"))
+    i = p.select(F.explode("issues").alias("issue"))
     return i.groupBy("issue").agg(F.count("*").alias("patches"))
 
 
 def a19_ledger(spark: SparkSession, sf: str) -> DataFrame:
     """Tokens of each cycle's files, and what is left of a budget of 4,000."""
-    f = _files(spark, sf)
     n = t.estimated_tokens(F.col("content"), t.lookup(F.col("ext"), t.CONTENT_TYPES, "code_generic"))
-    return f.groupBy("cycle_id").agg(F.sum(n).alias("used")).select("cycle_id", "used", F.greatest(F.lit(0), 4000 - F.col("used")).alias("remaining"))
+    return _files(spark, sf, "file_id", "cycle_id", n.alias("n")).groupBy("cycle_id").agg(F.sum("n").alias("used")).select("cycle_id", "used", F.greatest(F.lit(0), 4000 - F.col("used")).alias("remaining"))
 
 
 def w4_parts(spark: SparkSession, sf: str) -> DataFrame:
@@ -243,8 +249,9 @@ def w10_call_blocks(spark: SparkSession, sf: str) -> DataFrame:
 def u4_missing_types(spark: SparkSession, sf: str) -> DataFrame:
     """Types that a patched text makes or extends and neither it nor any file of its cycle defines."""
     rx = F.lit(r"\b(?:new|extends|implements)\s+([A-Z]\w*)")
-    ref = _patches(spark, sf).where("patched <> ''").select("patch_id", "cycle_id", F.explode(F.array_except(F.regexp_extract_all("patched", rx, F.lit(1)), t.defined_types(F.col("patched")))).alias("name"))
-    defined = _files(spark, sf).select("cycle_id", F.explode(t.defined_types(F.col("content"))).alias("name")).distinct()
+    names = F.array_except(F.regexp_extract_all("patched", rx, F.lit(1)), t.defined_types(F.col("patched")))
+    ref = project(_raw_patches(spark, sf).where("patched <> ''"), "patch_id", "patch_id", "cycle_id", names.alias("n")).select("patch_id", "cycle_id", F.explode("n").alias("name"))
+    defined = _raw_files(spark, sf).select("cycle_id", F.explode(t.defined_types(F.col("content"))).alias("name")).distinct()
     return ref.join(defined, ["cycle_id", "name"], "left_anti").select("patch_id", "name")
 
 
@@ -271,8 +278,9 @@ def j9_reverted_files(spark: SparkSession, sf: str) -> DataFrame:
 
 def j14_effective_files(spark: SparkSession, sf: str) -> DataFrame:
     """Each file with the newest patch of its path, else as it is: characters."""
-    p = _patches(spark, sf).where("patched <> '' and status in ('applied', 'partial')").groupBy("cycle_id", "path").agg(F.max_by("patched", F.struct("iteration", "patch_id")).alias("patched"))
-    return _files(spark, sf).join(p, ["cycle_id", "path"], "left").select("file_id", F.length(F.coalesce("patched", "content")).alias("chars"), F.col("patched").isNotNull().alias("is_patched"))
+    p = _raw_patches(spark, sf).where("patched <> '' and status in ('applied', 'partial')").groupBy("cycle_id", "path").agg(F.max_by(F.length("patched"), F.struct("iteration", "patch_id")).alias("chars"))
+    f = _files(spark, sf, "file_id", "cycle_id", "path", F.length("content").alias("own"))
+    return f.join(p, ["cycle_id", "path"], "left").select("file_id", F.coalesce("chars", "own").alias("chars"), F.col("chars").isNotNull().alias("is_patched"))
 
 
 def j18_valid_targets(spark: SparkSession, sf: str) -> DataFrame:
@@ -319,12 +327,12 @@ def f11_content_checks(spark: SparkSession, sf: str) -> DataFrame:
     c = F.coalesce("content", F.lit(""))
     need = F.when(F.col("ext") == "cs", c.rlike(r"\b(namespace|class|interface|struct|enum|record)\b")).when(F.col("ext") == "java", c.rlike(r"\b(class|interface|enum|record)\b")).when(F.col("ext") == "py", c.rlike(r"\b(def|class|import)\b|=")).otherwise(True)
     note = F.when(c == "", "empty").when(F.length(F.trim(c)) < 20, "short").when(~need, "missing construct").when(t.truncation_note(c).isNotNull(), "looks cut")
-    return _files(spark, sf).groupBy(F.coalesce(note, F.lit("fine")).alias("note")).agg(F.count("*").alias("files"))
+    return _files(spark, sf, "file_id", F.coalesce(note, F.lit("fine")).alias("note")).groupBy("note").agg(F.count("*").alias("files"))
 
 
 def f12_truncated_jobs(spark: SparkSession, sf: str) -> DataFrame:
     """Cycles half of whose files or more look cut."""
-    f = _files(spark, sf).groupBy("cycle_id").agg(F.count("*").alias("n"), F.count(t.truncation_note(F.col("content"))).alias("cut"))
+    f = _files(spark, sf, "file_id", "cycle_id", t.truncation_note(F.col("content")).alias("note")).groupBy("cycle_id").agg(F.count("*").alias("n"), F.count("note").alias("cut"))
     return f.where("cut >= 0.5 * n").select("cycle_id", "cut")
 
 

@@ -196,7 +196,7 @@ def g6_broken(spark: SparkSession, sf: str) -> DataFrame:
 
 def g7_mentions(spark: SparkSession, sf: str) -> DataFrame:
     """Edges found in the files themselves: a job's file names another node of the job."""
-    files = once(load(spark, sf, "cycle_files", "file_id", "cycle_id", "path", "content"), "file_id")
+    files = load(spark, sf, "cycle_files", "file_id", "cycle_id", "content")  # edges are distinct, re-delivered or not
     f = files.select("cycle_id", F.col("file_id").cast("string").alias("node"), "content")
     n = _jobs(spark, sf).select("cycle_id", F.explode("graph.nodes").alias("node")).distinct()
     return g.mentions(f, n, "cycle_id").select("cycle_id", F.col("src").cast("bigint").alias("file_id"), F.col("dst").alias("node"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import history as h
-from ..tables import load, once
+from ..tables import load, once, project
 
 
 def _attempts(spark: SparkSession, sf: str) -> DataFrame:
@@ -93,15 +93,15 @@ def k3_reverted_files(spark: SparkSession, sf: str) -> DataFrame:
 
 def k5_write_log(spark: SparkSession, sf: str) -> DataFrame:
     """What writing all files of a cycle would take: files and characters."""
-    f = once(load(spark, sf, "cycle_files", "file_id", "cycle_id", "content"), "file_id")
-    return f.groupBy("cycle_id").agg(F.count("*").alias("files"), F.coalesce(F.sum(F.length("content")), F.lit(0)).alias("chars"))
+    f = project(load(spark, sf, "cycle_files", "file_id", "cycle_id", "content"), "file_id", "file_id", "cycle_id", F.length("content").alias("n"))
+    return f.groupBy("cycle_id").agg(F.count("*").alias("files"), F.coalesce(F.sum("n"), F.lit(0)).alias("chars"))
 
 
 def k8_call_log(spark: SparkSession, sf: str) -> DataFrame:
     """Calls by relay: prompts and answers, their lengths and the mean length of an answer."""
-    p = once(load(spark, sf, "proposals", "proposal_id", "relay", "prompt", "llm_response"), "proposal_id")
+    p = project(load(spark, sf, "proposals", "proposal_id", "relay", "prompt", "llm_response"), "proposal_id", "proposal_id", "relay", F.length("prompt").alias("p"), F.length("llm_response").alias("a"))
     return p.groupBy("relay").agg(
-        F.count("*").alias("calls"), F.count("llm_response").alias("answered"), F.sum(F.length("prompt")).alias("prompt_chars"), F.coalesce(F.sum(F.length("llm_response")), F.lit(0)).alias("answer_chars"), F.round(F.avg(F.length("llm_response")), 4).alias("mean_answer")
+        F.count("*").alias("calls"), F.count("a").alias("answered"), F.sum("p").alias("prompt_chars"), F.coalesce(F.sum("a"), F.lit(0)).alias("answer_chars"), F.round(F.avg("a"), 4).alias("mean_answer")
     )
 
 

@@ -11,142 +11,155 @@ from ..operators import graph as g
 from ..operators import patching as p
 from ..operators import retrieval as r
 from ..operators import rules
-from ..tables import clean_path, extension, load, once
+from ..tables import clean_path, extension, load, once, project
 
 
-def _files(spark: SparkSession, sf: str) -> DataFrame:
-    f = once(load(spark, sf, "cycle_files", "file_id", "cycle_id", "project", "ord", "path", "content"), "file_id")
-    return f.withColumn("ext", extension(clean_path(F.col("path"))))
+def _raw_files(spark: SparkSession, sf: str) -> DataFrame:
+    return load(spark, sf, "cycle_files", "file_id", "cycle_id", "project", "ord", "path", "content").withColumn("ext", extension(clean_path(F.col("path"))))
 
 
-def _patches(spark: SparkSession, sf: str) -> DataFrame:
-    q = once(load(spark, sf, "patch_results", "patch_id", "cycle_id", "iteration", "path", "original", "patched", "diff", "status", "warnings", "validation_issues", "revert_reason"), "patch_id")
+def _files(spark: SparkSession, sf: str, *columns) -> DataFrame:
+    return project(_raw_files(spark, sf), "file_id", *columns)
+
+
+def _raw_patches(spark: SparkSession, sf: str) -> DataFrame:
+    q = load(spark, sf, "patch_results", "patch_id", "cycle_id", "iteration", "path", "original", "patched", "diff", "status", "warnings", "validation_issues", "revert_reason")
     return q.withColumn("ext", extension(clean_path(F.col("path"))))
 
 
-def _proposals(spark: SparkSession, sf: str) -> DataFrame:
-    return once(load(spark, sf, "proposals", "proposal_id", "cycle_id", "iteration", "prompt", "llm_response", "rationale"), "proposal_id")
+def _patches(spark: SparkSession, sf: str, *columns) -> DataFrame:
+    return project(_raw_patches(spark, sf), "patch_id", *columns)
+
+
+def _changes(spark: SparkSession, sf: str) -> DataFrame:
+    """The changes that answers propose; a re-delivered answer proposes the same ones again."""
+    a = load(spark, sf, "proposals", "proposal_id", "cycle_id", "llm_response")
+    return p.changes(a, ["cycle_id", "proposal_id"], "llm_response").dropDuplicates(["proposal_id", "pos"])
 
 
 def x2_brackets(spark: SparkSession, sf: str) -> DataFrame:
-    return _files(spark, sf).select("file_id", F.inline(t.bracket_issues(F.col("content"), F.col("ext"))))
+    return _files(spark, sf, "file_id", t.bracket_issues(F.col("content"), F.col("ext")).alias("b")).select("file_id", F.inline("b"))
 
 
 def x3_truncation(spark: SparkSession, sf: str) -> DataFrame:
-    return _patches(spark, sf).select("patch_id", t.truncation_note(F.col("patched")).alias("note")).where("note is not null")
+    return _patches(spark, sf, "patch_id", t.truncation_note(F.col("patched")).alias("note")).where("note is not null")
 
 
 def f13_marked(spark: SparkSession, sf: str) -> DataFrame:
-    return _patches(spark, sf).where(t.marked_truncated(F.col("patched"))).select("patch_id")
+    return _patches(spark, sf, "patch_id", t.marked_truncated(F.col("patched")).alias("marked")).where("marked").select("patch_id")
 
 
 def f8_change_kind(spark: SparkSession, sf: str) -> DataFrame:
-    return _patches(spark, sf).groupBy(t.change_kind(F.col("original"), F.col("patched")).alias("change")).agg(F.count("*").alias("patches"))
+    return _patches(spark, sf, "patch_id", t.change_kind(F.col("original"), F.col("patched")).alias("change")).groupBy("change").agg(F.count("*").alias("patches"))
 
 
 def w7_duplicate_lines(spark: SparkSession, sf: str) -> DataFrame:
-    return _patches(spark, sf).select("patch_id", t.duplicate_line(F.col("patched"), F.col("original")).alias("line")).where("line is not null")
+    return _patches(spark, sf, "patch_id", t.duplicate_line(F.col("patched"), F.col("original")).alias("line")).where("line is not null")
 
 
 def x12_categories(spark: SparkSession, sf: str) -> DataFrame:
-    i = _patches(spark, sf).select(F.explode("validation_issues").alias("issue"))
+    i = _patches(spark, sf, "patch_id", "validation_issues").select(F.explode("validation_issues").alias("issue"))
     return i.groupBy(t.issue_severity(F.regexp_replace("issue", "_", " ")).alias("severity")).agg(F.count("*").alias("issues"))
 
 
 def x17_imports(spark: SparkSession, sf: str) -> DataFrame:
-    return _files(spark, sf).select("file_id", F.explode(t.imports(F.col("content"), F.col("ext"))).alias("module"))
+    return _files(spark, sf, "file_id", t.imports(F.col("content"), F.col("ext")).alias("m")).select("file_id", F.explode("m").alias("module"))
 
 
 def u2_import_changes(spark: SparkSession, sf: str) -> DataFrame:
     """Imports that a patch adds or drops."""
-    q = _patches(spark, sf).where("patched <> ''").select("patch_id", t.imports(F.col("original"), F.col("ext")).alias("a"), t.imports(F.col("patched"), F.col("ext")).alias("b"))
+    q = project(_raw_patches(spark, sf).where("patched <> ''"), "patch_id", "patch_id", t.imports(F.col("original"), F.col("ext")).alias("a"), t.imports(F.col("patched"), F.col("ext")).alias("b"))
     return q.select("patch_id", F.array_join(F.array_except("b", "a"), ",").alias("added"), F.array_join(F.array_except("a", "b"), ",").alias("dropped")).where("added <> '' or dropped <> ''")
 
 
 def x22_types(spark: SparkSession, sf: str) -> DataFrame:
-    return _files(spark, sf).select("file_id", F.explode(t.defined_types(F.col("content"))).alias("name"))
+    return _files(spark, sf, "file_id", t.defined_types(F.col("content")).alias("n")).select("file_id", F.explode("n").alias("name"))
 
 
 def u7_unknown_types(spark: SparkSession, sf: str) -> DataFrame:
     """Interface names (I and a capital) that a patch brings in and nothing in the original has."""
     rx = F.lit(r"\bI[A-Z][A-Za-z0-9]*\b")
-    q = _patches(spark, sf).select("patch_id", F.array_except(F.regexp_extract_all(F.coalesce("patched", F.lit("")), rx, F.lit(0)), F.regexp_extract_all(F.coalesce("original", F.lit("")), rx, F.lit(0))).alias("n"))
+    q = _patches(spark, sf, "patch_id", F.array_except(F.regexp_extract_all(F.coalesce("patched", F.lit("")), rx, F.lit(0)), F.regexp_extract_all(F.coalesce("original", F.lit("")), rx, F.lit(0))).alias("n"))
     return q.select("patch_id", F.explode("n").alias("name"))
 
 
 def a11_language(spark: SparkSession, sf: str) -> DataFrame:
     """The language of each cycle: that of most of its files, ties to the first in order."""
-    f = _files(spark, sf).select("cycle_id", t.lookup(F.col("ext"), t.LANGUAGES, "unknown").alias("language")).groupBy("cycle_id", "language").agg(F.count("*").alias("n"))
+    f = _files(spark, sf, "file_id", "cycle_id", t.lookup(F.col("ext"), t.LANGUAGES, "unknown").alias("language")).groupBy("cycle_id", "language").agg(F.count("*").alias("n"))
     return f.groupBy("cycle_id").agg(F.min(F.struct((-F.col("n")).alias("k"), "language")).alias("m")).select("cycle_id", "m.language")
 
 
 def a12_line_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Lines that a stored diff adds and removes."""
-    d = _patches(spark, sf).where("diff is not null").select("patch_id", F.explode(F.split("diff", "\n")).alias("l"))
-    plus, minus = F.col("l").startswith("+") & ~F.col("l").startswith("+++"), F.col("l").startswith("-") & ~F.col("l").startswith("---")
-    return d.groupBy("patch_id").agg(F.sum(plus.cast("int")).alias("added"), F.sum(minus.cast("int")).alias("removed"))
+    lines = F.split("diff", "\n")
+    count = lambda sign: F.size(F.filter(lines, lambda x: x.startswith(sign) & ~x.startswith(sign * 3))).cast("bigint")
+    return project(_raw_patches(spark, sf).where("diff is not null"), "patch_id", "patch_id", count("+").alias("added"), count("-").alias("removed"))
 
 
 def x28_tokens(spark: SparkSession, sf: str) -> DataFrame:
-    f = _files(spark, sf)
-    return f.select("file_id", t.estimated_tokens(F.col("content"), t.lookup(F.col("ext"), t.CONTENT_TYPES, "code_generic")).alias("tokens"))
+    return _files(spark, sf, "file_id", t.estimated_tokens(F.col("content"), t.lookup(F.col("ext"), t.CONTENT_TYPES, "code_generic")).alias("tokens"))
 
 
 def x29_cut(spark: SparkSession, sf: str) -> DataFrame:
-    f = _files(spark, sf).where("ext = 'py'")
-    return f.select("file_id", F.md5(F.coalesce(t.cut_to_tokens(F.col("content"), 300, "code_python"), F.lit(""))).alias("digest"))
+    f = _raw_files(spark, sf).where("ext = 'py'")
+    return project(f, "file_id", "file_id", F.md5(F.coalesce(t.cut_to_tokens(F.col("content"), 300, "code_python"), F.lit(""))).alias("digest"))
 
 
 def y21_budgets(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame(c.budget(4096), "stage string, part string, tokens int")
 
 
+def _sizes(spark: SparkSession, sf: str) -> DataFrame:
+    return _files(spark, sf, "file_id", "cycle_id", "ord", F.length("content").alias("n"))
+
+
 def w1_whole_files(spark: SparkSession, sf: str) -> DataFrame:
-    return c.whole_files(_files(spark, sf), "cycle_id", "file_id", F.length("content"), 12000, 8000).select("cycle_id", "file_id", "used")
+    return c.whole_files(_sizes(spark, sf), "cycle_id", "file_id", F.col("n"), 12000, 8000).select("cycle_id", "file_id", "used")
 
 
 def w2_packed(spark: SparkSession, sf: str) -> DataFrame:
-    return c.packed(_files(spark, sf), "cycle_id", ["ord", "file_id"], F.coalesce(F.length("content"), F.lit(0)), 6000).select("cycle_id", "file_id", "given")
+    return c.packed(_sizes(spark, sf), "cycle_id", ["ord", "file_id"], F.coalesce("n", F.lit(0)), 6000).select("cycle_id", "file_id", "given")
 
 
 def w9_budgets(spark: SparkSession, sf: str) -> DataFrame:
-    return c.proportional(_files(spark, sf), "cycle_id", F.floor(F.coalesce(F.length("content"), F.lit(0)) / 100), 20000).select("cycle_id", "file_id", "budget")
+    return c.proportional(_sizes(spark, sf), "cycle_id", F.floor(F.coalesce("n", F.lit(0)) / 100), 20000).select("cycle_id", "file_id", "budget")
 
 
 def w3_islands(spark: SparkSession, sf: str) -> DataFrame:
-    return c.interesting_lines(_files(spark, sf), "file_id", "content", r"^\s*(import|from|using|export class|class|public class)\b", 1, 2)
+    # ranges of a re-delivered file merge with those of the first
+    return c.interesting_lines(_raw_files(spark, sf), "file_id", "content", r"^\s*(import|from|using|export class|class|public class)\b", 1, 2)
 
 
 def o3_file_priority(spark: SparkSession, sf: str) -> DataFrame:
     """Files of a cycle by priority: named by an edge's end, connections, size, position."""
-    f = _files(spark, sf).where("path is not null")
+    f = _files(spark, sf, "file_id", "cycle_id", "ord", "path", F.length(F.coalesce("content", F.lit(""))).alias("n")).where("path is not null")
     stem = F.lower(F.regexp_replace(F.regexp_replace(F.regexp_extract(clean_path(F.col("path")), r"([^/]*)$", 1), r"\.[^.]*$", ""), "[-_]", ""))
     deg = g.degrees(g.job_edges(once(load(spark, sf, "cycle_jobs"), "cycle_id")), "cycle_id").withColumn("_stem", F.lower("node"))
     j = f.withColumn("_stem", stem).join(deg, ["cycle_id", "_stem"], "left")
     issue = F.lit(False)
-    s = c.file_score(F.col("node").isNotNull(), issue, F.length(F.coalesce("content", F.lit(""))), F.col("in_degree"), F.col("out_degree"), F.col("ord") == 0)
+    s = c.file_score(F.col("node").isNotNull(), issue, F.col("n"), F.col("in_degree"), F.col("out_degree"), F.col("ord") == 0)
     return j.select("cycle_id", "file_id", s.cast("int").alias("score"))
 
 
 def adj_numbered(spark: SparkSession, sf: str) -> DataFrame:
-    return _files(spark, sf).where("content <> ''").select("file_id", F.md5(c.numbered(F.col("content"))).alias("digest"))
+    return project(_raw_files(spark, sf).where("content <> ''"), "file_id", "file_id", F.md5(c.numbered(F.col("content"))).alias("digest"))
 
 
 def w13_head_tail(spark: SparkSession, sf: str) -> DataFrame:
-    return _files(spark, sf).where("content is not null").select("file_id", F.md5(c.head_and_tail(F.col("content"))).alias("digest"))
+    return project(_raw_files(spark, sf).where("content is not null"), "file_id", "file_id", F.md5(c.head_and_tail(F.col("content"))).alias("digest"))
 
 
 def j12_failure_patterns(spark: SparkSession, sf: str) -> DataFrame:
     m = F.concat(F.coalesce("warnings", F.array().cast("array<string>")), F.coalesce("validation_issues", F.array().cast("array<string>")), F.array_compact(F.array("revert_reason")))
-    return _patches(spark, sf).select(F.explode(rules.failure_patterns(m)).alias("pattern")).groupBy("pattern").agg(F.count("*").alias("patches"))
+    return _patches(spark, sf, "patch_id", rules.failure_patterns(m).alias("m")).select(F.explode("m").alias("pattern")).groupBy("pattern").agg(F.count("*").alias("patches"))
 
 
 def j13_unbreakable(spark: SparkSession, sf: str) -> DataFrame:
-    return rules.unbreakable(_files(spark, sf), "cycle_id")
+    return rules.unbreakable(_raw_files(spark, sf), "cycle_id", id_col="file_id")
 
 
 def x35_layers(spark: SparkSession, sf: str) -> DataFrame:
-    f = _files(spark, sf).where("path is not null").groupBy("cycle_id").agg(F.collect_set("path").alias("paths"))
+    f = _raw_files(spark, sf).where("path is not null").groupBy("cycle_id").agg(F.collect_set("path").alias("paths"))
     return f.select("cycle_id", rules.layer_violation(F.col("paths")).alias("violation")).where("violation is not null")
 
 
@@ -156,30 +169,29 @@ def x31_strategy(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def f10_paths(spark: SparkSession, sf: str) -> DataFrame:
-    return _files(spark, sf).groupBy(t.is_placeholder_free_path(F.col("path")).alias("usable")).agg(F.count("*").alias("files"))
+    return _files(spark, sf, "file_id", t.is_placeholder_free_path(F.col("path")).alias("usable")).groupBy("usable").agg(F.count("*").alias("files"))
 
 
 def j16_missing_search(spark: SparkSession, sf: str) -> DataFrame:
     """Search texts that the file they name doesn't hold, white space aside."""
-    ch = p.changes(_proposals(spark, sf), ["cycle_id", "proposal_id"], "llm_response").where("kind = 'replace'")
-    f = _files(spark, sf).select("cycle_id", "path", "content").dropDuplicates(["cycle_id", "path"])
+    ch = _changes(spark, sf).where("kind = 'replace'")
+    f = _raw_files(spark, sf).select("cycle_id", "path", "content").dropDuplicates(["cycle_id", "path"])
     n = lambda x: F.regexp_replace(F.coalesce(x, F.lit("")), r"\s+", " ")
     j = ch.join(f, ["cycle_id", "path"], "left")
     return j.where(F.col("content").isNull() | ~F.contains(n(F.col("content")), F.trim(n(F.col("search"))))).select("proposal_id", "pos")
 
 
 def y7_changes(spark: SparkSession, sf: str) -> DataFrame:
-    return p.changes(_proposals(spark, sf), ["cycle_id", "proposal_id"], "llm_response").select("proposal_id", "pos", "path", "kind")
+    return _changes(spark, sf).select("proposal_id", "pos", "path", "kind")
 
 
 def x44_applied(spark: SparkSession, sf: str) -> DataFrame:
-    ch = p.changes(_proposals(spark, sf), ["cycle_id", "proposal_id"], "llm_response")
-    f = _files(spark, sf).dropDuplicates(["cycle_id", "path"])
-    return p.applied(ch, f, ["cycle_id", "proposal_id"]).select("proposal_id", "path", "kind", "applied", F.round("confidence", 4).alias("confidence"), "note")
+    f = _raw_files(spark, sf).select("cycle_id", "path", "content").dropDuplicates(["cycle_id", "path"])
+    return p.applied(_changes(spark, sf), f, ["cycle_id", "proposal_id"]).select("proposal_id", "path", "kind", "applied", F.round("confidence", 4).alias("confidence"), "note")
 
 
 def x10_diffs(spark: SparkSession, sf: str) -> DataFrame:
-    return p.diffs(_patches(spark, sf)).select("patch_id", "added", "removed", "kept", F.md5("diff").alias("digest"))
+    return project(p.diffs(_raw_patches(spark, sf)), "patch_id", "patch_id", "added", "removed", "kept", F.md5("diff").alias("digest"))
 
 
 def x41_repairs(spark: SparkSession, sf: str) -> DataFrame:
@@ -191,7 +203,8 @@ def x41_repairs(spark: SparkSession, sf: str) -> DataFrame:
             got = [(i, *p.repair(x)) for i, x in zip(pdf["patch_id"], pdf["patched"], strict=True)]
             yield pd.DataFrame([(i, ",".join(n), s) for i, _, n, s in got if n], columns=["patch_id", "repairs", "confidence"])
 
-    return _patches(spark, sf).where("patched <> '' and ext in ('ts', 'js', 'java', 'cs')").select("patch_id", "patched").mapInPandas(run, "patch_id bigint, repairs string, confidence double")
+    scripts = _raw_patches(spark, sf).where("patched <> '' and ext in ('ts', 'js', 'java', 'cs')").select("patch_id", "patched")
+    return scripts.mapInPandas(run, "patch_id bigint, repairs string, confidence double").dropDuplicates(["patch_id"])
 
 
 def y18_chunks(spark: SparkSession, sf: str) -> DataFrame:
@@ -220,9 +233,10 @@ def y1_event_props(spark: SparkSession, sf: str) -> DataFrame:
 
 def y2_answer_json(spark: SparkSession, sf: str) -> DataFrame:
     """How many answers are JSON by themselves, and how many patches these hold."""
-    a = _proposals(spark, sf).select(F.try_parse_json("llm_response").alias("v"))
-    n = F.try_variant_get("v", "$.patches", "array<variant>")
-    return a.where("v is not null").agg(F.count("*").alias("answers"), F.sum(F.when(n.isNotNull(), F.size(n)).otherwise(0)).alias("patches"))
+    v = F.try_parse_json("llm_response")
+    n = F.try_variant_get(v, "$.patches", "array<variant>")
+    a = project(load(spark, sf, "proposals", "proposal_id", "llm_response"), "proposal_id", "proposal_id", v.isNotNull().alias("json"), F.when(n.isNotNull(), F.size(n)).otherwise(0).alias("n"))
+    return a.where("json").agg(F.count("*").alias("answers"), F.sum("n").alias("patches"))
 
 
 QUERIES = {f.__name__: f for f in (

@@ -17,6 +17,12 @@ def once(df: DataFrame, key: str) -> DataFrame:
     return df.dropDuplicates([key])
 
 
+def project(df: DataFrame, key: str, *columns: str | Column) -> DataFrame:
+    """``columns`` of ``df``, then one row per ``key``: what is shuffled to drop re-delivered rows are the narrow results,
+    not the texts that they are computed from. Without columns all of them are kept."""
+    return once(df.select(*columns) if columns else df, key)
+
+
 def clean_path(path: Column) -> Column:
     """``path`` with ``/`` as separator and without a leading ``./``."""
     return F.regexp_replace(F.regexp_replace(path, r"\\", "/"), r"^(\./)+", "")
