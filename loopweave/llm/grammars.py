@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from .peg import FIRST, SPAN, Grammar, Kinds
+from .peg import FIRST, KEPT, SPAN, TABLE, Grammar, Kinds
 
 
 def _kinds(words: str, marks: str) -> dict[str, str]:
@@ -582,9 +582,10 @@ class PythonLanguage(Language):
                     g.table.clear()
                     needs = g.rules["Header"](s, 0) == len(s) or word == "case"
                 r = (word if needs or word in ("elif", "else", "except", "finally", "@") or self._header(s) else "", needs)
-            if len(self.lines) > 400_000:
-                self.lines.clear()
-            self.lines[s] = r
+            if len(s) <= KEPT:
+                if len(self.lines) >= TABLE:
+                    self.lines.clear()
+                self.lines[s] = r
         return r
 
     def _header(self, s: str) -> bool:

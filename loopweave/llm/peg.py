@@ -26,6 +26,8 @@ from collections.abc import Callable
 
 #: Bracket symbols: 2**11 readings for each kind of bracket, in a private plane.
 FIRST = 0xF0000
+#: Entries of a table that is kept by content, and the longest content that is; some 100 MB a process at most.
+TABLE, KEPT = 60_000, 1000
 SPAN = 1 << 11
 Expr = Callable[[str, int], int]
 #: Runs of like elements in a list; no grammar counts them, so two stand for all.
@@ -95,9 +97,10 @@ class Grammar:
             self.table.clear()
             s += "\x01"  # no item may rely on being the last
             r = self.rules[rule](s, 0) == len(s)
-            if len(self.items) > 400_000:
-                self.items.clear()
-            self.items[k] = r
+            if len(k) <= KEPT:
+                if len(self.items) >= TABLE:
+                    self.items.clear()
+                self.items[k] = r
         return r
 
     def group(self, whole: str) -> str:
@@ -112,9 +115,10 @@ class Grammar:
                 if self.parse(rule, content) < 0:
                     mask |= 1 << n
             sym = chr(self.base[b] + mask)
-            if len(self.memo) > 400_000:
-                self.memo.clear()
-            self.memo[whole] = sym
+            if len(whole) <= KEPT:
+                if len(self.memo) >= TABLE:
+                    self.memo.clear()
+                self.memo[whole] = sym
         return sym
 
     def reduce(self, s: str) -> str:
@@ -304,8 +308,9 @@ class Kinds(dict):
 
     def __missing__(self, token: str) -> str:
         k = self.classify(token)
-        if len(self) > 500_000:
-            self.clear()
-            self.update(self.known)
-        self[token] = k
+        if len(token) <= 80:
+            if len(self) >= 2 * TABLE:
+                self.clear()
+                self.update(self.known)
+            self[token] = k
         return k
