@@ -136,6 +136,7 @@ _GAP = re.compile(rf"(?:[ \t ​]+|{_BREAK}{_PREFIX})*")
 _LEFT = re.compile(r"[^\s\"„“”«»「」『』(\[{<>¿¡—–/`]*$")
 _PAIR = re.compile(rf"(?<![^\W_])([^\W\d_]{{1,2}})\.(?:[ \t ]|{_BREAK}{_PREFIX})+$")
 _INITIALS = re.compile(rf"(?:(?<![^\s(\"„“«])[^\W\d_]\.(?:[ \t ]|{_BREAK}{_PREFIX})+)+$")
+_ELIDED = re.compile(r"^(?:[cdjlmnst]|qu)['’](?=\w)")
 _WORD = re.compile(r"[^\W_]+(?:[-'’][^\W_]+)*")
 _CAMEL = re.compile(r"[A-Z]?[a-z0-9]*[A-Z][a-z0-9]+[A-Z]|[a-z]+[A-Z]")
 _CALL = re.compile(r"\w+\(")
@@ -166,7 +167,7 @@ def _starts(text: str, i: int) -> bool:
 def _final_dot(text: str, start: int, nxt: int) -> bool:
     """Whether the single full stop at ``start``, after which text goes on at ``nxt``, ends a sentence."""
     left = _LEFT.search(text, max(0, start - 40), start).group()
-    tok = left.lower().lstrip("'*_#")
+    tok = _ELIDED.sub("", left.lower().lstrip("'*_#"))
     c = text[nxt : nxt + 1]
     if not tok:
         return _starts(text, nxt)
