@@ -25,7 +25,20 @@ def session(master: str | None = None, app: str = "loopweave", **conf: str) -> S
         b = b.master(master)
     for k, v in (SETTINGS | {k.replace("_", "."): str(v) for k, v in conf.items()}).items():
         b = b.config(k, v)
-    return b.getOrCreate()
+    return visible(b.getOrCreate())
+
+
+def visible(spark: SparkSession) -> SparkSession:
+    """``spark`` with this package's folder on the path of its Python workers, for a checkout that isn't installed.
+
+    Machines that don't share the folder need the package installed, as any other.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *paths])
+    return spark
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
