@@ -129,6 +129,7 @@ _L = "l AS (SELECT st AS strategy, count(*) FILTER (approved) AS successes, coun
 _H = "h AS (SELECT st AS strategy, issue, count(*) AS failures FROM (SELECT st, unnest(iss) AS issue FROM b WHERE NOT approved) GROUP BY 1, 2)"
 
 SQL = {
+    "a5_times": f"WITH {_A} SELECT strftime(try_cast(ts AS TIMESTAMP), '%Y-%m') AS month, count(*) AS attempts FROM b WHERE try_cast(ts AS TIMESTAMP) IS NOT NULL GROUP BY 1",
     "a8_stats": f"WITH {_A} SELECT count(*) AS total, count(*) FILTER (approved) AS approved, count(*) FILTER (NOT approved) AS rejected, (count(*) FILTER (approved) / count(*))::DOUBLE AS rate, count(DISTINCT st) AS strategies, count(DISTINCT cycle_id) AS cycles FROM b",
     "a6_learning": f"WITH {_A}, {_L} SELECT strategy, successes, failures, rate FROM l2",
     "a6_issues": f"WITH {_A}, {_H} SELECT * FROM h",

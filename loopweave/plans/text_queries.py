@@ -233,7 +233,8 @@ def y1_event_props(spark: SparkSession, sf: str) -> DataFrame:
 
 def y2_answer_json(spark: SparkSession, sf: str) -> DataFrame:
     """How many answers are JSON by themselves, and how many patches these hold."""
-    v = F.try_parse_json("llm_response")
+    # the parser ignores what follows a value, so a text counts only if it ends with its object
+    v = F.when(F.col("llm_response").rlike(r"(?s)^\{.*\}$"), F.try_parse_json("llm_response"))
     n = F.try_variant_get(v, "$.patches", "array<variant>")
     a = project(load(spark, sf, "proposals", "proposal_id", "llm_response"), "proposal_id", "proposal_id", v.isNotNull().alias("json"), F.when(n.isNotNull(), F.size(n)).otherwise(0).alias("n"))
     return a.where("json").agg(F.count("*").alias("answers"), F.sum("n").alias("patches"))
@@ -329,5 +330,6 @@ SQL = {
     "f10_paths": rf"WITH {_F} SELECT coalesce(length(path) > 0 AND length(path) <= 260 AND NOT regexp_matches(path, '(^|[/\\])\.\.([/\\]|$)') AND NOT regexp_matches(path, '^([/\\]|[A-Za-z]:)'), false) AS usable, count(*) AS files FROM f GROUP BY 1",
     "j11_nearest": "WITH s AS (SELECT q.vec_id AS query_id, v.vec_id, list_inner_product([x::DOUBLE for x in q.embedding], [x::DOUBLE for x in v.embedding]) AS s FROM embeddings q JOIN embeddings v ON v.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0) SELECT query_id, vec_id, rank, round(s, 5) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id)::INT AS rank FROM s) WHERE rank <= 4",
     "o4_unlike_heads": "SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY left(text, 200) ORDER BY doc_id) AS r FROM documents) WHERE r = 1",
+    "y2_answer_json": "WITH p AS (SELECT proposal_id, any_value(llm_response) AS a FROM proposals GROUP BY 1) SELECT count(*) AS answers, coalesce(sum(json_array_length(a, '$.patches')), 0)::BIGINT AS patches FROM p WHERE json_valid(a) AND starts_with(a, '{') AND ends_with(a, '}')",
     "y1_event_props": "SELECT event_type, count(k) AS known, sum(k)::BIGINT AS total FROM (SELECT event_type, (props->>'$.k')::BIGINT AS k FROM events) GROUP BY 1",
 }
