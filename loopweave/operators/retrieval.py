@@ -114,7 +114,10 @@ def diverse(candidates: DataFrame, vectors: DataFrame, k: int = 4, weight: float
     return j.groupBy("query_id").applyInPandas(run, f"query_id {kind}, {id_col} {kind}, rank int")
 
 
-def unlike_heads(hits: DataFrame, text_col: str, order: list, chars: int = 200) -> DataFrame:
-    """``hits`` without those that begin like one before them (first ``chars`` characters)."""
-    w = W.partitionBy(F.left(text_col, F.lit(chars))).orderBy(*order)
-    return hits.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+def unlike_heads(hits: DataFrame, text_col: str, order: list[str], chars: int = 200) -> DataFrame:
+    """``hits`` without those that begin like one before them (first ``chars`` characters).
+
+    The first row of each beginning is a minimum, so equal beginnings are combined before they are shuffled.
+    """
+    first = F.min(F.struct(*order, *[c for c in hits.columns if c not in order])).alias("_first")
+    return hits.groupBy(F.left(text_col, F.lit(chars)).alias("_head")).agg(first).select(*[F.col(f"_first.{c}").alias(c) for c in hits.columns])
