@@ -19,6 +19,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from ..session import checkpoint_dir
 from ..tables import clean_path, extension
@@ -27,6 +28,7 @@ from . import syntax
 CUT, WHOLE, ASK = "cut", "whole", "ask"
 #: A last line or a shape of one-line values counts as intended from this many values on, and this share of them.
 OFTEN, OFTEN_SHARE = 5, 1 / 2000
+RANGE_CHARS = 300
 
 _JSON_START = re.compile(r"(?:\A|\n)[ \t]*(?:```\w*[ \t]*\r?\n?[ \t]*)?([{\[])(?=\s*(?:[\"}\]{\[]|\Z))")
 _JSON_TOKEN = re.compile(r'"(?:[^"\\]|\\[\s\S])*"|[\[\]{}]|"')
@@ -142,11 +144,12 @@ def prefixes(values: DataFrame, text_col: str = "text") -> DataFrame:
     """``(hash, in_word)`` of the texts that are strict prefixes of a longer text, by one sort of the distinct texts.
 
     In sorted order a text's extensions follow it directly. Each partition of the range sort compares its neighbours;
-    the first text of the next partition that has one stands in for the neighbour of a partition's last text.
+    the first text of the next partition that has one stands in for the neighbour of a partition's last text. The ranges
+    are cut by the texts' first :data:`RANGE_CHARS` characters, so that no whole texts are sampled to the driver.
     ``in_word`` tells whether the longer text goes on within a word. Null and empty texts are left out.
     """
     one = values.select(F.col(text_col).alias("_text")).where("_text <> ''").distinct()
-    ranged = one.repartitionByRange("_text").sortWithinPartitions("_text").withColumn("_part", F.spark_partition_id())
+    ranged = one.repartitionByRange(F.left("_text", F.lit(RANGE_CHARS))).sortWithinPartitions("_text").withColumn("_part", F.spark_partition_id())
 
     def neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         before, part, first = None, 0, True
@@ -166,7 +169,7 @@ def prefixes(values: DataFrame, text_col: str = "text") -> DataFrame:
     found = ranged.mapInPandas(neighbours, "_short string, _first string, in_word boolean, _part int")
     inner = found.where("in_word is not null").select("_short", "in_word")
     # the seams: one first and one last text for each partition
-    firsts = found.where("_first is not null").select((F.col("_part") - 1).alias("_part"), F.col("_first").alias("_next"))
+    firsts = found.where("_first is not null").select(F.lag("_part").over(W.orderBy("_part")).alias("_part"), F.col("_first").alias("_next"))
     lasts = found.where("_first is null and in_word is null").select("_part", "_short")
     seams = lasts.join(firsts, "_part").where("length(_next) > length(_short) and startswith(_next, _short)")
     seams = seams.select("_short", (F.col("_short").rlike(r"\w$") & F.expr("substring(_next, length(_short) + 1, 1)").rlike(r"\w")).alias("in_word"))
@@ -189,16 +192,18 @@ def resolve(judged: DataFrame, texts: DataFrame) -> DataFrame:
     judged = judged.checkpoint()
     keys = ["source_table", "row_id", "relay", "defect"]
     least = max(OFTEN, judged.count() * OFTEN_SHARE)
-    asked = judged.where(F.col("verdict") == ASK)
+    # at least N / 2000 values share each of these, so there are 2000 of them at most: small whatever N is
     lines = judged.where("line <> ''").groupBy("line").agg(F.count("*").alias("_times")).where(F.col("_times") >= least)
+    asked = judged.where(F.col("verdict") == ASK).join(F.broadcast(lines), "line", "left")
+    often, asked = asked.where("_times is not null"), asked.where("_times is null")
     shapes = asked.where("kind = 'only'").groupBy("shape").agg(F.count("*").alias("_alike")).where(F.col("_alike") >= least)
+    # what is frequent is settled by now, so no key of the two joins below is hot on the left; the right has a key once
     ends = judged.select(F.explode("ends").alias("tail")).groupBy("tail").agg(F.count("*").alias("_lines"))
-    j = asked.join(lines, "line", "left").join(shapes, "shape", "left").join(ends, "tail", "left").join(prefixes(texts), "hash", "left")
-    often = F.col("_times").isNotNull()
+    j = asked.join(F.broadcast(shapes), "shape", "left").join(ends, "tail", "left").join(prefixes(texts), "hash", "left")
     alike = (F.col("kind") == "only") & F.col("_alike").isNotNull()
     listed = (F.col("kind") == "list") & F.col("_lines").isNotNull() & F.col("balanced")
-    whole = often | (~F.coalesce(F.col("in_word"), F.lit(False)) & (alike | listed))
-    settled = j.select(*keys, (~whole).alias("cut"))
+    whole = ~F.coalesce(F.col("in_word"), F.lit(False)) & (alike | listed)
+    settled = j.select(*keys, (~whole).alias("cut")).unionByName(often.select(*keys, F.lit(False).alias("cut")))
     return judged.where(F.col("verdict") != ASK).select(*keys, (F.col("verdict") == CUT).alias("cut")).unionByName(settled)
 
 
