@@ -336,6 +336,8 @@ def impact(cycles: DataFrame, edges: DataFrame, key: str, id_col: str = "cycle_k
     without a weight counts 1. Centrality is the mean degree of the cycle's nodes over ``2 (N - 1)``, N being the nodes
     of the graph; with fewer than two it is 0.
     """
+    checkpoint_dir(cycles.sparkSession)
+    cycles = cycles.checkpoint()  # read by four branches below, and costly to enumerate again
     e = distinct_edges(edges, key)
     deg = degrees(e, key, distinct=True)
     size = deg.groupBy(key).agg(F.count("*").alias("_n"))
