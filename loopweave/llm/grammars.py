@@ -277,7 +277,8 @@ TypeParam <- Annot* Id ('extends' Type ('&' Type)*)?
 Stmt <- @block / ';' / 'if' @expr Stmt ('else' Stmt)? / 'while' @expr Stmt / 'do' Stmt 'while' @expr ';' / 'for' @forh Stmt
     / 'try' @resources? @block (Catch* Finally / Catch+ / &.)? / 'switch' @expr @switch / 'synchronized' @expr @block
     / 'return' Expr? ';' / 'throw' Expr ';' / 'break' Id? ';' / 'continue' Id? ';' / 'yield' Expr ';' / 'assert' Expr (':' Expr)? ';'
-    / Mods (ClassDecl / InterfaceDecl / EnumDecl / RecordDecl) / Id ':' Stmt / LocalVar ';' / !NOEXPR Expr ';' / ('this' / 'super') @args ';'
+    / Mods (ClassDecl / InterfaceDecl / EnumDecl / RecordDecl) / Id ':' Stmt / LocalVar ';' / !NOEXPR !(Bare ';') Expr ';' / ('this' / 'super') @args ';'
+Bare <- LITERAL / ('this' / Id) ('.' Id)*
 LocalVar <- Mods Type Declarator (',' Declarator)*
 Catch <- 'catch' @catch @block
 CatchHead <- Mods Type ('|' Type)* Id !.

@@ -36,7 +36,7 @@ GOOD = {
 BAD = {
     "ts": ["class A {", "const x = ;", "f(a b)", "if (a { }", "x = 'abc", "x = `abc", "<<<<<<< HEAD\nconst a = 1;\n=======\n>>>>>>> x\n", "```ts\nconst a = 1;\n```", "from a import b", "let x: = 1;", "class A { f() { } } }", "/* open", "const v\ufffd = 1;", "Here is the code:\nconst a = 1;", "... existing code ...", "function (", "return 1 2"],
     "js": ["const x: string = 1;", "interface A {}", "class A { private x; y: int }", "let a = 1 let b", "import { a from 'b';", "{ a: 1, b }}"],
-    "java": ["class A { int x = 1 }", "class A { void f( { } }", "public class", "class A { String s = \"abc; }", "const x = 1;", "package a\nimport b;", "class A { void f() { g() h(); } }", "class A { char c = 'ab'; }"],
+    "java": ["class A { int x = 1 }", "class A { void f( { } }", "public class", "class A { String s = \"abc; }", "const x = 1;", "package a\nimport b;", "class A { void f() { g() h(); } }", "class A { char c = 'ab'; }", "class A { void f() { null; } }", "class A { void f() { this.x; } }"],
     "cs": ["class A { int x = 1 }", "namespace A { class B { }", "class A { void F() { foreach (var x in y { } } }", "using System\nclass A {}", "import x from 'y';", "class A { public int P { get; set } }", "class A { string s = $\"a{b\"; }"],
     "py": ["def f(:\n  pass", "if x\n  pass", "x = 'abc", "  x = 1", "def f():\npass", "else:\n  pass", "try:\n  x\ny", "a b", "x = (1", "for x y: pass", "@dec\nx = 1", "const a = 1;", "class A:\n", "return = 3", "if x:\n    a\n  b\n"],
     "json": ["", " ", "{'a': 1}", "{\"a\": 1,}", "[1 2]", "[01]", "\"a\nb\"", "NaN", "{\"a\"}", "[1]]", "// c\n{}", "tru"],
