@@ -126,9 +126,8 @@ def code_end(ext: str | None, text: str, original: str | None) -> str:
         return CUT
     if s.rstrip().endswith("```"):
         return WHOLE
-    if s.endswith(("\n", "\r")):
-        open_end = original and len(original) > len(text) and original.startswith(text) and not syntax.valid(ext, text)
-        return CUT if open_end else WHOLE
+    if s.endswith(("\n", "\r")):  # a lost bracket at most: a cut leaves an unfinished line
+        return WHOLE
     last = s.rsplit("\n", 1)[-1].strip()
     if syntax.language(ext) is None:
         return WHOLE
