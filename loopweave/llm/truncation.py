@@ -30,7 +30,7 @@ CUT, WHOLE, ASK = "cut", "whole", "ask"
 OFTEN, OFTEN_SHARE = 5, 1 / 2000
 RANGE_CHARS = 300
 
-_JSON_START = re.compile(r"(?:\A|\n)[ \t]*(?:```\w*[ \t]*\r?\n?[ \t]*)?([{\[])(?=\s*(?:[\"}\]{\[]|\Z))")
+_JSON_START = re.compile(r"(?:\A|\n|[.!?](?=[ \t]))[ \t]*(?:```\w*[ \t]*\r?\n?[ \t]*)?([{\[])(?=\s*(?:[\"}\]{\[]|\Z))")
 _JSON_TOKEN = re.compile(r'"(?:[^"\\]|\\[\s\S])*"|[\[\]{}]|"')
 _LIST = re.compile(r"[ \t]*(?:[-*+•]|\d{1,3}[.)])[ \t]+\S")
 _LIST_LINE = re.compile(r"^[ \t]*(?:[-*+•]|\d{1,3}[.)])[ \t]+(\S[^\r\n]*?)[ \t]*(?=\r?\n)", re.M)
