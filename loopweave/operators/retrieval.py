@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -10,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..session import checkpoint_dir
+
 SEPARATORS = ("\n\n", "\n", ". ", " ", "")
 #: Queries that one pass over the vectors holds.
 BLOCK = 2000
@@ -64,13 +67,13 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 4, id_col: str = "v
     query's are left out.
     """
     kind = vectors.schema[id_col].dataType.simpleString()
-    rows = [(r[0], r[1]) for r in queries.select(id_col, vec_col).where(F.col(vec_col).isNotNull()).dropDuplicates([id_col]).orderBy(id_col).toLocalIterator()]
+    rows = ((r[0], r[1]) for r in queries.select(id_col, vec_col).where(F.col(vec_col).isNotNull()).dropDuplicates([id_col]).orderBy(id_col).toLocalIterator())
     schema = f"query_id {kind}, {id_col} {kind}, score double"
-    out = vectors.sparkSession.createDataFrame([], schema)
-    for lo in range(0, len(rows), BLOCK):
-        part = rows[lo : lo + BLOCK]
+    w = W.partitionBy("query_id").orderBy(F.desc("score"), id_col)
+    base = vectors.select(id_col, vec_col).where(F.col(vec_col).isNotNull())
 
-        def run(batches: Iterator[pd.DataFrame], part: list = part) -> Iterator[pd.DataFrame]:
+    def best(part: list) -> DataFrame:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             q = np.array([v for _, v in part], np.float64)
             ids = np.array([i for i, _ in part])
             for pdf in batches:
@@ -87,9 +90,16 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 4, id_col: str = "v
                 keep = np.isfinite(s[a, b])
                 yield pd.DataFrame({"query_id": ids[a][keep], id_col: own[b][keep], "score": s[a, b][keep]})
 
-        out = out.unionByName(vectors.select(id_col, vec_col).where(F.col(vec_col).isNotNull()).mapInPandas(run, schema))
-    w = W.partitionBy("query_id").orderBy(F.desc("score"), id_col)
-    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        return base.mapInPandas(run, schema).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+    part = list(islice(rows, BLOCK))
+    out = best(part) if part else vectors.sparkSession.createDataFrame([], f"{schema}, rank int")
+    while len(part) == BLOCK:  # the driver holds one block; what the blocks before it found is kept in the shared folder
+        checkpoint_dir(vectors.sparkSession)
+        out, part = out.checkpoint(), list(islice(rows, BLOCK))
+        if part:
+            out = out.unionByName(best(part))
+    return out
 
 
 def diverse(candidates: DataFrame, vectors: DataFrame, k: int = 4, weight: float = 0.5, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:

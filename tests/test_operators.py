@@ -107,6 +107,18 @@ def test_nearest_nulls_and_ties(spark):
     assert retrieval.nearest(v, v.where("false"), 2).count() == 0
 
 
+def test_nearest_in_blocks(spark, monkeypatch):
+    import numpy as np
+
+    x = np.random.default_rng(1).normal(size=(60, 5))
+    v = spark.createDataFrame([(i, [float(y) for y in r]) for i, r in enumerate(x)], "vec_id bigint, embedding array<double>").repartition(3)
+    monkeypatch.setattr(retrieval, "BLOCK", 7)
+    got = {(r["query_id"], r["rank"]): r["vec_id"] for r in retrieval.nearest(v, v.where("vec_id % 3 = 0"), 4).collect()}
+    s = x @ x.T
+    np.fill_diagonal(s, -np.inf)
+    assert got == {(i, n + 1): int(j) for i in range(0, 60, 3) for n, j in enumerate(np.argsort(-s[i], kind="stable")[:4])}
+
+
 def test_rules(spark):
     assert one(spark, "Use a Mutual import", lambda c: rules.first_rule(c, rules.STRATEGIES)) == "interface_extraction"
     assert one(spark, None, lambda c: rules.first_rule(c, rules.STRATEGIES)) is None
