@@ -18,6 +18,9 @@ from . import truncation
 #: Share of an answer's letters that must lie in runs copied from the prompt.
 COPIED_SHARE, PATCH_COPIED_SHARE = 0.85, 0.97
 RUN = 20
+#: Blocks for a bound on the copied share: of the places in a run, one is a multiple of STEP with a whole block behind it.
+STEP = 10
+BLOCK = RUN - STEP + 1
 
 #: Words that say nothing by themselves in an answer without any other.
 _SHELL = frozenset("null none nil n a na undefined empty todo tbd no json patches rationale change changes file files answer response result output br p div code pre".split())
@@ -25,6 +28,8 @@ _ANY_WORD = re.compile(r"[^\W_]+")
 #: What a refusal has somewhere, for a quick look before the long list is tried.
 _HINT = re.compile(r"\b(?:i|we|me|my|our|mir|ich|je|moi|lo|no|muss|request|prompt|task|helping|assisting|answering|content|matter)\b|refus|declin|denied|reject|against|beyond|outside|désol|lehne|[^\x00-\x7f]", re.I)
 _CODE_KEYS = frozenset("search replace patched path content original code diff patch from to source target import_statement target_edge new_content src dst file lines append prepend strategy id line operation".split())
+#: A number that an answer puts before a line.
+_NUMBERED = re.compile(r"[ \t>]*\d+(?:[ \t]*[:|.)\]]|[ \t]|$)")
 _NOT_ALNUM = re.compile(r"[\W_]+")
 _LATIN = re.compile("[A-Za-zÀ-ɏ]")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -153,14 +158,28 @@ def is_copied(prompt: str, text: str, data) -> bool:
     if data is not None or last.startswith("<<<") and last not in prompt:
         return False
     share = PATCH_COPIED_SHARE if "<<<<<<< SEARCH" in text else COPIED_SHARE  # a patch quotes what it replaces
-    a, p = squash(text), squash(prompt)
+    p = squash(prompt)
+    if _in_runs(squash(text), p, share):
+        return True
+    lines = [x for x in text.splitlines() if x.strip()]
+    return len(lines) > 1 and all(map(_NUMBERED.match, lines)) and _in_runs(squash("\n".join(_NUMBERED.sub("", x) for x in lines)), p, share)
+
+
+def _in_runs(a: str, p: str, share: float) -> bool:
+    """Whether ``share`` of ``a`` lies in runs of :data:`RUN` letters that ``p`` has too."""
     if len(a) <= RUN or not p:
         return len(a) >= 12 and a in p
     if a in p:
         return True
-    # a copy has most of its probes in the prompt
-    probes = [a[i : i + RUN] for i in range(0, len(a) - RUN + 1, max(1, (len(a) - RUN) // 8))]
-    if sum(x in p for x in probes) * 2 < len(probes):
+    # each run of p holds a whole block of BLOCK letters that begins at a multiple of STEP, so a common run lies around a block that a has too
+    blocks = {p[i : i + BLOCK] for i in range(0, len(p) - BLOCK + 1, STEP)}
+    most = last = 0
+    for i in range(len(a) - BLOCK + 1):
+        if a[i : i + BLOCK] in blocks:
+            end = min(i + RUN, len(a))
+            most += end - max(last, i - STEP + 1)
+            last = end
+    if most < share * len(a):
         return False
     runs = {p[i : i + RUN] for i in range(len(p) - RUN + 1)}
     held = last = 0

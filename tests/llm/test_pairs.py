@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from loopweave.llm import pairs, truncation
@@ -26,6 +28,36 @@ def test_copies_and_patches_with_blocks():
     assert pairs.defect(prompt, patch) == "" and pairs.defect(prompt, patch[:80]) == "" and pairs.defect(prompt, patch[:33]) == ""
 
 
+def test_copies_with_short_runs():
+    rng = random.Random(5)
+    prompt = "\n".join(" ".join("".join(rng.choices("abcdefghij", k=7)) for _ in range(5)) for _ in range(60))
+    altered = list(pairs.squash(prompt))
+    altered[12::30] = "x" * len(altered[12::30])
+    assert pairs.is_copied(prompt, "".join(altered), None)
+    short = "\n".join(" ".join("".join(rng.choices("abcdefghij", k=7)) for _ in range(2)) for _ in range(60))
+    for text in (prompt, short):
+        assert pairs.is_copied(text, "\n".join(f"{n:3}: {x}" for n, x in enumerate(text.split("\n"), 1)), None)
+    altered[12::15] = "x" * len(altered[12::15])
+    assert not pairs.is_copied(prompt, "".join(altered), None)
+
+
+def test_bound_of_copies_rejects_nothing():
+    def held(a, p):
+        runs = {p[i : i + pairs.RUN] for i in range(len(p) - pairs.RUN + 1)}
+        return len({i + k for i in range(len(a) - pairs.RUN + 1) if a[i : i + pairs.RUN] in runs for k in range(pairs.RUN)}) / len(a)
+
+    rng, seen = random.Random(7), set()
+    for _ in range(400):
+        p = "".join(rng.choices("abcdefgh", k=rng.randint(40, 300)))
+        a = ""
+        while len(a) < 150:
+            at = rng.randrange(len(p) - 20)
+            a += p[at : at + rng.randint(15, 60)] + "x" * rng.randint(0, 3)
+        seen.add(held(a, p) >= pairs.COPIED_SHARE)
+        assert pairs._in_runs(a, p, pairs.COPIED_SHARE) == (held(a, p) >= pairs.COPIED_SHARE)
+    assert seen == {True, False}
+
+
 def test_prompt_in_another_language():
     prompt = "Bitte den Zyklus mit einer möglichst kleinen Änderung auflösen. Die Klasse wird nur noch von einer Datei geladen.\n\n--- FILE: a.ts ---\nconst a = 1;\n"
     assert pairs.defect(prompt, "Die Datei wird erst beim Aufruf geladen und der Import entfällt.") == ""
