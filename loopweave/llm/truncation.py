@@ -42,6 +42,7 @@ _THAI = re.compile(r"[\u0e00-\u0e7f]\Z")
 _TOKEN = re.compile(r"\d+(?:\.\d+)*|\w+|[^\w\s]")
 _CAMEL = re.compile(r"[A-Z][a-z0-9]+[A-Z]\w*|[a-z]+[A-Z]\w*")
 _MARKERS = ("<<<<<<< SEARCH", ">>>>>>> REPLACE", "=======")
+_LINE_END = re.compile(r"\r\n|\n|\r")
 _WORD_END = re.compile(r"\w\Z")
 
 
@@ -126,19 +127,74 @@ def code_end(ext: str | None, text: str, original: str | None) -> str:
         return CUT
     if s.rstrip().endswith("```"):
         return WHOLE
-    if s.endswith(("\n", "\r")):  # a lost bracket at most: a cut leaves an unfinished line
-        return WHOLE
+    if s.endswith(("\n", "\r")):
+        return CUT if left_open(ext, text, original) else WHOLE
     last = s.rsplit("\n", 1)[-1].strip()
     if syntax.language(ext) is None:
         return WHOLE
     lines = {x.strip() for x in (original or "").split("\n")}
     if last in lines or last in {x.strip() for x in s.split("\n")[:-1]}:
-        return WHOLE
+        return CUT if left_open(ext, text, original) else WHOLE
     if not syntax.valid(ext, text):
-        return WHOLE if re.fullmatch(r"[\]})>;,\s]+", last) else CUT
+        return CUT if not re.fullmatch(r"[\]})>;,\s]+", last) or left_open(ext, text, original) else WHOLE
     return CUT if any(x.startswith(last) for x in lines) else WHOLE
 
 
+def left_open(ext: str, text: str, original: str | None) -> bool:
+    """Whether a source text that ends at a whole line ends with its structure open.
+
+    A text that parses doesn't. Of the others, a strict prefix of its original does, and one that parses with what follows
+    its last lines in the original; one that ends where the original ends has lost nothing there. What the original can't
+    tell is seen by brackets that are open at the end and that the layout of the last line doesn't close either, so that
+    a bracket lost further up is no open end.
+    """
+    if syntax.language(ext) is None or syntax.valid(ext, text):
+        return False
+    lines = [x.rstrip() for x in _LINE_END.split(text.rstrip())]
+    if original and original.strip():
+        if len(original) > len(text) and original.startswith(text):
+            return bool(original[len(text) :].strip())
+        old = [x.rstrip() for x in _LINE_END.split(original.rstrip())]
+        best = max((_agree(lines, old, k), k) for k in range(len(old)))
+        if best[0]:
+            rest = old[best[1] + 1 :]
+            if not rest:
+                return False
+            if syntax.valid(ext, "\n".join([*lines, *rest])):
+                return True
+    return _open_inside(ext, lines)
+
+
+def _agree(a: list[str], b: list[str], k: int) -> int:
+    """How many last lines of ``a`` stand in ``b`` up to its line ``k``."""
+    n = 0
+    while n < len(a) and n <= k and a[-1 - n] == b[k - n]:
+        n += 1
+    return n
+
+
+def _open_inside(ext: str, lines: list[str]) -> bool:
+    """Whether the innermost open bracket holds the last line by its indentation, or a header of Python waits for its body."""
+    lang, text = syntax.language(ext), "\n".join(lines)
+    open_, last = [], ""
+    for m in lang.token.finditer(text):
+        for c in lang.kinds[m.group(1)]:
+            if c in "([{":
+                open_.append((c, m.start(1)))
+            elif c in ")]}":
+                if not open_ or {"(": ")", "[": "]", "{": "}"}[open_.pop()[0]] != c:
+                    return False
+            if c.strip():
+                last = c
+    if not open_:
+        return ext == "py" and last == ":"
+    line = text.count("\n", 0, open_[-1][1])
+    if line == len(lines) - 1:
+        return last in "([{,"
+    indent = [len(x) - len(x.lstrip()) for x in (lines[line], lines[-1])]
+    return indent[0] < indent[1]
+
+
 def prefixes(values: DataFrame, text_col: str = "text") -> DataFrame:
     """``(hash, in_word)`` of the texts that are strict prefixes of a longer text, by one sort of the distinct texts.
 

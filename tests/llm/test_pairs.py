@@ -82,6 +82,19 @@ def test_code_end(text, want):
     assert truncation.code_end(None, text, ORIGINAL) == "whole"
 
 
+JAVA = "class A {\n    int a;\n\n    int b() {\n        return a;\n    }\n}\n"
+
+
+@pytest.mark.parametrize(("ext", "text", "original", "want"), [
+    ("ts", ORIGINAL[:-2], ORIGINAL, "cut"), ("ts", ORIGINAL[:-3], ORIGINAL, "cut"), ("ts", ORIGINAL[:-2].replace("owner", "hopper"), ORIGINAL, "cut"), ("ts", ORIGINAL[:-2].replace("\n", "\r\n").replace("load", "read"), ORIGINAL, "cut"),
+    ("ts", ORIGINAL[: ORIGINAL.index("    return")], None, "cut"), ("ts", ORIGINAL[: ORIGINAL.index("    return")].replace("run", "go"), ORIGINAL, "cut"), ("java", JAVA[:-2], None, "cut"), ("java", JAVA[: JAVA.index("        return")], "class B {\n}\n", "cut"),
+    ("py", "def a():\n    return 1\n\n\ndef b():\n", None, "cut"), ("json", '{\n  "a": [\n    1,\n', None, "cut"), ("java", JAVA.replace("    }\n", ""), JAVA, "whole"), ("java", JAVA.replace("    }\n", ""), None, "whole"), ("java", JAVA.replace("b()", "b("), None, "whole"),
+    ("java", JAVA[: JAVA.index("    int b")].replace("class A {", ""), JAVA, "whole"), ("txt", "a {\n", None, "whole"), ("py", "def a():\n    return 1\n", "def a():\n    return 1\n\n\ndef b():\n    return 2\n", "whole"),
+])
+def test_code_that_ends_at_a_line(ext, text, original, want):
+    assert truncation.code_end(ext, text, original) == want
+
+
 def test_prefixes(spark):
     rows = ["abc", "abcd", "abc d", "x", "xy", "same", "same", None, "", "zebra", "zebra stripes", *[f"k{i}" for i in range(200)]]
     df = spark.createDataFrame([(r,) for r in rows], "text string").repartition(5)
