@@ -279,5 +279,6 @@ def defects(texts: DataFrame) -> DataFrame:
 
 def cut_values(texts: DataFrame, patches: DataFrame) -> DataFrame:
     """``(source_table, row_id, relay, cut)`` of all non-empty values of problem 5; a copy of the prompt isn't cut."""
-    done = truncation.resolve(truncation.judge(texts, copied_only), texts).select("source_table", "row_id", "relay", (F.col("cut") & (F.col("defect") == "")).alias("cut"))
-    return done.unionByName(truncation.cut_patches(patches).select(F.lit("patch_results").alias("source_table"), "row_id", "relay", "cut"))
+    copies = texts.select("text").unionByName(patches.select(F.col("patched").alias("text"))).unionByName(patches.select(F.col("original").alias("text")))
+    done = truncation.resolve(truncation.judge(texts, copied_only), copies, truncation.cut_patches(patches))
+    return done.select("source_table", "row_id", "relay", (F.col("cut") & (F.col("defect") == "")).alias("cut"))

@@ -195,39 +195,49 @@ def _open_inside(ext: str, lines: list[str]) -> bool:
     return indent[0] < indent[1]
 
 
+def _within_word(short: str, text: str) -> bool:
+    """Whether ``text``, which begins with ``short``, goes on within its last word."""
+    return bool(_WORD_END.search(short[-1])) and bool(_WORD_END.search(text[len(short)]))
+
+
 def prefixes(values: DataFrame, text_col: str = "text") -> DataFrame:
     """``(hash, in_word)`` of the texts that are strict prefixes of a longer text, by one sort of the distinct texts.
 
-    In sorted order a text's extensions follow it directly. Each partition of the range sort compares its neighbours;
-    the first text of the next partition that has one stands in for the neighbour of a partition's last text. The ranges
-    are cut by the texts' first :data:`RANGE_CHARS` characters, so that no whole texts are sampled to the driver.
-    ``in_word`` tells whether the longer text goes on within a word. Null and empty texts are left out.
+    In sorted order a text's extensions follow it directly. Each partition of the range sort compares a text with those
+    before it that it begins with; the first text of the next partition that has one stands in for what follows a
+    partition's last text. The ranges are cut by the texts' first :data:`RANGE_CHARS` characters, so that no whole texts are sampled to the driver.
+    ``in_word`` tells whether a longer text goes on within a word. Null and empty texts are left out.
     """
     one = values.select(F.col(text_col).alias("_text")).where("_text <> ''").distinct()
     ranged = one.repartitionByRange(F.left("_text", F.lit(RANGE_CHARS))).sortWithinPartitions("_text").withColumn("_part", F.spark_partition_id())
 
     def neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        before, part, first = None, 0, True
+        chain, part, first = [], 0, True  # the last text behind those that it begins with, each with what is known of it
         for pdf in batches:
             out = []
             for t, p in zip(pdf["_text"], pdf["_part"], strict=True):
                 if first:
                     out.append((None, t, None, p))
                     first = False
-                elif t.startswith(before):
-                    out.append((before, None, bool(_WORD_END.search(before[-1])) and bool(re.match(r"\w", t[len(before)])), p))
-                before, part = t, p
+                while chain and not t.startswith(chain[-1][0]):
+                    out += told(chain.pop(), p)
+                for x in chain:
+                    x[1] = x[1] or _within_word(x[0], t)
+                chain.append([t, None])
+                part = p
             yield pd.DataFrame(out, columns=["_short", "_first", "in_word", "_part"])
-        if before is not None:
-            yield pd.DataFrame([(before, None, None, part)], columns=["_short", "_first", "in_word", "_part"])
+        yield pd.DataFrame([y for x in chain for y in [*told(x, part), (x[0], None, None, part)]], columns=["_short", "_first", "in_word", "_part"])
+
+    def told(x: list, part: int) -> list:
+        return [] if x[1] is None else [(x[0], None, x[1], part)]
 
     found = ranged.mapInPandas(neighbours, "_short string, _first string, in_word boolean, _part int")
     inner = found.where("in_word is not null").select("_short", "in_word")
-    # the seams: one first and one last text for each partition
+    # the seams: one first and one last text, with those that it begins with, for each partition
     firsts = found.where("_first is not null").select(F.lag("_part").over(W.orderBy("_part")).alias("_part"), F.col("_first").alias("_next"))
     lasts = found.where("_first is null and in_word is null").select("_part", "_short")
     seams = lasts.join(firsts, "_part").where("length(_next) > length(_short) and startswith(_next, _short)")
-    seams = seams.select("_short", (F.col("_short").rlike(r"\w$") & F.expr("substring(_next, length(_short) + 1, 1)").rlike(r"\w")).alias("in_word"))
+    seams = seams.select("_short", (F.col("_short").rlike(r"(?U)\w\z") & F.expr("substring(_next, length(_short) + 1, 1)").rlike(r"(?U)\w")).alias("in_word"))
     return inner.unionByName(seams).select(F.xxhash64("_short").alias("hash"), "in_word").groupBy("hash").agg(F.max("in_word").alias("in_word"))
 
 
@@ -238,9 +248,12 @@ def answers(proposals: DataFrame, diffs: DataFrame) -> DataFrame:
     return a.unionByName(b).where("text is not null")
 
 
-def resolve(judged: DataFrame, texts: DataFrame) -> DataFrame:
+def resolve(judged: DataFrame, texts: DataFrame, patched: DataFrame | None = None) -> DataFrame:
     """What :func:`judge` gave, with ``cut`` (boolean): open verdicts are settled by the corpus.
 
+    ``texts`` has all texts among which a value may have a longer copy. A value that a longer copy continues within a word
+    is cut whatever its own structure says. ``patched`` is what :func:`cut_patches` gave; it is held against them alike.
+
     The judgements are needed by every count below, so they are computed once and kept in the shared folder.
     """
     checkpoint_dir(judged.sparkSession)
@@ -254,12 +267,20 @@ def resolve(judged: DataFrame, texts: DataFrame) -> DataFrame:
     shapes = asked.where("kind = 'only'").groupBy("shape").agg(F.count("*").alias("_alike")).where(F.col("_alike") >= least)
     # what is frequent is settled by now, so no key of the two joins below is hot on the left; the right has a key once
     ends = judged.select(F.explode("ends").alias("tail")).groupBy("tail").agg(F.count("*").alias("_lines"))
-    j = asked.join(F.broadcast(shapes), "shape", "left").join(ends, "tail", "left").join(prefixes(texts), "hash", "left")
+    j = asked.join(F.broadcast(shapes), "shape", "left").join(ends, "tail", "left")
     alike = (F.col("kind") == "only") & F.col("_alike").isNotNull()
     listed = (F.col("kind") == "list") & F.col("_lines").isNotNull() & F.col("balanced")
-    whole = ~F.coalesce(F.col("in_word"), F.lit(False)) & (alike | listed)
-    settled = j.select(*keys, (~whole).alias("cut")).unionByName(often.select(*keys, F.lit(False).alias("cut")))
-    return judged.where(F.col("verdict") != ASK).select(*keys, (F.col("verdict") == CUT).alias("cut")).unionByName(settled)
+    whole = judged.where(F.col("verdict") == WHOLE)
+    # only a text that ends in a letter or digit can go on within a word; one line that is frequent as a whole is meant
+    held = j.select(*keys, "hash", (~(alike | listed)).alias("cut"), F.lit(True).alias("_word"))
+    held = held.unionByName(often.select(*keys, "hash", F.lit(False).alias("cut"), (F.col("kind") != "only").alias("_word")))
+    held = held.unionByName(whole.select(*keys, "hash", F.lit(False).alias("cut"), F.col("line").rlike(r"(?U)\w\z").alias("_word")))
+    if patched is not None:
+        held = held.unionByName(patched.withColumn("defect", F.lit("")))
+    inside = prefixes(texts).where("in_word").select("hash", "in_word")
+    asks = F.col("_word") & ~F.col("cut")
+    probed = held.where(asks).join(inside, "hash", "left").select(*keys, F.col("in_word").isNotNull().alias("cut"))
+    return judged.where(F.col("verdict") == CUT).select(*keys, F.lit(True).alias("cut")).unionByName(held.where(~asks).select(*keys, "cut")).unionByName(probed)
 
 
 JUDGED = "source_table string, row_id bigint, relay string, hash bigint, defect string, verdict string, line string, kind string, shape string, tail string, balanced boolean, ends array<string>"
@@ -282,12 +303,12 @@ def judge(texts: DataFrame, defect) -> DataFrame:
 
 
 def cut_patches(patches: DataFrame) -> DataFrame:
-    """``(row_id, relay, cut)`` of the non-empty patched texts."""
+    """``(source_table, row_id, relay, hash, cut, _word)`` of the non-empty patched texts; ``_word``: it ends in a letter or digit."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             cut = [code_end(e, t, o) == CUT for e, t, o in zip(pdf["ext"], pdf["text"], pdf["original"], strict=True)]
-            yield pd.DataFrame({"row_id": pdf["row_id"], "relay": pdf["relay"], "cut": cut})
+            yield pd.DataFrame({"source_table": "patch_results", "row_id": pdf["row_id"], "relay": pdf["relay"], "hash": pdf["hash"], "cut": cut, "_word": [bool(_WORD_END.search(t)) for t in pdf["text"]]})
 
-    df = patches.select(F.col("patch_id").cast("bigint").alias("row_id"), "relay", extension(clean_path(F.col("path"))).alias("ext"), F.col("patched").alias("text"), "original")
-    return df.where("text <> ''").mapInPandas(run, "row_id bigint, relay string, cut boolean")
+    df = patches.select(F.col("patch_id").cast("bigint").alias("row_id"), "relay", extension(clean_path(F.col("path"))).alias("ext"), F.col("patched").alias("text"), "original", F.xxhash64("patched").alias("hash"))
+    return df.where("text <> ''").mapInPandas(run, "source_table string, row_id bigint, relay string, hash bigint, cut boolean, _word boolean")

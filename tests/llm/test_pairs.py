@@ -128,6 +128,21 @@ def test_values_of_patches(spark):
     assert got == {("proposals", 1): False, ("patch_results", 1): True, ("patch_results", 2): False, ("patch_results", 3): False}
 
 
+def test_longer_copies_of_all_fields(spark):
+    whole = "class A {\n  x = 1;\n}\nlet total = 5\nrun(total)\ntotal"
+    rows = [(1, "r", "a.ts", None, whole), (2, "r", "b.ts", whole + "Of.call()\n", "class B {}"), (3, "r", "a", "one two threefold", "one two three"), (4, "r", "a.ts", "let a = 1\nb()\nlet c = 2", "let a = 1\nb()\n"), (5, "r", "a.ts", "let d\nd", "let d\nd")]
+    patches = spark.createDataFrame(rows, "patch_id bigint, relay string, path string, original string, patched string")
+    thai = "ไม่จำเป็นอีกต่อไป"
+    answers = [(1, thai), (2, thai + "แล้ว"), (3, "It is done."), (4, "It is done.So it is"), *[(10 + i, f"File {i} is small.\n\nKind regards") for i in range(12)], (30, "File 3 is small.\n\nKind regardsless")]
+    got = {(r["source_table"], r["row_id"]) for r in pairs.cut_values(table(spark, answers), patches).where("cut").collect()}
+    assert got == {("patch_results", 1), ("patch_results", 3), ("proposals", 1), ("proposals", 4), ("proposals", 13), ("proposals", 30)}
+
+
+def test_any_longer_copy_counts(spark):
+    df = spark.createDataFrame([(x,) for x in ["abc", "abc d", "abcd", "abc\n"]], "text string")
+    assert [r["in_word"] for r in truncation.prefixes(df).collect()] == [True]
+
+
 def test_very_long_answer():
     assert pairs.defect(PROMPT, "The file is loaded when it is called. " * 20_000) == ""
     assert truncation.answer_end('{"patches": [' + '{"a": 1},' * 100_000)[0] == "cut"
