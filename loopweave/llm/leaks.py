@@ -5,7 +5,8 @@ numbers, names and units turned into typed slots. The template windows of the it
 build side of a hash join that every document's windows probe. A hit is checked for slot consistency: where the slots
 hold the same values it is the item's own text, where they don't the sentence is only of the same template. Consistent
 hits that run along in both texts (with at most a few changed words between them) form passages, and the share of the
-item's own wording that lies in passages decides.
+item's own wording that lies in passages decides. A passage of plain words, without any slot, counts if most of it stands
+in windows that no other item has. An item of fewer tokens than a window has none, and is found nowhere.
 
 The items are the stated query set, read in blocks of :data:`BLOCK`; each block's windows, of proven size, go to every
 task, and every document is probed whole. Nothing of the documents is shuffled but the found pairs.
@@ -26,8 +27,10 @@ BLOCK = 5000
 WINDOW = 3
 #: Tokens that may lie between two hits of one passage.
 GAP = 7
-#: Hit tokens that a passage needs, one of them in a slot.
+#: Hit tokens that a passage needs; of a shorter item, all.
 LEAST_HIT = 7
+#: Share of the hit tokens of a passage without slots that must lie in windows which no other item has.
+OWN = 0.5
 #: Share of a passage's slots that must hold the item's values; with others the sentence is only of the same template.
 CONSISTENT = 0.5
 #: Share of the own wording from which an item counts as leaked.
@@ -52,13 +55,14 @@ def slot(token: str, names: frozenset[str]) -> str:
 
 
 class Index:
-    """The template windows of a block of items."""
+    """The template windows of a block of items; ``common`` has the windows that several items hold."""
 
-    def __init__(self, items: list[tuple[int, str]], shared: frozenset[str]) -> None:
+    def __init__(self, items: list[tuple[int, str]], shared: frozenset[str], common: frozenset[tuple] = frozenset()) -> None:
         self.names = frozenset(x.lower() for _, t in items for x in NAME.findall(INVISIBLE.sub("", t)))
         self.windows: dict[tuple, dict[tuple, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
         self.length: dict[int, int] = {}
         self.slots: dict[int, list[bool]] = {}
+        self.common: dict[int, set[int]] = {}
         for no, (_, text) in enumerate(items):
             toks = [x for p in paragraphs(text) if key(p) not in shared for x in [*tokens(p), "\0"]]
             canon = [slot(x, self.names) for x in toks]
@@ -66,6 +70,7 @@ class Index:
             # between ideographs every Latin word is a value of the template
             ideographs = sum(map(bool, map(_IDEOGRAPH.match, toks))) > len(toks) / 2
             self.slots[no] = [a != b or ideographs and a.isascii() and a != "\0" for a, b in zip(toks, canon, strict=True)]
+            self.common[no] = {i for i in range(len(toks) - WINDOW + 1) if tuple(toks[i : i + WINDOW]) in common}
             for i in range(len(toks) - WINDOW + 1):
                 if "\0" not in toks[i : i + WINDOW]:
                     self.windows[tuple(canon[i : i + WINDOW])][tuple(toks[i : i + WINDOW])].append((no, i))
@@ -83,13 +88,20 @@ class Index:
                     hits[no].append((j, i))
         found = []
         for no, at in hits.items():
-            if len(at) < 4:
+            least = min(LEAST_HIT, self.length[no])
+            if len(at) * WINDOW < least:  # as many tokens at most
                 continue
             covered: set[int] = set()
             for passage in passages(at):
                 own = {i + k for _, i in passage for k in range(WINDOW)}
                 slots = [k for k in range(min(own), max(own) + 1) if self.slots[no][k]]
-                if len(own) >= LEAST_HIT and slots and sum(k in own for k in slots) >= CONSISTENT * len(slots):
+                if len(own) < least:
+                    continue
+                if slots:
+                    counts = sum(k in own for k in slots) >= CONSISTENT * len(slots)
+                else:
+                    counts = len({i + k for _, i in passage if i not in self.common[no] for k in range(WINDOW)}) >= OWN * len(own)
+                if counts:
                     i0 = None
                     for _, i in passage:
                         if i0 is not None and i > i0:
@@ -128,6 +140,16 @@ def key(paragraph: str) -> str:
     return " ".join(tokens(paragraph))
 
 
+def windows(text: str, shared: frozenset[str]) -> set[tuple]:
+    """The windows of an item's own wording."""
+    out = set()
+    for p in paragraphs(text):
+        if key(p) not in shared:
+            toks = tokens(p)
+            out.update(zip(*(toks[k:] for k in range(WINDOW))))
+    return out
+
+
 def leaks(docs: DataFrame, items: DataFrame, *, doc_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", share: float = SHARE, block: int = BLOCK) -> DataFrame:
     """Pairs ``(doc id, item id, share)``: the item's own wording that the document holds, from ``share`` on, each pair once.
 
@@ -143,14 +165,19 @@ def leaks(docs: DataFrame, items: DataFrame, *, doc_col: str = "doc_id", text_co
         for p in {key(p) for p in paragraphs(text)}:
             seen[p] += 1
     shared = frozenset(p for p, n in seen.items() if n > 1)
+    held: dict[tuple, int] = defaultdict(int)
+    for _, text in rows:
+        for w in windows(text, shared):
+            held[w] += 1
     df = docs.select(F.col(doc_col).alias("_doc"), F.col(text_col).alias("_text")).where("_text <> ''")
     schema = f"_doc {doc_type}, _item {item_type}, share double"
     out = df.sparkSession.createDataFrame([], schema)
     for lo in range(0, len(rows), block):
         part = rows[lo : lo + block]
+        common = frozenset(w for _, text in part for w in windows(text, shared) if held[w] > 1)
 
-        def probe(batches: Iterator[pd.DataFrame], part: list = part) -> Iterator[pd.DataFrame]:
-            index = Index(part, shared)
+        def probe(batches: Iterator[pd.DataFrame], part: list = part, common: frozenset = common) -> Iterator[pd.DataFrame]:
+            index = Index(part, shared, common)
             for pdf in batches:
                 got = [(d, part[no][0], s) for d, t in zip(pdf["_doc"], pdf["_text"], strict=True) for no, s in index.probe(t) if s >= share]
                 yield pd.DataFrame(got, columns=["_doc", "_item", "share"])

@@ -42,3 +42,13 @@ def test_ideographs(spark):
     item = "没有loom-store.ts的许可，CargoMapper和服务kelp都不得锁定字段cursor。假设PantryBroker持有40个句柄，而parcel-factory.ts在第28步只释放20个。"
     other = item.replace("CargoMapper", "LoomPanel").replace("loom", "menu").replace("40", "51").replace("cursor", "depth").replace("PantryBroker", "QuotaPanel").replace("parcel", "hopper").replace("28", "3").replace("20", "9").replace("kelp", "onyx")
     assert run(spark, [(1, item), (2, other)], ((1, item),)) == {(1, 1)}
+
+
+def test_plain_words_and_short_items(spark):
+    plain = "Every harbour keeps a lantern that nobody owns, and whoever passes the gate at dusk must carry it to the far end before the bell falls silent."
+    stem = "Read the following story with care and tell which of the people in it may have spoken first and why."
+    items = ((1, plain), (2, f"{stem} Old sailors rarely trust a calm morning."), (3, f"{stem} Young bakers often sing before dawn comes."), (4, "Quiet rivers hide deep stones"), (5, f"{plain[:20]} other words"))
+    docs = [(1, f"Intro. {plain} Outro."), (2, f"We say: {plain[:75].upper()} and so on"), (3, f"Intro. {stem} Outro."), (4, "As they say, quiet rivers hide deep stones."), (5, "Quiet rivers hide many things, every harbour keeps a boat")]
+    for block in (leaks.BLOCK, 1):
+        d, i = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+        assert {(r["doc_id"], r["item_id"]) for r in leaks.leaks(d, i, block=block).collect()} == {(1, 1), (2, 1), (4, 4)}
