@@ -114,8 +114,6 @@ def _leaves(x, key: str = "") -> list[tuple[str, str]]:
 
 def is_empty(text: str) -> bool:
     """Nothing, or a shell without any statement."""
-    if len(text) > 4000:
-        return is_blank(text)
     data = _json(text)
     if data is not None:
         end = truncation.json_end(text)[1]

@@ -143,6 +143,11 @@ def test_any_longer_copy_counts(spark):
     assert [r["in_word"] for r in truncation.prefixes(df).collect()] == [True]
 
 
+def test_long_empty_shell():
+    shell = '{"patches": [' + ", ".join(['{"path": "", "src": null, "search": " "}'] * 200) + "]}"
+    assert len(shell) > 4000 and pairs.defect(PROMPT, shell) == "empty" and pairs.defect(PROMPT, shell.replace("null", '"a.ts"', 1)) == ""
+
+
 def test_very_long_answer():
     assert pairs.defect(PROMPT, "The file is loaded when it is called. " * 20_000) == ""
     assert truncation.answer_end('{"patches": [' + '{"a": 1},' * 100_000)[0] == "cut"
