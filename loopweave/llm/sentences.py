@@ -148,6 +148,8 @@ _GO = re.compile(r"と|って|との|という|然后|并|就|便|随后|接着|
 _CJK = re.compile(f"[{CJK}]")
 _GREEK = re.compile("[Ͱ-Ͽἀ-῿]")
 _ENDS = {'"': '"', "„": "“”", "“": "”", "«": "»", "「": "」", "『": "』"}
+_PARTNERS = "".join(sorted({e for x in _ENDS.values() for e in x})) + "'"
+_APOSTROPHE = re.compile(r"(?<=\S)'(?!\w)")
 
 
 def _starts(text: str, i: int) -> bool:
@@ -277,7 +279,7 @@ def _closing(text: str, start: int, end: int) -> str:
     return "new" if _starts(text, nxt) else "go"
 
 
-def letters(text: str, lo: int, hi: int, begins: bool, ends: bool) -> tuple[list[int], list[int], list[int]]:
+def letters(text: str, lo: int, hi: int, begins: bool, ends: bool, beyond: str = "") -> tuple[list[int], list[int], list[int]]:
     """Letters of ``text[lo:hi]`` with the places a sentence would end at if it did before or after the event."""
     cls, before, after = [], [], []
     last = lo
@@ -302,6 +304,13 @@ def letters(text: str, lo: int, hi: int, begins: bool, ends: bool) -> tuple[list
             return "nl_strong"
         return kind + "_item"
 
+    ahead = Ahead(text)
+
+    def partner(mark: str, at: int) -> bool:
+        """Whether ``mark`` closes before the next blank line."""
+        blank = ahead.blank(at)
+        return ahead.closes(mark, at) < blank or blank == len(text) and mark in beyond
+
     if begins:
         at = lo + (len(text) - lo - len(text[lo:].lstrip(" \t\r\n​﻿")))
         add(line(at, "doc", at), lo, lo)
@@ -322,16 +331,14 @@ def letters(text: str, lo: int, hi: int, begins: bool, ends: bool) -> tuple[list
             how = _closing(text, start, end)
             opens = False
             if c in _ENDS:
-                stop = [p for p in (text.find(e, end, end + 1000) for e in _ENDS[c]) if p >= 0]
-                if stop and end < len(text) and (not text[end].isspace() or text[end] == " " or c == "«"):
-                    opens = not _BLANK_AHEAD.search(text, end, min(stop))
+                if end < len(text) and (not text[end].isspace() or text[end] == " " or c == "«"):
+                    opens = any(partner(e, end) for e in _ENDS[c])
             head = "d" if c == '"' else "t"
             add(f"{head}_open_{how}" if opens else f"{head}_{how}", start, end)
         else:
             prev, follow = text[start - 1 : start], text[end : end + 1]
             if (not prev or prev.isspace() or prev in "([") and follow.isalnum():
-                stop = re.compile(r"[^\s]'(?!\w)").search(text, end, end + 200)
-                if stop and not _BLANK_AHEAD.search(text, end, stop.end()):
+                if partner("'", end):
                     add("s_open", start, end)
             elif prev and not prev.isspace() and not follow.isalnum():
                 how = _closing(text, start, end)
@@ -381,6 +388,28 @@ def batch_ends(texts: list[str]) -> list[list[int]]:
     return ends
 
 
+class Ahead:
+    """The next blank line and the next closing marks of a text, for places that only go forward."""
+
+    def __init__(self, text: str) -> None:
+        self.text, self.at = text, {}
+
+    def _next(self, what: str, at: int, find) -> int:
+        if self.at.get(what, -1) < at:
+            self.at[what] = find()
+        return self.at[what]
+
+    def blank(self, at: int) -> int:
+        """Where the next blank line begins, else the end of the text."""
+        return self._next("blank", at, lambda: m.start() if (m := _BLANK_AHEAD.search(self.text, at)) else len(self.text))
+
+    def closes(self, mark: str, at: int) -> int:
+        """Where ``mark`` closes a quotation next, else the end of the text."""
+        if mark == "'":
+            return self._next(mark, at + 1, lambda: m.start() if (m := _APOSTROPHE.search(self.text, at + 1)) else len(self.text))
+        return self._next(mark, at, lambda: p if (p := self.text.find(mark, at)) >= 0 else len(self.text))
+
+
 def chunks(text: str, size: int = CHUNK) -> list[tuple[int, int]]:
     """Where a long text is cut: after the last line break, else the last blank, in each ``size`` code points."""
     cuts, lo = [], 0
@@ -398,7 +427,7 @@ def chunks(text: str, size: int = CHUNK) -> list[tuple[int, int]]:
 
 def _chunk_letters(pdf: pd.DataFrame) -> Iterator[tuple]:
     for row in pdf.to_dict("records"):
-        yield row, letters(row["_text"], row["_lo"], row["_hi"], row["_begins"], row["_ends"])
+        yield row, letters(row["_text"], row["_lo"], row["_hi"], row["_begins"], row["_ends"], row["_beyond"])
 
 
 def sentence_ends(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
@@ -420,10 +449,16 @@ def sentence_ends(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for i, text in zip(pdf["_id"], pdf["_text"], strict=True):
+                ahead = Ahead(text)
                 for no, (lo, hi) in enumerate(pieces := chunks(text, chunk)):
-                    base = max(0, lo - CONTEXT)
+                    base, top = max(0, lo - CONTEXT), min(len(text), hi + CONTEXT)
+                    while top < len(text) and text[top - 1] == "'":  # what follows it tells whether it closes
+                        top += 1
+                    # the marks that close behind the context, before the next blank line
+                    blank = ahead.blank(hi)
+                    beyond = "".join(e for e in _PARTNERS if ahead.closes(e, top - (e == "'")) < blank)
                     yield pd.DataFrame(
-                        {"_id": [i], "_no": [no], "_base": [base], "_lo": [lo - base], "_hi": [hi - base], "_begins": [no == 0], "_ends": [no == len(pieces) - 1], "_text": [text[base : hi + CONTEXT]]}
+                        {"_id": [i], "_no": [no], "_base": [base], "_lo": [lo - base], "_hi": [hi - base], "_begins": [no == 0], "_ends": [no == len(pieces) - 1], "_text": [text[base:top]], "_beyond": [beyond]}
                     )
 
     def function(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -441,7 +476,7 @@ def sentence_ends(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
                 yield pd.DataFrame({"_id": [row["_id"]] * len(ends), "_end": np.array(ends, np.int64) + row["_base"]})
 
     whole = df.where(F.length("_text") <= chunk).mapInPandas(short, f"_id {id_type}, _end bigint")
-    cuts = df.where(F.length("_text") > chunk).mapInPandas(cut, f"_id {id_type}, _no int, _base bigint, _lo bigint, _hi bigint, _begins boolean, _ends boolean, _text string")
+    cuts = df.where(F.length("_text") > chunk).mapInPandas(cut, f"_id {id_type}, _no int, _base bigint, _lo bigint, _hi bigint, _begins boolean, _ends boolean, _text string, _beyond string")
     cuts = cuts.repartition("_id", "_no")
     functions = cuts.mapInPandas(function, f"_id {id_type}, _no int, _f array<int>")
     # the functions of one document (13 numbers a chunk) composed in order: the state before each chunk

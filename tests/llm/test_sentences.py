@@ -74,6 +74,19 @@ def test_chunks_and_batches_agree(spark):
     assert s.sentence_ends(df.where("false")).count() == 0
 
 
+def test_long_quotations(spark):
+    inner = "The gate was shut. " * 120
+    docs = [(n, "Before it came. " * 30 + f"{a}{inner}So it was.{b} she said. Then it went on.\n\nAfter it. " + "It went. " * 200) for n, (a, b) in enumerate([('"', '"'), ("“", "”"), ("«", "»"), ("'", "'")])]
+    docs += [(9, "It came. “" + inner + "\n\nIt closed here.” It went. " * 90)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    whole = sorted(map(tuple, s.sentence_ends(df).collect()))
+    for chunk in (500, 700, 2500):
+        assert whole == sorted(map(tuple, s.sentence_ends(df, chunk=chunk).collect()))
+    for n, text in docs[:4]:
+        lo, hi = text.index("The gate"), text.index(" Then it")
+        assert [e for i, e in whole if i == n and lo < e < hi] == []
+
+
 def test_very_long_text(spark):
     df = spark.createDataFrame([(1, "One two three. " * 40_000)], "doc_id bigint, text string")
     assert s.sentence_ends(df).count() == 40_000
