@@ -265,18 +265,21 @@ def copied_only(prompt: str | None, text: str) -> str:
 
 
 def defects(texts: DataFrame) -> DataFrame:
-    """``(source_table, row_id, defect)``: each defective pair once, with one defect.
+    """``(source_table, row_id, defect, evidence)``: each defective pair once, with one defect.
+
+    ``evidence`` is what :func:`truncation.resolve` gives for cut ends, else ``rules``.
 
     ``texts`` is what :func:`truncation.answers` gives. A null answer is no pair; a null or empty prompt can't be copied
     and has no language. An empty shell comes before a copy, then a refusal, then a cut end, then the language.
     """
     done = truncation.resolve(truncation.judge(texts, defect), texts)
     named = F.when(F.col("defect").isin("empty", "copied", "refusal"), F.col("defect")).when(F.col("cut"), F.lit("truncated")).otherwise(F.col("defect"))
-    return done.select("source_table", "row_id", named.alias("defect")).where("defect <> ''").dropDuplicates(["source_table", "row_id"])
+    by = F.when(F.col("defect") == "truncated", F.col("evidence")).otherwise(F.lit("rules"))
+    return done.select("source_table", "row_id", named.alias("defect"), "evidence").where("defect <> ''").withColumn("evidence", by).dropDuplicates(["source_table", "row_id"])
 
 
 def cut_values(texts: DataFrame, patches: DataFrame) -> DataFrame:
-    """``(source_table, row_id, relay, cut)`` of all non-empty values of problem 5; a copy of the prompt isn't cut."""
+    """``(source_table, row_id, relay, cut, evidence)`` of all non-empty values of problem 5; a copy of the prompt isn't cut."""
     copies = texts.select("text").unionByName(patches.select(F.col("patched").alias("text"))).unionByName(patches.select(F.col("original").alias("text")))
     done = truncation.resolve(truncation.judge(texts, copied_only), copies, truncation.cut_patches(patches))
-    return done.select("source_table", "row_id", "relay", (F.col("cut") & (F.col("defect") == "")).alias("cut"))
+    return done.select("source_table", "row_id", "relay", (F.col("cut") & (F.col("defect") == "")).alias("cut"), "evidence")

@@ -25,8 +25,13 @@ def _answers(spark: SparkSession, sf: str) -> DataFrame:
     return truncation.answers(a, load(spark, sf, "minimal_diffs", "diff_id", "relay", "prompt", "raw_llm_response"))
 
 
+def p2_evidence(spark: SparkSession, sf: str) -> DataFrame:
+    """How many pairs each kind of evidence found, per defect."""
+    return pairs.defects(_answers(spark, sf)).groupBy("source_table", "defect", "evidence").agg(F.count("*").alias("n_pairs"))
+
+
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
-    return pairs.defects(_answers(spark, sf))
+    return pairs.defects(_answers(spark, sf)).drop("evidence")
 
 
 def p4_files(spark: SparkSession, sf: str) -> DataFrame:
@@ -46,6 +51,12 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return _cuts(spark, sf).where("cut").select("source_table", "row_id").distinct()
 
 
+def p5_evidence(spark: SparkSession, sf: str) -> DataFrame:
+    """How many cut values each kind of evidence found, per table."""
+    one = _cuts(spark, sf).where("cut").dropDuplicates(["source_table", "row_id"])
+    return one.groupBy("source_table", "evidence").agg(F.count("*").alias("n_cut"))
+
+
 def p5_rates(spark: SparkSession, sf: str) -> DataFrame:
     """Share of cut values per relay and field, re-delivered rows counted once."""
     one = _cuts(spark, sf).dropDuplicates(["source_table", "row_id"])
@@ -102,7 +113,7 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p3_found": p3_found, "p3_faults": p3_faults, "p3_rates": p3_rates, "p4_found": p4_found, "p4_files": p4_files, "p5_found": p5_found, "p5_rates": p5_rates, "p6_found": p6_found, "p6_items": p6_items, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found}
+    return {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_evidence": p2_evidence, "p3_found": p3_found, "p3_faults": p3_faults, "p3_rates": p3_rates, "p4_found": p4_found, "p4_files": p4_files, "p5_found": p5_found, "p5_evidence": p5_evidence, "p5_rates": p5_rates, "p6_found": p6_found, "p6_items": p6_items, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -28,7 +28,10 @@ from . import syntax
 CUT, WHOLE, ASK = "cut", "whole", "ask"
 #: A last line or a shape of one-line values counts as intended from this many values on, and this share of them.
 OFTEN, OFTEN_SHARE = 5, 1 / 2000
-RANGE_CHARS = 300
+#: Characters that the ranges of the sort are cut by, and the share (1 in HOT) of texts from which one opening is cut further.
+RANGE_CHARS, HOT = 300, 200
+#: A length of a channel stands out from this many times the mean of the lengths at most NEAR away on.
+SPIKE, NEAR = 8, 16
 
 _JSON_START = re.compile(r"(?:\A|\n|[.!?](?=[ \t]))[ \t]*(?:```\w*[ \t]*\r?\n?[ \t]*)?([{\[])(?=\s*(?:[\"}\]{\[]|\Z))")
 _JSON_TOKEN = re.compile(r'"(?:[^"\\]|\\[\s\S])*"|[\[\]{}]|"')
@@ -120,6 +123,21 @@ def answer_end(text: str) -> tuple[str, str, str]:
 
 def code_end(ext: str | None, text: str, original: str | None) -> str:
     """Whether a source text is cut. ``original`` is the text it was made from, whose lines show which lines are whole."""
+    return CUT if code_evidence(ext, text, original) else WHOLE
+
+
+def code_evidence(ext: str | None, text: str, original: str | None) -> str:
+    """What shows that a source text is cut: ``prefix`` of its original or of a line of it, or ``structure``; empty if nothing."""
+    if _code_end(ext, text, original) == WHOLE:
+        return ""
+    if not original:
+        return "structure"
+    last = text.rsplit("\n", 1)[-1].strip()
+    longer = last and any(len(x) > len(last) and x.startswith(last) for x in map(str.strip, original.split("\n")))
+    return "prefix" if longer or len(original) > len(text) and original.startswith(text) else "structure"
+
+
+def _code_end(ext: str | None, text: str, original: str | None) -> str:
     if not text.strip() or ext is None:
         return WHOLE
     s = text.rstrip(" \t")
@@ -205,11 +223,25 @@ def prefixes(values: DataFrame, text_col: str = "text") -> DataFrame:
 
     In sorted order a text's extensions follow it directly. Each partition of the range sort compares a text with those
     before it that it begins with; the first text of the next partition that has one stands in for what follows a
-    partition's last text. The ranges are cut by the texts' first :data:`RANGE_CHARS` characters, so that no whole texts are sampled to the driver.
+    partition's last text. The ranges are cut by the texts' first :data:`RANGE_CHARS` characters, so that no whole texts are
+    sampled to the driver, and where one text in :data:`HOT` opens alike by as many characters more, level by level.
     ``in_word`` tells whether a longer text goes on within a word. Null and empty texts are left out.
     """
     one = values.select(F.col(text_col).alias("_text")).where("_text <> ''").distinct()
-    ranged = one.repartitionByRange(F.left("_text", F.lit(RANGE_CHARS))).sortWithinPartitions("_text").withColumn("_part", F.spark_partition_id())
+    ranges = [F.left("_text", F.lit(RANGE_CHARS))]
+    total = None
+    while True:
+        # at least one text in HOT shares each of these openings, so there are HOT of them at most
+        opening = F.left("_text", F.lit(RANGE_CHARS * len(ranges)))
+        counts = one.where(F.length("_text") > RANGE_CHARS * len(ranges)).groupBy(F.xxhash64(opening).alias("h")).agg(F.count("*").alias("n"))
+        if total is None:
+            total = one.count()
+        hot = [r["h"] for r in counts.where(F.col("n") > max(1000, total / HOT)).select("h").collect()]
+        if not hot:
+            break
+        more = F.substring("_text", RANGE_CHARS * len(ranges) + 1, RANGE_CHARS)
+        ranges.append(F.when(F.xxhash64(opening).isin(hot), more).otherwise(F.lit("")))
+    ranged = one.repartitionByRange(*ranges).sortWithinPartitions("_text").withColumn("_part", F.spark_partition_id())
 
     def neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         chain, part, first = [], 0, True  # the last text behind those that it begins with, each with what is known of it
@@ -248,11 +280,26 @@ def answers(proposals: DataFrame, diffs: DataFrame) -> DataFrame:
     return a.unionByName(b).where("text is not null")
 
 
+def spikes(judged: DataFrame, least: float) -> DataFrame:
+    """``(source_table, relay, n_chars)``: lengths that a channel delivers far more often than the lengths around them.
+
+    The histogram is added up first. A spike holds ``least`` values and :data:`SPIKE` times the mean of the lengths at
+    most :data:`NEAR` away from it.
+    """
+    counts = judged.groupBy("source_table", "relay", "n_chars").agg(F.count("*").alias("_n"))
+    around = W.partitionBy("source_table", "relay").orderBy("n_chars").rangeBetween(-NEAR, NEAR)
+    others = (F.sum("_n").over(around) - F.col("_n")) / (2 * NEAR)
+    return counts.withColumn("_others", others).where((F.col("_n") >= least) & (F.col("_n") > SPIKE * F.col("_others"))).select("source_table", "relay", "n_chars")
+
+
 def resolve(judged: DataFrame, texts: DataFrame, patched: DataFrame | None = None) -> DataFrame:
-    """What :func:`judge` gave, with ``cut`` (boolean): open verdicts are settled by the corpus.
+    """``(source_table, row_id, relay, defect, cut, evidence)`` for what :func:`judge` gave; open verdicts are settled.
 
     ``texts`` has all texts among which a value may have a longer copy. A value that a longer copy continues within a word
-    is cut whatever its own structure says. ``patched`` is what :func:`cut_patches` gave; it is held against them alike.
+    is cut whatever its own structure says (evidence ``prefix``). Then its structure decides (``structure``), and of what
+    stays open the corpus tells which ends are meant; the rest is cut, with the evidence ``spike`` where its length is one
+    at which its channel's values pile up, else ``open end``. A length alone cuts nothing: whole values may have it.
+    ``patched`` is what :func:`cut_patches` gave; it is held against the longer copies alike.
 
     The judgements are needed by every count below, so they are computed once and kept in the shared folder.
     """
@@ -265,25 +312,30 @@ def resolve(judged: DataFrame, texts: DataFrame, patched: DataFrame | None = Non
     asked = judged.where(F.col("verdict") == ASK).join(F.broadcast(lines), "line", "left")
     often, asked = asked.where("_times is not null"), asked.where("_times is null")
     shapes = asked.where("kind = 'only'").groupBy("shape").agg(F.count("*").alias("_alike")).where(F.col("_alike") >= least)
-    # what is frequent is settled by now, so no key of the two joins below is hot on the left; the right has a key once
+    # what is frequent is settled by now, so no key of this join is hot on the left; the right has a key once
     ends = judged.select(F.explode("ends").alias("tail")).groupBy("tail").agg(F.count("*").alias("_lines"))
-    j = asked.join(F.broadcast(shapes), "shape", "left").join(ends, "tail", "left")
-    alike = (F.col("kind") == "only") & F.col("_alike").isNotNull()
-    listed = (F.col("kind") == "list") & F.col("_lines").isNotNull() & F.col("balanced")
-    whole = judged.where(F.col("verdict") == WHOLE)
+    lists = asked.where("kind = 'list'").join(ends, "tail", "left").withColumn("_meant", F.col("_lines").isNotNull() & F.col("balanced"))
+    others = asked.where("kind <> 'list'").join(F.broadcast(shapes), "shape", "left").withColumn("_meant", (F.col("kind") == "only") & F.col("_alike").isNotNull())
+    # as many values again stand at each of these lengths
+    piled = F.broadcast(spikes(judged, least).select(F.col("source_table").alias("_t"), F.col("relay").alias("_r"), F.col("n_chars").alias("_l"), F.lit(True).alias("_piled")))
+    columns = [*keys, "n_chars", "hash", "_meant"]
+    j = lists.select(columns).unionByName(others.select(columns))
+    j = j.join(piled, F.expr("source_table = _t and relay <=> _r and n_chars = _l"), "left")
+    held = j.select(*keys, "hash", (~F.col("_meant")).alias("cut"), F.when(F.col("_meant"), F.lit("")).when(F.col("_piled"), F.lit("spike")).otherwise(F.lit("open end")).alias("evidence"), F.lit(True).alias("_word"))
     # only a text that ends in a letter or digit can go on within a word; one line that is frequent as a whole is meant
-    held = j.select(*keys, "hash", (~(alike | listed)).alias("cut"), F.lit(True).alias("_word"))
-    held = held.unionByName(often.select(*keys, "hash", F.lit(False).alias("cut"), (F.col("kind") != "only").alias("_word")))
-    held = held.unionByName(whole.select(*keys, "hash", F.lit(False).alias("cut"), F.col("line").rlike(r"(?U)\w\z").alias("_word")))
+    held = held.unionByName(often.select(*keys, "hash", F.lit(False).alias("cut"), F.lit("").alias("evidence"), (F.col("kind") != "only").alias("_word")))
+    told = judged.where(F.col("verdict") != ASK)
+    cut = F.col("verdict") == CUT
+    held = held.unionByName(told.select(*keys, "hash", cut.alias("cut"), F.when(cut, F.lit("structure")).otherwise(F.lit("")).alias("evidence"), (cut | F.col("line").rlike(r"(?U)\w\z")).alias("_word")))
     if patched is not None:
         held = held.unionByName(patched.withColumn("defect", F.lit("")))
     inside = prefixes(texts).where("in_word").select("hash", "in_word")
-    asks = F.col("_word") & ~F.col("cut")
-    probed = held.where(asks).join(inside, "hash", "left").select(*keys, F.col("in_word").isNotNull().alias("cut"))
-    return judged.where(F.col("verdict") == CUT).select(*keys, F.lit(True).alias("cut")).unionByName(held.where(~asks).select(*keys, "cut")).unionByName(probed)
+    probed = held.where("_word").join(inside, "hash", "left")
+    probed = probed.select(*keys, (F.col("cut") | F.col("in_word").isNotNull()).alias("cut"), F.when(F.col("in_word").isNotNull(), F.lit("prefix")).otherwise(F.col("evidence")).alias("evidence"))
+    return held.where("not _word").select(*keys, "cut", "evidence").unionByName(probed)
 
 
-JUDGED = "source_table string, row_id bigint, relay string, hash bigint, defect string, verdict string, line string, kind string, shape string, tail string, balanced boolean, ends array<string>"
+JUDGED = "source_table string, row_id bigint, relay string, n_chars int, hash bigint, defect string, verdict string, line string, kind string, shape string, tail string, balanced boolean, ends array<string>"
 
 
 def judge(texts: DataFrame, defect) -> DataFrame:
@@ -296,19 +348,19 @@ def judge(texts: DataFrame, defect) -> DataFrame:
                 verdict, line, kind = answer_end(text)
                 # how the complete list lines of the text (a line break follows) end
                 ends = list({ending(x) for x in _LIST_LINE.findall(text)})
-                rows.append((table, i, relay, h, defect(prompt, text), verdict, line, kind, shape(line) if kind == "only" else "", ending(line) if kind == "list" else "", line.count("(") <= line.count(")"), ends))
+                rows.append((table, i, relay, len(text), h, defect(prompt, text), verdict, line, kind, shape(line) if kind == "only" else "", ending(line) if kind == "list" else "", line.count("(") <= line.count(")"), ends))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in JUDGED.split(", ")])
 
     return texts.select("source_table", "row_id", "relay", "prompt", "text", F.xxhash64("text").alias("hash")).mapInPandas(run, JUDGED)
 
 
 def cut_patches(patches: DataFrame) -> DataFrame:
-    """``(source_table, row_id, relay, hash, cut, _word)`` of the non-empty patched texts; ``_word``: it ends in a letter or digit."""
+    """``(source_table, row_id, relay, hash, cut, evidence, _word)`` of the non-empty patched texts; ``_word``: it ends in a letter or digit."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            cut = [code_end(e, t, o) == CUT for e, t, o in zip(pdf["ext"], pdf["text"], pdf["original"], strict=True)]
-            yield pd.DataFrame({"source_table": "patch_results", "row_id": pdf["row_id"], "relay": pdf["relay"], "hash": pdf["hash"], "cut": cut, "_word": [bool(_WORD_END.search(t)) for t in pdf["text"]]})
+            by = [code_evidence(e, t, o) for e, t, o in zip(pdf["ext"], pdf["text"], pdf["original"], strict=True)]
+            yield pd.DataFrame({"source_table": "patch_results", "row_id": pdf["row_id"], "relay": pdf["relay"], "hash": pdf["hash"], "cut": [x != "" for x in by], "evidence": by, "_word": [bool(_WORD_END.search(t)) for t in pdf["text"]]})
 
     df = patches.select(F.col("patch_id").cast("bigint").alias("row_id"), "relay", extension(clean_path(F.col("path"))).alias("ext"), F.col("patched").alias("text"), "original", F.xxhash64("patched").alias("hash"))
-    return df.where("text <> ''").mapInPandas(run, "source_table string, row_id bigint, relay string, hash bigint, cut boolean, _word boolean")
+    return df.where("text <> ''").mapInPandas(run, "source_table string, row_id bigint, relay string, hash bigint, cut boolean, evidence string, _word boolean")
