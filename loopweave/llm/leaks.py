@@ -1,15 +1,16 @@
 """Problem 6: evaluation texts inside training text.
 
 Items and documents are canonicalised alike: lower case, invisible characters dropped, punctuation and layout ignored,
-numbers, names and units turned into typed slots. The template windows of the items (three canonical tokens) are the
-build side of a hash join that every document's windows probe. A hit is checked for slot consistency: where the slots
-hold the same values it is the item's own text, where they don't the sentence is only of the same template. Consistent
-hits that run along in both texts (with at most a few changed words between them) form passages, and the share of the
-item's own wording that lies in passages decides. A passage of plain words, without any slot, counts if most of it stands
-in windows that no other item has. An item of fewer tokens than a window has none, and is found nowhere.
-
-The items are the stated query set, read in blocks of :data:`BLOCK`; each block's windows, of proven size, go to every
-task, and every document is probed whole. Nothing of the documents is shuffled but the found pairs.
+numbers, names and units turned into typed slots. The template windows of the items (three canonical tokens, whose
+dictionary every task holds) number the windows of the documents, and a hash join on these numbers brings together what
+has the same template, whatever the slots hold. The hits of a document and an item are then read in order: those that run
+along in both texts (with at most a few changed words between them) form passages. Where the slots hold the item's own
+values, the share of the item's own wording that lies in passages decides on a leak. Where they don't, a passage is only
+of the same template: if as much of the item is met that way, the pair is a re-parameterised question and reported as
+such. A passage of plain words, without any slot, counts if most of it stands in windows that no other item has. An item
+of fewer tokens than a window has none, and is found nowhere.
+
+The items are the stated query set, read in blocks of :data:`BLOCK`. Of the documents nothing is shuffled but the hits.
 """
 
 from __future__ import annotations
@@ -33,8 +34,10 @@ LEAST_HIT = 7
 OWN = 0.5
 #: Share of a passage's slots that must hold the item's values; with others the sentence is only of the same template.
 CONSISTENT = 0.5
-#: Share of the own wording from which an item counts as leaked.
-SHARE = 0.36
+#: Words that a template window needs to count with other values in its slots.
+LEAST_WORDS = 2
+#: Share of the own wording from which an item counts as leaked: about two fifths.
+SHARE = 0.4
 
 CJK = "⺀-⿿　-ヿㇰ-ㇿ㐀-鿿豈-﫿"
 TOKEN = re.compile(rf"\d+(?:[.,]\d+)*|[{CJK}]|[^\W\d_{CJK}]+")
@@ -54,12 +57,17 @@ def slot(token: str, names: frozenset[str]) -> str:
     return "<n>" if token[0].isdigit() else "<name>" if token in names else "<unit>" if token in UNITS else token
 
 
+LEAK, REPARAMETERISED = "leak", "re-parameterised"
+
+
 class Index:
-    """The template windows of a block of items; ``common`` has the windows that several items hold."""
+    """The windows of a block of items, numbered by template and by wording; ``common`` has those that several items hold."""
 
     def __init__(self, items: list[tuple[int, str]], shared: frozenset[str], common: frozenset[tuple] = frozenset()) -> None:
         self.names = frozenset(x.lower() for _, t in items for x in NAME.findall(INVISIBLE.sub("", t)))
-        self.windows: dict[tuple, dict[tuple, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
+        self.templates: dict[tuple, int] = {}
+        self.wordings: dict[tuple, int] = {}
+        self.rows: list[tuple[int, int, int, int]] = []  # template, wording, item, place
         self.length: dict[int, int] = {}
         self.slots: dict[int, list[bool]] = {}
         self.common: dict[int, set[int]] = {}
@@ -73,44 +81,60 @@ class Index:
             self.common[no] = {i for i in range(len(toks) - WINDOW + 1) if tuple(toks[i : i + WINDOW]) in common}
             for i in range(len(toks) - WINDOW + 1):
                 if "\0" not in toks[i : i + WINDOW]:
-                    self.windows[tuple(canon[i : i + WINDOW])][tuple(toks[i : i + WINDOW])].append((no, i))
-        self.windows = {k: dict(v) for k, v in self.windows.items()}
+                    t, w = tuple(canon[i : i + WINDOW]), tuple(toks[i : i + WINDOW])
+                    self.rows.append((self.templates.setdefault(t, len(self.templates)), self.wordings.setdefault(w, len(self.wordings)), no, i))
+        # a template says something by itself if most of it is words
+        self.telling = {k: sum(x[0] != "<" for x in t) >= LEAST_WORDS for t, k in self.templates.items()}
 
-    def probe(self, text: str) -> list[tuple[int, float]]:
-        """``(item, share of its own wording)`` for the items of which ``text`` holds a passage."""
+    def windows(self, text: str) -> list[tuple[int, int, int]]:
+        """``(place, template, wording)`` of the windows of ``text`` that items have; -1 for another wording of a template."""
         toks = tokens(text)
         canon = [slot(x, self.names) for x in toks]
-        hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for j in range(len(toks) - WINDOW + 1):
-            same = self.windows.get(tuple(canon[j : j + WINDOW]))
-            if same is not None:
-                for no, i in same.get(tuple(toks[j : j + WINDOW]), ()):
-                    hits[no].append((j, i))
-        found = []
-        for no, at in hits.items():
-            least = min(LEAST_HIT, self.length[no])
-            if len(at) * WINDOW < least:  # as many tokens at most
+        out = []
+        for j, t in enumerate(zip(*(canon[k:] for k in range(WINDOW)), strict=False)):
+            template = self.templates.get(t)
+            if template is not None:
+                wording = self.wordings.get(tuple(toks[j : j + WINDOW]), -1)
+                if wording >= 0 or self.telling[template]:
+                    out.append((j, template, wording))
+        return out
+
+    def judge(self, no: int, hits: list[tuple[int, int, bool]]) -> tuple[float, str]:
+        """Share of item ``no``'s own wording that ``hits`` (place in the document, in the item, same wording) hold, and how."""
+        length = self.length[no]
+        if not length:
+            return 0.0, LEAK
+        own = self.covered(no, [(j, i) for j, i, same in hits if same], lambda held, slots: sum(k in held for k in slots) >= CONSISTENT * len(slots))
+        share = min(1.0, len(own) / length)
+        if share >= SHARE or len(hits) * WINDOW < SHARE * length:
+            return share, LEAK
+        # the slots of the item that passages of its template run over
+        over = self.covered(no, [(j, i) for j, i, _ in hits], lambda held, slots: bool(slots))
+        return min(1.0, len(over) / length), REPARAMETERISED
+
+    def covered(self, no: int, at: list[tuple[int, int]], consistent) -> set[int]:
+        """The tokens of item ``no`` that lie in passages which count."""
+        least = min(LEAST_HIT, self.length[no])
+        covered: set[int] = set()
+        if len(at) * WINDOW < least:  # as many tokens at most
+            return covered
+        for passage in passages(at):
+            own = {i + k for _, i in passage for k in range(WINDOW)}
+            slots = [k for k in range(min(own), max(own) + 1) if self.slots[no][k]]
+            if len(own) < least:
                 continue
-            covered: set[int] = set()
-            for passage in passages(at):
-                own = {i + k for _, i in passage for k in range(WINDOW)}
-                slots = [k for k in range(min(own), max(own) + 1) if self.slots[no][k]]
-                if len(own) < least:
-                    continue
-                if slots:
-                    counts = sum(k in own for k in slots) >= CONSISTENT * len(slots)
-                else:
-                    counts = len({i + k for _, i in passage if i not in self.common[no] for k in range(WINDOW)}) >= OWN * len(own)
-                if counts:
-                    i0 = None
-                    for _, i in passage:
-                        if i0 is not None and i > i0:
-                            own.update(range(i0, i))
-                        i0 = i
-                    covered |= own
-            if covered and self.length[no]:
-                found.append((no, min(1.0, len(covered) / self.length[no])))
-        return found
+            if slots:
+                counts = consistent(own, slots)
+            else:
+                counts = len({i + k for _, i in passage if i not in self.common[no] for k in range(WINDOW)}) >= OWN * len(own)
+            if counts:
+                i0 = None
+                for _, i in passage:
+                    if i0 is not None and i > i0:
+                        own.update(range(i0, i))
+                    i0 = i
+                covered |= own
+        return covered
 
 
 def passages(hits: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
@@ -146,41 +170,65 @@ def windows(text: str, shared: frozenset[str]) -> set[tuple]:
     for p in paragraphs(text):
         if key(p) not in shared:
             toks = tokens(p)
-            out.update(zip(*(toks[k:] for k in range(WINDOW))))
+            out.update(zip(*(toks[k:] for k in range(WINDOW)), strict=False))
     return out
 
 
 def leaks(docs: DataFrame, items: DataFrame, *, doc_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", share: float = SHARE, block: int = BLOCK) -> DataFrame:
-    """Pairs ``(doc id, item id, share)``: the item's own wording that the document holds, from ``share`` on, each pair once.
+    """Pairs ``(doc id, item id, share, kind)``, each pair once.
 
-    A paragraph that several items hold (an instruction) is no item's own wording. Null or empty texts and items without
-    own wording are in no pair; repeated rows of either table change nothing; other columns are ignored. Documents of
-    any length are probed whole.
+    ``share`` is the share of the item's own wording that the document holds, from the given one on; ``kind`` is ``leak``,
+    or ``re-parameterised`` where the document holds the item's template with other values. A paragraph that several items
+    hold (an instruction) is no item's own wording. Null or empty texts and items without own wording are in no pair;
+    repeated rows of either table change nothing; other columns are ignored. Documents of any length are probed whole.
     """
+    spark = docs.sparkSession
     doc_type, item_type = docs.schema[doc_col].dataType.simpleString(), items.schema[item_col].dataType.simpleString()
     query = items.select(F.col(item_col).alias("_id"), F.col(item_text_col).alias("_text")).where("_id is not null and _text <> ''").dropDuplicates(["_id"]).orderBy("_id")
     rows = [(r["_id"], r["_text"]) for r in query.toLocalIterator()]  # the stated query set, not the corpus
     seen: dict[str, int] = defaultdict(int)
+    held: dict[tuple, int] = defaultdict(int)
     for _, text in rows:
         for p in {key(p) for p in paragraphs(text)}:
             seen[p] += 1
     shared = frozenset(p for p, n in seen.items() if n > 1)
-    held: dict[tuple, int] = defaultdict(int)
     for _, text in rows:
         for w in windows(text, shared):
             held[w] += 1
-    df = docs.select(F.col(doc_col).alias("_doc"), F.col(text_col).alias("_text")).where("_text <> ''")
-    schema = f"_doc {doc_type}, _item {item_type}, share double"
-    out = df.sparkSession.createDataFrame([], schema)
+    df = docs.select(F.col(doc_col).alias("_doc"), F.col(text_col).alias("_text")).where("_doc is not null and _text <> ''")
+    schema = f"_doc {doc_type}, _item {item_type}, share double, kind string"
+    out = spark.createDataFrame([], schema)
     for lo in range(0, len(rows), block):
         part = rows[lo : lo + block]
         common = frozenset(w for _, text in part for w in windows(text, shared) if held[w] > 1)
+        index = Index(part, shared, common)
+        telling = [(t, w, no, i, index.telling[t]) for t, w, no, i in index.rows]
+        # at most BLOCK items' windows; whether they are sent to every task is left to their size
+        item_windows = spark.createDataFrame(pd.DataFrame(telling, columns=["_template", "_own", "_no", "_i", "_telling"]), "_template int, _own int, _no int, _i int, _telling boolean")
 
-        def probe(batches: Iterator[pd.DataFrame], part: list = part, common: frozenset = common) -> Iterator[pd.DataFrame]:
+        def number(batches: Iterator[pd.DataFrame], part: list = part, common: frozenset = common) -> Iterator[pd.DataFrame]:
             index = Index(part, shared, common)
             for pdf in batches:
-                got = [(d, part[no][0], s) for d, t in zip(pdf["_doc"], pdf["_text"], strict=True) for no, s in index.probe(t) if s >= share]
-                yield pd.DataFrame(got, columns=["_doc", "_item", "share"])
+                got = [(d, *x) for d, t in zip(pdf["_doc"], pdf["_text"], strict=True) for x in index.windows(t)]
+                yield pd.DataFrame(got, columns=["_doc", "_j", "_template", "_wording"])
 
-        out = out.unionByName(df.mapInPandas(probe, schema))
-    return out.groupBy("_doc", "_item").agg(F.max("share").alias("share")).select(F.col("_doc").alias(doc_col), F.col("_item").alias(item_col), "share")
+        def judge(batches: Iterator[pd.DataFrame], part: list = part, common: frozenset = common) -> Iterator[pd.DataFrame]:
+            index = Index(part, shared, common)
+            for pdf in batches:
+                got = []
+                for d, no, hits in zip(pdf["_doc"], pdf["_no"], pdf["_hits"], strict=True):
+                    s, kind = index.judge(no, sorted({(h["j"], h["i"], h["same"]) for h in hits}))
+                    if s >= share:
+                        got.append((d, part[no][0], s, kind))
+                yield pd.DataFrame(got, columns=["_doc", "_item", "share", "kind"])
+
+        # fewer hits than this can't reach the share in tokens
+        need = spark.createDataFrame([(no, max(1, int(share * n / WINDOW))) for no, n in index.length.items()], "_no int, _need int")
+        hits = df.mapInPandas(number, f"_doc {doc_type}, _j int, _template int, _wording int")
+        same = F.col("_wording") == F.col("_own")
+        met = hits.join(item_windows, "_template").where(same | F.col("_telling"))
+        met = met.groupBy("_doc", "_no").agg(F.collect_set(F.struct(F.col("_j").alias("j"), F.col("_i").alias("i"), same.alias("same"))).alias("_hits"))
+        met = met.join(F.broadcast(need), "_no").where(F.size("_hits") >= F.col("_need")).select("_doc", "_no", "_hits")
+        out = out.unionByName(met.mapInPandas(judge, schema))
+    best = F.max(F.struct(F.col("kind") == LEAK, "share", "kind")).alias("_b")
+    return out.groupBy("_doc", "_item").agg(best).select(F.col("_doc").alias(doc_col), F.col("_item").alias(item_col), "_b.share", "_b.kind")

@@ -86,12 +86,17 @@ def p6_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
-    return p6_pairs(spark, sf).select("doc_id", "item_id")
+    return p6_pairs(spark, sf).where(F.col("kind") == leaks.LEAK).select("doc_id", "item_id")
+
+
+def p6_reparameterised(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs where the document asks the item's question with other values; no leaks."""
+    return p6_pairs(spark, sf).where(F.col("kind") == leaks.REPARAMETERISED).drop("kind")
 
 
 def p6_items(spark: SparkSession, sf: str) -> DataFrame:
     """Which items leaked, into how many documents and how completely at most."""
-    found = p6_pairs(spark, sf).groupBy("item_id").agg(F.count("*").alias("documents"), F.max("share").alias("most"))
+    found = p6_pairs(spark, sf).where(F.col("kind") == leaks.LEAK).groupBy("item_id").agg(F.count("*").alias("documents"), F.max("share").alias("most"))
     items = load(spark, sf, "eval_items", "item_id", "suite").dropDuplicates(["item_id"])
     return items.join(found, "item_id", "left").select("item_id", "suite", F.coalesce("documents", F.lit(0)).alias("documents"), "most")
 
@@ -113,7 +118,7 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_evidence": p2_evidence, "p3_found": p3_found, "p3_faults": p3_faults, "p3_rates": p3_rates, "p4_found": p4_found, "p4_files": p4_files, "p5_found": p5_found, "p5_evidence": p5_evidence, "p5_rates": p5_rates, "p6_found": p6_found, "p6_items": p6_items, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found}
+    return {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_evidence": p2_evidence, "p3_found": p3_found, "p3_faults": p3_faults, "p3_rates": p3_rates, "p4_found": p4_found, "p4_files": p4_files, "p5_found": p5_found, "p5_evidence": p5_evidence, "p5_rates": p5_rates, "p6_found": p6_found, "p6_items": p6_items, "p6_reparameterised": p6_reparameterised, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found}
 
 
 def oracle_sql() -> dict[str, str]:

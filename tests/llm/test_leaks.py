@@ -8,7 +8,7 @@ SHARED = "Answer with the names of the modules only, separated by commas."
 def run(spark, docs, items=((1, f"{SHARED}\n\n{ITEM}"), (2, f"{OTHER}\n\n{SHARED}"), (3, SHARED), (4, None), (5, ""))):
     d = spark.createDataFrame(docs, "doc_id bigint, text string").selectExpr("*", "1 as _doc", "1 as item_id", "1 as share")
     i = spark.createDataFrame(list(items), "item_id bigint, text string").selectExpr("*", "'x' as suite", "1 as _id")
-    return {(r["doc_id"], r["item_id"]) for r in leaks.leaks(d, i).collect()}
+    return {(r["doc_id"], r["item_id"]) for r in leaks.leaks(d, i).where("kind = 'leak'").collect()}
 
 
 def test_layouts_and_small_changes(spark):
@@ -30,7 +30,7 @@ def test_repeats_blocks_and_empty(spark):
     assert run(spark, docs) == {(1, 1), (2, 1), (2, 2)}
     d = spark.createDataFrame(docs, "doc_id bigint, text string")
     i = spark.createDataFrame([(1, ITEM), (2, OTHER)], "item_id bigint, text string")
-    assert leaks.leaks(d, i, block=1).count() == 3
+    assert leaks.leaks(d, i, block=1).where("kind = 'leak'").count() == 3
     assert leaks.leaks(d.where("false"), i).count() == 0 and leaks.leaks(d, i.where("false")).count() == 0
 
 
@@ -51,4 +51,14 @@ def test_plain_words_and_short_items(spark):
     docs = [(1, f"Intro. {plain} Outro."), (2, f"We say: {plain[:75].upper()} and so on"), (3, f"Intro. {stem} Outro."), (4, "As they say, quiet rivers hide deep stones."), (5, "Quiet rivers hide many things, every harbour keeps a boat")]
     for block in (leaks.BLOCK, 1):
         d, i = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
-        assert {(r["doc_id"], r["item_id"]) for r in leaks.leaks(d, i, block=block).collect()} == {(1, 1), (2, 1), (4, 4)}
+        assert {(r["doc_id"], r["item_id"]) for r in leaks.leaks(d, i, block=block).where("kind = 'leak'").collect()} == {(1, 1), (2, 1), (4, 4)}
+
+
+def test_other_values(spark):
+    numbers = ITEM.replace("24", "31").replace("19", "12").replace("43", "8").replace("9.4", "6.1")
+    both = numbers.replace("CursorBroker", "LoomPanel").replace("TurbineBroker", "QuotaClient").replace("SnapshotBroker", "MenuStore").replace("MeadowStore", "BatchLoader").replace("CaravanClient", "AnchorView")
+    items = ((1, ITEM), (2, "Every harbour keeps a lantern that nobody owns, and whoever passes the gate at dusk must carry it home."), (3, "Rank LoomPanel above QuotaClient, MenuStore, BatchLoader and AnchorView."))
+    docs = [(1, f"Intro. {both} Outro."), (2, f"Intro. {ITEM} Outro."), (3, "Every harbour keeps a boat. The lantern is new."), (4, both.upper())]
+    d, i = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(r["doc_id"], r["item_id"]): r["kind"] for r in leaks.leaks(d, i).collect()}
+    assert got == {(1, 1): "re-parameterised", (2, 1): "leak", (4, 1): "re-parameterised"}
