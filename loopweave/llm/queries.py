@@ -35,7 +35,7 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p4_files(spark: SparkSession, sf: str) -> DataFrame:
-    return handwritten.not_handwritten(load(spark, sf, "cycle_files", "file_id", "path", "content"))
+    return handwritten.not_handwritten(load(spark, sf, "cycle_files", "file_id", "path", "content", "project"))
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
