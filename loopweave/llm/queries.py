@@ -74,11 +74,11 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p3_faults(spark: SparkSession, sf: str) -> DataFrame:
-    return syntax.faults(_sources(spark, sf))
+    return syntax.faults(syntax.verdicts(_sources(spark, sf)))
 
 
 def p3_rates(spark: SparkSession, sf: str) -> DataFrame:
-    return syntax.rates(_sources(spark, sf))
+    return syntax.rates(syntax.verdicts(_sources(spark, sf)))
 
 
 def p6_pairs(spark: SparkSession, sf: str) -> DataFrame:

@@ -17,11 +17,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CHUNK = 1 << 17
 CONTEXT = 400
+#: Chunks whose functions are composed at one node of the tree.
+FAN = 128
 
 # --- fixed values: abbreviations, by what may follow them ------------------------------------------------------------
 #: Never at a sentence's end.
@@ -430,6 +432,26 @@ def _chunk_letters(pdf: pd.DataFrame) -> Iterator[tuple]:
         yield row, letters(row["_text"], row["_lo"], row["_hi"], row["_begins"], row["_ends"], row["_beyond"])
 
 
+def entries(functions: DataFrame) -> DataFrame:
+    """``(_id, _no, _enter)``: the state before each chunk, from the chunks' functions ``(_id, _no, _f)``.
+
+    A prefix scan in a tree: the functions of :data:`FAN` neighbouring chunks are composed into one, those of a document's
+    blocks give the state before each block, and within the blocks the states are followed chunk by chunk. A string
+    holds 2 GB at most, so a document has some 16,000 chunks and 128 blocks at most, and no row holds more than 128
+    functions of 13 numbers.
+    """
+
+    def follow(fs: str, f: str, start) -> Column:
+        return F.aggregate(fs, F.array(start), lambda acc, x: F.concat(acc, F.array(x[f][F.element_at(acc, -1)])))
+
+    blocks = functions.withColumn("_b", F.floor(F.col("_no") / FAN).cast("int")).groupBy("_id", "_b").agg(F.array_sort(F.collect_set(F.struct("_no", "_f"))).alias("_fs"))
+    composed = F.aggregate("_fs", F.sequence(F.lit(0), F.lit(N - 1)), lambda acc, x: F.transform(acc, lambda s: x["_f"][s]))
+    tops = blocks.select("_id", "_b", composed.alias("_g")).groupBy("_id").agg(F.array_sort(F.collect_list(F.struct("_b", "_g"))).alias("_gs"))
+    starts = tops.select("_id", F.posexplode(follow("_gs", "_g", F.lit(S))).alias("_b", "_start"))
+    inner = blocks.join(starts, ["_id", "_b"]).select("_id", "_b", F.posexplode(follow("_fs", "_f", F.col("_start"))).alias("_k", "_enter"), F.size("_fs").alias("_size"))
+    return inner.where("_k < _size").select("_id", (F.col("_b") * FAN + F.col("_k")).cast("int").alias("_no"), "_enter")
+
+
 def sentence_ends(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
     """One row per sentence: ``(id, end_char)``, the number of code points up to and including its last character.
 
@@ -479,9 +501,6 @@ def sentence_ends(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     cuts = df.where(F.length("_text") > chunk).mapInPandas(cut, f"_id {id_type}, _no int, _base bigint, _lo bigint, _hi bigint, _begins boolean, _ends boolean, _text string, _beyond string")
     cuts = cuts.repartition("_id", "_no")
     functions = cuts.mapInPandas(function, f"_id {id_type}, _no int, _f array<int>")
-    # the functions of one document (13 numbers a chunk) composed in order: the state before each chunk
-    lists = functions.groupBy("_id").agg(F.array_sort(F.collect_set(F.struct("_no", "_f"))).alias("_fs"))
-    states = F.aggregate("_fs", F.array(F.lit(S)), lambda acc, x: F.concat(acc, F.array(x["_f"][F.element_at(acc, -1)])))
-    entered = lists.select("_id", F.posexplode(states).alias("_no", "_enter"))
+    entered = entries(functions)
     long = cuts.join(entered, ["_id", "_no"]).mapInPandas(emit, f"_id {id_type}, _end bigint")
     return whole.unionByName(long).select(F.col("_id").alias(id_col), F.col("_end").alias("end_char")).distinct()

@@ -19,8 +19,10 @@ DECLARATION = (
     r"(?:export|import|class|interface|function|def|async|public|private|protected|internal|static|abstract|final|sealed"
     r"|namespace|package|enum|type|struct|record|const|module|declare|/\*\*|///|@\w|\[\w)"
 )
-#: Two thirds of the room must be filled before a cut at a declaration or blank line is preferred to a later plain line.
+#: Half of the room must be filled before a cut at a declaration or blank line is preferred to a later plain line.
 FILL_NUMERATOR, FILL_DENOMINATOR = 1, 2
+#: Pieces whose running sums are added up together.
+BLOCK = 64
 
 LINE = r"(?<=\n|\r(?!\n))"
 BLANK = r"(?<=\n[ \t]{0,40}\r?\n)"
@@ -45,6 +47,18 @@ def cut_pattern(room: Column) -> Column:
     return F.concat(F.lit("(?s)(?:"), F.concat_ws("|", *alternatives), F.lit(")"))
 
 
+def running_sums(lengths: Column) -> Column:
+    """The sums of what stands before each element: by blocks of :data:`BLOCK`, so that no long array is copied for each element."""
+
+    def sums(xs: Column, start: Column) -> Column:
+        return F.aggregate(xs, F.array(start), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+
+    n = F.size(lengths)
+    blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((n - 1) / BLOCK).cast("int"))), lambda b: F.slice(lengths, b * BLOCK + 1, BLOCK))
+    totals = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda acc, x: acc + x))
+    return F.flatten(F.zip_with(blocks, F.slice(sums(totals, F.lit(0)), F.lit(1), F.size(totals)), lambda b, start: F.slice(sums(b, start), F.lit(1), F.size(b))))
+
+
 def split_files(files: DataFrame, limits: DataFrame, *, id_col: str = "file_id", path_col: str = "path", content_col: str = "content") -> DataFrame:
     """One row per file: ``(id, max_chars, n_chars, longest_line, n_pieces, pieces)``.
 
@@ -67,8 +81,7 @@ def split_files(files: DataFrame, limits: DataFrame, *, id_col: str = "file_id",
     # a one-row generator, so that no later filter makes the optimizer copy the expression and run it again
     df = df.select("*", F.inline(F.array(F.struct(cores.alias("_cores")))))
     # starts: running sums of the lengths; shared: the end of the match before
-    starts = F.aggregate("_cores", F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(x))))
-    df = df.select("*", F.inline(F.array(F.struct(starts.alias("_starts")))))
+    df = df.select("*", F.inline(F.array(F.struct(running_sums(F.transform("_cores", F.length)).alias("_starts")))))
 
     def piece(core: Column, i: Column) -> Column:
         before = F.when(i > 0, F.col("_cores")[i - 1]).otherwise(F.lit(""))

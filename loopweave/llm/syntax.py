@@ -22,6 +22,9 @@ from pyspark.sql import functions as F
 from ..tables import clean_path, extension
 from .grammars import BAD, PythonLanguage, language
 
+#: Frames that the parser may take for a character, at most: the rules between two of them.
+FRAMES = 200
+
 _CONFLICT = re.compile(r"^(?:<{7} |>{7} |={7}\r?$|\|{7} )", re.M)
 _FENCE = re.compile(r"\A\s*(?:```|~~~)|^(?:```|~~~)\s*\Z", re.M)
 
@@ -48,12 +51,15 @@ def valid(ext: str, text: str | None) -> bool:
     if lang is None:
         return True
     limit = sys.getrecursionlimit()
-    sys.setrecursionlimit(max(limit, 20_000))
     try:
-        if lang.valid(text):
-            return True
-    except RecursionError:  # nested beyond what can be followed: nothing is proven against it
-        return True
+        for depth in (20_000, 1000 + FRAMES * len(text)):
+            sys.setrecursionlimit(max(limit, depth))
+            try:
+                if lang.valid(text):
+                    return True
+                break
+            except RecursionError:  # frames lie on the heap, so the limit may grow with the text
+                continue
     finally:
         sys.setrecursionlimit(limit)
     return ext in ("py", "json") and _exactly(ext, text)
@@ -144,33 +150,37 @@ def unparsed(texts: DataFrame) -> DataFrame:
     return df.mapInPandas(check, "source_table string, row_id bigint").distinct()
 
 
-def faults(texts: DataFrame) -> DataFrame:
-    """``(source_table, row_id, ext, position, line, cause)`` of the texts that don't parse, each once."""
+def verdicts(texts: DataFrame) -> DataFrame:
+    """``(source_table, row_id, project, ext, position, line, cause)`` of every text, each once: parsed in one pass.
+
+    ``position`` and what follows are null where the text parses. :func:`faults` and :func:`rates` are read off it.
+    """
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for table, i, e, t in zip(pdf["source_table"], pdf["row_id"], pdf["ext"], pdf["text"], strict=True):
-                if not valid(e, t):
+            for e, t in zip(pdf["ext"], pdf["text"], strict=True):
+                if valid(e, t):
+                    rows.append((None, None, None))
+                else:
                     place, cause = fault(e, t)
-                    rows.append((table, i, e, place, t.count("\n", 0, place) + 1, cause))
-            yield pd.DataFrame(rows, columns=["source_table", "row_id", "ext", "position", "line", "cause"])
+                    rows.append((place, t.count("\n", 0, place) + 1, cause))
+            more = pd.DataFrame(rows, columns=["position", "line", "cause"], index=pdf.index, dtype="object")
+            yield pdf[["source_table", "row_id", "project", "ext"]].join(more)
+
+    df = texts.select("source_table", "row_id", "project", "ext", "text").where("text <> '' and ext is not null")
+    return df.mapInPandas(check, "source_table string, row_id bigint, project string, ext string, position bigint, line bigint, cause string").dropDuplicates(["source_table", "row_id"])
 
-    df = texts.select("source_table", "row_id", "ext", "text").where("text <> '' and ext is not null")
-    return df.mapInPandas(check, "source_table string, row_id bigint, ext string, position bigint, line bigint, cause string").dropDuplicates(["source_table", "row_id"])
 
+def faults(judged: DataFrame) -> DataFrame:
+    """``(source_table, row_id, ext, position, line, cause)`` of the texts that :func:`verdicts` says don't parse."""
+    return judged.where("cause is not null").drop("project")
 
-def rates(texts: DataFrame) -> DataFrame:
+
+def rates(judged: DataFrame) -> DataFrame:
     """``(project, ext, texts, unparsed, rate)``: how many of the distinct texts of a project and extension don't parse.
 
     Rows without a project form a group of their own; null and empty texts don't count.
     """
-
-    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            pdf["bad"] = [0 if valid(e, t) else 1 for e, t in zip(pdf["ext"], pdf["text"], strict=True)]
-            yield pdf[["source_table", "row_id", "project", "ext", "bad"]]
-
-    df = texts.select("source_table", "row_id", "project", "ext", "text").where("text <> '' and ext is not null")
-    one = df.mapInPandas(check, "source_table string, row_id bigint, project string, ext string, bad int").dropDuplicates(["source_table", "row_id"])
-    return one.groupBy("project", "ext").agg(F.count("*").alias("texts"), F.sum("bad").alias("unparsed")).withColumn("rate", F.col("unparsed") / F.col("texts"))
+    bad = F.count("cause")
+    return judged.groupBy("project", "ext").agg(F.count("*").alias("texts"), bad.alias("unparsed"), (bad / F.count("*")).alias("rate"))

@@ -90,3 +90,17 @@ def test_long_quotations(spark):
 def test_very_long_text(spark):
     df = spark.createDataFrame([(1, "One two three. " * 40_000)], "doc_id bigint, text string")
     assert s.sentence_ends(df).count() == 40_000
+
+
+def test_tree_of_functions(spark):
+    rng = np.random.default_rng(4)
+    fs = rng.integers(0, s.N, (300, s.N))
+    df = spark.createDataFrame([(d, k, [int(x) for x in f]) for d in (1, 2) for k, f in enumerate(fs[: 300 if d == 1 else 129])], "_id bigint, _no int, _f array<int>")
+    got = {(r["_id"], r["_no"]): r["_enter"] for r in s.entries(df).collect()}
+    state, want = s.S, {}
+    for k, f in enumerate(fs):
+        want[1, k] = state
+        if k < 129:
+            want[2, k] = state
+        state = int(f[state])
+    assert got == want

@@ -80,3 +80,10 @@ def test_very_long_text(spark, limits):
     t = "some words in a line\n" * 60_000
     got = cut(spark, limits, [(1, "a.ts", t)])[1]
     check(t, got, 60)
+
+
+def test_running_sums(spark):
+    rows = [(i, list(range(n))) for i, n in enumerate([0, 1, 2, 63, 64, 65, 128, 1000])]
+    df = spark.createDataFrame(rows, "i int, xs array<int>")
+    for r in df.select("i", "xs", split.running_sums(F.col("xs")).alias("s")).collect():
+        assert r["s"] == [sum(r["xs"][:k]) for k in range(len(r["xs"]))]
