@@ -29,7 +29,7 @@ CUT, WHOLE, ASK = "cut", "whole", "ask"
 #: A last line or a shape of one-line values counts as intended from this many values on, and this share of them.
 OFTEN, OFTEN_SHARE = 5, 1 / 2000
 #: Characters that the ranges of the sort are cut by, and the share (1 in HOT) of texts from which one opening is cut further.
-RANGE_CHARS, HOT = 300, 200
+RANGE_CHARS, HOT, LEAST_HOT = 300, 200, 1000
 #: A length of a channel stands out from this many times the mean of the lengths at most NEAR away on.
 SPIKE, NEAR = 8, 16
 
@@ -227,20 +227,17 @@ def prefixes(values: DataFrame, text_col: str = "text") -> DataFrame:
     sampled to the driver, and where one text in :data:`HOT` opens alike by as many characters more, level by level.
     ``in_word`` tells whether a longer text goes on within a word. Null and empty texts are left out.
     """
-    one = values.select(F.col(text_col).alias("_text")).where("_text <> ''").distinct()
-    ranges = [F.left("_text", F.lit(RANGE_CHARS))]
-    total = None
+    texts = values.select(F.col(text_col).alias("_text")).where("_text <> ''")
+    total, ranges = texts.count(), [F.left("_text", F.lit(RANGE_CHARS))]
     while True:
         # at least one text in HOT shares each of these openings, so there are HOT of them at most
-        opening = F.left("_text", F.lit(RANGE_CHARS * len(ranges)))
-        counts = one.where(F.length("_text") > RANGE_CHARS * len(ranges)).groupBy(F.xxhash64(opening).alias("h")).agg(F.count("*").alias("n"))
-        if total is None:
-            total = one.count()
-        hot = [r["h"] for r in counts.where(F.col("n") > max(1000, total / HOT)).select("h").collect()]
+        opening, end = F.xxhash64(F.left("_text", F.lit(RANGE_CHARS * len(ranges)))), RANGE_CHARS * len(ranges)
+        counts = texts.where(F.length("_text") > end).groupBy(opening.alias("h")).agg(F.count("*").alias("n"))
+        hot = [r["h"] for r in counts.where(F.col("n") > max(LEAST_HOT, total / HOT)).select("h").collect()]
         if not hot:
             break
-        more = F.substring("_text", RANGE_CHARS * len(ranges) + 1, RANGE_CHARS)
-        ranges.append(F.when(F.xxhash64(opening).isin(hot), more).otherwise(F.lit("")))
+        ranges.append(F.when(opening.isin(hot), F.substring("_text", end + 1, RANGE_CHARS)).otherwise(F.lit("")))
+    one = texts.distinct()
     ranged = one.repartitionByRange(*ranges).sortWithinPartitions("_text").withColumn("_part", F.spark_partition_id())
 
     def neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -330,9 +327,11 @@ def resolve(judged: DataFrame, texts: DataFrame, patched: DataFrame | None = Non
     if patched is not None:
         held = held.unionByName(patched.withColumn("defect", F.lit("")))
     inside = prefixes(texts).where("in_word").select("hash", "in_word")
-    probed = held.where("_word").join(inside, "hash", "left")
-    probed = probed.select(*keys, (F.col("cut") | F.col("in_word").isNotNull()).alias("cut"), F.when(F.col("in_word").isNotNull(), F.lit("prefix")).otherwise(F.col("evidence")).alias("evidence"))
-    return held.where("not _word").select(*keys, "cut", "evidence").unionByName(probed)
+    # what can't go on within a word gets a key of its own, so that no key is hot by it
+    key = F.when(F.col("_word"), F.col("hash")).otherwise(F.xxhash64("source_table", "row_id"))
+    longer = F.col("_word") & F.col("in_word").isNotNull()
+    probed = held.withColumn("hash", key).join(inside, "hash", "left")
+    return probed.select(*keys, (F.col("cut") | longer).alias("cut"), F.when(longer, F.lit("prefix")).otherwise(F.col("evidence")).alias("evidence"))
 
 
 JUDGED = "source_table string, row_id bigint, relay string, n_chars int, hash bigint, defect string, verdict string, line string, kind string, shape string, tail string, balanced boolean, ends array<string>"

@@ -57,6 +57,7 @@ def test_length_spikes(spark):
 def test_hot_opening_is_split(spark, monkeypatch):
     monkeypatch.setattr(truncation, "RANGE_CHARS", 4)
     monkeypatch.setattr(truncation, "HOT", 10)
+    monkeypatch.setattr(truncation, "LEAST_HOT", 100)
     texts = ["same opening of all " + "".join(random.Random(i).choices("abc", k=9)) for i in range(3000)] + ["z", "zy"]
     texts += [t[:-3] for t in texts[:50]]
     df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(7)
