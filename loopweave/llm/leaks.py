@@ -83,6 +83,7 @@ class Index:
                 if "\0" not in toks[i : i + WINDOW]:
                     t, w = tuple(canon[i : i + WINDOW]), tuple(toks[i : i + WINDOW])
                     self.rows.append((self.templates.setdefault(t, len(self.templates)), self.wordings.setdefault(w, len(self.wordings)), no, i))
+        self.least = min([LEAST_HIT, *(n for n in self.length.values() if n)])
         # a template says something by itself if most of it is words
         self.telling = {k: sum(x[0] != "<" for x in t) >= LEAST_WORDS for t, k in self.templates.items()}
 
@@ -90,14 +91,33 @@ class Index:
         """``(place, template, wording)`` of the windows of ``text`` that items have; -1 for another wording of a template."""
         toks = tokens(text)
         canon = [slot(x, self.names) for x in toks]
-        out = []
+        met: list[tuple[int, int, int]] = []
         for j, t in enumerate(zip(*(canon[k:] for k in range(WINDOW)), strict=False)):
             template = self.templates.get(t)
             if template is not None:
-                wording = self.wordings.get(tuple(toks[j : j + WINDOW]), -1)
-                if wording >= 0 or self.telling[template]:
-                    out.append((j, template, wording))
-        return out
+                met.append((j, template, self.wordings.get(tuple(toks[j : j + WINDOW]), -1)))
+        # a passage holds LEAST_HIT tokens (of a short item, all) in windows near each other, and one of other wording
+        # counts in an unbroken run of as many tokens: what lies alone can't be part of any
+        out, run, near = [], [], []
+        for j, template, wording in met:
+            if run and j != run[-1][0] + 1:
+                out += self._run(run)
+                run = []
+            run.append((j, template, wording))
+            if wording >= 0:
+                if near and j > near[-1][0] + GAP + WINDOW:
+                    out += self._near(near)
+                    near = []
+                near.append((j, template, wording))
+        return out + self._run(run) + self._near(near)
+
+    def _run(self, run: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+        """The windows of other wording in a run without a gap."""
+        return [x for x in run if x[2] < 0 and self.telling[x[1]]] if len(run) + WINDOW > LEAST_HIT else []
+
+    def _near(self, near: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+        """The windows of an item's wording that lie close enough for a passage."""
+        return near if len(near) * WINDOW >= self.least else []
 
     def judge(self, no: int, hits: list[tuple[int, int, bool]]) -> tuple[float, str]:
         """Share of item ``no``'s own wording that ``hits`` (place in the document, in the item, same wording) hold, and how."""
