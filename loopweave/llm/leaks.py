@@ -1,14 +1,15 @@
 """Problem 6: evaluation texts inside training text.
 
 Items and documents are canonicalised alike: lower case, invisible characters dropped, punctuation and layout ignored,
-numbers, names and units turned into typed slots. The template windows of the items (three canonical tokens, whose
-dictionary every task holds) number the windows of the documents, and a hash join on these numbers brings together what
-has the same template, whatever the slots hold. The hits of a document and an item are then read in order: those that run
-along in both texts (with at most a few changed words between them) form passages. Where the slots hold the item's own
-values, the share of the item's own wording that lies in passages decides on a leak. Where they don't, a passage is only
-of the same template: if as much of the item is met that way, the pair is a re-parameterised question and reported as
-such. A passage of plain words, without any slot, counts if most of it stands in windows that no other item has. An item
-of fewer tokens than a window has none, and is found nowhere.
+numbers, names and units turned into typed slots. Windows are looked at twice: by wording (three tokens) and as templates
+(five canonical tokens). The items' windows, whose dictionary every task holds, number the windows of the documents, and
+a hash join on these numbers brings together what has the same wording, or the same template whatever the slots hold. The
+hits of a document and an item are then read in order: those that run along in both texts (with at most a few changed
+words between them) form passages. Where the slots hold the item's own values, the share of the item's own wording that
+lies in passages decides on a leak. Where they don't, a passage is only of the same template: if as much of the item is
+met that way, the pair is a re-parameterised question and reported as such. A passage of plain words, without any slot,
+counts if most of it stands in windows that no other item has. An item of fewer tokens than a window has none, and is
+found nowhere.
 
 The items are the stated query set, read in blocks of :data:`BLOCK`. Of the documents nothing is shuffled but the hits.
 """
@@ -25,7 +26,8 @@ from pyspark.sql import functions as F
 
 #: Items whose windows one pass over the documents holds; at some 200 windows an item well under 200 MB.
 BLOCK = 5000
-WINDOW = 3
+#: Tokens of a window by wording, and of a template window, most of which must be words.
+WINDOW, TEMPLATE, LEAST_WORDS = 3, 5, 3
 #: Tokens that may lie between two hits of one passage.
 GAP = 7
 #: Hit tokens that a passage needs; of a shorter item, all.
@@ -34,8 +36,6 @@ LEAST_HIT = 7
 OWN = 0.5
 #: Share of a passage's slots that must hold the item's values; with others the sentence is only of the same template.
 CONSISTENT = 0.5
-#: Words that a template window needs to count with other values in its slots.
-LEAST_WORDS = 2
 #: Share of the own wording from which an item counts as leaked: about two fifths.
 SHARE = 0.4
 
@@ -67,7 +67,7 @@ class Index:
         self.names = frozenset(x.lower() for _, t in items for x in NAME.findall(INVISIBLE.sub("", t)))
         self.templates: dict[tuple, int] = {}
         self.wordings: dict[tuple, int] = {}
-        self.rows: list[tuple[int, int, int, int]] = []  # template, wording, item, place
+        self.rows: list[tuple[int, int, int]] = []  # number of the window (a template's is below 0), item, place
         self.length: dict[int, int] = {}
         self.slots: dict[int, list[bool]] = {}
         self.common: dict[int, set[int]] = {}
@@ -79,58 +79,66 @@ class Index:
             ideographs = sum(map(bool, map(_IDEOGRAPH.match, toks))) > len(toks) / 2
             self.slots[no] = [a != b or ideographs and a.isascii() and a != "\0" for a, b in zip(toks, canon, strict=True)]
             self.common[no] = {i for i in range(len(toks) - WINDOW + 1) if tuple(toks[i : i + WINDOW]) in common}
-            for i in range(len(toks) - WINDOW + 1):
-                if "\0" not in toks[i : i + WINDOW]:
-                    t, w = tuple(canon[i : i + WINDOW]), tuple(toks[i : i + WINDOW])
-                    self.rows.append((self.templates.setdefault(t, len(self.templates)), self.wordings.setdefault(w, len(self.wordings)), no, i))
+            for i in range(len(toks)):
+                w, t = tuple(toks[i : i + WINDOW]), tuple(canon[i : i + TEMPLATE])
+                if len(w) == WINDOW and "\0" not in w:
+                    self.rows.append((self.wordings.setdefault(w, len(self.wordings)), no, i))
+                if len(t) == TEMPLATE and "\0" not in t and any(x[0] == "<" for x in t) and sum(x[0] != "<" for x in t) >= LEAST_WORDS:
+                    self.rows.append((self.templates.setdefault(t, -1 - len(self.templates)), no, i))
         self.least = min([LEAST_HIT, *(n for n in self.length.values() if n)])
-        # a template says something by itself if most of it is words
-        self.telling = {k: sum(x[0] != "<" for x in t) >= LEAST_WORDS for t, k in self.templates.items()}
 
-    def windows(self, text: str) -> list[tuple[int, int, int]]:
-        """``(place, template, wording)`` of the windows of ``text`` that items have; -1 for another wording of a template."""
+    def windows(self, text: str) -> list[tuple[int, int]]:
+        """``(place, number)`` of the windows of ``text`` that items have, by wording and, where the wording isn't an item's, as templates.
+
+        A passage holds LEAST_HIT tokens (of a short item, all) in windows near each other, and a template counts in an
+        unbroken run of as many: what lies alone can't be part of any and is left out.
+        """
         toks = tokens(text)
-        canon = [slot(x, self.names) for x in toks]
-        met: list[tuple[int, int, int]] = []
-        for j, t in enumerate(zip(*(canon[k:] for k in range(WINDOW)), strict=False)):
-            template = self.templates.get(t)
-            if template is not None:
-                met.append((j, template, self.wordings.get(tuple(toks[j : j + WINDOW]), -1)))
-        # a passage holds LEAST_HIT tokens (of a short item, all) in windows near each other, and one of other wording
-        # counts in an unbroken run of as many tokens: what lies alone can't be part of any
-        out, run, near = [], [], []
-        for j, template, wording in met:
-            if run and j != run[-1][0] + 1:
-                out += self._run(run)
-                run = []
-            run.append((j, template, wording))
-            if wording >= 0:
+        out, near = [], []
+        held = set()
+        get = self.wordings.get
+        for j, w in enumerate(zip(toks, toks[1:], toks[2:], strict=False)):
+            n = get(w)
+            if n is not None:
                 if near and j > near[-1][0] + GAP + WINDOW:
                     out += self._near(near)
                     near = []
-                near.append((j, template, wording))
-        return out + self._run(run) + self._near(near)
-
-    def _run(self, run: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-        """The windows of other wording in a run without a gap."""
-        return [x for x in run if x[2] < 0 and self.telling[x[1]]] if len(run) + WINDOW > LEAST_HIT else []
-
-    def _near(self, near: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-        """The windows of an item's wording that lie close enough for a passage."""
+                near.append((j, n))
+                held.add(j)
+        out += self._near(near)
+        names = self.names
+        canon = [x if x.isalpha() and x not in names and x not in UNITS else slot(x, names) for x in toks]
+        run = []
+        get = self.templates.get
+        for j, t in enumerate(zip(*(canon[k:] for k in range(TEMPLATE)), strict=False)):
+            n = get(t)
+            if n is not None:
+                if run and j != run[-1][0] + 1:
+                    out += self._run(run, held)
+                    run = []
+                run.append((j, n))
+        return out + self._run(run, held)
+
+    def _near(self, near: list[tuple[int, int]]) -> list[tuple[int, int]]:
         return near if len(near) * WINDOW >= self.least else []
 
+    def _run(self, run: list[tuple[int, int]], held: set[int]) -> list[tuple[int, int]]:
+        if len(run) + TEMPLATE - 1 < LEAST_HIT:
+            return []
+        return [x for x in run if not all(x[0] + k in held for k in range(TEMPLATE - WINDOW + 1))]
+
     def judge(self, no: int, hits: list[tuple[int, int, bool]]) -> tuple[float, str]:
-        """Share of item ``no``'s own wording that ``hits`` (place in the document, in the item, same wording) hold, and how."""
+        """Share of item ``no``'s own wording that ``hits`` (place in the document, in the item, by wording) hold, and how."""
         length = self.length[no]
         if not length:
             return 0.0, LEAK
-        own = self.covered(no, [(j, i) for j, i, same in hits if same], lambda held, slots: sum(k in held for k in slots) >= CONSISTENT * len(slots))
-        share = min(1.0, len(own) / length)
-        if share >= SHARE or len(hits) * WINDOW < SHARE * length:
+        same = [(j, i) for j, i, by in hits if by]
+        share = min(1.0, len(self.covered(no, same, lambda held, slots: sum(k in held for k in slots) >= CONSISTENT * len(slots))) / length)
+        if share >= SHARE or len(same) == len(hits):
             return share, LEAK
-        # the slots of the item that passages of its template run over
-        over = self.covered(no, [(j, i) for j, i, _ in hits], lambda held, slots: bool(slots))
-        return min(1.0, len(over) / length), REPARAMETERISED
+        # a template window is as many windows of the other kind
+        over = {*same, *((j + k, i + k) for j, i, by in hits if not by for k in range(TEMPLATE - WINDOW + 1))}
+        return min(1.0, len(self.covered(no, sorted(over), lambda held, slots: bool(slots))) / length), REPARAMETERISED
 
     def covered(self, no: int, at: list[tuple[int, int]], consistent) -> set[int]:
         """The tokens of item ``no`` that lie in passages which count."""
@@ -222,32 +230,31 @@ def leaks(docs: DataFrame, items: DataFrame, *, doc_col: str = "doc_id", text_co
         part = rows[lo : lo + block]
         common = frozenset(w for _, text in part for w in windows(text, shared) if held[w] > 1)
         index = Index(part, shared, common)
-        telling = [(t, w, no, i, index.telling[t]) for t, w, no, i in index.rows]
         # at most BLOCK items' windows; whether they are sent to every task is left to their size
-        item_windows = spark.createDataFrame(pd.DataFrame(telling, columns=["_template", "_own", "_no", "_i", "_telling"]), "_template int, _own int, _no int, _i int, _telling boolean")
+        item_windows = spark.createDataFrame(pd.DataFrame(index.rows, columns=["_window", "_no", "_i"]), "_window int, _no int, _i int")
 
         def number(batches: Iterator[pd.DataFrame], part: list = part, common: frozenset = common) -> Iterator[pd.DataFrame]:
             index = Index(part, shared, common)
             for pdf in batches:
                 got = [(d, *x) for d, t in zip(pdf["_doc"], pdf["_text"], strict=True) for x in index.windows(t)]
-                yield pd.DataFrame(got, columns=["_doc", "_j", "_template", "_wording"])
+                yield pd.DataFrame(got, columns=["_doc", "_j", "_window"])
 
         def judge(batches: Iterator[pd.DataFrame], part: list = part, common: frozenset = common) -> Iterator[pd.DataFrame]:
             index = Index(part, shared, common)
             for pdf in batches:
                 got = []
                 for d, no, hits in zip(pdf["_doc"], pdf["_no"], pdf["_hits"], strict=True):
-                    s, kind = index.judge(no, sorted({(h["j"], h["i"], h["same"]) for h in hits}))
+                    s, kind = index.judge(no, [(h >> 32, (h >> 1) & 0x7FFFFFFF, bool(h & 1)) for h in sorted(hits.tolist())])
                     if s >= share:
                         got.append((d, part[no][0], s, kind))
                 yield pd.DataFrame(got, columns=["_doc", "_item", "share", "kind"])
 
-        # fewer hits than this can't reach the share in tokens
-        need = spark.createDataFrame([(no, max(1, int(share * n / WINDOW))) for no, n in index.length.items()], "_no int, _need int")
-        hits = df.mapInPandas(number, f"_doc {doc_type}, _j int, _template int, _wording int")
-        same = F.col("_wording") == F.col("_own")
-        met = hits.join(item_windows, "_template").where(same | F.col("_telling"))
-        met = met.groupBy("_doc", "_no").agg(F.collect_set(F.struct(F.col("_j").alias("j"), F.col("_i").alias("i"), same.alias("same"))).alias("_hits"))
+        # fewer hits than this can't reach the share: one lies at most GAP + WINDOW tokens behind the one before
+        need = spark.createDataFrame([(no, int(share * n) // (GAP + WINDOW)) for no, n in index.length.items()], "_no int, _need int")
+        hits = df.mapInPandas(number, f"_doc {doc_type}, _j int, _window int")
+        # place in the document, in the item, and whether by wording, in one number
+        packed = F.shiftleft(F.col("_j").cast("bigint"), 32) + F.shiftleft(F.col("_i").cast("bigint"), 1) + (F.col("_window") >= 0).cast("bigint")
+        met = hits.join(item_windows, "_window").groupBy("_doc", "_no").agg(F.collect_set(packed).alias("_hits"))
         met = met.join(F.broadcast(need), "_no").where(F.size("_hits") >= F.col("_need")).select("_doc", "_no", "_hits")
         out = out.unionByName(met.mapInPandas(judge, schema))
     best = F.max(F.struct(F.col("kind") == LEAK, "share", "kind")).alias("_b")
