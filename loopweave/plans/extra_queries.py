@@ -20,7 +20,6 @@ QUERIES_BY_TYPE = {
     "transitive": ("how to break a transitive dependency chain", "dependency inversion for the weakest edge of a chain"),
     "star": ("how to split a hub module", "mediator for modules around a hub"),
 }
-STRATEGY_CONFIDENCE = {"parameter_injection": 0.9, "lazy_import": 0.85, "callback": 0.8, "interface_extraction": 0.6}
 
 
 def _raw_files(spark: SparkSession, sf: str) -> DataFrame:
@@ -114,22 +113,6 @@ def x18_type_references(spark: SparkSession, sf: str) -> DataFrame:
     return words.join(types, ["cycle_id", "name"]).where("file_id <> _def").select("cycle_id", "file_id", "name").distinct()
 
 
-def x20_locations(spark: SparkSession, sf: str) -> DataFrame:
-    """Where a patched text departs from its original: the first line that differs, from 1."""
-    p = _raw_patches(spark, sf).where("patched <> '' and original <> ''")
-    z = F.zip_with(F.split("original", "\n"), F.split("patched", "\n"), lambda a, b: F.coalesce(a == b, F.lit(False)))
-    at = F.array_position(z, F.lit(False)).cast("int")
-    return project(p, "patch_id", "patch_id", at.alias("line")).where("line > 0")
-
-
-def x21_change_label(spark: SparkSession, sf: str) -> DataFrame:
-    """What a patch is about, by its import lines and length."""
-    p = _raw_patches(spark, sf).where("patched <> '' and original <> patched")
-    a, b = F.size(t.imports(F.col("original"), F.col("ext"))), F.size(t.imports(F.col("patched"), F.col("ext")))
-    label = F.when(b < a, "removes imports").when(b > a, "adds imports").when(F.length("patched") > F.length("original"), "adds code").otherwise("changes code")
-    return project(p, "patch_id", "patch_id", label.alias("label")).groupBy("label").agg(F.count("*").alias("patches"))
-
-
 def x36_pattern(spark: SparkSession, sf: str) -> DataFrame:
     """What dominates a cycle: interfaces, inheritance or neither, judged file by file."""
     f = _raw_files(spark, sf)
@@ -146,18 +129,6 @@ def x37_queries(spark: SparkSession, sf: str) -> DataFrame:
     return _jobs(spark, sf).select("cycle_id", F.posexplode(F.element_at(table, kind)).alias("pos", "query"))
 
 
-def x42_line_hints(spark: SparkSession, sf: str) -> DataFrame:
-    """The line that an answer names first."""
-    hint = F.regexp_extract("raw_llm_response", r"(?i)\blines?\s+(\d+)", 1)
-    return _diffs(spark, sf).select("diff_id", F.try_to_number(F.nullif(hint, F.lit("")), F.lit("999999")).cast("int").alias("line")).where("line is not null")
-
-
-def x46_appended(spark: SparkSession, sf: str) -> DataFrame:
-    """A header and a footer put around each file, line ends made one."""
-    body = F.regexp_replace(t.lf(F.col("content")), r"\n+$", "")
-    return project(_raw_files(spark, sf).where("content <> ''"), "file_id", "file_id", F.md5(F.concat(F.lit("// begin\n"), body, F.lit("\n// end\n"))).alias("digest"))
-
-
 def x50_methods(spark: SparkSession, sf: str) -> DataFrame:
     """Methods that a file declares, by language."""
     c = F.coalesce("content", F.lit(""))
@@ -176,41 +147,6 @@ def x52_weakest_edge(spark: SparkSession, sf: str) -> DataFrame:
     return j.groupBy("cycle_id").agg(F.min(F.struct("weight", "pos", "src", "dst")).alias("m")).select("cycle_id", "m.src", "m.dst", "m.weight")
 
 
-def y3_fenced(spark: SparkSession, sf: str) -> DataFrame:
-    """Patched texts that stand in a code fence."""
-    return project(_raw_patches(spark, sf).where(F.col("patched").rlike(r"^\s*```[\w+-]*[ \t]*\r?\n")), "patch_id", "patch_id")
-
-
-def y11_confidence(spark: SparkSession, sf: str) -> DataFrame:
-    """The confidence that a minimal diff's strategy gives it, less where it failed."""
-    m = F.create_map(*[F.lit(x) for kv in STRATEGY_CONFIDENCE.items() for x in kv])
-    s = h.strategy_name(F.col("strategy"))
-    c = F.coalesce(F.try_element_at(m, s), F.lit(0.5)) * F.when(F.coalesce("success", F.lit(False)), 1.0).otherwise(0.7)
-    return _diffs(spark, sf).select("diff_id", F.round(c, 4).alias("confidence"))
-
-
-def y13_fields(spark: SparkSession, sf: str) -> DataFrame:
-    """The explanation field of answers that are JSON by themselves."""
-    a = once(load(spark, sf, "proposals", "proposal_id", "llm_response"), "proposal_id").where("llm_response like '{%'")
-    v = F.try_parse_json("llm_response")
-    return a.select("proposal_id", F.try_variant_get(v, "$.rationale", "string").alias("rationale")).where("rationale is not null")
-
-
-def y17_first_text(spark: SparkSession, sf: str) -> DataFrame:
-    """An answer's text by the first column that has one."""
-    p = once(load(spark, sf, "proposals", "proposal_id", "llm_response", "rationale", "prompt"), "proposal_id")
-    first = F.coalesce(F.nullif("llm_response", F.lit("")), F.nullif("rationale", F.lit("")), F.col("prompt"))
-    return p.select("proposal_id", F.length(first).alias("chars"))
-
-
-def y27_context(spark: SparkSession, sf: str) -> DataFrame:
-    """Three lines around the first line that names a class, for each file."""
-    f = _raw_files(spark, sf).where("content is not null").select("file_id", F.split("content", "\n").alias("l"))
-    at = F.array_position(F.transform("l", lambda x: x.rlike(r"\bclass [A-Z]")), F.lit(True)).cast("int")
-    lo = F.greatest(at - 3, F.lit(1))
-    return project(f.where(at > 0), "file_id", "file_id", F.md5(F.array_join(F.slice("l", lo, at + 3 - lo + 1), "\n")).alias("digest"))
-
-
 def a14_confidence(spark: SparkSession, sf: str) -> DataFrame:
     """Mean confidence per cycle, less a tenth for each warning, within 0 and 1."""
     p = _patches(spark, sf, "patch_id", "cycle_id", "confidence", "warnings").groupBy("cycle_id").agg(F.avg("confidence").alias("m"), F.sum(F.size(F.coalesce("warnings", F.array().cast("array<string>")))).alias("w"))
@@ -283,12 +219,6 @@ def j14_effective_files(spark: SparkSession, sf: str) -> DataFrame:
     return f.join(p, ["cycle_id", "path"], "left").select("file_id", F.coalesce("chars", "own").alias("chars"), F.col("chars").isNotNull().alias("is_patched"))
 
 
-def j18_valid_targets(spark: SparkSession, sf: str) -> DataFrame:
-    """Minimal diffs whose target edge the job has."""
-    e = g.distinct_edges(g.job_edges(_jobs(spark, sf)), "cycle_id").select("cycle_id", F.col("src").alias("target_src"), F.col("dst").alias("target_dst"))
-    return _diffs(spark, sf).join(e, ["cycle_id", "target_src", "target_dst"], "left_semi").select("diff_id")
-
-
 def k9_report(spark: SparkSession, sf: str) -> DataFrame:
     """A Markdown summary of each job: nodes, severity, score."""
     sev = F.coalesce(F.nullif(F.lower("severity"), F.lit("")), F.lit("unknown"))
@@ -302,12 +232,6 @@ def k12_json(spark: SparkSession, sf: str) -> DataFrame:
     return p.select("project", F.to_json(F.struct("project", "main_ext", "layers")).alias("json"))
 
 
-def m21_diff_summary(spark: SparkSession, sf: str) -> DataFrame:
-    """Minimal diffs by strategy: how many, how many succeeded, what remains."""
-    d = _diffs(spark, sf)
-    return d.groupBy(h.strategy_name(F.col("strategy")).alias("strategy")).agg(F.count("*").alias("diffs"), F.sum(F.when(F.col("success"), 1).otherwise(0)).alias("succeeded"), F.sum(F.when(F.coalesce(F.col("remaining_cycle"), F.lit("")) != "", 1).otherwise(0)).alias("with_rest"))
-
-
 def m7_turns(spark: SparkSession, sf: str) -> DataFrame:
     """Patches of a cycle in order with the paths changed before them."""
     w = W.partitionBy("cycle_id").orderBy("iteration", "patch_id").rowsBetween(W.unboundedPreceding, -1)
@@ -336,18 +260,10 @@ def f12_truncated_jobs(spark: SparkSession, sf: str) -> DataFrame:
     return f.where("cut >= 0.5 * n").select("cycle_id", "cut")
 
 
-def f16_formats(spark: SparkSession, sf: str) -> DataFrame:
-    """The layout of each answer."""
-    p = once(load(spark, sf, "proposals", "proposal_id", "llm_response"), "proposal_id")
-    a = F.trim(F.coalesce("llm_response", F.lit("")))
-    kind = F.when(a == "", "none").when(a.contains("<<<<<<< SEARCH"), "blocks").when(a.startswith("{"), "json").when(a.contains("```json"), "fenced json").when(a.rlike(r"(?m)^STRATEGY:"), "keywords").otherwise("prose")
-    return p.groupBy(kind.alias("layout")).agg(F.count("*").alias("answers"))
-
-
 QUERIES = {f.__name__: f for f in (
-    s9_materialised, f4_internal_edges, adj_hotspot, x4_introduced, x5_confidence, x7_indent, x8_line_ends, x18_type_references, x20_locations, x21_change_label, x36_pattern, x37_queries, x42_line_hints, x46_appended,
-    x50_methods, x52_weakest_edge, y3_fenced, y11_confidence, y13_fields, y17_first_text, y27_context, a14_confidence, a17_issues, a19_ledger, w4_parts, w10_call_blocks, u4_missing_types, u5_issue_union, u6_repeated_reverts,
-    j9_reverted_files, j14_effective_files, j18_valid_targets, k9_report, k12_json, m21_diff_summary, m7_turns, m20_without_cycle, f11_content_checks, f12_truncated_jobs, f16_formats,
+    s9_materialised, f4_internal_edges, adj_hotspot, x4_introduced, x5_confidence, x7_indent, x8_line_ends, x18_type_references, x36_pattern, x37_queries, 
+    x50_methods, x52_weakest_edge, a14_confidence, a17_issues, a19_ledger, w4_parts, w10_call_blocks, u4_missing_types, u5_issue_union, u6_repeated_reverts,
+    j9_reverted_files, j14_effective_files, k9_report, k12_json, m7_turns, m20_without_cycle, f11_content_checks, f12_truncated_jobs, 
 )}
 QUERIES["load_counts"] = load_counts
 
@@ -395,20 +311,11 @@ SQL = {
     "x7_indent": f"WITH {_F} SELECT coalesce(list_min([length(regexp_extract(x, '^( *)', 1)) for x in string_split(content, chr(10)) if trim(x) <> '']), 0)::INT AS indent, count(*) AS files FROM f WHERE content <> '' GROUP BY 1",
     "x8_line_ends": r"WITH " + _F + r" SELECT file_id, md5(regexp_replace(content, '\r\n?', chr(10), 'g')) AS digest, ((length(content) - length(replace(content, chr(13) || chr(10), ''))) // 2)::INT AS crlf FROM f WHERE content IS NOT NULL",
     "x18_type_references": r"WITH " + _F + r", t AS (SELECT cycle_id, file_id AS d, unnest(" + _TYPES.replace("{c}", "c") + r") AS name FROM f), w AS (SELECT DISTINCT cycle_id, file_id, unnest(regexp_extract_all(c, '\b[A-Z][A-Za-z0-9_]*')) AS name FROM f) SELECT DISTINCT w.* FROM w JOIN t USING (cycle_id, name) WHERE file_id <> d",
-    "x20_locations": f"WITH {_P}, q AS (SELECT patch_id, string_split(original, chr(10)) AS a, string_split(patched, chr(10)) AS b FROM p WHERE patched <> '' AND original <> '') SELECT patch_id, list_min([i for i in range(1, greatest(len(a), len(b)) + 1) if coalesce(a[i] <> b[i], true)])::INT AS line FROM q WHERE line > 0",
-    "x21_change_label": f"WITH {_P}, q AS (SELECT len({_sql_imports('original')}) AS a, len({_sql_imports('patched')}) AS b, length(original) AS x, length(patched) AS y FROM p WHERE patched <> '' AND original <> patched) SELECT CASE WHEN b < a THEN 'removes imports' WHEN b > a THEN 'adds imports' WHEN y > x THEN 'adds code' ELSE 'changes code' END AS label, count(*) AS patches FROM q GROUP BY 1",
     "x36_pattern": f"WITH {_F} SELECT cycle_id, CASE WHEN bool_or(regexp_matches(c, '{INTERFACE}')) THEN 'interface' WHEN bool_or(regexp_matches(c, '{INHERITS}')) THEN 'inheritance' ELSE 'plain' END AS pattern FROM f GROUP BY 1",
     "x37_queries": f"WITH {_J}, q AS (SELECT cycle_id, CASE WHEN len(graph.nodes) = 2 THEN {list(QUERIES_BY_TYPE['bidirectional'])} WHEN len(graph.nodes) <= 4 THEN {list(QUERIES_BY_TYPE['transitive'])} WHEN len(graph.edges) > 1.5 * len(graph.nodes) THEN {list(QUERIES_BY_TYPE['star'])} ELSE {list(QUERIES_BY_TYPE['transitive'])} END AS x FROM j) SELECT cycle_id, (i - 1)::INT AS pos, x[i] AS query FROM q, unnest(range(1, 3)) u(i)",
-    "x42_line_hints": rf"WITH {_D} SELECT diff_id, try_cast(nullif(regexp_extract(raw, '(?i)\blines?\s+(\d+)', 1), '') AS INT) AS line FROM d WHERE line IS NOT NULL",
-    "x46_appended": r"WITH " + _F + r" SELECT file_id, md5('// begin' || chr(10) || regexp_replace(regexp_replace(content, '\r\n?', chr(10), 'g'), '\n+$', '') || chr(10) || '// end' || chr(10)) AS digest FROM f WHERE content <> ''",
     "x50_methods": r"WITH " + _F + r""" SELECT file_id, len(list_distinct(CASE WHEN ext = 'py' THEN regexp_extract_all(c, '(?m)^[ \t]+def[ \t]+(\w+)[ \t]*\(', 1) WHEN ext IN ('cs', 'java') THEN regexp_extract_all(c, '(?m)^[ \t]+public[ \t]+(?:static[ \t]+)?[\w<>\[\]]+[ \t]+(\w+)[ \t]*\(', 1)
         WHEN ext IN ('ts', 'js', 'mjs') THEN regexp_extract_all(c, '(?m)^  (\w+)\([^()\n]*\)(?:: [^{\n]+)? \{', 1) ELSE [] END))::INT AS methods FROM f""",
     "x52_weakest_edge": f"WITH {_E}, w AS (SELECT cycle_id, src, dst, count(*)::DOUBLE AS weight FROM e0 GROUP BY 1, 2, 3), ring AS (SELECT cycle_id, i AS pos, graph.nodes[i] AS src, graph.nodes[i % len(graph.nodes) + 1] AS dst FROM j, unnest(range(1, len(graph.nodes) + 1)) u(i)), q AS (SELECT ring.*, coalesce(weight, 1.0) AS weight FROM ring LEFT JOIN w USING (cycle_id, src, dst)) SELECT cycle_id, arg_min(src, (weight, pos)) AS src, arg_min(dst, (weight, pos)) AS dst, min(weight) AS weight FROM q GROUP BY 1",
-    "y3_fenced": rf"WITH {_P} SELECT patch_id FROM p WHERE regexp_matches(patched, '^\s*```[\w+-]*[ \t]*\r?\n')",
-    "y11_confidence": f"WITH {_D} SELECT diff_id, round((CASE st " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in STRATEGY_CONFIDENCE.items()) + " ELSE 0.5 END * CASE WHEN success THEN 1.0 ELSE 0.7 END)::DOUBLE, 4) AS confidence FROM d",
-    "y13_fields": "WITH p AS (SELECT proposal_id, any_value(llm_response) AS a FROM proposals GROUP BY 1) SELECT proposal_id, a->>'$.rationale' AS rationale FROM p WHERE starts_with(a, '{') AND json_valid(a) AND rationale IS NOT NULL",
-    "y17_first_text": "WITH p AS (SELECT proposal_id, any_value(llm_response) AS a, any_value(rationale) AS b, any_value(prompt) AS c FROM proposals GROUP BY 1) SELECT proposal_id, length(coalesce(nullif(a, ''), nullif(b, ''), c))::INT AS chars FROM p",
-    "y27_context": rf"WITH {_F}, q AS (SELECT file_id, string_split(content, chr(10)) AS l FROM f WHERE content IS NOT NULL), r AS (SELECT *, list_min([i for i in range(1, len(l) + 1) if regexp_matches(l[i], '\bclass [A-Z]')]) AS p0 FROM q) SELECT file_id, md5(array_to_string(l[greatest(p0 - 3, 1):p0 + 3], chr(10))) AS digest FROM r WHERE p0 > 0",
     "a14_confidence": f"WITH {_P} SELECT cycle_id, round(greatest(0.0, least(1.0, coalesce(avg(confidence), 0) - 0.1 * sum(len(coalesce(warnings, [])))))::DOUBLE, 6) AS confidence FROM p GROUP BY 1",
     "a17_issues": f"WITH {_P}, i AS (SELECT 'reverted' AS issue FROM p WHERE status = 'reverted' UNION ALL SELECT 'empty' FROM p WHERE coalesce(patched, '') = '' UNION ALL SELECT 'unchanged' FROM p WHERE patched <> '' AND patched = coalesce(original, '') UNION ALL SELECT lower(unnest(vi)) FROM p) SELECT issue, count(*) AS patches FROM i GROUP BY 1",
     "a19_ledger": f"WITH {_F} SELECT cycle_id, sum({_TOK})::BIGINT AS used, greatest(0, 4000 - sum({_TOK}))::BIGINT AS remaining FROM f GROUP BY 1",
@@ -419,13 +326,10 @@ SQL = {
     "u6_repeated_reverts": f"WITH {_P} SELECT cycle_id, path, count(*) AS times FROM p WHERE status = 'reverted' GROUP BY 1, 2 HAVING count(*) > 1",
     "j9_reverted_files": rf"WITH {_F}, b AS (SELECT DISTINCT cycle_id, lower(regexp_extract(cp, '([^/]*)$', 1)) AS b FROM f WHERE path IS NOT NULL), p AS (SELECT proposal_id, any_value(cycle_id) AS cycle_id, any_value(reverted_files) AS r FROM proposals GROUP BY 1), x AS (SELECT proposal_id, cycle_id, unnest(r, recursive := true) FROM p) SELECT proposal_id, path, reason FROM x WHERE EXISTS (SELECT 1 FROM b WHERE b.cycle_id = x.cycle_id AND b.b = lower(regexp_extract(replace(x.path, '\', '/'), '([^/]*)$', 1)))",
     "j14_effective_files": f"WITH {_P}, {_F}, n AS (SELECT cycle_id, path, arg_max(patched, (iteration, patch_id)) AS patched FROM p WHERE patched <> '' AND status IN ('applied', 'partial') GROUP BY 1, 2) SELECT file_id, length(coalesce(n.patched, content))::INT AS chars, n.patched IS NOT NULL AS is_patched FROM f LEFT JOIN n ON n.cycle_id = f.cycle_id AND n.path = f.path",
-    "j18_valid_targets": f"WITH {_E}, {_D} SELECT diff_id FROM d WHERE EXISTS (SELECT 1 FROM e WHERE e.cycle_id = d.cycle_id AND src = target_src AND dst = target_dst)",
     "k9_report": f"WITH {_J} SELECT cycle_id, concat_ws(chr(10), '# ' || cycle_id, '- modules: ' || array_to_string(graph.nodes[:4], ' -> ') || CASE WHEN len(graph.nodes) > 4 THEN ' ... (' || len(graph.nodes) || ' total)' ELSE '' END, '- severity: ' || coalesce(nullif(lower(severity), ''), 'unknown'), CASE WHEN impact_score IS NOT NULL THEN '- scored' END) AS report FROM j",
     "k12_json": "SELECT project, '{\"project\":\"' || project || '\",\"main_ext\":\"' || main_ext || '\",\"layers\":[' || array_to_string(['\"' || x || '\"' for x in layers], ',') || ']}' AS json FROM projects",
-    "m21_diff_summary": f"WITH {_D} SELECT st AS strategy, count(*) AS diffs, count(*) FILTER (success) AS succeeded, count(*) FILTER (coalesce(rest, '') <> '') AS with_rest FROM d GROUP BY 1",
     "m7_turns": f"WITH {_P} SELECT patch_id, coalesce(len(list_distinct(list(path) OVER (PARTITION BY cycle_id ORDER BY iteration, patch_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))), 0)::INT AS changed_before FROM p WHERE cycle_id IS NOT NULL",
     "m20_without_cycle": "WITH a AS (SELECT attempt_id, any_value(cycle_id) AS cycle_id, any_value(project) AS project FROM attempts GROUP BY 1) SELECT project, count(*) AS attempts FROM a WHERE cycle_id <> (SELECT min(cycle_id) FROM a) GROUP BY 1",
     "f11_content_checks": rf"WITH {_F} SELECT coalesce(CASE WHEN c = '' THEN 'empty' WHEN length(trim(c)) < 20 THEN 'short' WHEN NOT (CASE WHEN ext = 'cs' THEN regexp_matches(c, '\b(namespace|class|interface|struct|enum|record)\b') WHEN ext = 'java' THEN regexp_matches(c, '\b(class|interface|enum|record)\b') WHEN ext = 'py' THEN regexp_matches(c, '\b(def|class|import)\b|=') ELSE true END) THEN 'missing construct' WHEN {_note('c')} IS NOT NULL THEN 'looks cut' END, 'fine') AS note, count(*) AS files FROM f GROUP BY 1",
     "f12_truncated_jobs": f"WITH {_F}, q AS (SELECT cycle_id, count(*) AS n, count({_note('content')}) AS cut FROM f GROUP BY 1) SELECT cycle_id, cut FROM q WHERE cut >= 0.5 * n",
-    "f16_formats": "WITH p AS (SELECT proposal_id, trim(coalesce(any_value(llm_response), '')) AS a FROM proposals GROUP BY 1) SELECT CASE WHEN a = '' THEN 'none' WHEN contains(a, '<<<<<<< SEARCH') THEN 'blocks' WHEN starts_with(a, '{') THEN 'json' WHEN contains(a, '```json') THEN 'fenced json' WHEN regexp_matches(a, '(?m)^STRATEGY:') THEN 'keywords' ELSE 'prose' END AS layout, count(*) AS answers FROM p GROUP BY 1",
 }
