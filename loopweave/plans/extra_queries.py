@@ -70,12 +70,6 @@ def f4_internal_edges(spark: SparkSession, sf: str) -> DataFrame:
     return e.join(declared, ["cycle_id", "dst"], "left_semi").select("cycle_id", "src", "dst")
 
 
-def adj_hotspot(spark: SparkSession, sf: str) -> DataFrame:
-    """Each job's node with the most connections, the first in name among equals."""
-    d = g.degrees(g.job_edges(_jobs(spark, sf)), "cycle_id").withColumn("n", F.col("in_degree") + F.col("out_degree"))
-    return d.groupBy("cycle_id").agg(F.min(F.struct((-F.col("n")).alias("k"), "node")).alias("m")).select("cycle_id", F.col("m.node").alias("node"), (-F.col("m.k")).alias("connections"))
-
-
 def x4_introduced(spark: SparkSession, sf: str) -> DataFrame:
     """Brackets that a patch leaves worse than it found them."""
     each = []
@@ -113,22 +107,6 @@ def x18_type_references(spark: SparkSession, sf: str) -> DataFrame:
     return words.join(types, ["cycle_id", "name"]).where("file_id <> _def").select("cycle_id", "file_id", "name").distinct()
 
 
-def x36_pattern(spark: SparkSession, sf: str) -> DataFrame:
-    """What dominates a cycle: interfaces, inheritance or neither, judged file by file."""
-    f = _raw_files(spark, sf)
-    c = F.coalesce("content", F.lit(""))
-    q = f.groupBy("cycle_id").agg(F.max(c.rlike(INTERFACE)).alias("i"), F.max(c.rlike(INHERITS)).alias("h"))
-    return q.select("cycle_id", F.when(F.col("i"), "interface").when(F.col("h"), "inheritance").otherwise("plain").alias("pattern"))
-
-
-def x37_queries(spark: SparkSession, sf: str) -> DataFrame:
-    """Search texts for each job by its type, in order."""
-    n, e = F.size("graph.nodes"), F.size("graph.edges")
-    kind = F.when(n == 2, "bidirectional").when(n <= 4, "transitive").when(e > 1.5 * n, "star").otherwise("transitive")
-    table = F.create_map(*[x for k, v in QUERIES_BY_TYPE.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
-    return _jobs(spark, sf).select("cycle_id", F.posexplode(F.element_at(table, kind)).alias("pos", "query"))
-
-
 def x50_methods(spark: SparkSession, sf: str) -> DataFrame:
     """Methods that a file declares, by language."""
     c = F.coalesce("content", F.lit(""))
@@ -147,12 +125,6 @@ def x52_weakest_edge(spark: SparkSession, sf: str) -> DataFrame:
     return j.groupBy("cycle_id").agg(F.min(F.struct("weight", "pos", "src", "dst")).alias("m")).select("cycle_id", "m.src", "m.dst", "m.weight")
 
 
-def a14_confidence(spark: SparkSession, sf: str) -> DataFrame:
-    """Mean confidence per cycle, less a tenth for each warning, within 0 and 1."""
-    p = _patches(spark, sf, "patch_id", "cycle_id", "confidence", "warnings").groupBy("cycle_id").agg(F.avg("confidence").alias("m"), F.sum(F.size(F.coalesce("warnings", F.array().cast("array<string>")))).alias("w"))
-    return p.select("cycle_id", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("m", F.lit(0.0)) - 0.1 * F.col("w"))), 6).alias("confidence"))
-
-
 def a17_issues(spark: SparkSession, sf: str) -> DataFrame:
     """All issues of patches: reverted, empty, unchanged, or found by the validator."""
     same = F.coalesce(F.col("patched"), F.lit("")) == F.coalesce(F.col("original"), F.lit(""))
@@ -168,13 +140,6 @@ def a19_ledger(spark: SparkSession, sf: str) -> DataFrame:
     return _files(spark, sf, "file_id", "cycle_id", n.alias("n")).groupBy("cycle_id").agg(F.sum("n").alias("used")).select("cycle_id", "used", F.greatest(F.lit(0), 4000 - F.col("used")).alias("remaining"))
 
 
-def w4_parts(spark: SparkSession, sf: str) -> DataFrame:
-    """Paragraphs of each document until 500 characters are passed; the one that passes is kept."""
-    d = load(spark, sf, "documents", "doc_id", "text").select("doc_id", F.posexplode(F.split("text", "\n\n")).alias("pos", "part"))
-    before = F.coalesce(F.sum(F.length("part")).over(W.partitionBy("doc_id").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return d.withColumn("before", before).where("before <= 500").groupBy("doc_id").agg(F.count("*").alias("parts"), F.sum(F.length("part")).alias("chars"))
-
-
 def w10_call_blocks(spark: SparkSession, sf: str) -> DataFrame:
     """The three newest proposals of each cycle, in their order."""
     p = once(load(spark, sf, "proposals", "proposal_id", "cycle_id", "iteration"), "proposal_id")
@@ -182,15 +147,6 @@ def w10_call_blocks(spark: SparkSession, sf: str) -> DataFrame:
     return p.withColumn("position", F.row_number().over(w)).where("position <= 3").select("cycle_id", "proposal_id", "position")
 
 
-def u4_missing_types(spark: SparkSession, sf: str) -> DataFrame:
-    """Types that a patched text makes or extends and neither it nor any file of its cycle defines."""
-    rx = F.lit(r"\b(?:new|extends|implements)\s+([A-Z]\w*)")
-    names = F.array_except(F.regexp_extract_all("patched", rx, F.lit(1)), t.defined_types(F.col("patched")))
-    ref = project(_raw_patches(spark, sf).where("patched <> ''"), "patch_id", "patch_id", "cycle_id", names.alias("n")).select("patch_id", "cycle_id", F.explode("n").alias("name"))
-    defined = _raw_files(spark, sf).select("cycle_id", F.explode(t.defined_types(F.col("content"))).alias("name")).distinct()
-    return ref.join(defined, ["cycle_id", "name"], "left_anti").select("patch_id", "name")
-
-
 def u5_issue_union(spark: SparkSession, sf: str) -> DataFrame:
     """Issues of patches and of attempts together, by kind."""
     a = once(load(spark, sf, "attempts", "attempt_id", "issue_types"), "attempt_id").select(F.explode("issue_types").alias("i"))
@@ -219,19 +175,6 @@ def j14_effective_files(spark: SparkSession, sf: str) -> DataFrame:
     return f.join(p, ["cycle_id", "path"], "left").select("file_id", F.coalesce("chars", "own").alias("chars"), F.col("chars").isNotNull().alias("is_patched"))
 
 
-def k9_report(spark: SparkSession, sf: str) -> DataFrame:
-    """A Markdown summary of each job: nodes, severity, score."""
-    sev = F.coalesce(F.nullif(F.lower("severity"), F.lit("")), F.lit("unknown"))
-    text = F.concat_ws("\n", F.concat(F.lit("# "), F.col("cycle_id")), F.concat(F.lit("- modules: "), r.listing(F.col("graph.nodes"))), F.concat(F.lit("- severity: "), sev), F.when(F.col("impact_score").isNotNull(), F.lit("- scored")))
-    return _jobs(spark, sf).select("cycle_id", text.alias("report"))
-
-
-def k12_json(spark: SparkSession, sf: str) -> DataFrame:
-    """Projects as JSON objects."""
-    p = load(spark, sf, "projects", "project", "main_ext", "layers")
-    return p.select("project", F.to_json(F.struct("project", "main_ext", "layers")).alias("json"))
-
-
 def m7_turns(spark: SparkSession, sf: str) -> DataFrame:
     """Patches of a cycle in order with the paths changed before them."""
     w = W.partitionBy("cycle_id").orderBy("iteration", "patch_id").rowsBetween(W.unboundedPreceding, -1)
@@ -261,9 +204,9 @@ def f12_truncated_jobs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    s9_materialised, f4_internal_edges, adj_hotspot, x4_introduced, x5_confidence, x7_indent, x8_line_ends, x18_type_references, x36_pattern, x37_queries, 
-    x50_methods, x52_weakest_edge, a14_confidence, a17_issues, a19_ledger, w4_parts, w10_call_blocks, u4_missing_types, u5_issue_union, u6_repeated_reverts,
-    j9_reverted_files, j14_effective_files, k9_report, k12_json, m7_turns, m20_without_cycle, f11_content_checks, f12_truncated_jobs, 
+    s9_materialised, f4_internal_edges, x4_introduced, x5_confidence, x7_indent, x8_line_ends, x18_type_references, 
+    x50_methods, x52_weakest_edge, a17_issues, a19_ledger, w10_call_blocks, u5_issue_union, u6_repeated_reverts,
+    j9_reverted_files, j14_effective_files, m7_turns, m20_without_cycle, f11_content_checks, f12_truncated_jobs, 
 )}
 QUERIES["load_counts"] = load_counts
 
@@ -305,29 +248,21 @@ SQL = {
     "s9_materialised": f"WITH {_J}, {_F}, n AS (SELECT cycle_id, (i - 1)::INT AS pos, graph.nodes[i] AS node FROM j, unnest(range(1, len(graph.nodes) + 1)) u(i)), s AS (SELECT cycle_id, {_STEM} AS stem, sum(length(content)) AS n FROM f GROUP BY 1, 2) SELECT n.cycle_id, pos, node, coalesce(s.n, 0)::BIGINT AS chars FROM n LEFT JOIN s ON s.cycle_id = n.cycle_id AND stem = lower(node)",
     "load_counts": f"WITH {_F} SELECT cycle_id, count(*) FILTER (length(content) > 0) AS loaded, count(*) FILTER (coalesce(length(content), 0) = 0) AS missing FROM f GROUP BY 1",
     "f4_internal_edges": f"WITH {_E} SELECT e.* FROM e JOIN j USING (cycle_id) WHERE list_contains(j.graph.nodes, dst)",
-    "adj_hotspot": f"WITH {_E}, q AS (SELECT cycle_id, node, count(*) AS n FROM (SELECT cycle_id, src AS node FROM e0 UNION ALL SELECT cycle_id, dst FROM e0) GROUP BY 1, 2) SELECT cycle_id, arg_min(node, (-n, node)) AS node, max(n) AS connections FROM q GROUP BY 1",
     "x4_introduced": f"WITH {_P} SELECT patch_id, pair, worse::INT AS worse, severity FROM ({_ALL_BRACKETS})",
     "x5_confidence": f"WITH {_P} SELECT CASE {_WORST} WHEN 2 THEN 0.0 WHEN 1 THEN 0.3 ELSE 1.0 END::DOUBLE AS confidence, count(*) AS patches FROM p WHERE patched <> '' GROUP BY 1",
     "x7_indent": f"WITH {_F} SELECT coalesce(list_min([length(regexp_extract(x, '^( *)', 1)) for x in string_split(content, chr(10)) if trim(x) <> '']), 0)::INT AS indent, count(*) AS files FROM f WHERE content <> '' GROUP BY 1",
     "x8_line_ends": r"WITH " + _F + r" SELECT file_id, md5(regexp_replace(content, '\r\n?', chr(10), 'g')) AS digest, ((length(content) - length(replace(content, chr(13) || chr(10), ''))) // 2)::INT AS crlf FROM f WHERE content IS NOT NULL",
     "x18_type_references": r"WITH " + _F + r", t AS (SELECT cycle_id, file_id AS d, unnest(" + _TYPES.replace("{c}", "c") + r") AS name FROM f), w AS (SELECT DISTINCT cycle_id, file_id, unnest(regexp_extract_all(c, '\b[A-Z][A-Za-z0-9_]*')) AS name FROM f) SELECT DISTINCT w.* FROM w JOIN t USING (cycle_id, name) WHERE file_id <> d",
-    "x36_pattern": f"WITH {_F} SELECT cycle_id, CASE WHEN bool_or(regexp_matches(c, '{INTERFACE}')) THEN 'interface' WHEN bool_or(regexp_matches(c, '{INHERITS}')) THEN 'inheritance' ELSE 'plain' END AS pattern FROM f GROUP BY 1",
-    "x37_queries": f"WITH {_J}, q AS (SELECT cycle_id, CASE WHEN len(graph.nodes) = 2 THEN {list(QUERIES_BY_TYPE['bidirectional'])} WHEN len(graph.nodes) <= 4 THEN {list(QUERIES_BY_TYPE['transitive'])} WHEN len(graph.edges) > 1.5 * len(graph.nodes) THEN {list(QUERIES_BY_TYPE['star'])} ELSE {list(QUERIES_BY_TYPE['transitive'])} END AS x FROM j) SELECT cycle_id, (i - 1)::INT AS pos, x[i] AS query FROM q, unnest(range(1, 3)) u(i)",
     "x50_methods": r"WITH " + _F + r""" SELECT file_id, len(list_distinct(CASE WHEN ext = 'py' THEN regexp_extract_all(c, '(?m)^[ \t]+def[ \t]+(\w+)[ \t]*\(', 1) WHEN ext IN ('cs', 'java') THEN regexp_extract_all(c, '(?m)^[ \t]+public[ \t]+(?:static[ \t]+)?[\w<>\[\]]+[ \t]+(\w+)[ \t]*\(', 1)
         WHEN ext IN ('ts', 'js', 'mjs') THEN regexp_extract_all(c, '(?m)^  (\w+)\([^()\n]*\)(?:: [^{\n]+)? \{', 1) ELSE [] END))::INT AS methods FROM f""",
     "x52_weakest_edge": f"WITH {_E}, w AS (SELECT cycle_id, src, dst, count(*)::DOUBLE AS weight FROM e0 GROUP BY 1, 2, 3), ring AS (SELECT cycle_id, i AS pos, graph.nodes[i] AS src, graph.nodes[i % len(graph.nodes) + 1] AS dst FROM j, unnest(range(1, len(graph.nodes) + 1)) u(i)), q AS (SELECT ring.*, coalesce(weight, 1.0) AS weight FROM ring LEFT JOIN w USING (cycle_id, src, dst)) SELECT cycle_id, arg_min(src, (weight, pos)) AS src, arg_min(dst, (weight, pos)) AS dst, min(weight) AS weight FROM q GROUP BY 1",
-    "a14_confidence": f"WITH {_P} SELECT cycle_id, round(greatest(0.0, least(1.0, coalesce(avg(confidence), 0) - 0.1 * sum(len(coalesce(warnings, [])))))::DOUBLE, 6) AS confidence FROM p GROUP BY 1",
     "a17_issues": f"WITH {_P}, i AS (SELECT 'reverted' AS issue FROM p WHERE status = 'reverted' UNION ALL SELECT 'empty' FROM p WHERE coalesce(patched, '') = '' UNION ALL SELECT 'unchanged' FROM p WHERE patched <> '' AND patched = coalesce(original, '') UNION ALL SELECT lower(unnest(vi)) FROM p) SELECT issue, count(*) AS patches FROM i GROUP BY 1",
     "a19_ledger": f"WITH {_F} SELECT cycle_id, sum({_TOK})::BIGINT AS used, greatest(0, 4000 - sum({_TOK}))::BIGINT AS remaining FROM f GROUP BY 1",
-    "w4_parts": "WITH d AS (SELECT doc_id, string_split(text, chr(10) || chr(10)) AS x FROM documents), q AS (SELECT doc_id, i, length(x[i]) AS n FROM d, unnest(range(1, len(x) + 1)) u(i)), b AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM q) SELECT doc_id, count(*) AS parts, sum(n)::BIGINT AS chars FROM b WHERE before <= 500 GROUP BY 1",
     "w10_call_blocks": "WITH p AS (SELECT proposal_id, any_value(cycle_id) AS cycle_id, any_value(iteration) AS iteration FROM proposals GROUP BY 1) SELECT cycle_id, proposal_id, position FROM (SELECT *, row_number() OVER (PARTITION BY cycle_id ORDER BY iteration DESC, proposal_id DESC)::INT AS position FROM p) WHERE position <= 3",
-    "u4_missing_types": rf"WITH {_P}, {_F}, r AS (SELECT patch_id, cycle_id, unnest([x for x in list_distinct(regexp_extract_all(patched, '\b(?:new|extends|implements)\s+([A-Z]\w*)', 1)) if not list_contains({_TYPES.replace('{c}', 'patched')}, x)]) AS name FROM p WHERE patched <> ''), t AS (SELECT DISTINCT cycle_id, unnest({_TYPES.replace('{c}', 'c')}) AS name FROM f) SELECT patch_id, name FROM r WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.cycle_id = r.cycle_id AND t.name = r.name)",
     "u5_issue_union": f"WITH {_P}, a AS (SELECT attempt_id, any_value(issue_types) AS x FROM attempts GROUP BY 1), i AS (SELECT lower(unnest(x)) AS issue FROM a UNION ALL SELECT lower(unnest(vi)) FROM p) SELECT issue, count(*) AS times FROM i GROUP BY 1",
     "u6_repeated_reverts": f"WITH {_P} SELECT cycle_id, path, count(*) AS times FROM p WHERE status = 'reverted' GROUP BY 1, 2 HAVING count(*) > 1",
     "j9_reverted_files": rf"WITH {_F}, b AS (SELECT DISTINCT cycle_id, lower(regexp_extract(cp, '([^/]*)$', 1)) AS b FROM f WHERE path IS NOT NULL), p AS (SELECT proposal_id, any_value(cycle_id) AS cycle_id, any_value(reverted_files) AS r FROM proposals GROUP BY 1), x AS (SELECT proposal_id, cycle_id, unnest(r, recursive := true) FROM p) SELECT proposal_id, path, reason FROM x WHERE EXISTS (SELECT 1 FROM b WHERE b.cycle_id = x.cycle_id AND b.b = lower(regexp_extract(replace(x.path, '\', '/'), '([^/]*)$', 1)))",
     "j14_effective_files": f"WITH {_P}, {_F}, n AS (SELECT cycle_id, path, arg_max(patched, (iteration, patch_id)) AS patched FROM p WHERE patched <> '' AND status IN ('applied', 'partial') GROUP BY 1, 2) SELECT file_id, length(coalesce(n.patched, content))::INT AS chars, n.patched IS NOT NULL AS is_patched FROM f LEFT JOIN n ON n.cycle_id = f.cycle_id AND n.path = f.path",
-    "k9_report": f"WITH {_J} SELECT cycle_id, concat_ws(chr(10), '# ' || cycle_id, '- modules: ' || array_to_string(graph.nodes[:4], ' -> ') || CASE WHEN len(graph.nodes) > 4 THEN ' ... (' || len(graph.nodes) || ' total)' ELSE '' END, '- severity: ' || coalesce(nullif(lower(severity), ''), 'unknown'), CASE WHEN impact_score IS NOT NULL THEN '- scored' END) AS report FROM j",
-    "k12_json": "SELECT project, '{\"project\":\"' || project || '\",\"main_ext\":\"' || main_ext || '\",\"layers\":[' || array_to_string(['\"' || x || '\"' for x in layers], ',') || ']}' AS json FROM projects",
     "m7_turns": f"WITH {_P} SELECT patch_id, coalesce(len(list_distinct(list(path) OVER (PARTITION BY cycle_id ORDER BY iteration, patch_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))), 0)::INT AS changed_before FROM p WHERE cycle_id IS NOT NULL",
     "m20_without_cycle": "WITH a AS (SELECT attempt_id, any_value(cycle_id) AS cycle_id, any_value(project) AS project FROM attempts GROUP BY 1) SELECT project, count(*) AS attempts FROM a WHERE cycle_id <> (SELECT min(cycle_id) FROM a) GROUP BY 1",
     "f11_content_checks": rf"WITH {_F} SELECT coalesce(CASE WHEN c = '' THEN 'empty' WHEN length(trim(c)) < 20 THEN 'short' WHEN NOT (CASE WHEN ext = 'cs' THEN regexp_matches(c, '\b(namespace|class|interface|struct|enum|record)\b') WHEN ext = 'java' THEN regexp_matches(c, '\b(class|interface|enum|record)\b') WHEN ext = 'py' THEN regexp_matches(c, '\b(def|class|import)\b|=') ELSE true END) THEN 'missing construct' WHEN {_note('c')} IS NOT NULL THEN 'looks cut' END, 'fine') AS note, count(*) AS files FROM f GROUP BY 1",
