@@ -69,17 +69,6 @@ def test_readers_of_answers():
         assert patching.read_changes(nothing) == []
 
 
-def test_applying():
-    src = "a\n  b\nc\n  b\n"
-    assert patching.apply_replacements(src, [("c", "d")]) == ("a\n  b\nd\n  b\n", 1.0, 1, "")
-    assert patching.apply_replacements(src, [("  b", "  x")])[1] == 0.7
-    assert patching.apply_replacements(src, [("b\nc", "x"), ("c", "y")])[3] == "overlap"
-    assert patching.apply_replacements(src, [("zzz", "y")]) == (src, 0.0, 0, "not found")
-    assert patching.locate("b", ["a", "  b"]) == (1, 2, "margin", 0.8)
-    assert patching.locate("const value = compute(first, second)", ["x", "const value = compute(first, secnd)"])[2] == "similar"
-    assert patching.apply_lines("1\n2\n3\n4", [(2, 3, "x"), (9, 9, "y")]) == ("1\nx\n4", 1)
-
-
 def test_diff_and_repair():
     assert patching.unified("a\nb\n", "a\nb\n", "p") == ""
     assert patching.unified("a\n", "b\n", "p").startswith("--- a/p\n+++ b/p\n")
