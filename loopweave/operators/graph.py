@@ -10,6 +10,7 @@ Edges with a null end, and rows without a key, are no edges. Repeated edges coun
 from __future__ import annotations
 
 import fnmatch
+import itertools
 from collections.abc import Iterator
 
 import pandas as pd
@@ -22,6 +23,8 @@ from ..session import checkpoint_dir
 #: Weights of the impact score and thresholds of severity; fixed values.
 CENTRALITY, EDGE, LAYERS, KNOWN, OVERLAP, OVERLAP_CAP = 2.0, 0.5, 10.0, 10.0, 0.5, 5.0
 CRITICAL, MAJOR = 15.0, 8.0
+#: Cycles that leave a task at a time.
+FRAME = 10_000
 
 
 # ------------------------------------------------------------------------------------------------ edges and adjacency
@@ -153,48 +156,69 @@ def components(edges: DataFrame, key: str) -> DataFrame:
 
 
 def components_distributed(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
-    """``(node, component)`` of one graph of any size, by forward-backward colouring.
+    """``(node, component)`` of one graph of any size, by trimming and forward-backward colouring.
 
-    In each round the least label travels along the edges until nothing changes; the nodes of a colour that also reach
-    its root backwards are a component and leave the graph. Every step is a join and an aggregation of one row a node;
-    the lineage is cut in the shared folder, so a lost executor costs one step.
+    Nodes without an edge to or from what is left are components by themselves and are taken off until none is left, so
+    that paths and trees never reach the colouring. Then in each round the least label travels along the edges until
+    nothing changes; the nodes of a colour that also reach its root backwards are a component and leave the graph. Every
+    step is a join and an aggregation of one row a node; the lineage is cut in the shared folder, so a lost executor costs
+    one step. More than ``max_rounds`` rounds of any of these raise an error.
     """
-    spark = edges.sparkSession
-    checkpoint_dir(spark)
+    checkpoint_dir(edges.sparkSession)
     e = edges.select("src", "dst").where("src is not null and dst is not null").distinct()
     left = e.select(F.col("src").alias("node")).union(e.select(F.col("dst").alias("node"))).distinct().checkpoint()
     e = e.where("src <> dst").checkpoint()
     done: DataFrame | None = None
 
+    def rounds() -> Iterator[int]:
+        yield from range(max_rounds)
+        raise RuntimeError(f"no components after {max_rounds} rounds")
+
+    def between(e: DataFrame, nodes: DataFrame) -> DataFrame:
+        return e.join(nodes, e["src"] == nodes["node"], "left_semi").join(nodes, F.col("dst") == nodes["node"], "left_semi").checkpoint()
+
     def spread(start: DataFrame, edge: DataFrame, a: str, b: str) -> DataFrame:
         """The least label that reaches each node along ``a`` to ``b``."""
         now = start.checkpoint()
-        for _ in range(max_rounds):
+        for _ in rounds():
             sent = edge.join(now, edge[a] == now["node"]).select(edge[b].alias("node"), "label")
             new = now.union(sent).groupBy("node").agg(F.min("label").alias("label")).checkpoint()
             changed = new.join(now.withColumnRenamed("label", "_old"), "node").where("label <> _old").limit(1).count()
             now = new
             if not changed:
                 return now
-        return now
 
-    for _ in range(max_rounds):
+    for _ in rounds():
+        for _ in rounds():
+            both = e.select(F.col("src").alias("node")).distinct().join(e.select(F.col("dst").alias("node")).distinct(), "node", "left_semi").checkpoint()
+            off = left.join(both, "node", "left_anti").checkpoint()
+            if not off.limit(1).count():
+                break
+            part = off.select("node", F.col("node").alias("component"))
+            done = (part if done is None else done.unionByName(part)).checkpoint()
+            left, e = both, between(e, both)
+        if not left.limit(1).count():
+            break
         colour = spread(left.select("node", F.col("node").alias("label")), e, "src", "dst")
         c = colour.withColumnRenamed("label", "colour")
-        inside = e.join(c, e["src"] == c["node"]).select("src", "dst", "colour").join(c.select(F.col("node").alias("_d"), F.col("colour").alias("_dc")), F.col("dst") == F.col("_d")).where("colour = _dc").select("src", "dst")
+        inside = e.join(c, e["src"] == c["node"]).select("src", "dst", "colour").join(c.select(F.col("node").alias("_d"), F.col("colour").alias("_dc")), F.col("dst") == F.col("_d")).where("colour = _dc").select("src", "dst").checkpoint()
         # backwards from the root of each colour, within the colour
         reached = c.where("node = colour").select("node").checkpoint()
-        while True:
+        n = reached.count()
+        for _ in rounds():
             more = inside.join(reached, inside["dst"] == reached["node"], "left_semi").select(F.col("src").alias("node")).union(reached).distinct().checkpoint()
-            if more.count() == reached.count():
+            m = more.count()
+            if m == n:
                 break
-            reached = more
+            reached, n = more, m
         part = c.join(reached, "node", "left_semi").select("node", F.col("colour").alias("component"))
         done = (part if done is None else done.unionByName(part)).checkpoint()
         left = left.join(reached, "node", "left_anti").checkpoint()
         if not left.limit(1).count():
             break
-        e = e.join(left, e["src"] == left["node"], "left_semi").join(left, F.col("dst") == left["node"], "left_semi").checkpoint()
+        e = between(e, left)
+    if done is None:
+        return left.select("node", F.col("node").alias("component"))
     least = done.groupBy("component").agg(F.min("node").alias("_least"))
     return done.join(least, "component").select("node", F.col("_least").alias("component"))
 
@@ -267,8 +291,10 @@ def elementary_cycles(edges: DataFrame, key: str, max_cycles: int | None = None,
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(k, c, len(c)) for k, e in zip(pdf[key], pdf["_edges"], strict=True) for c in _circuits(_graph(e), max_cycles)]
-            yield pd.DataFrame(rows, columns=[key, "nodes", "size"])
+            rows = ((k, c, len(c)) for k, e in zip(pdf[key], pdf["_edges"], strict=True) for c in _circuits(_graph(e), max_cycles))
+            # a dense graph has more cycles than a task holds: they leave in frames of bounded size
+            while part := list(itertools.islice(rows, FRAME)):
+                yield pd.DataFrame(part, columns=[key, "nodes", "size"])
 
     return _gathered(edges, keys).mapInPandas(run, f"{key} {kind}, nodes array<string>, size int")
 
@@ -313,14 +339,16 @@ def layer_of(path: Column, layers: Column) -> Column:
 def overlaps(cycles: DataFrame, key: str, id_col: str) -> DataFrame:
     """``(key, id, overlap)``: how many other cycles of the graph share a node but aren't on the same nodes.
 
-    Cycles meet at their nodes, one row a node; a pair that meets more than once is counted once.
+    Cycles on the same nodes are one set with a count, so a set many cycles share meets the others once. Sets meet at
+    their nodes, one row a node; a pair that meets more than once is counted once.
     """
     c = cycles.select(key, F.col(id_col).alias("_id"), F.array_sort(F.array_distinct("nodes")).alias("_set"))
-    at = c.select(key, "_id", "_set", F.explode("_set").alias("_node"))
-    other = at.select(key, F.col("_id").alias("_other"), F.col("_set").alias("_os"), "_node")
-    met = at.join(other, [key, "_node"]).where("_id <> _other and _set <> _os").select(key, "_id", "_other").distinct()
-    n = met.groupBy(key, "_id").agg(F.count("*").alias("overlap"))
-    return c.select(key, "_id").join(n, [key, "_id"], "left").select(key, F.col("_id").alias(id_col), F.coalesce("overlap", F.lit(0)).alias("overlap"))
+    sets = c.groupBy(key, "_set").agg(F.count("*").alias("_times")).withColumn("_h", F.xxhash64("_set"))
+    at = sets.select(key, "_h", "_times", F.explode("_set").alias("_node"))
+    other = at.select(key, F.col("_h").alias("_oh"), F.col("_times").alias("_ot"), "_node")
+    met = at.join(other, [key, "_node"]).where("_h <> _oh").select(key, "_h", "_oh", "_ot").distinct()
+    n = met.groupBy(key, "_h").agg(F.sum("_ot").alias("overlap"))
+    return c.withColumn("_h", F.xxhash64("_set")).join(n, [key, "_h"], "left").select(key, F.col("_id").alias(id_col), F.coalesce("overlap", F.lit(0)).alias("overlap"))
 
 
 def known(cycles: DataFrame, listed: DataFrame) -> Column | DataFrame:

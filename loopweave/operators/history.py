@@ -87,6 +87,16 @@ def last_attempts(attempts: DataFrame, n: int = 10, key: str = "cycle_id") -> Da
     return attempts.withColumn("position", F.row_number().over(w)).where(F.col("position") <= n)
 
 
+def recent(attempts: DataFrame, n: int = 50) -> DataFrame:
+    """The ``n`` newest attempts of all."""
+    return attempts.orderBy(F.desc("attempt_id")).limit(n)
+
+
+def without_cycle(attempts: DataFrame, cycle_id: str | None) -> DataFrame:
+    """``attempts`` without those of one cycle."""
+    return attempts.where(~F.col("cycle_id").eqNullSafe(F.lit(cycle_id)))
+
+
 def similar_failures(attempts: DataFrame, issues: list[str], n: int = 5) -> DataFrame:
     """The ``n`` newest failures that have one of ``issues``."""
     low = F.transform(F.coalesce("issue_types", F.array().cast("array<string>")), F.lower)

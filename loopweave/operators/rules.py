@@ -14,12 +14,25 @@ FAILURES = {
     "cycle_not_broken": ("cycle not broken", "cycle still exists", "dependency remains", "cycle_not_broken"),
     "compile_error": ("compile error", "compilation failed", "build error", "type error", "type_error"),
 }
-# fixed values: why a cycle can't be broken, by what its files say, in order (case doesn't matter)
+# fixed values: why a cycle can't be broken, by what its files say, in order (case doesn't matter); with each pattern the
+# words that a text must hold for it
 UNBREAKABLE = (
-    ("mutual_recursion", r"\bparser\b.*\blexer\b|\blexer\b.*\bparser\b|\bvisitor\b.*\bnode\b|\bnode\b.*\bvisitor\b|\bexpr.*\beval.*\bexpr\b|\bserializ.*\bdeserializ"),
-    ("circular_data", r"\.parent\b.*\.children\b|\.children\b.*\.parent\b|\.next\b.*\.prev\b|\.prev\b.*\.next\b|\.owner\b.*\.owned\b|\.owned\b.*\.owner\b"),
-    ("framework", r"\binotifypropertychanged\b|\bonpropertychanged\b|\bviewmodelbase\b.*\bview\b|@component.*@autowired|@autowired.*@component|\bdbcontext\b.*\bdbset\b"),
+    ("mutual_recursion", ("parser", "lexer"), r"\bparser\b.*\blexer\b|\blexer\b.*\bparser\b"),
+    ("mutual_recursion", ("visitor", "node"), r"\bvisitor\b.*\bnode\b|\bnode\b.*\bvisitor\b"),
+    ("mutual_recursion", ("expr", "eval"), r"\bexpr.*\beval.*\bexpr\b"),
+    ("mutual_recursion", ("serializ", "deserializ"), r"\bserializ.*\bdeserializ"),
+    ("circular_data", (".parent", ".children"), r"\.parent\b.*\.children\b|\.children\b.*\.parent\b"),
+    ("circular_data", (".next", ".prev"), r"\.next\b.*\.prev\b|\.prev\b.*\.next\b"),
+    ("circular_data", (".owner", ".owned"), r"\.owner\b.*\.owned\b|\.owned\b.*\.owner\b"),
+    ("framework", ("inotifypropertychanged",), r"\binotifypropertychanged\b"),
+    ("framework", ("onpropertychanged",), r"\bonpropertychanged\b"),
+    ("framework", ("viewmodelbase", "view"), r"\bviewmodelbase\b.*\bview\b"),
+    ("framework", ("@component", "@autowired"), r"@component.*@autowired|@autowired.*@component"),
+    ("framework", ("dbcontext", "dbset"), r"\bdbcontext\b.*\bdbset\b"),
 )
+REASONS = tuple(dict.fromkeys(n for n, _, _ in UNBREAKABLE))
+# fixed values: what marks a node as somebody else's
+EXTERNAL = ("System.", "Microsoft.", "javax.", "org.")
 # fixed values: what names a layer, from the top layer down
 LAYERS = {
     "ui": ("ui", "view", "controller", "presentation", "web", "api", "endpoint"),
@@ -77,29 +90,49 @@ def layer_violation(names: Column) -> Column:
     return F.when(F.size(ranks) >= 2, F.concat(at(F.array_max(ranks)), F.lit(" → "), at(F.array_min(ranks))))
 
 
-def unbreakable(files: DataFrame, key: str, content: str = "content", least_chars: int = 100, id_col: str | None = None) -> DataFrame:
-    """``(key, reason)``: why a cycle's files make it look unbreakable; cycles without a reason are left out.
+def unbreakable(files: DataFrame, key: str, content: str = "content", least_chars: int = 100, id_col: str | None = None, repeated: DataFrame | None = None, external: DataFrame | None = None) -> DataFrame:
+    """``(key, reason)``: why a cycle looks unbreakable; cycles without a reason are left out.
 
-    Too little text comes first, then files most of which look cut, then the rules in order, each on single lines.
-    Every file is looked at by itself, so no group of texts is ever joined into one value. With ``id_col`` repeated rows
-    of a file count once.
+    Too little text comes first, then files most of which look cut, then the rules in order, each on single lines; then
+    the keys of ``repeated`` (the same failure every time: :func:`coupled`) and those of ``external`` (nodes that are
+    somebody else's: :func:`external_nodes`). A pattern is only tried on a text that holds its words, and every file is
+    looked at by itself, so no group of texts is ever joined into one value. With ``id_col`` repeated rows of a file count
+    once.
     """
     from ..functions.text import truncation_note
 
     t = F.coalesce(F.col(content), F.lit(""))
-    flags = [F.lower(t).rlike(p).cast("int").alias(f"_{n}") for n, p in UNBREAKABLE]
-    narrow = files.select(key, *([id_col] if id_col else []), F.length(t).alias("_len"), truncation_note(F.col(content)).isNotNull().cast("int").alias("_cut"), *flags)
+    # lower-cased once a row, before the patterns
+    df = files.select(key, *([id_col] if id_col else []), F.col(content).alias("_t"), F.lower(t).alias("_low"))
+    hit = {n: F.lit(False) for n in REASONS}
+    for n, words, rx in UNBREAKABLE:
+        all_ = F.lit(True)
+        for w in words:
+            all_ = all_ & F.contains("_low", F.lit(w))
+        hit[n] = hit[n] | F.when(all_, F.col("_low").rlike(rx)).otherwise(F.lit(False))
+    narrow = df.select(key, *([id_col] if id_col else []), F.length("_low").alias("_len"), truncation_note(F.col("_t")).isNotNull().cast("int").alias("_cut"), *[h.cast("int").alias(f"_{n}") for n, h in hit.items()])
     if id_col:
         narrow = narrow.dropDuplicates([id_col])
-    g = narrow.groupBy(key).agg(F.sum("_len").alias("_len"), F.count("*").alias("_n"), F.sum("_cut").alias("_cut"), *[F.max(f"_{n}").alias(f"_{n}") for n, _ in UNBREAKABLE])
+    g = narrow.groupBy(key).agg(F.sum("_len").alias("_len"), F.count("*").alias("_n"), F.sum("_cut").alias("_cut"), *[F.max(f"_{n}").alias(f"_{n}") for n in REASONS])
     why = F.when(F.col("_len") < least_chars, "incomplete").when(F.col("_cut") >= 0.5 * F.col("_n"), "incomplete")
-    for n, _ in UNBREAKABLE:
+    for n in REASONS:
         why = why.when(F.col(f"_{n}") == 1, n)
+    for n, more in (("coupled_by_design", repeated), ("external", external)):
+        if more is not None:
+            g = g.join(more.select(key).distinct().withColumn(f"_{n}", F.lit(True)), key, "left")
+            why = why.when(F.col(f"_{n}"), n)
     return g.select(key, why.alias("reason")).where("reason is not null")
 
 
-def external_nodes(edges: DataFrame, prefixes: tuple[str, ...] = ("System.", "Microsoft.", "javax.", "org.")) -> DataFrame:
+def coupled(common: DataFrame, key: str) -> DataFrame:
+    """The keys all of whose attempts share an issue that speaks of the cycle or a dependency; ``common`` is what
+    :func:`history.common_issues` gives."""
+    return common.where(F.lower(F.left("issue", F.lit(50))).rlike("cycle|dependency")).select(key).distinct()
+
+
+def external_nodes(nodes: DataFrame, key: str, node: str = "node") -> DataFrame:
+    """The keys one of whose nodes is somebody else's."""
     hit = F.lit(False)
-    for p in prefixes:
-        hit = hit | F.contains("dst", F.lit(p))
-    return edges.where(hit)
+    for p in EXTERNAL:
+        hit = hit | F.contains(node, F.lit(p))
+    return nodes.where(hit).select(key).distinct()

@@ -125,41 +125,6 @@ def x52_weakest_edge(spark: SparkSession, sf: str) -> DataFrame:
     return j.groupBy("cycle_id").agg(F.min(F.struct("weight", "pos", "src", "dst")).alias("m")).select("cycle_id", "m.src", "m.dst", "m.weight")
 
 
-def a17_issues(spark: SparkSession, sf: str) -> DataFrame:
-    """All issues of patches: reverted, empty, unchanged, or found by the validator."""
-    same = F.coalesce(F.col("patched"), F.lit("")) == F.coalesce(F.col("original"), F.lit(""))
-    own = F.array_compact(F.array(F.when(F.col("status") == "reverted", "reverted"), F.when(F.coalesce(F.col("patched"), F.lit("")) == "", "empty"), F.when(same & (F.col("patched") != ""), "unchanged")))
-    p = _patches(spark, sf, "patch_id", F.concat(own, F.transform(F.coalesce("validation_issues", F.array().cast("array<string>")), F.lower)).alias("issues"))
-    i = p.select(F.explode("issues").alias("issue"))
-    return i.groupBy("issue").agg(F.count("*").alias("patches"))
-
-
-def a19_ledger(spark: SparkSession, sf: str) -> DataFrame:
-    """Tokens of each cycle's files, and what is left of a budget of 4,000."""
-    n = t.estimated_tokens(F.col("content"), t.lookup(F.col("ext"), t.CONTENT_TYPES, "code_generic"))
-    return _files(spark, sf, "file_id", "cycle_id", n.alias("n")).groupBy("cycle_id").agg(F.sum("n").alias("used")).select("cycle_id", "used", F.greatest(F.lit(0), 4000 - F.col("used")).alias("remaining"))
-
-
-def w10_call_blocks(spark: SparkSession, sf: str) -> DataFrame:
-    """The three newest proposals of each cycle, in their order."""
-    p = once(load(spark, sf, "proposals", "proposal_id", "cycle_id", "iteration"), "proposal_id")
-    w = W.partitionBy("cycle_id").orderBy(F.desc("iteration"), F.desc("proposal_id"))
-    return p.withColumn("position", F.row_number().over(w)).where("position <= 3").select("cycle_id", "proposal_id", "position")
-
-
-def u5_issue_union(spark: SparkSession, sf: str) -> DataFrame:
-    """Issues of patches and of attempts together, by kind."""
-    a = once(load(spark, sf, "attempts", "attempt_id", "issue_types"), "attempt_id").select(F.explode("issue_types").alias("i"))
-    p = _patches(spark, sf).select(F.explode("validation_issues").alias("i"))
-    return a.unionByName(p).groupBy(F.lower("i").alias("issue")).agg(F.count("*").alias("times"))
-
-
-def u6_repeated_reverts(spark: SparkSession, sf: str) -> DataFrame:
-    """Files of a cycle that were reverted more than once."""
-    p = _patches(spark, sf).where("status = 'reverted'")
-    return p.groupBy("cycle_id", "path").agg(F.count("*").alias("times")).where("times > 1")
-
-
 def j9_reverted_files(spark: SparkSession, sf: str) -> DataFrame:
     """Proposals' reverted files that the cycle has a file for, by base name."""
     base = lambda c: F.lower(F.regexp_extract(clean_path(c), r"([^/]*)$", 1))
@@ -182,13 +147,6 @@ def m7_turns(spark: SparkSession, sf: str) -> DataFrame:
     return p.select("patch_id", F.size(F.collect_set("path").over(w)).alias("changed_before"))
 
 
-def m20_without_cycle(spark: SparkSession, sf: str) -> DataFrame:
-    """Attempts per project without those of the cycle with the smallest id."""
-    a = once(load(spark, sf, "attempts", "attempt_id", "cycle_id", "project"), "attempt_id")
-    first = a.agg(F.min("cycle_id").alias("cycle_id"))
-    return a.join(F.broadcast(first), "cycle_id", "left_anti").groupBy("project").agg(F.count("*").alias("attempts"))
-
-
 def f11_content_checks(spark: SparkSession, sf: str) -> DataFrame:
     """Files whose content lacks what its language needs, is short, or looks cut."""
     c = F.coalesce("content", F.lit(""))
@@ -205,8 +163,8 @@ def f12_truncated_jobs(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     s9_materialised, f4_internal_edges, x4_introduced, x5_confidence, x7_indent, x8_line_ends, x18_type_references, 
-    x50_methods, x52_weakest_edge, a17_issues, a19_ledger, w10_call_blocks, u5_issue_union, u6_repeated_reverts,
-    j9_reverted_files, j14_effective_files, m7_turns, m20_without_cycle, f11_content_checks, f12_truncated_jobs, 
+    x50_methods, x52_weakest_edge, 
+    j9_reverted_files, j14_effective_files, m7_turns, f11_content_checks, f12_truncated_jobs, 
 )}
 QUERIES["load_counts"] = load_counts
 
@@ -256,15 +214,9 @@ SQL = {
     "x50_methods": r"WITH " + _F + r""" SELECT file_id, len(list_distinct(CASE WHEN ext = 'py' THEN regexp_extract_all(c, '(?m)^[ \t]+def[ \t]+(\w+)[ \t]*\(', 1) WHEN ext IN ('cs', 'java') THEN regexp_extract_all(c, '(?m)^[ \t]+public[ \t]+(?:static[ \t]+)?[\w<>\[\]]+[ \t]+(\w+)[ \t]*\(', 1)
         WHEN ext IN ('ts', 'js', 'mjs') THEN regexp_extract_all(c, '(?m)^  (\w+)\([^()\n]*\)(?:: [^{\n]+)? \{', 1) ELSE [] END))::INT AS methods FROM f""",
     "x52_weakest_edge": f"WITH {_E}, w AS (SELECT cycle_id, src, dst, count(*)::DOUBLE AS weight FROM e0 GROUP BY 1, 2, 3), ring AS (SELECT cycle_id, i AS pos, graph.nodes[i] AS src, graph.nodes[i % len(graph.nodes) + 1] AS dst FROM j, unnest(range(1, len(graph.nodes) + 1)) u(i)), q AS (SELECT ring.*, coalesce(weight, 1.0) AS weight FROM ring LEFT JOIN w USING (cycle_id, src, dst)) SELECT cycle_id, arg_min(src, (weight, pos)) AS src, arg_min(dst, (weight, pos)) AS dst, min(weight) AS weight FROM q GROUP BY 1",
-    "a17_issues": f"WITH {_P}, i AS (SELECT 'reverted' AS issue FROM p WHERE status = 'reverted' UNION ALL SELECT 'empty' FROM p WHERE coalesce(patched, '') = '' UNION ALL SELECT 'unchanged' FROM p WHERE patched <> '' AND patched = coalesce(original, '') UNION ALL SELECT lower(unnest(vi)) FROM p) SELECT issue, count(*) AS patches FROM i GROUP BY 1",
-    "a19_ledger": f"WITH {_F} SELECT cycle_id, sum({_TOK})::BIGINT AS used, greatest(0, 4000 - sum({_TOK}))::BIGINT AS remaining FROM f GROUP BY 1",
-    "w10_call_blocks": "WITH p AS (SELECT proposal_id, any_value(cycle_id) AS cycle_id, any_value(iteration) AS iteration FROM proposals GROUP BY 1) SELECT cycle_id, proposal_id, position FROM (SELECT *, row_number() OVER (PARTITION BY cycle_id ORDER BY iteration DESC, proposal_id DESC)::INT AS position FROM p) WHERE position <= 3",
-    "u5_issue_union": f"WITH {_P}, a AS (SELECT attempt_id, any_value(issue_types) AS x FROM attempts GROUP BY 1), i AS (SELECT lower(unnest(x)) AS issue FROM a UNION ALL SELECT lower(unnest(vi)) FROM p) SELECT issue, count(*) AS times FROM i GROUP BY 1",
-    "u6_repeated_reverts": f"WITH {_P} SELECT cycle_id, path, count(*) AS times FROM p WHERE status = 'reverted' GROUP BY 1, 2 HAVING count(*) > 1",
     "j9_reverted_files": rf"WITH {_F}, b AS (SELECT DISTINCT cycle_id, lower(regexp_extract(cp, '([^/]*)$', 1)) AS b FROM f WHERE path IS NOT NULL), p AS (SELECT proposal_id, any_value(cycle_id) AS cycle_id, any_value(reverted_files) AS r FROM proposals GROUP BY 1), x AS (SELECT proposal_id, cycle_id, unnest(r, recursive := true) FROM p) SELECT proposal_id, path, reason FROM x WHERE EXISTS (SELECT 1 FROM b WHERE b.cycle_id = x.cycle_id AND b.b = lower(regexp_extract(replace(x.path, '\', '/'), '([^/]*)$', 1)))",
     "j14_effective_files": f"WITH {_P}, {_F}, n AS (SELECT cycle_id, path, arg_max(patched, (iteration, patch_id)) AS patched FROM p WHERE patched <> '' AND status IN ('applied', 'partial') GROUP BY 1, 2) SELECT file_id, length(coalesce(n.patched, content))::INT AS chars, n.patched IS NOT NULL AS is_patched FROM f LEFT JOIN n ON n.cycle_id = f.cycle_id AND n.path = f.path",
     "m7_turns": f"WITH {_P} SELECT patch_id, coalesce(len(list_distinct(list(path) OVER (PARTITION BY cycle_id ORDER BY iteration, patch_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))), 0)::INT AS changed_before FROM p WHERE cycle_id IS NOT NULL",
-    "m20_without_cycle": "WITH a AS (SELECT attempt_id, any_value(cycle_id) AS cycle_id, any_value(project) AS project FROM attempts GROUP BY 1) SELECT project, count(*) AS attempts FROM a WHERE cycle_id <> (SELECT min(cycle_id) FROM a) GROUP BY 1",
     "f11_content_checks": rf"WITH {_F} SELECT coalesce(CASE WHEN c = '' THEN 'empty' WHEN length(trim(c)) < 20 THEN 'short' WHEN NOT (CASE WHEN ext = 'cs' THEN regexp_matches(c, '\b(namespace|class|interface|struct|enum|record)\b') WHEN ext = 'java' THEN regexp_matches(c, '\b(class|interface|enum|record)\b') WHEN ext = 'py' THEN regexp_matches(c, '\b(def|class|import)\b|=') ELSE true END) THEN 'missing construct' WHEN {_note('c')} IS NOT NULL THEN 'looks cut' END, 'fine') AS note, count(*) AS files FROM f GROUP BY 1",
     "f12_truncated_jobs": f"WITH {_F}, q AS (SELECT cycle_id, count(*) AS n, count({_note('content')}) AS cut FROM f GROUP BY 1) SELECT cycle_id, cut FROM q WHERE cut >= 0.5 * n",
 }

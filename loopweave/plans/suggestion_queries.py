@@ -100,6 +100,12 @@ def k12_json(spark: SparkSession, sf: str) -> DataFrame:
     return j.select("cycle_id", F.to_json(F.struct(F.col("cycle_id").alias("id"), "graph", "severity"), {"ignoreNullFields": "false"}).alias("json"))
 
 
+def j16_missing_search(spark: SparkSession, sf: str) -> DataFrame:
+    """Search texts of suggestions that their file doesn't hold, blanks aside."""
+    lost = F.filter("codes", lambda c: c["first"] == 0)
+    return _rows(spark, sf).where(F.size(lost) > 0).select("proposal_id", "pos", F.size(lost).alias("missing"))
+
+
 def p24_scaffolds(spark: SparkSession, sf: str) -> DataFrame:
     """New files that an answer wants and that are abstractions: of all proposed files, those whose purpose, else path, says so."""
     j = once(_answers(spark, sf).select("proposal_id", F.try_parse_json(a.payload(F.col("llm_response"))).alias("v")).where("v is not null"), "proposal_id")
@@ -108,7 +114,7 @@ def p24_scaffolds(spark: SparkSession, sf: str) -> DataFrame:
     return rows.where(F.lower(F.coalesce(F.nullif("purpose", F.lit("")), "path")).rlike("interface|abstract|contract|shared|common")).select("proposal_id", "path").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p10_suggestions, a14_confidence, p11_guidance, x23_broken, u4_missing_types, x24_validated, adj_hotspot, k9_report, k12_json, p24_scaffolds)}
+QUERIES = {f.__name__: f for f in (p10_suggestions, a14_confidence, p11_guidance, x23_broken, u4_missing_types, x24_validated, adj_hotspot, k9_report, k12_json, j16_missing_search, p24_scaffolds)}
 
 # ----------------------------------------------------------------------------------------------------------- SQL
 _ENTRY = '[{"path":"VARCHAR","patched":"VARCHAR","prepend":"VARCHAR","search_replace":[{"search":"VARCHAR","replace":"VARCHAR"}]}]'
@@ -146,6 +152,7 @@ SQL = {
     " CASE WHEN rationale <> '' THEN 'Rationale: ' || rationale END, '## The cycle' || chr(10) || 'Type: ' || cycle_type, 'Most connected: `' || hotspot || '`', CASE WHEN len(graph.nodes) > 0 THEN 'Nodes:' || chr(10) || array_to_string(['- `' || w || '`' for w in graph.nodes], chr(10)) END, CASE WHEN len([w for w in graph.edges if len(w) >= 2]) > 0 THEN 'Edges:' || chr(10) || array_to_string(['  ' || w[1] || ' → ' || w[2] for w in graph.edges if len(w) >= 2], chr(10)) END,"
     " CASE WHEN len(c1) > 0 THEN '## To create' || chr(10) || array_to_string(['- `' || w || '`' for w in c1], chr(10)) END, CASE WHEN len(m1) > 0 THEN '## To modify' || chr(10) || array_to_string(['- `' || w || '`' for w in m1], chr(10)) END, CASE WHEN len(o1) > 0 THEN '## Order' || chr(10) || array_to_string([i || '. `' || o1[i] || '`' for i in range(1, len(o1) + 1)], chr(10)) END,"
     " CASE WHEN x <> '' THEN '## Answer' || chr(10) || CASE WHEN length(x) > 5000 THEN x[:5000] || chr(10) || '... (' || (length(x) - 5000) || ' more characters)' ELSE x END END)) AS digest FROM y",
+    "j16_missing_search": f"WITH {_ROWS} SELECT proposal_id, pos, count(*)::INT AS missing FROM co0 WHERE first = 0 GROUP BY 1, 2",
     "k12_json": "WITH j AS (SELECT cycle_id, any_value(graph) AS graph, any_value(severity) AS severity FROM cycle_jobs GROUP BY 1) SELECT cycle_id, to_json({'id': cycle_id, 'graph': graph, 'severity': severity})::VARCHAR AS json FROM j",
     "p24_scaffolds": f"WITH {_ANS}, js AS (SELECT proposal_id, from_json(j, '{{\"new_files\":[{{\"path\":\"VARCHAR\",\"purpose\":\"VARCHAR\"}}],\"patches\":[{{\"path\":\"VARCHAR\",\"purpose\":\"VARCHAR\"}}]}}') AS s FROM a WHERE j IS NOT NULL), r AS (SELECT proposal_id, unnest(coalesce(s.new_files, []) || coalesce(s.patches, [])) AS e FROM js) SELECT DISTINCT proposal_id, e.path AS path FROM r WHERE regexp_matches(lower(coalesce(nullif(e.purpose, ''), e.path)), 'interface|abstract|contract|shared|common')",
 }

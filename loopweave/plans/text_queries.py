@@ -155,7 +155,11 @@ def j12_failure_patterns(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def j13_unbreakable(spark: SparkSession, sf: str) -> DataFrame:
-    return rules.unbreakable(_raw_files(spark, sf), "cycle_id", id_col="file_id")
+    from ..operators import history as h
+
+    tried = once(load(spark, sf, "attempts", "attempt_id", "cycle_id", "issue_types"), "attempt_id")
+    nodes = load(spark, sf, "cycle_jobs", "cycle_id", "graph").select("cycle_id", F.explode("graph.nodes").alias("node"))
+    return rules.unbreakable(_raw_files(spark, sf), "cycle_id", id_col="file_id", repeated=rules.coupled(h.common_issues(tried), "cycle_id"), external=rules.external_nodes(nodes, "cycle_id"))
 
 
 def x35_layers(spark: SparkSession, sf: str) -> DataFrame:
@@ -172,21 +176,12 @@ def f10_paths(spark: SparkSession, sf: str) -> DataFrame:
     return _files(spark, sf, "file_id", t.is_placeholder_free_path(F.col("path")).alias("usable")).groupBy("usable").agg(F.count("*").alias("files"))
 
 
-def j16_missing_search(spark: SparkSession, sf: str) -> DataFrame:
-    """Search texts that the file they name doesn't hold, white space aside."""
-    ch = _changes(spark, sf).where("kind = 'replace'")
-    f = _raw_files(spark, sf).select("cycle_id", "path", "content").dropDuplicates(["cycle_id", "path"])
-    n = lambda x: F.regexp_replace(F.coalesce(x, F.lit("")), r"\s+", " ")
-    j = ch.join(f, ["cycle_id", "path"], "left")
-    return j.where(F.col("content").isNull() | ~F.contains(n(F.col("content")), F.trim(n(F.col("search"))))).select("proposal_id", "pos")
-
-
 def y7_changes(spark: SparkSession, sf: str) -> DataFrame:
     return _changes(spark, sf).select("proposal_id", "pos", "path", "kind")
 
 
 def x44_applied(spark: SparkSession, sf: str) -> DataFrame:
-    f = _raw_files(spark, sf).select("cycle_id", "path", "content").dropDuplicates(["cycle_id", "path"])
+    f = _raw_files(spark, sf).groupBy("cycle_id", "path").agg(F.min_by("content", "file_id").alias("content"))
     return p.applied(_changes(spark, sf), f, ["cycle_id", "proposal_id"]).select("proposal_id", "path", "kind", "applied", F.round("confidence", 4).alias("confidence"), "note")
 
 
@@ -203,7 +198,7 @@ def x41_repairs(spark: SparkSession, sf: str) -> DataFrame:
             got = [(i, *p.repair(x)) for i, x in zip(pdf["patch_id"], pdf["patched"], strict=True)]
             yield pd.DataFrame([(i, ",".join(n), s) for i, _, n, s in got if n], columns=["patch_id", "repairs", "confidence"])
 
-    scripts = _raw_patches(spark, sf).where("patched <> '' and ext in ('ts', 'js', 'java', 'cs')").select("patch_id", "patched")
+    scripts = _raw_patches(spark, sf).where("patched <> '' and ext in ('ts', 'js', 'mjs', 'java', 'cs', 'py', 'json')").select("patch_id", "patched")
     return scripts.mapInPandas(run, "patch_id bigint, repairs string, confidence double").dropDuplicates(["patch_id"])
 
 
@@ -242,7 +237,7 @@ def y2_answer_json(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     x2_brackets, x3_truncation, f13_marked, f8_change_kind, w7_duplicate_lines, x12_categories, x17_imports, u2_import_changes, x22_types, u7_unknown_types, a11_language, a12_line_counts, x28_tokens, x29_cut,
-    y21_budgets, w1_whole_files, w2_packed, w9_budgets, w3_islands, o3_file_priority, adj_numbered, w13_head_tail, j12_failure_patterns, j13_unbreakable, x35_layers, x31_strategy, f10_paths, j16_missing_search,
+    y21_budgets, w1_whole_files, w2_packed, w9_budgets, w3_islands, o3_file_priority, adj_numbered, w13_head_tail, j12_failure_patterns, j13_unbreakable, x35_layers, x31_strategy, f10_paths,
     y7_changes, x44_applied, x10_diffs, x41_repairs, y18_chunks, j11_nearest, j11_diverse, o4_unlike_heads, y1_event_props, y2_answer_json,
 )}
 
@@ -291,7 +286,7 @@ def _imports(col: str) -> str:
     return f"list_sort(list_distinct([x for x in CASE WHEN ext IN ('ts', 'js', 'mjs', 'tsx', 'jsx') THEN {f['js']} WHEN ext = 'py' THEN {f['py']} WHEN ext = 'cs' THEN {f['cs']} WHEN ext = 'java' THEN {f['java']} ELSE [] END if x <> '']))"
 
 
-_UNB = " ".join(f"WHEN max(CASE WHEN regexp_matches(lower(coalesce(content, '')), '{pat}') THEN 1 ELSE 0 END) = 1 THEN '{n}'" for n, pat in rules.UNBREAKABLE)
+_UNB = " ".join(f"WHEN max(CASE WHEN regexp_matches(lower(coalesce(content, '')), '{'|'.join(p for m, _, p in rules.UNBREAKABLE if m == n)}') THEN 1 ELSE 0 END) = 1 THEN '{n}'" for n in rules.REASONS)
 
 SQL = {
     "x2_brackets": f"WITH {_F} SELECT * FROM (" + " UNION ALL ".join(f"SELECT file_id, '{a}{b}' AS pair, {_bal('content', a, b)}::INT AS difference, CASE WHEN abs({_bal('content', a, b)}) > 1 THEN 'critical' ELSE 'major' END AS severity FROM f WHERE {_bal('content', a, b)} <> 0" + (" AND ext IN ('cs', 'java', 'ts', 'tsx', 'cpp', 'hpp', 'h')" if a == "<" else "") for a, b in (*t.PAIRS, ("<", ">"))) + ")",
@@ -324,7 +319,7 @@ SQL = {
     "adj_numbered": f"WITH {_F}, q AS (SELECT file_id, string_split(content, chr(10)) AS l FROM f WHERE content <> '') SELECT file_id, md5(array_to_string([lpad(i::VARCHAR, 4, ' ') || ' | ' || l[i] for i in range(1, len(l) + 1)], chr(10))) AS digest FROM q",
     "w13_head_tail": f"WITH {_F}, q AS (SELECT file_id, content, string_split(content, chr(10)) AS l FROM f WHERE content IS NOT NULL) SELECT file_id, md5(CASE WHEN len(l) > 80 THEN array_to_string(l[1:50], chr(10)) || chr(10) || '... (' || (len(l) - 70) || ' lines omitted)' || chr(10) || array_to_string(l[len(l) - 19:], chr(10)) ELSE content END) AS digest FROM q",
     "j12_failure_patterns": f"WITH {_P}, m AS (SELECT {_MSG} AS m FROM p) SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{n}' AS pattern, count(*) AS patches FROM m WHERE {_has('m', ws)}" for n, ws in rules.FAILURES.items()) + ") WHERE patches > 0",
-    "j13_unbreakable": f"WITH {_F}, q AS (SELECT *, rtrim(coalesce(content, '')) AS rt FROM f), n AS (SELECT *, {_NOTE} AS note FROM q) SELECT cycle_id, CASE WHEN sum(length(coalesce(content, ''))) < 100 THEN 'incomplete' WHEN count(note) >= 0.5 * count(*) THEN 'incomplete' {_UNB} END AS reason FROM n GROUP BY 1 HAVING reason IS NOT NULL",
+    "j13_unbreakable": f"WITH {_F}, ta AS (SELECT attempt_id, any_value(cycle_id) AS cycle_id, any_value(issue_types) AS it FROM attempts GROUP BY 1), tn AS (SELECT cycle_id, count(*) AS n FROM ta GROUP BY 1 HAVING count(*) >= 2), ti AS (SELECT DISTINCT attempt_id, cycle_id, lower(unnest(it)) AS i FROM ta), tk AS (SELECT cycle_id, i, count(*) AS k FROM ti GROUP BY 1, 2), cm AS (SELECT DISTINCT tk.cycle_id FROM tk JOIN tn USING (cycle_id) WHERE k = n AND regexp_matches(i[:50], 'cycle|dependency')), q AS (SELECT *, rtrim(coalesce(content, '')) AS rt FROM f), n AS (SELECT *, {_NOTE} AS note FROM q) SELECT cycle_id, CASE WHEN sum(length(coalesce(content, ''))) < 100 THEN 'incomplete' WHEN count(note) >= 0.5 * count(*) THEN 'incomplete' {_UNB} WHEN cycle_id IN (SELECT cycle_id FROM cm) THEN 'coupled_by_design' WHEN cycle_id IN (SELECT cycle_id FROM (SELECT cycle_id, unnest(graph.nodes) AS x FROM cycle_jobs) WHERE {_has('x', rules.EXTERNAL)}) THEN 'external' END AS reason FROM n GROUP BY 1 HAVING reason IS NOT NULL",
     "x35_layers": f"WITH {_F}, q AS (SELECT cycle_id, {_LAYER_RANK} AS r FROM f WHERE path IS NOT NULL), m AS (SELECT cycle_id, min(r) AS a, max(r) AS b FROM q GROUP BY 1 HAVING count(DISTINCT r) >= 2) SELECT cycle_id, {list(rules.LAYERS)}[b] || ' → ' || {list(rules.LAYERS)}[a] AS violation FROM m",
     "x31_strategy": f"WITH j AS (SELECT cycle_id, lower(coalesce(any_value(summary), '')) AS s FROM cycle_jobs GROUP BY 1) SELECT coalesce({_first('s', rules.STRATEGIES)}, 'none') AS strategy, count(*) AS jobs FROM j GROUP BY 1",
     "f10_paths": rf"WITH {_F} SELECT coalesce(length(path) > 0 AND length(path) <= 260 AND NOT regexp_matches(path, '(^|[/\\])\.\.([/\\]|$)') AND NOT regexp_matches(path, '^([/\\]|[A-Za-z]:)'), false) AS usable, count(*) AS files FROM f GROUP BY 1",

@@ -109,8 +109,18 @@ def log_errors(lines: DataFrame, n: int = 10, line_col: str = "line", order: str
     return hit.orderBy(F.desc(order)).limit(n).orderBy(order)
 
 
+CALL = r"LLM (CALL|RESPONSE) \| Agent: ([^|]+) \| Stage: ([^|]+) \| ID: (\S+)"
+
+
 def newest_calls(log: DataFrame, key: str, text_col: str, n: int = 3) -> DataFrame:
-    """``(key, pos, block)``: the last ``n`` blocks of a log that lines of five or more ``=`` separate."""
-    b = log.select(key, F.posexplode(F.split(text_col, r"\n={5,}\n")).alias("pos", "block")).where(F.trim("block") != "")
+    """``(key, pos, kind, agent, stage, id, block)``: the last ``n`` calls of a log, blocks that lines of five or more ``=`` separate
+    and that have a call's heading."""
+    b = log.select(key, F.posexplode(F.split(text_col, r"\n={5,}\n")).alias("pos", "block")).where(F.col("block").rlike(CALL))
     w = W.partitionBy(key).orderBy(F.desc("pos"))
-    return b.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r")
+    b = b.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n)
+    return b.select(key, "pos", *[F.trim(F.regexp_extract("block", CALL, i)).alias(x) for i, x in enumerate(("kind", "agent", "stage", "id"), 1)], "block")
+
+
+def tail(text: Column, n: int = 2000) -> Column:
+    """The last ``n`` characters."""
+    return F.right(text, F.lit(n))
