@@ -101,24 +101,22 @@ def with_ends(text: Column, append: Column | None = None, prepend: Column | None
     return out
 
 
-def numbered_ends(text: Column, most: int = 8000) -> Column:
+def numbered_ends(text: Column, most: int | Column = 8000) -> Column:
     """``text`` with line numbers; of one over ``most`` characters whole lines from its start (three fifths) and its end (two fifths),
     with the number of those left out between them. Null and empty texts give null."""
-    from ..operators.context import numbered
-
-    room = most - 100
-    lines = lambda x: F.size(F.split(F.regexp_replace(x, r"\n\z", ""), "\n"))
-    cut = lambda x: F.when(x.contains("\n"), x).otherwise(x)
-    head = F.left(text, F.lit(int(room * 0.6)))
+    most = F.lit(most) if isinstance(most, int) else most
+    strip = lambda x: F.regexp_replace(x, r"\n\z", "")
+    lines = lambda x: F.size(F.split(strip(x), "\n"))
+    share = lambda x: F.floor((most - 100) * x).cast("int")
+    head = F.left(text, share(F.lit(0.6)))
     head = F.when(F.instr(head, "\n") > 1, F.regexp_replace(head, r"\n[^\n]*\z", "")).otherwise(head)
-    tail = F.right(text, F.lit(int(room * 0.4)))
-    tail = F.when(F.instr(tail, "\n") > 1, F.regexp_replace(cut(tail), r"\A[^\n]*\n", "")).otherwise(tail)
+    tail = F.right(text, share(F.lit(0.4)))
+    tail = F.when(F.instr(tail, "\n") > 1, F.regexp_replace(tail, r"\A[^\n]*\n", "")).otherwise(tail)
     n, n_head, n_tail = lines(text), lines(head), lines(tail)
-    strip = lambda x: F.regexp_replace(x, r"\n\z", "")
     start = n - n_tail + 1
     number = lambda x, first: F.array_join(F.transform(F.split(x, "\n"), lambda y, i: F.concat(F.lpad((i + first).cast("string"), 4, " "), F.lit(" | "), y)), "\n")
     note = F.concat(F.lit("\n     | ... ("), (n - n_head - n_tail).cast("string"), F.lit(" lines omitted, lines "), (n_head + 1).cast("string"), F.lit("-"), (start - 1).cast("string"), F.lit(") ...\n"))
-    return F.when(F.coalesce(text, F.lit("")) == "", F.lit(None)).when(F.length(text) > most, F.concat(number(strip(head), 1), note, number(strip(tail), start))).otherwise(numbered(strip(text)))
+    return F.when(F.coalesce(text, F.lit("")) == "", F.lit(None)).when(F.length(text) > most, F.concat(number(strip(head), 1), note, number(strip(tail), start))).otherwise(number(strip(text), 1))
 
 
 def model_billions(name: Column) -> Column:

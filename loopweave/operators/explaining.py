@@ -9,7 +9,6 @@ from pyspark.sql.window import Window as W
 from ..functions import text as t
 from . import reports
 
-NONE = F.lit(None).cast("string")
 #: What to do about a file, by why its patch failed.
 FIXES = {
     "hallucination": "create what the change takes for granted before changing {p}", "syntax": "mend the syntax of what was written for {p}", "search_mismatch": "find the place in {p} by hand and change it there",
@@ -86,17 +85,16 @@ def feedback(issues: DataFrame, keys: list[str]) -> DataFrame:
     ``issues`` has the keys, ``kind`` (syntax, cycle or another), ``path`` and ``comment``. Only the lines shown are gathered.
     """
     kind = F.when(F.col("kind").isin("syntax", "cycle"), F.col("kind")).otherwise("other")
-    rank = F.create_map(*[F.lit(x) for kv in {"syntax": 0, "cycle": 1, "other": 2}.items() for x in kv])
     most = F.when(kind == "cycle", 3).otherwise(5)
-    i = issues.select(*keys, kind.alias("k"), rank[kind].alias("r"), most.alias("most"), F.coalesce("path", F.lit("?")).alias("path"), F.coalesce("comment", F.lit("")).alias("comment"))
-    w = W.partitionBy(*keys, "k")
-    i = i.withColumn("n", F.count("*").over(w)).withColumn("pos", F.row_number().over(w.orderBy("path", "comment"))).where(F.col("pos") <= F.col("most"))
-    line = F.when(F.col("k") == "cycle", F.concat(F.lit("- "), "comment")).otherwise(F.concat(F.lit("- "), "path", F.lit(": "), "comment"))
-    part = i.groupBy(*keys, "k", "r", "n", "most").agg(F.array_sort(F.collect_list(F.struct("pos", line.alias("l")))).alias("x"))
-    more = F.when(F.col("n") > F.col("most"), F.concat(F.lit("\n- and "), (F.col("n") - F.col("most")).cast("string"), F.lit(" more"))).otherwise("")
-    part = part.select(*keys, "r", F.concat(F.lit("### "), "k", F.lit("\n"), F.array_join(F.transform("x", lambda y: y["l"]), "\n"), more).alias("s"))
-    g = part.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("r", "s"))).alias("p"))
-    return g.select(*keys, F.array_join(F.transform("p", lambda y: y["s"]), "\n\n").alias("feedback"))
+    i = issues.select(*keys, kind.alias("_k"), F.when(kind == "syntax", 0).when(kind == "cycle", 1).otherwise(2).alias("_r"), most.alias("_most"), F.coalesce("path", F.lit("?")).alias("_path"), F.coalesce("comment", F.lit("")).alias("_comment"))
+    w = W.partitionBy(*keys, "_k")
+    i = i.withColumn("_n", F.count("*").over(w)).withColumn("_pos", F.row_number().over(w.orderBy("_path", "_comment"))).where(F.col("_pos") <= F.col("_most"))
+    line = F.when(F.col("_k") == "cycle", F.concat(F.lit("- "), "_comment")).otherwise(F.concat(F.lit("- "), "_path", F.lit(": "), "_comment"))
+    part = i.groupBy(*keys, "_k", "_r", "_n", "_most").agg(F.array_sort(F.collect_list(F.struct("_pos", line.alias("l")))).alias("_x"))
+    more = F.when(F.col("_n") > F.col("_most"), F.concat(F.lit("\n- and "), (F.col("_n") - F.col("_most")).cast("string"), F.lit(" more"))).otherwise("")
+    part = part.select(*keys, "_r", F.concat(F.lit("### "), "_k", F.lit("\n"), F.array_join(F.transform("_x", lambda y: y["l"]), "\n"), more).alias("_s"))
+    g = part.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_r", "_s"))).alias("_p"))
+    return g.select(*keys, F.array_join(F.transform("_p", lambda y: y["_s"]), "\n\n").alias("feedback"))
 
 
 def rule_issues(patches: DataFrame, files: DataFrame, reverted: DataFrame) -> DataFrame:

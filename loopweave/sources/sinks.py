@@ -28,3 +28,14 @@ def write(artifacts: DataFrame, target: str, key: str, dry_run: bool = False, mo
 def as_json(df: DataFrame, key: str) -> DataFrame:
     """``(key, json)``: each row as one JSON object."""
     return df.select(key, F.to_json(F.struct(*df.columns)).alias("json"))
+
+
+#: What is kept of a run, by kind: its folder and the column that holds the text.
+NAMED = {"input": "cycle.json", "description": "description.txt", "response": "response.txt"}
+
+
+def named(rows: DataFrame, kind: str, key: str, text: str, agent: str | None = None) -> DataFrame:
+    """``(key, path, text)``: texts of one kind as artifacts, under the agent's folder if there is one."""
+    if kind not in NAMED:
+        raise ValueError(f"no artifact {kind!r}; there are {sorted(NAMED)}")
+    return rows.select(key, F.lit(f"{agent}/{NAMED[kind]}" if agent else NAMED[kind]).alias("path"), F.col(text).alias("text"))
