@@ -135,3 +135,15 @@ def defined_types(text: Column) -> Column:
 def is_placeholder_free_path(path: Column) -> Column:
     """Whether a path may name a new file: relative, without ``..``, not too long."""
     return F.coalesce((F.length(path) > 0) & (F.length(path) <= 260) & ~path.rlike(r"(^|[/\\])\.\.([/\\]|$)") & ~path.rlike(r"^([/\\]|[A-Za-z]:)"), F.lit(False))
+
+
+# fixed values: whole import lines, by extension
+IMPORT_LINES = {"ts": r"(?m)^import [^\r\n]*", "js": r"(?m)^import [^\r\n]*", "mjs": r"(?m)^import [^\r\n]*", "py": r"(?m)^(?:from|import) [^\r\n]*", "cs": r"(?m)^using [^\r\n]*", "java": r"(?m)^import [^\r\n]*"}
+
+
+def import_lines(text: Column, ext: Column) -> Column:
+    """The import lines of a text by its language, as they stand; none for others."""
+    out = F.array().cast("array<string>")
+    for e, rx in IMPORT_LINES.items():
+        out = F.when(ext == e, F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(rx), F.lit(0))).otherwise(out)
+    return out

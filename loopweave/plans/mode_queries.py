@@ -9,13 +9,14 @@ from ..functions import text as t
 from ..operators import briefing as b
 from ..operators import compiling as k
 from ..operators import explaining as x
+from ..operators import graph as g
 from ..operators import history as h
-from ..sources import memory, projects
+from ..sources import memory, projects, readers
 from ..tables import clean_path, extension, load, once
 from . import briefing_queries as bq
 from . import explaining_queries as eq
 from . import modes as m
-from .extra_queries import _F, _J, _sql_imports
+from .extra_queries import _F, _J, _TYPES, _sql_imports
 from .suggestion_queries import SQL as _SUGGESTED
 
 
@@ -76,8 +77,8 @@ def m10_prompts(spark: SparkSession, sf: str) -> DataFrame:
     a_ = bq._analysis(spark, sf).join(bq._nodes(spark, sf).withColumnRenamed("nodes", "nodes_"), "cycle_id")
     strategy = F.when(F.col("cycle_type") == "bidirectional", "interface_extraction").when(F.col("violation").isNotNull(), "dependency_inversion").otherwise("shared_module")
     s = b.shown(_files(spark, sf), bq._nodes(spark, sf), "cycle_id", "file_id", 12_000).where("status <> 'empty' and text <> ''")
-    g = s.groupBy("cycle_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((F.col("status") != "full").alias("k"), "size", "file_id", "text"))), lambda y: y["text"]), "\n\n").alias("files"))
-    j = a_.withColumn("strategy", strategy).join(g, "cycle_id", "left")
+    shown = s.groupBy("cycle_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((F.col("status") != "full").alias("k"), "size", "file_id", "text"))), lambda y: y["text"]), "\n\n").alias("files"))
+    j = a_.withColumn("strategy", strategy).join(shown, "cycle_id", "left")
     body = F.concat(F.lit("Strategy: "), "strategy", F.lit("\nNodes: "), F.array_join("nodes_", ", "), F.lit("\nHints: "), F.array_join(b.hints(), "; "), F.lit("\nExample: "), m.example(F.col("strategy")), F.lit("\n\n"), F.coalesce("files", F.lit("")))
     return j.select("cycle_id", F.md5(m.within(body, 20_000)).alias("digest"))
 
@@ -100,6 +101,37 @@ def e2_checked(spark: SparkSession, sf: str) -> DataFrame:
     return k.checked(_files(spark, sf), "file_id").groupBy("language", "success", "tool_available").agg(F.count("*").alias("files"))
 
 
+def p7_descriptions(spark: SparkSession, sf: str) -> DataFrame:
+    """Each job's cycle as a sentence."""
+    j = once(load(spark, sf, "cycle_jobs", "cycle_id", "graph"), "cycle_id").where("size(graph.nodes) > 0")
+    return j.select("cycle_id", g.describe(F.col("graph.nodes")).alias("description"))
+
+
+def x19_import_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """The import lines of files, whole, by extension."""
+    f = load(spark, sf, "cycle_files", "file_id", "path", "content").withColumn("ext", extension(clean_path(F.col("path"))))
+    lines = F.when(F.col("ext").isin(*t.IMPORT_LINES), F.array_distinct(t.import_lines(F.col("content"), F.col("ext"))))
+    f = once(f.select("file_id", "ext", lines.alias("l")), "file_id")
+    return f.select("ext", F.explode("l").alias("line")).groupBy("ext", "line").agg(F.count("*").alias("files"))
+
+
+def x49_diagnostics(spark: SparkSession, sf: str) -> DataFrame:
+    """What is noted of patches before they are judged: changes of nothing or of blanks only, and interfaces that nothing defines."""
+    p = eq._patches(spark, sf).where("patched <> ''")
+    kind = t.change_kind(F.col("original"), F.col("patched"))
+    names = lambda c: F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"\bI[A-Z][a-zA-Z0-9]*\b"), F.lit(0))
+    new = F.array_except(names(F.col("patched")), F.concat(names(F.col("original")), t.defined_types(F.col("patched"))))
+    notes = F.concat(F.when(kind == "none", F.array(F.lit("no change"))).when(kind == "whitespace", F.array(F.lit("blanks only"))).otherwise(F.array().cast("array<string>")), F.transform(new, lambda x: F.concat(F.lit("unknown "), x)))
+    return p.select(F.explode(notes).alias("note")).groupBy("note").agg(F.count("*").alias("patches"))
+
+
+def w11_errors(spark: SparkSession, sf: str) -> DataFrame:
+    """The last ten lines of all files that speak of an error."""
+    f = once(load(spark, sf, "cycle_files", "file_id", "content").where(F.col("content").rlike("ERROR|Traceback|Exception")), "file_id")
+    lines = f.select("file_id", F.posexplode(F.split("content", "\n")).alias("n", "line")).withColumn("pos", F.col("file_id") * 1_000_000 + F.col("n"))
+    return readers.log_errors(lines, 10).select("file_id", "n", "line")
+
+
 def y24_summaries(spark: SparkSession, sf: str) -> DataFrame:
     """Checked JSON files, by the line that sums up their result."""
     f = load(spark, sf, "cycle_files", "file_id", "path", "content").where(extension(clean_path(F.col("path"))) == "json").where("content <> ''")
@@ -135,7 +167,7 @@ def o6_context(spark: SparkSession, sf: str) -> DataFrame:
     return memory.context(q, idx, "cycle_id", shown=1, best=2)
 
 
-QUERIES = {f.__name__: f for f in (p1_imports, p1_nodes, p4_specs, m2_snippets, m12_examples, m3_suggested, m4_applied, m10_prompts, m17_explained, m18_failures, e2_checked, y24_summaries, y23_cycles, y20_index, o5_context, o6_context)}
+QUERIES = {f.__name__: f for f in (p1_imports, p1_nodes, p4_specs, m2_snippets, m12_examples, m3_suggested, m4_applied, m10_prompts, m17_explained, m18_failures, e2_checked, p7_descriptions, x19_import_lines, x49_diagnostics, w11_errors, y24_summaries, y23_cycles, y20_index, o5_context, o6_context)}
 
 # ----------------------------------------------------------------------------------------------------------- SQL
 _NUM = "array_to_string([lpad((i + {first} - 1)::VARCHAR, 4, ' ') || ' | ' || ({l})[i] for i in range(1, len({l}) + 1)], chr(10))"
@@ -152,6 +184,10 @@ SQL = {
     "m10_prompts": "",
     "m17_explained": f"WITH px0 AS ({eq.SQL['p15_explanation']}), l AS (SELECT cycle_id, arg_max_null(approved, attempt_id) AS ok FROM attempts GROUP BY 1) SELECT px0.* FROM px0 JOIN l USING (cycle_id) WHERE ok",
     "m18_failures": f"WITH k11 AS ({eq.SQL['k11_failure_report']}) SELECT * FROM k11 WHERE cycle_id IN (SELECT cycle_id FROM proposals)",
+    "p7_descriptions": f"WITH {_J} SELECT cycle_id, CASE WHEN len(graph.nodes) = 2 THEN 'Direct circular dependency between ' || graph.nodes[1] || ' and ' || graph.nodes[2] ELSE 'Circular dependency chain: ' || array_to_string(graph.nodes || [graph.nodes[1]], ' → ') END AS description FROM j WHERE len(graph.nodes) > 0",
+    "x19_import_lines": f"WITH {_F}, q AS (SELECT ext, CASE " + " ".join(f"WHEN ext = '{e}' THEN list_distinct(regexp_extract_all(c, '{rx}'))" for e, rx in t.IMPORT_LINES.items()) + " ELSE [] END AS l FROM f), u AS (SELECT ext, unnest(l) AS line FROM q) SELECT ext, line, count(*) AS files FROM u GROUP BY 1, 2",
+    "x49_diagnostics": rf"WITH {eq._PX}, q AS (SELECT coalesce(original, '') AS a, patched AS b, [x for x in list_distinct(regexp_extract_all(patched, '\bI[A-Z][a-zA-Z0-9]*\b')) if not list_contains(regexp_extract_all(coalesce(original, ''), '\bI[A-Z][a-zA-Z0-9]*\b') || {_TYPES.replace('{c}', 'patched')}, x)] AS n FROM px WHERE patched <> ''), u AS (SELECT 'no change' AS note FROM q WHERE a = b UNION ALL SELECT 'blanks only' FROM q WHERE a <> b AND regexp_replace(a, '\s+', '', 'g') = regexp_replace(b, '\s+', '', 'g') UNION ALL SELECT 'unknown ' || unnest(n) FROM q) SELECT note, count(*) AS patches FROM u GROUP BY 1",
+    "w11_errors": f"WITH {_F}, q AS (SELECT file_id, string_split(content, chr(10)) AS l FROM f WHERE content IS NOT NULL), u AS (SELECT file_id, (i - 1)::INT AS n, l[i] AS line FROM q, unnest(range(1, len(l) + 1)) t(i)) SELECT * FROM u WHERE regexp_matches(line, 'ERROR|Traceback|Exception') ORDER BY file_id DESC, n DESC LIMIT 10",
     "y24_summaries": f"WITH {_F} SELECT CASE WHEN json_valid(CASE WHEN starts_with(content, chr(65279)) THEN content[2:] ELSE content END) THEN 'ok' ELSE '1 error(s), 0 warning(s)' END AS summary, count(*) AS files FROM f WHERE ext = 'json' AND content <> '' GROUP BY 1",
     "y23_cycles": "WITH j AS (SELECT cycle_id, any_value(project) AS project FROM cycle_jobs GROUP BY 1), n AS (SELECT project, count(*) AS n FROM j GROUP BY 1) SELECT p.project, coalesce(n, 0) AS cycles, coalesce(n, 0) > 0 AS has_cycles FROM projects p LEFT JOIN n USING (project)",
 }
