@@ -1,9 +1,10 @@
 """Problem 8: sentence boundaries across languages and scripts.
 
 The boundary rules are compiled into a finite transducer. A regular expression finds the places where anything can
-happen (line ends, stops, quotation marks, blanks between Thai letters); each becomes one letter of a small alphabet by
-looking at a bounded stretch of text on either side, and :data:`NEXT` / :data:`EMIT` say what a letter does in each of
-the transducer's states. Reading a run of letters is thus a function from states to states. The functions of all events
+happen (line ends, stops, quotation marks, blanks between Thai letters). Each is read as classes of what stands around it
+in a bounded stretch of text, and tables compiled from the rules over these classes (:data:`DOT`, :data:`STOP`,
+:data:`CLOSE`) give its letter of a small alphabet; :data:`NEXT` / :data:`EMIT` say what a letter does in each of the
+transducer's states. Reading a run of letters is thus a function from states to states. The functions of all events
 of a batch are composed by a parallel prefix scan, where the letter that starts a document is a constant function.
 Documents over :data:`CHUNK` code points are cut into chunks that different tasks read: each yields its function (one
 state for each state), the functions of a document are composed in order, and a second pass over the chunks emits the
@@ -12,6 +13,7 @@ sentence ends from the state that each chunk is entered in.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
@@ -168,117 +170,241 @@ def _starts(text: str, i: int) -> bool:
     return c.isalnum() or c in "\"„“«「『'`¿¡*_‘-#@<"
 
 
-def _final_dot(text: str, start: int, nxt: int) -> bool:
-    """Whether the single full stop at ``start``, after which text goes on at ``nxt``, ends a sentence."""
-    left = _LEFT.search(text, max(0, start - 40), start).group()
-    tok = _ELIDED.sub("", left.lower().lstrip("'*_#"))
-    c = text[nxt : nxt + 1]
-    if not tok:
-        return _starts(text, nxt)
-    pair = _PAIR.search(text, max(0, start - len(left) - 8), start - len(left)) if len(tok) <= 2 else None
-    if pair:
-        both = f"{pair.group(1)}. {tok}".lower()
-        if both in NEVER_PAIR:
-            return False
-        if both in SOMETIMES_PAIR:
-            return _starts(text, nxt)
-    if tok in BEFORE_NUMBER:
-        return not c.isdigit()
-    if tok in NEVER:
+# --- the rules about stops and closing marks ---------------------------------------------------------------------------
+# A stop is read as a tuple of classes of what stands around it, each seen in a bounded stretch of text, and the rules
+# are functions of these classes alone. They are compiled into tables over all tuples when the module is loaded, so that
+# the transducer's letter for a stop is one look-up: first DOT (does a single full stop end a sentence, by the token before
+# it and the word behind it), whose answer is one of the classes of STOP; likewise CLOSE for closing marks.
+
+#: The token before a full stop; of a single letter its case, and whether an odd number of initials stands before it.
+LEFT = ("none", "never", "sometimes", "before_number", "short_number", "number", "letter_upper", "letter_upper_odd", "letter_lower", "letter_lower_odd", "letter_other", "letter_other_odd", "two_upper", "word")
+_L = {c: i for i, c in enumerate(LEFT)}
+#: What stands behind it, as bits.
+R_END, R_STARTS, R_LOWER, R_UPPER, R_DIGIT, R_MONTH, R_INITIAL, R_STARTER, R_NO_WORD, R_TWO_UPPER = (1 << i for i in range(10))
+
+
+def _dot_rule(left: str, r: int) -> bool:
+    """Whether a single full stop ends a sentence."""
+    starts = bool(r & R_STARTS)
+    if left in ("none", "sometimes"):
+        return starts
+    if left == "never":
         return False
-    if tok in SOMETIMES:
-        return _starts(text, nxt)
-    if tok.isdigit():
-        if len(tok) <= 2 and c.isupper():
-            w = _WORD.match(text, nxt)
-            return not (w and w.group().lower() in MONTHS)
+    if left == "before_number":
+        return not r & R_DIGIT
+    if left == "short_number":  # a day before its month
+        return not (r & R_UPPER and r & R_MONTH)
+    if left == "two_upper":
+        return not r & R_TWO_UPPER
+    if left in ("number", "word"):
         return True
+    upper, lower, odd = "upper" in left, "lower" in left, left.endswith("odd")
+    if r & R_END:
+        return True
+    if r & R_INITIAL:
+        return odd and upper  # names have two initials at most
+    if r & R_LOWER:
+        return starts and upper
+    if r & R_DIGIT:
+        return lower
+    if r & R_NO_WORD:
+        return starts
+    return lower and bool(r & R_UPPER) or bool(r & R_STARTER)
+
+
+DOT = [[_dot_rule(c, r) for r in range(1 << 10)] for c in LEFT]
+#: What a row of DOT says whatever stands behind, else None.
+ALWAYS = [row[0] if len(set(row)) == 1 else None for row in DOT]
+
+#: Kinds of stops, and of the character right behind one.
+RUN = ("semicolon", "wide", "dot", "dots", "mark")
+AFTER_STOP = ("end", "comma", "sticky", "apostrophe", "quote", "digit", "numeric", "bracket", "backtick", "lower", "upper_word", "upper_more", "letter", "other")
+_A = {c: i for i, c in enumerate(AFTER_STOP)}
+#: More about a stop, as bits: a closing bracket belongs to it; no space follows; what it follows is a letter, digit or closing
+#: mark, white space, a letter, Greek; what follows is a call or member; looks like a start; is a digit; the full stop ends a sentence.
+T_CLOSED, T_JOINED, T_FIRM, T_SPACE, T_ALPHA, T_GREEK, T_MEMBER, T_STARTS, T_DIGIT, T_DOT = (1 << i for i in range(10))
+
+
+def _stop_rule(run: str, after: str, t: int) -> bool:
+    """Whether a stop can end a sentence."""
+    if run == "semicolon":
+        return bool(t & T_GREEK) and after not in ("digit", "numeric", "lower", "upper_word", "upper_more", "letter")
+    if run == "wide":
+        return after != "comma"
+    if after in ("comma", "sticky"):
+        return False
+    closed = bool(t & T_CLOSED)
+    if t & T_JOINED:
+        if after in ("apostrophe", "quote"):
+            return after == "quote" and not closed  # a mark that closes is no end by itself: its state decides
+        if after in ("digit", "bracket"):
+            return False
+        if after == "backtick":
+            return bool(t & T_ALPHA)
+        if after in ("lower", "upper_more") or after == "upper_word" and run == "dot" and not closed and t & T_MEMBER:
+            return False
+        if after in ("upper_word", "letter") and not t & T_FIRM:
+            return False
+    if closed or run == "dots":
+        return bool(t & T_STARTS)
+    if run == "dot":
+        return bool(t & T_DOT) and not (t & T_SPACE and t & T_DIGIT and t & T_JOINED)
+    return True  # ? and !
+
+
+STOP = [[[_stop_rule(r, c, t) for t in range(1 << 10)] for c in AFTER_STOP] for r in RUN]
+
+#: The same for what is joined to a stop: where it never ends a sentence, whatever else holds.
+NEVER_JOINED = [[not any(cell[t | T_JOINED] for t in range(1 << 10)) for cell in row] for row in STOP]
+
+#: About a closing mark, as bits: a stop stands before it; the text ends; the sentence goes on; ideographs follow, with a verb of
+#: saying; the same mark opens again; what follows looks like a start.
+C_STOP, C_END, C_GO, C_WIDE, C_SAY, C_AGAIN, C_STARTS = (1 << i for i in range(7))
+
+
+def _close_rule(c: int) -> str:
+    """What follows a closing mark: a new sentence, words that say who spoke, or the same sentence going on."""
+    if not c & C_STOP or c & (C_END | C_GO):
+        return "go"
+    if c & C_WIDE:
+        return "say" if c & C_SAY else "new"
+    return "new" if c & C_STARTS and not c & C_AGAIN else "go"
+
+
+CLOSE = [_close_rule(c) for c in range(1 << 7)]
+
+_WIDE_STOPS = "。！？｡।॥۔؟\u037e"
+_STICKY = frozenset(";:-/\\=&%@_*~|+>،؛")
+_QUOTES = frozenset("\"„“”«»「」『』")
+_TWO_UPPER = re.compile(r"[A-Z]{2}\.")
+
+
+def _after(text: str, i: int) -> str:
+    """The class of the character at ``i``."""
+    c = text[i : i + 1]
+    if not c:
+        return "end"
+    if c in ",，、":
+        return "comma"
+    if c in _STICKY:
+        return "sticky"
+    if c in "'’":
+        return "apostrophe"
+    if c in _QUOTES:
+        return "quote"
+    if c.isdigit():
+        return "digit"
+    if c in ")]}）】":
+        return "bracket"
+    if c == "`":
+        return "backtick"
+    if c.isalpha():
+        if c.islower():
+            return "lower"
+        if not c.isupper():
+            return "letter"
+        two = text[i + 1 : i + 2]
+        return "upper_word" if not two or two.islower() or two.isspace() or two in "'’" else "upper_more"
+    return "numeric" if c.isalnum() else "other"
+
+
+@functools.lru_cache(maxsize=1 << 16)
+def _token(left: str) -> tuple[int, str]:
+    """The class of a token by itself, and the token in lower case without what clings to it."""
+    tok = _ELIDED.sub("", left.lower().lstrip("'*_#"))
+    for words, name in ((("",), "none"), (BEFORE_NUMBER, "before_number"), (NEVER, "never"), (SOMETIMES, "sometimes")):
+        if tok in words:
+            return _L[name], tok
+    if tok.isdigit():
+        return _L["short_number" if len(tok) <= 2 else "number"], tok
     if len(tok) == 1 and tok.isalpha() and not _CJK.match(tok):
-        if not c:
-            return True
+        return _L["letter_upper" if left.isupper() else "letter_lower" if left.islower() else "letter_other"], tok
+    return _L["two_upper" if len(tok) == 2 and left.isupper() else "word"], tok
+
+
+def _left(text: str, start: int) -> tuple[int, str]:
+    """The class of the token before the full stop at ``start``, and the token."""
+    left = _LEFT.search(text, max(0, start - 40), start).group()
+    cls, tok = _token(left)
+    if not tok or len(tok) > 2:
+        return cls, left
+    pair = _PAIR.search(text, max(0, start - len(left) - 8), start - len(left))
+    if pair:
+        both = f"{pair.group(1)}. {tok}".lower()
+        if both in NEVER_PAIR or both in SOMETIMES_PAIR:
+            return _L["never" if both in NEVER_PAIR else "sometimes"], left
+    if LEFT[cls].startswith("letter"):
         chain = _INITIALS.search(text, max(0, start - len(left) - 24), start - len(left))
-        before = chain.group().count(".") if chain else 0
-        w = _WORD.match(text, nxt)
-        word = w.group() if w else ""
-        if len(word) == 1 and text[nxt + 1 : nxt + 2] == ".":
-            return before % 2 == 1 and left.isupper()  # names have two initials at most
-        if c.islower():
-            return _starts(text, nxt) and left.isupper()
-        if c.isdigit():
-            return left.islower()
-        if not word:
-            return _starts(text, nxt)
-        if left.islower() and c.isupper():
-            return True
-        return word.lower() in STARTERS or bool(_CAMEL.match(word))
-    if len(tok) == 2 and left.isupper() and re.match(r"[A-Z]{2}\.", text[nxt : nxt + 3]):
-        return False
-    return True
+        if chain and chain.group().count(".") % 2 == 1:
+            return cls + 1, left
+    return cls, left
+
+
+def _right(text: str, nxt: int) -> int:
+    """The bits of what stands at ``nxt``."""
+    c = text[nxt : nxt + 1]
+    if not c:
+        return R_END | R_STARTS | R_NO_WORD
+    w = _WORD.match(text, nxt)
+    word = w.group() if w else ""
+    low = word.lower()
+    r = R_STARTS if _starts(text, nxt) else 0
+    r |= (R_LOWER if c.islower() else 0) | (R_UPPER if c.isupper() else 0) | (R_DIGIT if c.isdigit() else 0) | (0 if word else R_NO_WORD)
+    r |= (R_MONTH if low in MONTHS else 0) | (R_INITIAL if len(word) == 1 and text[nxt + 1 : nxt + 2] == "." else 0)
+    r |= (R_STARTER if low in STARTERS or _CAMEL.match(word) else 0) | (R_TWO_UPPER if _TWO_UPPER.match(text, nxt, nxt + 3) else 0)
+    return r
 
 
 def _stop(text: str, m: re.Match) -> bool:
-    """Whether the stop ``m`` can end a sentence."""
+    """Whether the stop ``m`` can end a sentence: its classes, looked up; those that its rule doesn't ask for aren't seen."""
     start, end = m.span()
-    run = m.group().rstrip(_CLOSERS)
-    closed = len(run) < end - start
-    after = text[end : end + 1]
-    if set(run) == {";"}:
-        return bool(_GREEK.match(text[start - 1 : start])) and not after.isalnum()
-    if run[0] in "。！？｡।॥۔؟;" or "…" in run or run[-1] in "。！？｡।॥۔؟;":
-        return after not in tuple(",，、")
-    if after and after in ",;:-/\\=&%@_*~|+>،؛、，":
+    run = m.group()
+    prev = text[start - 1 : start]
+    after = _after(text, end)
+    t = 0
+    if run == ".":
+        row = 2
+    else:
+        bare = run.rstrip(_CLOSERS)
+        t = T_CLOSED if len(bare) < len(run) else 0
+        row = 0 if set(bare) == {";"} else 1 if bare[0] in _WIDE_STOPS or "…" in bare or bare[-1] in _WIDE_STOPS else 2 if bare == "." else 3 if set(bare) == {"."} else 4
+    if row < 2:
+        return STOP[row][_A[after]][T_GREEK if row == 0 and _GREEK.match(prev) else 0]
+    if after in ("comma", "sticky"):
         return False
     nxt = _GAP.match(text, end).end()
-    c = text[nxt : nxt + 1]
-    if nxt == end and after:  # no space
-        if after in "\"„“”«»「」『』'’":
-            return after not in "'’" and not closed  # a mark that closes is no end by itself: its state decides
-        if after.isdigit() or after in ")]}）】":
-            return False
-        if after == "`":
-            return text[start - 1 : start].isalpha() and not text[start - 1 : start].isspace()
-        if after.isalpha():
-            if after.islower():
-                return False
-            if after.isupper():
-                two = text[end + 1 : end + 2]
-                if not (two.islower() or two.isspace() or two in "'’"):
-                    return False
-                if run == "." and not closed:
-                    left = _LEFT.search(text, max(0, start - 40), start).group()
-                    if _CALL.match(text, end) or left[:1].isupper() and len(left) > 1 and left[1:2].islower() and not text[start - 1].isdigit() and _CAMEL.match(_WORD.match(text, end).group()):
-                        return False
-            if not (text[start - 1 : start].isalnum() or text[start - 1 : start] in _CLOSERS + "\"”»`'%  "):
-                return False
-    if closed:
-        return _starts(text, nxt)
-    if len(run) > 1 and set(run) == {"."}:
-        return _starts(text, nxt)
-    if run == ".":
-        if text[start - 1 : start].isspace() and c.isdigit() and nxt == end:
+    if nxt == end and after != "end":
+        if NEVER_JOINED[row][_A[after]]:
             return False
-        return _final_dot(text, start, nxt)
-    return True  # ? and !
+        t |= T_JOINED | (T_FIRM if prev.isalnum() or prev in _CLOSERS + "\"”»`'% \u00a0" else 0) | (T_ALPHA if prev.isalpha() else 0)
+    if row == 2 and not t & T_CLOSED:
+        cls, left = _left(text, start)
+        dot = ALWAYS[cls]
+        if dot is None:
+            dot = DOT[cls][_right(text, nxt)]
+        if after == "upper_word" and t & T_JOINED and (_CALL.match(text, end) or left[:1].isupper() and len(left) > 1 and left[1:2].islower() and not prev.isdigit() and _CAMEL.match(_WORD.match(text, end).group())):
+            t |= T_MEMBER
+        t |= (T_DOT if dot else 0) | (T_SPACE if prev.isspace() else 0) | (T_DIGIT if text[nxt : nxt + 1].isdigit() else 0)
+    elif t & T_CLOSED or row == 3:
+        t |= T_STARTS if _starts(text, nxt) else 0
+    return STOP[row][_A[after]][t]
 
 
 def _closing(text: str, start: int, end: int) -> str:
-    """What follows a closing mark: a new sentence, words that say who spoke, or the same sentence going on."""
+    """What follows the mark at ``start``, if it closes."""
     i = start - 1
     while i >= 0 and (text[i].isspace() or text[i] in _CLOSERS):
         i -= 1
     if i < 0 or text[i] not in _STOPS_SET:
-        return "go"
+        return CLOSE[0]
     nxt = _GAP.match(text, end).end()
     c = text[nxt : nxt + 1]
-    if not c:
-        return "go"
-    if _GO.match(text, nxt):
-        return "go"
-    if _CJK.match(c):
-        return "say" if _SAY.match(text, nxt) else "new"
-    if c in "\"„“«「『" and nxt == end and text[end - 1] == c:
-        return "go"
-    return "new" if _starts(text, nxt) else "go"
+    bits = C_STOP | (0 if c else C_END) | (C_GO if _GO.match(text, nxt) else 0)
+    if c and _CJK.match(c):
+        bits |= C_WIDE | (C_SAY if _SAY.match(text, nxt) else 0)
+    elif c:
+        bits |= (C_AGAIN if c in "\"„“«「『" and nxt == end and text[end - 1] == c else 0) | (C_STARTS if _starts(text, nxt) else 0)
+    return CLOSE[bits]
 
 
 def letters(text: str, lo: int, hi: int, begins: bool, ends: bool, beyond: str = "") -> tuple[list[int], list[int], list[int]]:

@@ -104,3 +104,9 @@ def test_tree_of_functions(spark):
             want[2, k] = state
         state = int(f[state])
     assert got == want
+
+
+def test_tables_hold_the_rules():
+    assert all(s.DOT[i][r] == s._dot_rule(c, r) for i, c in enumerate(s.LEFT) for r in range(0, 1024, 7))
+    assert all(s.STOP[i][j][t] == s._stop_rule(r, c, t) for i, r in enumerate(s.RUN) for j, c in enumerate(s.AFTER_STOP) for t in range(0, 1024, 11))
+    assert cut("Greek ends so; this does not. Τι λες; Τίποτα. It is 3.5 long.") == ["Greek ends so; this does not.", "Τι λες;", "Τίποτα.", "It is 3.5 long."]
