@@ -124,46 +124,54 @@ PY_IMPORT = r"^\s*(?:from|import)\s+([\w.]+)"
 MENTION = (2, 3)
 
 
-def snippet(path: Column, content: Column, nodes: Column, most: Column) -> Column:
-    """The part of a file to show: all of it up to ``most`` characters, else windows around imports, declarations and lines
-    that name a node or the file, merged where they touch, until ``most`` is passed; without any the first lines.
+def stage(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with more columns, each computed once: a generator of one row keeps the optimizer from copying them into every
+    later use (and into lambdas, where they would be computed for each element)."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
+def with_snippet(df: DataFrame, path: Column, content: Column, nodes: Column, most: Column, name: str = "snippet") -> DataFrame:
+    """``df`` with the part of each file to show: all of it up to ``most`` characters, else windows around imports, declarations and
+    lines that name a node or the file, merged where they touch, until ``most`` is passed; without any the first lines.
 
     One row's own text is all it needs, so nothing is shuffled. Null and empty contents give an empty text.
     """
-    ext = extension(clean_path(path))
-    tokens = F.filter(F.array_append(F.coalesce(nodes, F.array().cast("array<string>")), F.regexp_replace(base_name(path), r"^(.+)\.[^.]*$", "$1")), lambda x: x != "")
-    lines = F.split(F.regexp_replace(content, r"\r?\n\z", ""), r"\r?\n")
-    n = F.size(lines)
+    tokens = F.filter(F.array_append(F.coalesce(nodes, F.array().cast("array<string>")), F.coalesce(F.regexp_replace(base_name(path), r"^(.+)\.[^.]*$", "$1"), F.lit(""))), lambda x: x != "")
+    long = F.length(content) > most
+    lines = F.when(long, F.split(F.regexp_replace(content, r"\r?\n\z", ""), r"\r?\n"))
+    df = stage(df, _lines=lines, _tokens=tokens, _ext=F.coalesce(extension(clean_path(path)), F.lit("")), _content=content, _most=most.cast("int"))
+    n, ext, known = F.size("_lines"), F.col("_ext"), [x for xs in LINES for x in xs]
 
     def windows(line: Column, i: Column) -> Column:
         def window(hit: Column, before: int, after: int) -> Column:
             return F.when(hit, F.struct(F.greatest(i - before, F.lit(0)).alias("s"), F.least(i + after, n).alias("e")))
 
-        known = [x for xs in LINES for x in xs]
         each = [window((ext.isin(*xs) if xs else ~ext.isin(*known)) & line.rlike(rx), b, a) for xs, rs in LINES.items() for rx, b, a in rs]
         target = F.regexp_extract(line, PY_IMPORT, 1)
-        each.append(window((ext == "py") & (target != "") & F.exists(tokens, lambda t: F.contains(target, t)), 2, 3))
-        each.append(window(F.exists(tokens, lambda t: F.contains(line, t)), *MENTION))
+        each.append(window((ext == "py") & (target != "") & F.exists("_tokens", lambda t: F.contains(target, t)), 2, 3))
+        each.append(window(F.exists("_tokens", lambda t: F.contains(line, t)), *MENTION))
         return F.array_compact(F.array(*each))
 
-    ranges = F.array_sort(F.flatten(F.transform(lines, windows)))
     none = F.array().cast("array<struct<s: int, e: int>>")
+    df = stage(df, _ranges=F.coalesce(F.array_sort(F.array_distinct(F.flatten(F.transform("_lines", windows)))), none))
 
     def merge(done: Column, r: Column) -> Column:
         last = F.element_at(done, -1)
         joined = F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(F.struct(last["s"].alias("s"), F.greatest(last["e"], r["e"]).alias("e"))))
-        return F.when((F.size(done) > 0) & (r["s"] <= last["e"] + 1), joined).otherwise(F.concat(done, F.array(r)))
+        return F.when(r["s"] <= last["e"] + 1, joined).otherwise(F.concat(done, F.array(r)))
 
-    merged = F.aggregate(ranges, none, lambda done, r: F.when(F.size(done) == 0, F.array(r)).otherwise(merge(done, r)))
-    parts = F.transform(merged, lambda r: F.array_join(F.slice(lines, r["s"] + 1, r["e"] - r["s"]), "\n"))
+    df = stage(df, _merged=F.aggregate("_ranges", none, lambda done, r: F.when(F.size(done) == 0, F.array(r)).otherwise(merge(done, r))))
+    df = stage(df, _parts=F.transform("_merged", lambda r: F.array_join(F.slice("_lines", r["s"] + 1, r["e"] - r["s"]), "\n")))
     start = F.struct(F.lit(0).alias("used"), F.array().cast("array<string>").alias("kept"))
-    kept = F.aggregate(parts, start, lambda a, p: F.when(a["used"] > most, a).otherwise(F.struct((a["used"] + F.length(p)).alias("used"), F.array_append(a["kept"], p).alias("kept"))), lambda a: F.array_join(a["kept"], "\n\n...\n\n"))
-    head = F.array_join(F.slice(lines, F.lit(1), F.greatest(F.lit(50), F.floor(most / 80).cast("int"))), "\n")
+    kept = F.aggregate("_parts", start, lambda a, p: F.when(a["used"] > F.col("_most"), a).otherwise(F.struct((a["used"] + F.length(p)).alias("used"), F.array_append(a["kept"], p).alias("kept"))), lambda a: F.array_join(a["kept"], "\n\n...\n\n"))
+    df = stage(df, _kept=kept)
+    head = F.array_join(F.slice("_lines", F.lit(1), F.greatest(F.lit(50), F.floor(F.col("_most") / 80).cast("int"))), "\n")
     mark = F.lit("\n...[truncated]")
-    return (
-        F.when(F.coalesce(content, F.lit("")) == "", "").when(F.length(content) <= most, content).when(F.size(ranges) == 0, F.concat(F.left(head, most), mark))
-        .when(F.length(kept) > most, F.concat(F.left(kept, most), mark)).otherwise(kept)
+    text = (
+        F.when(F.coalesce("_content", F.lit("")) == "", "").when(F.col("_lines").isNull(), F.col("_content")).when(F.size("_ranges") == 0, F.concat(F.left(head, F.col("_most")), mark))
+        .when(F.length("_kept") > F.col("_most"), F.concat(F.left("_kept", F.col("_most")), mark)).otherwise(F.col("_kept"))
     )
+    return df.withColumn(name, text).drop("_lines", "_tokens", "_ext", "_content", "_most", "_ranges", "_merged", "_parts", "_kept")
 
 
 def shown(files: DataFrame, nodes: DataFrame, key: str, id_col: str, room: int, *, largest: int = 8000, share: float = 0.4, most: int = 4000) -> DataFrame:
@@ -181,7 +189,8 @@ def shown(files: DataFrame, nodes: DataFrame, key: str, id_col: str, room: int,
     whole = W.partitionBy(key)
     left = room - F.sum(F.when(F.col("_full"), F.col("size")).otherwise(0)).over(whole)
     rest = F.sum(F.when(F.col("_full"), 0).otherwise(1)).over(whole)
-    narrow = narrow.withColumn("_most", F.least(F.floor(left / F.greatest(rest, F.lit(1))), F.lit(most)).cast("int")).select(id_col, "_full", "_most")
+    narrow = narrow.withColumn("_room", F.least(F.floor(left / F.greatest(rest, F.lit(1))), F.lit(most)).cast("int")).select(id_col, "_full", "_room")
     j = f.join(narrow, id_col).join(nodes.select(key, "nodes"), key, "left")
     status = F.when(F.col("_full"), "full").when(F.col("size") == 0, "empty").otherwise("snippet")
-    return j.select(key, id_col, "path", "size", status.alias("status"), F.when(F.col("_full"), F.col("content")).otherwise(snippet(F.col("path"), F.col("content"), F.col("nodes"), F.col("_most"))).alias("text"))
+    j = with_snippet(j, F.col("path"), F.when(~F.col("_full"), F.col("content")), F.col("nodes"), F.col("_room"), "_snippet")
+    return j.select(key, id_col, "path", "size", status.alias("status"), F.when(F.col("_full"), F.col("content")).otherwise(F.col("_snippet")).alias("text"))

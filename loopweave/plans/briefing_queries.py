@@ -65,7 +65,7 @@ def _nodes(spark: SparkSession, sf: str) -> DataFrame:
 def x25_snippets(spark: SparkSession, sf: str) -> DataFrame:
     """What is shown of each file in 2,000 characters."""
     f = _files(spark, sf).join(_nodes(spark, sf), "cycle_id")
-    return once(f.select("file_id", F.md5(b.snippet(F.col("path"), F.col("content"), F.col("nodes"), F.lit(2000))).alias("digest")), "file_id")
+    return once(b.with_snippet(f, F.col("path"), F.col("content"), F.col("nodes"), F.lit(2000)).select("file_id", F.md5("snippet").alias("digest")), "file_id")
 
 
 def x27_shown(spark: SparkSession, sf: str) -> DataFrame:
@@ -85,7 +85,7 @@ def m9_prompt_files(spark: SparkSession, sf: str) -> DataFrame:
 def w4_parts(spark: SparkSession, sf: str) -> DataFrame:
     """How much of its long files a cycle's snippets keep."""
     f = _files(spark, sf).join(_nodes(spark, sf), "cycle_id").where(F.length("content") > 2000)
-    s = once(f.select("file_id", "cycle_id", F.length("content").alias("n"), F.length(b.snippet(F.col("path"), F.col("content"), F.col("nodes"), F.lit(2000))).alias("m")), "file_id")
+    s = once(b.with_snippet(f, F.col("path"), F.col("content"), F.col("nodes"), F.lit(2000)).select("file_id", "cycle_id", F.length("content").alias("n"), F.length("snippet").alias("m")), "file_id")
     return s.groupBy("cycle_id").agg(F.count("*").alias("files"), F.sum("n").alias("chars"), F.sum("m").alias("shown"))
 
 

@@ -87,7 +87,7 @@ def test_snippets_of_long_files(spark):
     lines[50], lines[120] = "def run(self):", "from order.store import Thing"
     text = "\n".join(lines) + "\n"
     df = spark.createDataFrame([(1, "zebra.py", text), (2, "a.py", "short"), (3, "a.py", None), (4, "qq.zzz", "ward " * 1000)], "i int, p string, c string")
-    got = {r["i"]: r["s"] for r in df.select("i", briefing.snippet(F.col("p"), F.col("c"), F.array(F.lit("order")), F.lit(900)).alias("s")).collect()}
+    got = {r["i"]: r["s"] for r in briefing.with_snippet(df, F.col("p"), F.col("c"), F.array(F.lit("order")), F.lit(900), "s").collect()}
     assert got[1] == "\n".join(lines[48:60]) + "\n\n...\n\n" + "\n".join(lines[118:123]) and got[2] == "short" and got[3] == ""
     assert got[4] == ("ward " * 1000)[:900] + "\n...[truncated]"
 
