@@ -12,7 +12,7 @@ from . import handwritten, leaks, mixing, pairs, sentences, split, syntax, trunc
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
-    return split.oversized(split.split_files(load(spark, sf, "cycle_files"), load(spark, sf, "split_limits")))
+    return split.oversized(split.split_files(load(spark, sf, "cycle_files"), load(spark, sf, "split_limits"), with_pieces=False))
 
 
 def p1_pieces(spark: SparkSession, sf: str) -> DataFrame:

@@ -47,20 +47,29 @@ def cut_pattern(room: Column) -> Column:
     return F.concat(F.lit("(?s)(?:"), F.concat_ws("|", *alternatives), F.lit(")"))
 
 
-def running_sums(lengths: Column) -> Column:
-    """The sums of what stands before each element: by blocks of :data:`BLOCK`, so that no long array is copied for each element."""
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with one more column, computed once: a generator of one row keeps the optimizer from copying it into later uses,
+    and into lambdas, where it would be computed for each element."""
+    return df.select("*", F.inline(F.array(F.struct(value.alias(name)))))
 
-    def sums(xs: Column, start: Column) -> Column:
+
+def running_sums(df: DataFrame, array: str, name: str) -> DataFrame:
+    """``df`` with the lengths of what stands before each element: by blocks of :data:`BLOCK`, so that no long array is copied for each element."""
+
+    def sums(xs, start: Column) -> Column:
         return F.aggregate(xs, F.array(start), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
 
-    n = F.size(lengths)
-    blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((n - 1) / BLOCK).cast("int"))), lambda b: F.slice(lengths, b * BLOCK + 1, BLOCK))
-    totals = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda acc, x: acc + x))
-    return F.flatten(F.zip_with(blocks, F.slice(sums(totals, F.lit(0)), F.lit(1), F.size(totals)), lambda b, start: F.slice(sums(b, start), F.lit(1), F.size(b))))
+    df = once(df, "_lengths", F.transform(array, F.length))
+    n = F.size("_lengths")
+    df = once(df, "_blocks", F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((n - 1) / BLOCK).cast("int"))), lambda b: F.slice("_lengths", b * BLOCK + 1, BLOCK)))
+    df = once(df, "_totals", F.transform("_blocks", lambda b: F.aggregate(b, F.lit(0), lambda acc, x: acc + x)))
+    before = F.slice(sums("_totals", F.lit(0)), F.lit(1), F.size("_totals"))
+    inner = F.flatten(F.zip_with("_blocks", before, lambda b, start: F.slice(sums(b, start), F.lit(1), F.size(b))))
+    return once(df, name, inner).drop("_lengths", "_blocks", "_totals")
 
 
-def split_files(files: DataFrame, limits: DataFrame, *, id_col: str = "file_id", path_col: str = "path", content_col: str = "content") -> DataFrame:
-    """One row per file: ``(id, max_chars, n_chars, longest_line, n_pieces, pieces)``.
+def split_files(files: DataFrame, limits: DataFrame, *, id_col: str = "file_id", path_col: str = "path", content_col: str = "content", with_pieces: bool = True) -> DataFrame:
+    """One row per file: ``(id, max_chars, n_chars, longest_line, n_pieces, pieces)``; without ``pieces`` if only their number is wanted.
 
     ``pieces`` is an array of ``(piece_no, start_char, shared, piece)``: ``start_char`` (from 0) is where the piece's
     own text begins, ``shared`` the number of leading characters that repeat the end of the text before.
@@ -79,9 +88,10 @@ def split_files(files: DataFrame, limits: DataFrame, *, id_col: str = "file_id",
     df = df.join(F.broadcast(lim), "_ext", "left").withColumn("_n", F.length("_text"))
     cores = F.when(F.col("_n") > F.col("_max"), F.regexp_extract_all("_text", F.col("_pattern"), F.lit(0))).when(F.col("_text").isNotNull(), F.array("_text")).otherwise(F.array().cast("array<string>"))
     # a one-row generator, so that no later filter makes the optimizer copy the expression and run it again
-    df = df.select("*", F.inline(F.array(F.struct(cores.alias("_cores")))))
+    df = once(df, "_cores", cores)
     # starts: running sums of the lengths; shared: the end of the match before
-    df = df.select("*", F.inline(F.array(F.struct(running_sums(F.transform("_cores", F.length)).alias("_starts")))))
+    if with_pieces:
+        df = running_sums(df, "_cores", "_starts")
 
     def piece(core: Column, i: Column) -> Column:
         before = F.when(i > 0, F.col("_cores")[i - 1]).otherwise(F.lit(""))
@@ -89,9 +99,8 @@ def split_files(files: DataFrame, limits: DataFrame, *, id_col: str = "file_id",
         return F.struct(i.alias("piece_no"), F.col("_starts")[i].alias("start_char"), F.length(back).alias("shared"), F.concat(back, core).alias("piece"))
 
     lines = F.when(F.col("_n") > F.col("_max"), F.array_max(F.transform(F.split("_text", r"\r\n|\n|\r"), F.length))).alias("longest_line")
-    return df.select(
-        F.col("_id").alias(id_col), F.col("_max").alias("max_chars"), F.col("_n").alias("n_chars"), lines, F.size("_cores").alias("n_pieces"), F.transform("_cores", piece).alias("pieces")
-    )
+    pieces = [F.transform("_cores", piece).alias("pieces")] if with_pieces else []
+    return df.select(F.col("_id").alias(id_col), F.col("_max").alias("max_chars"), F.col("_n").alias("n_chars"), lines, F.size("_cores").alias("n_pieces"), *pieces)
 
 
 def explode_pieces(split: DataFrame, id_col: str = "file_id") -> DataFrame:

@@ -83,7 +83,14 @@ def test_very_long_text(spark, limits):
 
 
 def test_running_sums(spark):
-    rows = [(i, list(range(n))) for i, n in enumerate([0, 1, 2, 63, 64, 65, 128, 1000])]
-    df = spark.createDataFrame(rows, "i int, xs array<int>")
-    for r in df.select("i", "xs", split.running_sums(F.col("xs")).alias("s")).collect():
-        assert r["s"] == [sum(r["xs"][:k]) for k in range(len(r["xs"]))]
+    rows = [(i, ["x" * (k % 7) for k in range(n)]) for i, n in enumerate([0, 1, 2, 63, 64, 65, 128, 1000])]
+    df = spark.createDataFrame(rows, "i int, xs array<string>")
+    for r in split.running_sums(df, "xs", "s").collect():
+        assert r["s"] == [sum(map(len, r["xs"][:k])) for k in range(len(r["xs"]))]
+
+
+def test_only_the_number(spark, limits):
+    rows = [(1, "a.ts", "x" * 500), (2, "a.ts", "short"), (3, "a.ts", None)]
+    some = split.split_files(files(spark, rows), limits, with_pieces=False)
+    assert "pieces" not in some.columns
+    assert {(r["file_id"], r["n_pieces"]) for r in some.collect()} == {(r["file_id"], r["n_pieces"]) for r in split.split_files(files(spark, rows), limits).collect()}
