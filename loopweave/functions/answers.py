@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CHANGE = "struct<path: string, patched: string, prepend: string, append: string, search_replace: array<struct<search: string, replace: string>>>"
@@ -101,22 +101,24 @@ def with_ends(text: Column, append: Column | None = None, prepend: Column | None
     return out
 
 
-def numbered_ends(text: Column, most: int | Column = 8000) -> Column:
-    """``text`` with line numbers; of one over ``most`` characters whole lines from its start (three fifths) and its end (two fifths),
-    with the number of those left out between them. Null and empty texts give null."""
+def with_numbered_ends(df: DataFrame, text: Column, most: int | Column = 8000, name: str = "numbered") -> DataFrame:
+    """``df`` with ``text`` numbered by lines; of one over ``most`` characters whole lines from its start (three fifths) and its end
+    (two fifths), with the number of those left out between them. Null and empty texts give null."""
     most = F.lit(most) if isinstance(most, int) else most
-    strip = lambda x: F.regexp_replace(x, r"\n\z", "")
-    lines = lambda x: F.size(F.split(strip(x), "\n"))
-    share = lambda x: F.floor((most - 100) * x).cast("int")
-    head = F.left(text, share(F.lit(0.6)))
+    stage = lambda d, **cols: d.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in cols.items()]))))
+    lines = lambda x: F.split(F.regexp_replace(x, r"\n\z", ""), "\n")
+    share = lambda x: F.floor((F.col("_most") - 100) * x).cast("int")
+    df = stage(df, _text=text, _most=most.cast("int"))
+    head, tail = F.left("_text", share(F.lit(0.6))), F.right("_text", share(F.lit(0.4)))
     head = F.when(F.instr(head, "\n") > 1, F.regexp_replace(head, r"\n[^\n]*\z", "")).otherwise(head)
-    tail = F.right(text, share(F.lit(0.4)))
     tail = F.when(F.instr(tail, "\n") > 1, F.regexp_replace(tail, r"\A[^\n]*\n", "")).otherwise(tail)
-    n, n_head, n_tail = lines(text), lines(head), lines(tail)
-    start = n - n_tail + 1
-    number = lambda x, first: F.array_join(F.transform(F.split(x, "\n"), lambda y, i: F.concat(F.lpad((i + first).cast("string"), 4, " "), F.lit(" | "), y)), "\n")
-    note = F.concat(F.lit("\n     | ... ("), (n - n_head - n_tail).cast("string"), F.lit(" lines omitted, lines "), (n_head + 1).cast("string"), F.lit("-"), (start - 1).cast("string"), F.lit(") ...\n"))
-    return F.when(F.coalesce(text, F.lit("")) == "", F.lit(None)).when(F.length(text) > most, F.concat(number(strip(head), 1), note, number(strip(tail), start))).otherwise(number(strip(text), 1))
+    df = stage(df, _lines=lines(F.col("_text")), _head=lines(head), _tail=lines(tail))
+    # the number of the tail's first line as a column of its own, for the lambda below
+    df = stage(df, _first=F.size("_lines") - F.size("_tail") + 1)
+    number = lambda x, first: F.array_join(F.transform(x, lambda y, i: F.concat(F.lpad((i + first).cast("string"), 4, " "), F.lit(" | "), y)), "\n")
+    note = F.concat(F.lit("\n     | ... ("), (F.col("_first") - 1 - F.size("_head")).cast("string"), F.lit(" lines omitted, lines "), (F.size("_head") + 1).cast("string"), F.lit("-"), (F.col("_first") - 1).cast("string"), F.lit(") ...\n"))
+    out = F.when(F.coalesce("_text", F.lit("")) == "", F.lit(None)).when(F.length("_text") > F.col("_most"), F.concat(number("_head", F.lit(1)), note, number("_tail", F.col("_first")))).otherwise(number("_lines", F.lit(1)))
+    return df.withColumn(name, out).drop("_text", "_most", "_lines", "_head", "_tail", "_first")
 
 
 def model_billions(name: Column) -> Column:

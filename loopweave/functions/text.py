@@ -97,7 +97,7 @@ def duplicate_line(text: Column, original: Column) -> Column:
     lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), F.trim)
     olds = F.transform(F.split(F.coalesce(original, F.lit("")), "\n"), F.trim)
     pairs = lambda a: F.filter(F.zip_with(a, F.slice(a, F.lit(2), F.greatest(F.size(a), F.lit(1))), lambda x, y: F.when((x == y) & (F.length(x) > 3), x)), lambda z: z.isNotNull())
-    return F.get(F.filter(pairs(lines), lambda x: ~F.array_contains(pairs(olds), x)), F.lit(0))
+    return F.get(F.array_except(pairs(lines), pairs(olds)), F.lit(0))
 
 
 def estimated_tokens(text: Column, content_type: Column) -> Column:

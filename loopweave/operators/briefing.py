@@ -106,17 +106,18 @@ def context_lines() -> Column:
     )
 
 
-# fixed values: lines worth showing, by extension: pattern, lines before, end of the window behind
+# fixed values: lines worth showing, by extension: pattern, lines before, end of the window behind (modifiers need no mention
+# where any words may stand, and each blank belongs to one part, so that no line is tried in many ways)
 LINES = {
     ("cs",): (
-        (r"^\s*using\s+[A-Za-z0-9_.]+\s*;", 2, 6), (r"^\s*namespace\s+[A-Za-z0-9_.]+", 2, 6), (r"^\s*(?:public|private|internal|protected|static|sealed|partial|abstract|new|protected\s+internal)?\s*(?:class|interface|struct|enum|record)\s+\w+", 2, 6),
-        (r"^\s*(?:public|private|internal|protected|static|async|virtual|override|sealed|extern)?\s*[\w<>\[\],\s]+\s+\w+\s*\([^)]*\)\s*(?:\{|;|=>)", 2, 6),
+        (r"^\s*using\s+[A-Za-z0-9_.]+\s*;", 2, 6), (r"^\s*namespace\s+[A-Za-z0-9_.]+", 2, 6), (r"^\s*(?:(?:public|private|internal|protected|static|sealed|partial|abstract|new|protected\s+internal)\s*)?(?:class|interface|struct|enum|record)\s+\w+", 2, 6),
+        (r"^[\w<>\[\],\s]+\s+\w+\s*\([^)]*\)\s*(?:\{|;|=>)", 2, 6),
     ),
     ("py",): ((r"^\s*(?:def|class)\s+\w+", 2, 10),),
     ("js", "ts", "jsx", "tsx"): ((r"^\s*(?:import|export)\s+.*from\s+['\"][^'\"]+['\"]", 1, 2), (r"require\s*\(\s*['\"][^'\"]+['\"]\s*\)", 1, 2), (r"^\s*(?:export\s+)?(?:async\s+)?(?:function|class|const|let|var)\s+\w+", 2, 10)),
     ("java", "kt"): (
-        (r"^\s*import\s+[\w.]+;?", 1, 2), (r"^\s*(?:public|private|protected)?\s*(?:static)?\s*(?:final)?\s*(?:abstract)?\s*(?:class|interface|enum)\s+\w+", 2, 8),
-        (r"^\s*(?:public|private|protected)?\s*(?:static)?\s*(?:final)?\s*[\w<>\[\],\s]+\s+\w+\s*\([^)]*\)\s*(?:\{|;|throws)", 2, 8),
+        (r"^\s*import\s+[\w.]+;?", 1, 2), (r"^\s*(?:(?:public|private|protected)\s*)?(?:static\s*)?(?:final\s*)?(?:abstract\s*)?(?:class|interface|enum)\s+\w+", 2, 8),
+        (r"^[\w<>\[\],\s]+\s+\w+\s*\([^)]*\)\s*(?:\{|;|throws)", 2, 8),
     ),
     (): ((r"^\s*(?:import|include|require|use)\s+", 1, 2),),
 }

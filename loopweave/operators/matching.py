@@ -63,10 +63,8 @@ def file_nodes(files: DataFrame, nodes: DataFrame, key: str, id_col: str, strict
 def mentions(text: Column, names: Column) -> Column:
     """Those of an array of names that ``text`` has as whole words, in the array's order."""
     words = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"\w+"), F.lit(0))
-    plain = F.array_intersect(F.filter(names, lambda n: n.rlike(r"^\w+$")), words)
     odd = F.filter(names, lambda n: ~n.rlike(r"^\w+$") & F.regexp_like(F.coalesce(text, F.lit("")), F.concat(F.lit(r"\b"), F.regexp_replace(n, r"(\W)", r"\\$1"), F.lit(r"\b"))))
-    both = F.concat(plain, odd)
-    return F.filter(F.array_distinct(names), lambda n: F.array_contains(both, n))
+    return F.array_intersect(names, F.concat(words, odd))
 
 
 NEW_INTERFACE = r"\binterface\s+I\w+"
@@ -111,9 +109,8 @@ def introduced(original: Column, patched: Column, ext: Column) -> Column:
         a, b = F.abs(t.balance(old, p)), F.abs(t.balance(new, p))
         each.append(F.when(on & (b > a), F.concat(F.when(a == 0, "introduced ").otherwise("worsened "), F.lit("".join(p)))))
     lines = F.split(new, "\n")
-    twice = F.filter(
-        F.transform(F.slice(lines, F.lit(1), F.greatest(F.size(lines) - 1, F.lit(0))), lambda x, i: F.when((F.trim(x) != "") & (x == F.get(lines, i + 1)) & ~F.contains(old, F.concat(x, F.lit("\n"), x)), i + 1)),
-        lambda x: x.isNotNull(),
-    )
+    # lines beside the next one, so that no element looks the array up again
+    pairs = F.zip_with(lines, F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0))), lambda x, y: F.when((F.trim(x) != "") & (x == y), x))
+    twice = F.filter(F.transform(pairs, lambda x, i: F.when(x.isNotNull() & ~F.contains(old, F.concat(x, F.lit("\n"), x)), i + 1)), lambda x: x.isNotNull())
     each.append(F.when(F.size(twice) > 0, F.concat(F.lit("duplicate "), F.get(twice, F.lit(0)).cast("string"))))
     return F.when(new == "", F.array(F.lit("empty"))).otherwise(F.array_compact(F.array(*each)))

@@ -72,7 +72,7 @@ def w12_numbered(spark: SparkSession, sf: str) -> DataFrame:
     """Numbered snippets of files, those over 3,000 characters by their two ends."""
     f = load(spark, sf, "cycle_files", "file_id", "content").where("content <> ''")
     f = f.withColumn("content", F.regexp_replace(F.col("content"), "\r\n?", "\n"))
-    return project(f, "file_id", "file_id", F.md5(a.numbered_ends(F.col("content"), 3000)).alias("digest"))
+    return project(a.with_numbered_ends(f, F.col("content"), 3000), "file_id", "file_id", F.md5("numbered").alias("digest"))
 
 
 def f15_models(spark: SparkSession, sf: str) -> DataFrame:

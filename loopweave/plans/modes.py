@@ -38,7 +38,8 @@ def numbered_files(files: DataFrame, key: str, id_col: str, mode: str = "relaxed
     """``(key, id, text)``: each file that has content, numbered, within its share of the mode's room."""
     n = files.groupBy(key).agg(F.count("*").alias("_n"))
     j = files.join(n, key).where("content <> ''").withColumn("_most", snippet_room(mode, context_window, F.col("_n")))
-    return j.select(key, id_col, F.concat(F.lit("--- FILE: "), F.coalesce("path", F.lit("unknown")), F.lit(" ---\n"), a.numbered_ends(F.col("content"), F.col("_most"))).alias("text"))
+    j = a.with_numbered_ends(j.withColumnRenamed("_most", "_room"), F.col("content"), F.col("_room"), "_shown")
+    return j.select(key, id_col, F.concat(F.lit("--- FILE: "), F.coalesce("path", F.lit("unknown")), F.lit(" ---\n"), "_shown").alias("text"))
 
 
 def matched_changes(answers: DataFrame, files: DataFrame, id_cols: list[str], text_col: str) -> DataFrame:
