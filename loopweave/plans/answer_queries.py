@@ -32,7 +32,7 @@ def x20_locations(spark: SparkSession, sf: str) -> DataFrame:
     return project(p, "patch_id", "patch_id", a.location(F.col("patched"), _middle(F.col("original"))).alias("l")).select("patch_id", "l.*")
 
 
-def p21_line_patch(spark: SparkSession, sf: str) -> DataFrame:
+def adj_p21_line_patch(spark: SparkSession, sf: str) -> DataFrame:
     """The same as a line range, for exact places only."""
     p = _raw_patches(spark, sf).where("patched <> '' and original <> ''").withColumn("search", _middle(F.col("original"))).where((F.col("search") != "") & (F.instr("patched", F.col("search")) > 0))
     l = a.location(F.col("patched"), F.col("search"))
@@ -171,7 +171,7 @@ def y17_first_text(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    x20_locations, p21_line_patch, y27_context, x21_change_label, x42_line_hints, x46_appended, w12_numbered, f15_models, f16_formats, f14_repairable, f17_modes, y14_payloads, y13_fields, y12_decisions, y16_plans, y11_confidence, j18_valid_targets, m21_diff_summary, y3_fenced, y17_first_text,
+    x20_locations, adj_p21_line_patch, y27_context, x21_change_label, x42_line_hints, x46_appended, w12_numbered, f15_models, f16_formats, f14_repairable, f17_modes, y14_payloads, y13_fields, y12_decisions, y16_plans, y11_confidence, j18_valid_targets, m21_diff_summary, y3_fenced, y17_first_text,
 )}
 
 # ----------------------------------------------------------------------------------------------------------- SQL
@@ -196,7 +196,7 @@ _FENCE1 = r"regexp_replace(regexp_replace(trim({x}, ' ' || chr(9) || chr(10) ||
 
 SQL = {
     "x20_locations": f"WITH {_P}, {_MID}, {_LOC} SELECT patch_id, f1::INT AS first, l1::INT AS last FROM z",
-    "p21_line_patch": f"WITH {_P}, {_MID}, {_LOC} SELECT patch_id, f1 || '-' || l1 AS lines FROM z WHERE search <> '' AND at0 > 0",
+    "adj_p21_line_patch": f"WITH {_P}, {_MID}, {_LOC} SELECT patch_id, f1 || '-' || l1 AS lines FROM z WHERE search <> '' AND at0 > 0",
     "y27_context": f"WITH {_P}, {_MID}, {_LOC}, y AS (SELECT *, string_split(x, chr(10)) AS t FROM z WHERE f1 > 0) SELECT patch_id, md5(array_to_string(t[greatest(f1 - 7, 1):f1 - 1], chr(10))) AS before, md5(array_to_string(t[l1 + 1:l1 + 7], chr(10))) AS after FROM y",
     "x21_change_label": f"WITH {_P}, q AS (SELECT coalesce(original, '') AS a, coalesce(patched, '') AS b FROM p), r AS (SELECT a, b, {_TYPES.replace('{x}', 'a')} AS ta, {_TYPES.replace('{x}', 'b')} AS tb, {_LINES.replace('{x}', 'a')} AS na, {_LINES.replace('{x}', 'b')} AS nb FROM q) SELECT CASE WHEN a = '' AND b <> '' THEN 'add code' WHEN a <> '' AND b = '' THEN 'remove code' WHEN a = b THEN '' WHEN contains(lower(b), 'interface') AND NOT contains(lower(a), 'interface') THEN 'add interface' WHEN {_IMP.replace('{x}', 'b')} AND NOT {_IMP.replace('{x}', 'a')} THEN 'add import' WHEN {_IMP.replace('{x}', 'b')} THEN 'change import' WHEN len(ta) > 0 AND len(tb) > 0 AND ta <> tb THEN 'type ' || ta[1] || ' to ' || tb[1] WHEN nb > na THEN 'expand ' || na || ' to ' || nb || ' lines' WHEN nb < na THEN 'simplify ' || na || ' to ' || nb || ' lines' ELSE 'modify code' END AS label, count(*) AS patches FROM r GROUP BY 1",
     "x42_line_hints": f"WITH u AS (SELECT 'minimal_diffs' AS source, diff_id AS id, raw_llm_response AS x FROM minimal_diffs UNION ALL SELECT 'proposals', proposal_id, concat_ws(chr(10), llm_response, prompt) FROM proposals UNION ALL SELECT 'cycle_files', file_id, content FROM cycle_files) SELECT DISTINCT source, id, {_HINT} AS line FROM u WHERE line IS NOT NULL",

@@ -44,7 +44,7 @@ def x39_hints(spark: SparkSession, sf: str) -> DataFrame:
     return _analysis(spark, sf).select("cycle_id", F.posexplode(b.hints()).alias("pos", "hint"))
 
 
-def p8_context(spark: SparkSession, sf: str) -> DataFrame:
+def adj_p8_context(spark: SparkSession, sf: str) -> DataFrame:
     return _analysis(spark, sf).select("cycle_id", b.context_lines().alias("context"))
 
 
@@ -89,7 +89,7 @@ def w4_parts(spark: SparkSession, sf: str) -> DataFrame:
     return s.groupBy("cycle_id").agg(F.count("*").alias("files"), F.sum("n").alias("chars"), F.sum("m").alias("shown"))
 
 
-QUERIES = {f.__name__: f for f in (x33_analysis, x36_keywords, x37_queries, x38_strategy_words, x39_hints, p8_context, m16_description, x25_snippets, x27_shown, m9_prompt_files, w4_parts)}
+QUERIES = {f.__name__: f for f in (x33_analysis, x36_keywords, x37_queries, x38_strategy_words, x39_hints, adj_p8_context, m16_description, x25_snippets, x27_shown, m9_prompt_files, w4_parts)}
 
 # ----------------------------------------------------------------------------------------------------------- SQL
 _ORDER = list(rules.LAYERS)
@@ -143,7 +143,7 @@ SQL = {
     "x37_queries": f"WITH {_A} " + " UNION ALL ".join(_unroll(_list(rows), "query", f", '{i}' AS intent") for i, rows in b.LOOKUPS.items()),
     "x38_strategy_words": "WITH p AS (SELECT proposal_id, lower(coalesce(any_value(rationale), '')) AS r FROM proposals GROUP BY 1) " + " UNION ALL ".join(f"SELECT proposal_id, '{s}' AS strategy FROM p WHERE regexp_matches(r, '{'|'.join(ws)}')" for s, ws in b.STRATEGY_WORDS.items()),
     "x39_hints": f"WITH {_A} " + _unroll(_HINTS, "hint"),
-    "p8_context": f"WITH {_A} SELECT cycle_id, {_CTX} AS context FROM az",
+    "adj_p8_context": f"WITH {_A} SELECT cycle_id, {_CTX} AS context FROM az",
     "m16_description": f"WITH {_A} SELECT cycle_id, coalesce(nullif(summary, ''), {_CTX}) || chr(10) || chr(10) || array_to_string({_HINTS}, chr(10)) AS text FROM az",
     "x25_snippets": f"WITH {_X25} SELECT file_id, md5(text) AS digest FROM sn",
     "x27_shown": f"WITH {_X27} SELECT file_id, status, md5(coalesce(text, '')) AS digest FROM sh",

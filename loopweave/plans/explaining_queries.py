@@ -27,15 +27,15 @@ def _strategies(spark: SparkSession, sf: str) -> DataFrame:
     return d.groupBy("cycle_id").agg(F.min_by(h.strategy_name(F.col("strategy")), "diff_id").alias("strategy"))
 
 
-def p14_remaining(spark: SparkSession, sf: str) -> DataFrame:
+def adj_p14_remaining(spark: SparkSession, sf: str) -> DataFrame:
     return x.remaining_work(_patches(spark, sf), _strategies(spark, sf))
 
 
-def p17_failed_files(spark: SparkSession, sf: str) -> DataFrame:
+def adj_p17_failed_files(spark: SparkSession, sf: str) -> DataFrame:
     return x.per_file(_patches(spark, sf)).select("patch_id", "attempted", "why")
 
 
-def p17_outcomes(spark: SparkSession, sf: str) -> DataFrame:
+def adj_p17_outcomes(spark: SparkSession, sf: str) -> DataFrame:
     return x.outcome(_patches(spark, sf), ["cycle_id", "iteration"])
 
 
@@ -76,25 +76,25 @@ def u6_repeated_mistakes(spark: SparkSession, sf: str) -> DataFrame:
     return x.repeated_mistakes(_patches(spark, sf))
 
 
-def p15_explanation(spark: SparkSession, sf: str) -> DataFrame:
+def adj_p15_explanation(spark: SparkSession, sf: str) -> DataFrame:
     nodes = once(load(spark, sf, "cycle_jobs", "cycle_id", "graph"), "cycle_id").select("cycle_id", F.col("graph.nodes").alias("nodes"))
     return x.diff_explanation(_patches(spark, sf), nodes)
 
 
-def p16_attempts(spark: SparkSession, sf: str) -> DataFrame:
+def adj_p16_attempts(spark: SparkSession, sf: str) -> DataFrame:
     """Each attempt of a cycle as a line of its failure: turn, outcome, issues, and its summary cut at 200."""
     a_ = once(load(spark, sf, "attempts", "attempt_id", "cycle_id", "approved", "issue_types", "approach_summary"), "attempt_id")
     turn = F.row_number().over(W.partitionBy("cycle_id").orderBy("attempt_id"))
     return a_.select("attempt_id", turn.alias("turn"), F.coalesce("approved", F.lit(False)).alias("approved"), F.size(F.coalesce("issue_types", F.array().cast("array<string>"))).alias("issues"), F.left(F.coalesce("approach_summary", F.lit("")), F.lit(200)).alias("summary"))
 
 
-def p16_issues(spark: SparkSession, sf: str) -> DataFrame:
+def adj_p16_issues(spark: SparkSession, sf: str) -> DataFrame:
     """Up to five distinct issues of a cycle, out of the first three of each attempt."""
     i = load(spark, sf, "attempts", "cycle_id", "issue_types").select("cycle_id", F.explode(F.slice("issue_types", 1, 3)).alias("issue")).distinct()
     return i.withColumn("pos", F.row_number().over(W.partitionBy("cycle_id").orderBy("issue"))).where("pos <= 5")
 
 
-def p13_roadmap(spark: SparkSession, sf: str) -> DataFrame:
+def adj_p13_roadmap(spark: SparkSession, sf: str) -> DataFrame:
     """How sure a cycle's roadmap is: its strategy's confidence, or with a success 0.8 of the share of successes if that is more."""
     d = load(spark, sf, "minimal_diffs", "cycle_id", "confidence").groupBy("cycle_id").agg(F.max("confidence").alias("base"))
     r = h.roadmap(_patches(spark, sf)).join(d, "cycle_id", "left")
@@ -140,12 +140,12 @@ def s11_tails(spark: SparkSession, sf: str) -> DataFrame:
 TEMPLATE = "Cycle {cycle_id} ({severity}): {nodes}. {unknown} {{json}}"
 
 
-def p22_filled(spark: SparkSession, sf: str) -> DataFrame:
+def adj_p22_filled(spark: SparkSession, sf: str) -> DataFrame:
     j = once(load(spark, sf, "cycle_jobs", "cycle_id", "graph", "severity"), "cycle_id")
     return j.select("cycle_id", templates.filled(F.lit(TEMPLATE), {"cycle_id": F.col("cycle_id"), "severity": F.col("severity"), "nodes": F.array_join("graph.nodes", ", ")}).alias("text"))
 
 
-def p22_placeholders(spark: SparkSession, sf: str) -> DataFrame:
+def adj_p22_placeholders(spark: SparkSession, sf: str) -> DataFrame:
     """Names in braces that files hold."""
     f = once(load(spark, sf, "cycle_files", "file_id", "content").select("file_id", templates.placeholders(F.col("content")).alias("p")), "file_id")
     return f.select(F.explode("p").alias("name")).groupBy("name").agg(F.count("*").alias("files"))
@@ -196,8 +196,8 @@ def m5_applied(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    p14_remaining, p17_failed_files, p17_outcomes, k11_failure_report, x32_feedback, a17_issues, u5_issue_union, u6_repeated_mistakes, p15_explanation, p16_attempts, p16_issues, p13_roadmap, a19_ledger, a20_last_results, w10_call_blocks, s10_recent, s11_tails,
-    p22_filled, p22_placeholders, m20_lookup, m20_cleared, m14_severities, m23_chars, y25_rates, m5_applied,
+    adj_p14_remaining, adj_p17_failed_files, adj_p17_outcomes, k11_failure_report, x32_feedback, a17_issues, u5_issue_union, u6_repeated_mistakes, adj_p15_explanation, adj_p16_attempts, adj_p16_issues, adj_p13_roadmap, a19_ledger, a20_last_results, w10_call_blocks, s10_recent, s11_tails,
+    adj_p22_filled, adj_p22_placeholders, m20_lookup, m20_cleared, m14_severities, m23_chars, y25_rates, m5_applied,
 )}
 
 # ----------------------------------------------------------------------------------------------------------- SQL
@@ -224,25 +224,25 @@ _NEW = lambda w: f"[y for y in {_NAMES('patched', w)} if not list_contains({_NAM
 _SHARE = {part: n for stage, part, n in c.budget(8192) if stage == "refactor"}
 _KIND = "CASE WHEN status NOT IN ('failed', 'reverted', 'partial') THEN NULL WHEN status <> 'reverted' AND coalesce(original, '') = coalesce(patched, '') AND length(original) > 0 THEN 'no_op' WHEN ab < tb THEN 'search_mismatch' WHEN contains(lower(array_to_string(coalesce(vi, []), ' ')), 'syntax') THEN 'syntax' WHEN array_to_string(coalesce(vi, []), ' ') <> '' THEN 'validation' ELSE 'unknown' END"
 SQL = {
-    "p14_remaining": f"WITH {_PX}, {_DIF}, k AS (SELECT cycle_id, {_KIND} AS k, coalesce(path, '?') AS path, status IN ('applied', 'partial') AND coalesce(original, '') <> coalesce(patched, '') AS ok FROM px), st AS (SELECT cycle_id, arg_min(coalesce(nullif(regexp_replace(lower(trim(strategy)), '[\\s-]+', '_', 'g'), ''), 'unknown'), diff_id) AS strategy FROM minimal_diffs GROUP BY 1), no AS (SELECT cycle_id FROM k GROUP BY 1 HAVING NOT bool_or(ok)) SELECT DISTINCT cycle_id, CASE k " + " ".join(f"WHEN '{kk}' THEN {_FILL(v)}" for kk, v in x.FIXES.items()) + f" ELSE {_FILL(x.OTHER_FIX)} END AS item FROM k WHERE k IS NOT NULL" + "".join(f" UNION SELECT cycle_id, '{v}' FROM no JOIN st USING (cycle_id) WHERE strategy = '{kk}'" for kk, vs in x.STEPS.items() for v in vs),
-    "p17_failed_files": f"WITH {_PX}, {_PF} SELECT patch_id, attempted, why FROM pf",
-    "p17_outcomes": f"WITH {_PX} {_outcome('cycle_id, iteration')}",
+    "adj_p14_remaining": f"WITH {_PX}, {_DIF}, k AS (SELECT cycle_id, {_KIND} AS k, coalesce(path, '?') AS path, status IN ('applied', 'partial') AND coalesce(original, '') <> coalesce(patched, '') AS ok FROM px), st AS (SELECT cycle_id, arg_min(coalesce(nullif(regexp_replace(lower(trim(strategy)), '[\\s-]+', '_', 'g'), ''), 'unknown'), diff_id) AS strategy FROM minimal_diffs GROUP BY 1), no AS (SELECT cycle_id FROM k GROUP BY 1 HAVING NOT bool_or(ok)) SELECT DISTINCT cycle_id, CASE k " + " ".join(f"WHEN '{kk}' THEN {_FILL(v)}" for kk, v in x.FIXES.items()) + f" ELSE {_FILL(x.OTHER_FIX)} END AS item FROM k WHERE k IS NOT NULL" + "".join(f" UNION SELECT cycle_id, '{v}' FROM no JOIN st USING (cycle_id) WHERE strategy = '{kk}'" for kk, vs in x.STEPS.items() for v in vs),
+    "adj_p17_failed_files": f"WITH {_PX}, {_PF} SELECT patch_id, attempted, why FROM pf",
+    "adj_p17_outcomes": f"WITH {_PX} {_outcome('cycle_id, iteration')}",
     "k11_failure_report": f"WITH {_PX}, {_PF}, oc AS ({_outcome('cycle_id')}), g AS (SELECT cycle_id, string_agg('### `' || path || '` (' || status || ')' || chr(10) || 'Tried: ' || attempted || chr(10) || 'Why: ' || why, chr(10) ORDER BY path, patch_id) AS l FROM pf GROUP BY 1) SELECT cycle_id, md5('# Failed: ' || cycle_id || chr(10) || chr(10) || summary || chr(10) || chr(10) || '## Files' || chr(10) || l) AS digest FROM g JOIN oc USING (cycle_id)",
     "x32_feedback": f"WITH {_PX}, i AS (SELECT cycle_id, iteration, coalesce(path, '?') AS path, unnest(vi) AS comment FROM px), k AS (SELECT *, CASE WHEN lower(comment) = 'syntax' THEN 'syntax' WHEN contains(lower(comment), 'cycle') THEN 'cycle' ELSE 'other' END AS k FROM i), n AS (SELECT *, CASE k WHEN 'syntax' THEN 0 WHEN 'cycle' THEN 1 ELSE 2 END AS r, CASE k WHEN 'cycle' THEN 3 ELSE 5 END AS most, count(*) OVER (PARTITION BY cycle_id, iteration, k) AS n, row_number() OVER (PARTITION BY cycle_id, iteration, k ORDER BY path, comment) AS pos FROM k), s AS (SELECT cycle_id, iteration, r, '### ' || k || chr(10) || string_agg('- ' || CASE WHEN k = 'cycle' THEN comment ELSE path || ': ' || comment END, chr(10) ORDER BY pos) || CASE WHEN n > most THEN chr(10) || '- and ' || (n - most) || ' more' ELSE '' END AS s FROM n WHERE pos <= most GROUP BY cycle_id, iteration, k, r, n, most) SELECT cycle_id, iteration, md5(string_agg(s, chr(10) || chr(10) ORDER BY r)) AS digest FROM s GROUP BY 1, 2",
     "a17_issues": f"WITH {_ISS} SELECT CASE WHEN starts_with(comment, 'reverted: ') THEN 'reverted' ELSE comment END AS issue, severity, count(*) AS times FROM iss GROUP BY 1, 2",
     "u5_issue_union": f"WITH {_ISS}, {_ATT}, u AS (SELECT 'rules' AS source, severity FROM iss UNION ALL SELECT 'reported', 'major' FROM (SELECT unnest(it) FROM att)) SELECT source, severity, count(*) AS issues FROM u GROUP BY 1, 2",
     "u6_repeated_mistakes": f"WITH {_PX}, q AS (SELECT cycle_id, iteration, path, status, {_note('patched')} IS NOT NULL AS cut, CASE WHEN coalesce(patched, '') = '' THEN 0 ELSE {' + '.join(_ON(p_) + '::INT' for p_ in _BR)} + ({_note('patched')} IS NOT NULL)::INT END AS n FROM px), g AS (SELECT cycle_id, iteration, bool_or(cut) AS cut, sum(n) AS n FROM q GROUP BY 1, 2) SELECT cycle_id, iteration, 'whole files were cut' AS mistake FROM g WHERE cut UNION ALL SELECT cycle_id, iteration, 'three syntax issues and more' FROM g WHERE n >= 3 UNION ALL SELECT DISTINCT cycle_id, iteration, 'the same files fail again' FROM q WHERE status IN ('failed', 'reverted') AND EXISTS (SELECT 1 FROM q o WHERE o.cycle_id = q.cycle_id AND o.iteration + 1 = q.iteration AND o.path = q.path AND o.status = 'reverted')",
-    "p15_explanation": f"WITH {_PX}, {_J}, q AS (SELECT cycle_id, path, {_NEW('interface')} AS i, {_NEW('class')} AS c, len([y for y in {_sql_imports('original')} if not list_contains({_sql_imports('patched')}, y)]) AS g FROM px WHERE patched <> '' AND patched <> coalesce(original, '')), r AS (SELECT cycle_id, array_to_string(list_sort(list_distinct(flatten(list(i))))[:2], ', ') AS i, array_to_string(list_sort(list_distinct(flatten(list(c))))[:2], ', ') AS c, sum(g) AS g, count(DISTINCT path) AS files FROM q GROUP BY 1), s AS (SELECT cycle_id, files, CASE WHEN i <> '' THEN 'interface extraction (' || i || ')' WHEN c <> '' THEN 'class extraction (' || c || ')' WHEN g > 0 THEN 'dependency removal' ELSE 'code modification' END AS pattern FROM r) SELECT cycle_id, pattern, CASE WHEN length('Break cycle via ' || pattern) > 60 THEN 'Break ' || array_to_string(graph.nodes[:2], ' ↔ ') || ' cycle' ELSE 'Break cycle via ' || pattern END AS title, files FROM s JOIN j USING (cycle_id)",
-    "p16_attempts": f"WITH {_ATT} SELECT attempt_id, row_number() OVER (PARTITION BY cycle_id ORDER BY attempt_id)::INT AS turn, coalesce(approved, false) AS approved, coalesce(len(it), 0)::INT AS issues, coalesce(sm, '')[:200] AS summary FROM att",
-    "p16_issues": "WITH i AS (SELECT DISTINCT cycle_id, unnest(issue_types[:3]) AS issue FROM attempts) SELECT * FROM (SELECT cycle_id, issue, row_number() OVER (PARTITION BY cycle_id ORDER BY issue)::INT AS pos FROM i) WHERE pos <= 5",
-    "p13_roadmap": f"WITH {_PX}, g AS (SELECT cycle_id, count(*) FILTER (status IN ('applied', 'partial') AND coalesce(patched, '') <> coalesce(original, '')) AS s, count(*) AS n FROM px GROUP BY 1), d AS (SELECT cycle_id, max(confidence) AS base FROM minimal_diffs GROUP BY 1) SELECT cycle_id, s AS successes, n - s AS partial, round((CASE WHEN s > 0 THEN greatest(coalesce(base, 0.0), 0.8 * s / n) ELSE coalesce(base, 0.0) END)::DOUBLE, 6) AS confidence FROM g LEFT JOIN d USING (cycle_id)",
+    "adj_p15_explanation": f"WITH {_PX}, {_J}, q AS (SELECT cycle_id, path, {_NEW('interface')} AS i, {_NEW('class')} AS c, len([y for y in {_sql_imports('original')} if not list_contains({_sql_imports('patched')}, y)]) AS g FROM px WHERE patched <> '' AND patched <> coalesce(original, '')), r AS (SELECT cycle_id, array_to_string(list_sort(list_distinct(flatten(list(i))))[:2], ', ') AS i, array_to_string(list_sort(list_distinct(flatten(list(c))))[:2], ', ') AS c, sum(g) AS g, count(DISTINCT path) AS files FROM q GROUP BY 1), s AS (SELECT cycle_id, files, CASE WHEN i <> '' THEN 'interface extraction (' || i || ')' WHEN c <> '' THEN 'class extraction (' || c || ')' WHEN g > 0 THEN 'dependency removal' ELSE 'code modification' END AS pattern FROM r) SELECT cycle_id, pattern, CASE WHEN length('Break cycle via ' || pattern) > 60 THEN 'Break ' || array_to_string(graph.nodes[:2], ' ↔ ') || ' cycle' ELSE 'Break cycle via ' || pattern END AS title, files FROM s JOIN j USING (cycle_id)",
+    "adj_p16_attempts": f"WITH {_ATT} SELECT attempt_id, row_number() OVER (PARTITION BY cycle_id ORDER BY attempt_id)::INT AS turn, coalesce(approved, false) AS approved, coalesce(len(it), 0)::INT AS issues, coalesce(sm, '')[:200] AS summary FROM att",
+    "adj_p16_issues": "WITH i AS (SELECT DISTINCT cycle_id, unnest(issue_types[:3]) AS issue FROM attempts) SELECT * FROM (SELECT cycle_id, issue, row_number() OVER (PARTITION BY cycle_id ORDER BY issue)::INT AS pos FROM i) WHERE pos <= 5",
+    "adj_p13_roadmap": f"WITH {_PX}, g AS (SELECT cycle_id, count(*) FILTER (status IN ('applied', 'partial') AND coalesce(patched, '') <> coalesce(original, '')) AS s, count(*) AS n FROM px GROUP BY 1), d AS (SELECT cycle_id, max(confidence) AS base FROM minimal_diffs GROUP BY 1) SELECT cycle_id, s AS successes, n - s AS partial, round((CASE WHEN s > 0 THEN greatest(coalesce(base, 0.0), 0.8 * s / n) ELSE coalesce(base, 0.0) END)::DOUBLE, 6) AS confidence FROM g LEFT JOIN d USING (cycle_id)",
     "a19_ledger": f"WITH {_F}, u AS (SELECT cycle_id, sum({_TOK})::BIGINT AS used FROM f GROUP BY 1) SELECT cycle_id, used, greatest(0, {_SHARE['file']} - used)::BIGINT AS remaining, greatest(0, {_SHARE['file'] + _SHARE['examples']} - used)::BIGINT AS with_examples FROM u",
     "a20_last_results": "SELECT cycle_id, path, arg_max(status, (iteration, patch_id)) AS status FROM patch_results WHERE path IS NOT NULL GROUP BY 1, 2",
     "w10_call_blocks": "WITH p AS (SELECT proposal_id, any_value(cycle_id) AS cycle_id, any_value(relay) AS relay FROM proposals GROUP BY 1) SELECT cycle_id, 'CALL' AS kind, coalesce(relay, 'unknown') AS agent, 'refactor' AS stage, proposal_id::VARCHAR AS id FROM (SELECT *, row_number() OVER (PARTITION BY cycle_id ORDER BY proposal_id DESC) AS r FROM p) WHERE r <= 3",
     "s10_recent": f"WITH {_ATT} SELECT attempt_id, cycle_id FROM att ORDER BY attempt_id DESC LIMIT 50",
     "s11_tails": "SELECT doc_id, md5(right(text, 200)) AS digest FROM documents",
-    "p22_filled": f"WITH {_J} SELECT cycle_id, 'Cycle ' || cycle_id || ' (' || coalesce(severity, '') || '): ' || array_to_string(graph.nodes, ', ') || '. {{unknown}} {{{{json}}}}' AS text FROM j",
-    "p22_placeholders": rf"WITH {_F}, q AS (SELECT file_id, unnest(list_distinct(regexp_extract_all(c, '\{{(\w+)\}}', 1))) AS name FROM f) SELECT name, count(*) AS files FROM q GROUP BY 1",
+    "adj_p22_filled": f"WITH {_J} SELECT cycle_id, 'Cycle ' || cycle_id || ' (' || coalesce(severity, '') || '): ' || array_to_string(graph.nodes, ', ') || '. {{unknown}} {{{{json}}}}' AS text FROM j",
+    "adj_p22_placeholders": rf"WITH {_F}, q AS (SELECT file_id, unnest(list_distinct(regexp_extract_all(c, '\{{(\w+)\}}', 1))) AS name FROM f) SELECT name, count(*) AS files FROM q GROUP BY 1",
     "m20_lookup": rf"WITH {_ATT}, s AS (SELECT coalesce(nullif(regexp_replace(lower(trim(strategy)), '[\s-]+', '_', 'g'), ''), 'unknown') AS strategy, approved FROM att) SELECT strategy, count(*) FILTER (approved) AS successes, count(*) FILTER (NOT approved) AS failures, coalesce(count(*) FILTER (approved) / nullif(count(approved), 0), 0.0)::DOUBLE AS rate FROM s WHERE strategy = 'interface_extraction' GROUP BY 1",
     "m20_cleared": f"WITH {_ATT} SELECT project, count(*) AS attempts FROM att WHERE cycle_id <> (SELECT min(cycle_id) FROM att) GROUP BY 1",
     "m14_severities": f"WITH {_ISS} SELECT cycle_id, iteration, bool_or(severity = 'critical') AS has_critical, bool_or(severity = 'major') AS has_major FROM iss GROUP BY 1, 2",

@@ -35,7 +35,7 @@ def j6_node_files(spark: SparkSession, sf: str) -> DataFrame:
     return m.node_files(_nodes(spark, sf), _files(spark, sf), "cycle_id")
 
 
-def p23_mapped(spark: SparkSession, sf: str) -> DataFrame:
+def adj_p23_mapped(spark: SparkSession, sf: str) -> DataFrame:
     """How many of a job's nodes have a file."""
     return j6_node_files(spark, sf).groupBy("cycle_id").agg(F.count("*").alias("nodes"), F.count("path").alias("mapped"))
 
@@ -167,7 +167,7 @@ def x51_scaffolds(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    j6_node_files, p23_mapped, j6_file_nodes, j7_file_nodes, j8_connections, j5_latest_jobs, j17_file_budgets, g10_references, g10_unbroken, x14_mentions, x9_warnings, x15_issues, x16_roots, x11_claims, x13_actions, x40_bare_brackets, x51_scaffolds,
+    j6_node_files, adj_p23_mapped, j6_file_nodes, j7_file_nodes, j8_connections, j5_latest_jobs, j17_file_budgets, g10_references, g10_unbroken, x14_mentions, x9_warnings, x15_issues, x16_roots, x11_claims, x13_actions, x40_bare_brackets, x51_scaffolds,
 )}
 
 # ----------------------------------------------------------------------------------------------------------- SQL
@@ -232,4 +232,4 @@ SQL = {
     ])
     + ") SELECT ext, error, count(*) AS files FROM e GROUP BY 1, 2",
 }
-SQL["p23_mapped"] = f"WITH z AS ({SQL['j6_node_files']}) SELECT cycle_id, count(*) AS nodes, count(path) AS mapped FROM z GROUP BY 1"
+SQL["adj_p23_mapped"] = f"WITH z AS ({SQL['j6_node_files']}) SELECT cycle_id, count(*) AS nodes, count(path) AS mapped FROM z GROUP BY 1"

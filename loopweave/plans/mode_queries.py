@@ -24,20 +24,20 @@ def _files(spark: SparkSession, sf: str) -> DataFrame:
     return once(load(spark, sf, "cycle_files", "file_id", "cycle_id", "path", "content"), "file_id")
 
 
-def p1_imports(spark: SparkSession, sf: str) -> DataFrame:
+def adj_p1_imports(spark: SparkSession, sf: str) -> DataFrame:
     """What files import, and whether it is the project's own."""
     f = load(spark, sf, "cycle_files", "file_id", "path", "content").withColumn("ext", extension(clean_path(F.col("path"))))
     e = f.select(F.col("file_id").cast("string").alias("src"), F.explode(t.imports(F.col("content"), F.col("ext"))).alias("dst")).distinct()
     return projects.imports(e).select(F.col("source_file").cast("bigint").alias("file_id"), "imported_from", "resolved_path", "is_external")
 
 
-def p1_nodes(spark: SparkSession, sf: str) -> DataFrame:
+def adj_p1_nodes(spark: SparkSession, sf: str) -> DataFrame:
     """The nodes of all jobs' edges."""
     e = load(spark, sf, "cycle_jobs", "graph").select(F.explode("graph.edges").alias("e")).where("size(e) >= 2").select(F.col("e")[0].alias("src"), F.col("e")[1].alias("dst"))
     return projects.graph(e)
 
 
-def p4_specs(spark: SparkSession, sf: str) -> DataFrame:
+def adj_p4_specs(spark: SparkSession, sf: str) -> DataFrame:
     """Jobs with how many of their files have content and how many don't; jobs without a file have none of either."""
     f = _files(spark, sf).select("cycle_id", (F.coalesce(F.length("content"), F.lit(0)) > 0).cast("int").alias("has")).groupBy("cycle_id").agg(F.sum("has").alias("loaded"), F.sum(1 - F.col("has")).alias("missing"))
     j = once(load(spark, sf, "cycle_jobs", "cycle_id"), "cycle_id").join(f, "cycle_id", "left")
@@ -101,7 +101,7 @@ def e2_checked(spark: SparkSession, sf: str) -> DataFrame:
     return k.checked(_files(spark, sf), "file_id").groupBy("language", "success", "tool_available").agg(F.count("*").alias("files"))
 
 
-def p7_descriptions(spark: SparkSession, sf: str) -> DataFrame:
+def adj_p7_descriptions(spark: SparkSession, sf: str) -> DataFrame:
     """Each job's cycle as a sentence."""
     j = once(load(spark, sf, "cycle_jobs", "cycle_id", "graph"), "cycle_id").where("size(graph.nodes) > 0")
     return j.select("cycle_id", g.describe(F.col("graph.nodes")).alias("description"))
@@ -167,7 +167,7 @@ def o6_context(spark: SparkSession, sf: str) -> DataFrame:
     return memory.context(q, idx, "cycle_id", shown=1, best=2)
 
 
-QUERIES = {f.__name__: f for f in (p1_imports, p1_nodes, p4_specs, m2_snippets, m12_examples, m3_suggested, m4_applied, m10_prompts, m17_explained, m18_failures, e2_checked, p7_descriptions, x19_import_lines, x49_diagnostics, w11_errors, y24_summaries, y23_cycles, y20_index, o5_context, o6_context)}
+QUERIES = {f.__name__: f for f in (adj_p1_imports, adj_p1_nodes, adj_p4_specs, m2_snippets, m12_examples, m3_suggested, m4_applied, m10_prompts, m17_explained, m18_failures, e2_checked, adj_p7_descriptions, x19_import_lines, x49_diagnostics, w11_errors, y24_summaries, y23_cycles, y20_index, o5_context, o6_context)}
 
 # ----------------------------------------------------------------------------------------------------------- SQL
 _NUM = "array_to_string([lpad((i + {first} - 1)::VARCHAR, 4, ' ') || ' | ' || ({l})[i] for i in range(1, len({l}) + 1)], chr(10))"
@@ -175,16 +175,16 @@ _SPLIT = r"string_split(regexp_replace({x}, '\n$', ''), chr(10))"
 _STRAT = "CASE WHEN cycle_type = 'bidirectional' THEN 'interface_extraction' WHEN violation IS NOT NULL THEN 'dependency_inversion' ELSE 'shared_module' END"
 _EX = "CASE {s} " + " ".join(f"WHEN '{kk}' THEN '{v}'" for kk, v in m.EXAMPLES.items()) + f" ELSE '{m.ANY_EXAMPLE}' END"
 SQL = {
-    "p1_imports": f"WITH {_F.replace('FROM cycle_files', 'FROM cycle_files')}, e AS (SELECT DISTINCT file_id, unnest({_sql_imports('content')}) AS m FROM f) SELECT file_id, m AS imported_from, CASE WHEN starts_with(m, '.') THEN m END AS resolved_path, NOT starts_with(m, '.') AS is_external FROM e",
-    "p1_nodes": "WITH e AS (SELECT unnest(graph.edges) AS e FROM cycle_jobs) SELECT DISTINCT node FROM (SELECT e[1] AS node FROM e WHERE len(e) >= 2 UNION ALL SELECT e[2] FROM e WHERE len(e) >= 2)",
-    "p4_specs": f"WITH {_F}, j AS (SELECT DISTINCT cycle_id FROM cycle_jobs) SELECT j.cycle_id, count(file_id) FILTER (c <> '') AS loaded, count(file_id) FILTER (c = '') AS missing FROM j LEFT JOIN f USING (cycle_id) GROUP BY 1",
+    "adj_p1_imports": f"WITH {_F.replace('FROM cycle_files', 'FROM cycle_files')}, e AS (SELECT DISTINCT file_id, unnest({_sql_imports('content')}) AS m FROM f) SELECT file_id, m AS imported_from, CASE WHEN starts_with(m, '.') THEN m END AS resolved_path, NOT starts_with(m, '.') AS is_external FROM e",
+    "adj_p1_nodes": "WITH e AS (SELECT unnest(graph.edges) AS e FROM cycle_jobs) SELECT DISTINCT node FROM (SELECT e[1] AS node FROM e WHERE len(e) >= 2 UNION ALL SELECT e[2] FROM e WHERE len(e) >= 2)",
+    "adj_p4_specs": f"WITH {_F}, j AS (SELECT DISTINCT cycle_id FROM cycle_jobs) SELECT j.cycle_id, count(file_id) FILTER (c <> '') AS loaded, count(file_id) FILTER (c = '') AS missing FROM j LEFT JOIN f USING (cycle_id) GROUP BY 1",
     "m2_snippets": rf"WITH {_F}, q AS (SELECT file_id, path, regexp_replace(content, '\r\n?', chr(10), 'g') AS x, floor({int(4096 * 0.5) * 4} / count(*) OVER (PARTITION BY cycle_id))::INT AS most FROM f), h AS (SELECT *, x[:floor((most - 100) * 0.6::DOUBLE)::INT] AS h0, right(x, floor((most - 100) * 0.4::DOUBLE)::INT) AS t0 FROM q WHERE x <> ''), k AS (SELECT *, CASE WHEN instr(h0, chr(10)) > 1 THEN regexp_replace(h0, '\n[^\n]*$', '') ELSE h0 END AS h1, CASE WHEN instr(t0, chr(10)) > 1 THEN regexp_replace(t0, '^[^\n]*\n', '') ELSE t0 END AS t1 FROM h), n AS (SELECT *, {_SPLIT.replace('{x}', 'x')} AS xl, {_SPLIT.replace('{x}', 'h1')} AS hl, {_SPLIT.replace('{x}', 't1')} AS tl FROM k) SELECT file_id, md5('--- FILE: ' || coalesce(path, 'unknown') || ' ---' || chr(10) || CASE WHEN length(x) > most THEN {_NUM.replace('{l}', 'hl').replace('{first}', '1')} || chr(10) || '     | ... (' || (len(xl) - len(hl) - len(tl)) || ' lines omitted, lines ' || (len(hl) + 1) || '-' || (len(xl) - len(tl)) || ') ...' || chr(10) || {_NUM.replace('{l}', 'tl').replace('{first}', '(len(xl) - len(tl) + 1)')} ELSE {_NUM.replace('{l}', 'xl').replace('{first}', '1')} END) AS digest FROM n",
     "m12_examples": rf"WITH s AS (SELECT DISTINCT coalesce(nullif(regexp_replace(lower(trim(strategy)), '[\s-]+', '_', 'g'), ''), 'unknown') AS strategy FROM attempts) SELECT strategy, {_EX.replace('{s}', 'strategy')} AS example FROM s",
-    "m3_suggested": f"WITH k9 AS ({_SUGGESTED['k9_report']}), pp AS ({_SUGGESTED['p10_suggestions']}), c AS (SELECT proposal_id, count(*) AS suggestions, count(*) FILTER (regexp_matches(places, '(^|,)0-')) AS unplaced FROM pp GROUP BY 1) SELECT proposal_id, digest, coalesce(suggestions, 0) AS suggestions, coalesce(unplaced, 0) AS unplaced FROM k9 LEFT JOIN c USING (proposal_id)",
+    "m3_suggested": f"WITH k9 AS ({_SUGGESTED['k9_report']}), pp AS ({_SUGGESTED['adj_p10_suggestions']}), c AS (SELECT proposal_id, count(*) AS suggestions, count(*) FILTER (regexp_matches(places, '(^|,)0-')) AS unplaced FROM pp GROUP BY 1) SELECT proposal_id, digest, coalesce(suggestions, 0) AS suggestions, coalesce(unplaced, 0) AS unplaced FROM k9 LEFT JOIN c USING (proposal_id)",
     "m10_prompts": "",
-    "m17_explained": f"WITH px0 AS ({eq.SQL['p15_explanation']}), l AS (SELECT cycle_id, arg_max_null(approved, attempt_id) AS ok FROM attempts GROUP BY 1) SELECT px0.* FROM px0 JOIN l USING (cycle_id) WHERE ok",
+    "m17_explained": f"WITH px0 AS ({eq.SQL['adj_p15_explanation']}), l AS (SELECT cycle_id, arg_max_null(approved, attempt_id) AS ok FROM attempts GROUP BY 1) SELECT px0.* FROM px0 JOIN l USING (cycle_id) WHERE ok",
     "m18_failures": f"WITH k11 AS ({eq.SQL['k11_failure_report']}) SELECT * FROM k11 WHERE cycle_id IN (SELECT cycle_id FROM proposals)",
-    "p7_descriptions": f"WITH {_J} SELECT cycle_id, CASE WHEN len(graph.nodes) = 2 THEN 'Direct circular dependency between ' || graph.nodes[1] || ' and ' || graph.nodes[2] ELSE 'Circular dependency chain: ' || array_to_string(graph.nodes || [graph.nodes[1]], ' → ') END AS description FROM j WHERE len(graph.nodes) > 0",
+    "adj_p7_descriptions": f"WITH {_J} SELECT cycle_id, CASE WHEN len(graph.nodes) = 2 THEN 'Direct circular dependency between ' || graph.nodes[1] || ' and ' || graph.nodes[2] ELSE 'Circular dependency chain: ' || array_to_string(graph.nodes || [graph.nodes[1]], ' → ') END AS description FROM j WHERE len(graph.nodes) > 0",
     "x19_import_lines": f"WITH {_F}, q AS (SELECT ext, CASE " + " ".join(f"WHEN ext = '{e}' THEN list_distinct(regexp_extract_all(c, '{rx}'))" for e, rx in t.IMPORT_LINES.items()) + " ELSE [] END AS l FROM f), u AS (SELECT ext, unnest(l) AS line FROM q) SELECT ext, line, count(*) AS files FROM u GROUP BY 1, 2",
     "x49_diagnostics": rf"WITH {eq._PX}, q AS (SELECT coalesce(original, '') AS a, patched AS b, [x for x in list_distinct(regexp_extract_all(patched, '\bI[A-Z][a-zA-Z0-9]*\b')) if not list_contains(regexp_extract_all(coalesce(original, ''), '\bI[A-Z][a-zA-Z0-9]*\b') || {_TYPES.replace('{c}', 'patched')}, x)] AS n FROM px WHERE patched <> ''), u AS (SELECT 'no change' AS note FROM q WHERE a = b UNION ALL SELECT 'blanks only' FROM q WHERE a <> b AND regexp_replace(a, '\s+', '', 'g') = regexp_replace(b, '\s+', '', 'g') UNION ALL SELECT 'unknown ' || unnest(n) FROM q) SELECT note, count(*) AS patches FROM u GROUP BY 1",
     "w11_errors": f"WITH {_F}, q AS (SELECT file_id, string_split(content, chr(10)) AS l FROM f WHERE content IS NOT NULL), u AS (SELECT file_id, (i - 1)::INT AS n, l[i] AS line FROM q, unnest(range(1, len(l) + 1)) t(i)) SELECT * FROM u WHERE regexp_matches(line, 'ERROR|Traceback|Exception') ORDER BY file_id DESC, n DESC LIMIT 10",

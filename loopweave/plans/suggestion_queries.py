@@ -31,7 +31,7 @@ def _sets(spark: SparkSession, sf: str) -> DataFrame:
     return p.join(g, "proposal_id", "left").select("proposal_id", "cycle_id", "llm_response", strategy.alias("strategy"), F.coalesce("j.reasoning", "j.rationale", F.lit("")).alias("rationale"), F.coalesce("s", empty).alias("s"))
 
 
-def p10_suggestions(spark: SparkSession, sf: str) -> DataFrame:
+def adj_p10_suggestions(spark: SparkSession, sf: str) -> DataFrame:
     """Every suggestion with its places and its confidence."""
     return _rows(spark, sf).select("proposal_id", "pos", "path", "is_new", F.size("codes").alias("changes"), F.array_join(F.transform("codes", lambda c: F.concat(c["first"].cast("string"), F.lit("-"), c["last"].cast("string"))), ",").alias("places"), "confidence")
 
@@ -50,7 +50,7 @@ def a14_confidence(spark: SparkSession, sf: str) -> DataFrame:
     return all_.join(read, "proposal_id", "left").select("proposal_id", F.coalesce("confidence", F.lit(0.0)).alias("confidence"))
 
 
-def p11_guidance(spark: SparkSession, sf: str) -> DataFrame:
+def adj_p11_guidance(spark: SparkSession, sf: str) -> DataFrame:
     """How hard each answer is to carry out; complex where it can't be read."""
     n = _summary(_sets(spark, sf)).select("proposal_id", s.difficulty(F.size("create"), F.size("modify")).alias("difficulty"))
     all_ = once(_answers(spark, sf).select("proposal_id"), "proposal_id")
@@ -106,7 +106,7 @@ def j16_missing_search(spark: SparkSession, sf: str) -> DataFrame:
     return _rows(spark, sf).where(F.size(lost) > 0).select("proposal_id", "pos", F.size(lost).alias("missing"))
 
 
-def p24_scaffolds(spark: SparkSession, sf: str) -> DataFrame:
+def adj_p24_scaffolds(spark: SparkSession, sf: str) -> DataFrame:
     """New files that an answer wants and that are abstractions: of all proposed files, those whose purpose, else path, says so."""
     j = once(_answers(spark, sf).select("proposal_id", F.try_parse_json(a.payload(F.col("llm_response"))).alias("v")).where("v is not null"), "proposal_id")
     x = j.select("proposal_id", F.from_json(F.to_json("v"), "struct<new_files: array<struct<path: string, purpose: string>>, patches: array<struct<path: string, purpose: string>>>").alias("x"))
@@ -114,7 +114,7 @@ def p24_scaffolds(spark: SparkSession, sf: str) -> DataFrame:
     return rows.where(F.lower(F.coalesce(F.nullif("purpose", F.lit("")), "path")).rlike("interface|abstract|contract|shared|common")).select("proposal_id", "path").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p10_suggestions, a14_confidence, p11_guidance, x23_broken, u4_missing_types, x24_validated, adj_hotspot, k9_report, k12_json, j16_missing_search, p24_scaffolds)}
+QUERIES = {f.__name__: f for f in (adj_p10_suggestions, a14_confidence, adj_p11_guidance, x23_broken, u4_missing_types, x24_validated, adj_hotspot, k9_report, k12_json, j16_missing_search, adj_p24_scaffolds)}
 
 # ----------------------------------------------------------------------------------------------------------- SQL
 _ENTRY = '[{"path":"VARCHAR","patched":"VARCHAR","prepend":"VARCHAR","search_replace":[{"search":"VARCHAR","replace":"VARCHAR"}]}]'
@@ -140,9 +140,9 @@ _BROKEN = rf"""bk AS (SELECT proposal_id, bool_or((contains(lower(before), 'impo
  bb AS (SELECT sm.proposal_id, coalesce(n AND imp, false) OR coalesce(out_, false) OR coalesce(swapped, false) OR coalesce(inj AND strategy IN ('parameter_injection', 'lazy_import'), false) AS broken FROM sm LEFT JOIN bk USING (proposal_id) LEFT JOIN nw USING (proposal_id))"""
 _HOT = f"e1 AS (SELECT cycle_id, i, graph.edges[i] AS e FROM j, unnest(range(1, len(graph.edges) + 1)) u(i) WHERE len(graph.edges[i]) >= 2), en AS (SELECT cycle_id, 2 * i AS at0, e[1] AS node FROM e1 UNION ALL SELECT cycle_id, 2 * i + 1, e[2] FROM e1), hc AS (SELECT cycle_id, node, count(*) AS n, min(at0) AS at0 FROM en GROUP BY 1, 2), hs AS (SELECT cycle_id, arg_min(node, (-n, at0)) AS hotspot FROM hc GROUP BY 1), cx AS (SELECT j.cycle_id, CASE len(graph.nodes) WHEN 2 THEN 'bidirectional' WHEN 3 THEN 'triangle' ELSE 'multi-node' END AS cycle_type, hotspot, graph FROM j LEFT JOIN hs USING (cycle_id))"
 SQL = {
-    "p10_suggestions": f"WITH {_ROWS} SELECT proposal_id, pos, path, is_new, changes, places, confidence FROM rw",
+    "adj_p10_suggestions": f"WITH {_ROWS} SELECT proposal_id, pos, path, is_new, changes, places, confidence FROM rw",
     "a14_confidence": f"WITH {_SUM} SELECT proposal_id, CASE WHEN mean IS NULL THEN 0.0::DOUBLE ELSE round(greatest(0.0, least(1.0, mean + CASE WHEN any_new THEN 0.05 ELSE 0.0 END))::DOUBLE, 6) END AS confidence FROM a LEFT JOIN pc USING (proposal_id) WHERE x IS NOT NULL",
-    "p11_guidance": f"WITH {_SUM}, z AS (SELECT a.proposal_id, sm.proposal_id IS NOT NULL AS ok, coalesce(len(list_distinct(c0)), 0) AS c, coalesce(len(list_distinct(m0)), 0) AS m FROM a LEFT JOIN sm USING (proposal_id) LEFT JOIN pc USING (proposal_id) WHERE a.x IS NOT NULL) SELECT CASE WHEN NOT ok THEN 'complex' WHEN c + m <= 2 AND c = 0 THEN 'easy' WHEN c + m <= 4 OR c > 0 THEN 'moderate' ELSE 'complex' END AS difficulty, count(*) AS answers FROM z GROUP BY 1",
+    "adj_p11_guidance": f"WITH {_SUM}, z AS (SELECT a.proposal_id, sm.proposal_id IS NOT NULL AS ok, coalesce(len(list_distinct(c0)), 0) AS c, coalesce(len(list_distinct(m0)), 0) AS m FROM a LEFT JOIN sm USING (proposal_id) LEFT JOIN pc USING (proposal_id) WHERE a.x IS NOT NULL) SELECT CASE WHEN NOT ok THEN 'complex' WHEN c + m <= 2 AND c = 0 THEN 'easy' WHEN c + m <= 4 OR c > 0 THEN 'moderate' ELSE 'complex' END AS difficulty, count(*) AS answers FROM z GROUP BY 1",
     "x23_broken": f"WITH {_SUM}, {_BROKEN} SELECT * FROM bb",
     "x24_validated": f"WITH {_ROWS} SELECT CASE WHEN lost THEN 'not found in the file' WHEN idle THEN 'changes nothing' ELSE 'fine' END AS note, count(*) AS suggestions FROM rw GROUP BY 1",
     "u4_missing_types": rf"WITH {_ROWS}, tx AS (SELECT proposal_id, after AS x FROM co0 UNION ALL SELECT proposal_id, e.content FROM nf), rf AS (SELECT DISTINCT proposal_id, unnest(regexp_extract_all(x, '{REFERENCED}', 1)) AS name FROM tx), dn AS (SELECT DISTINCT proposal_id, unnest({_TYPES.replace('{c}', 'x')}) AS name FROM tx), cd AS (SELECT DISTINCT cycle_id, unnest({_TYPES.replace('{c}', 'c')}) AS name FROM f) SELECT rf.proposal_id, rf.name FROM rf JOIN a USING (proposal_id) WHERE NOT EXISTS (SELECT 1 FROM dn WHERE dn.proposal_id = rf.proposal_id AND dn.name = rf.name) AND NOT EXISTS (SELECT 1 FROM cd WHERE cd.cycle_id = a.cycle_id AND cd.name = rf.name)",
@@ -154,5 +154,5 @@ SQL = {
     " CASE WHEN x <> '' THEN '## Answer' || chr(10) || CASE WHEN length(x) > 5000 THEN x[:5000] || chr(10) || '... (' || (length(x) - 5000) || ' more characters)' ELSE x END END)) AS digest FROM y",
     "j16_missing_search": f"WITH {_ROWS} SELECT proposal_id, pos, count(*)::INT AS missing FROM co0 WHERE first = 0 GROUP BY 1, 2",
     "k12_json": "WITH j AS (SELECT cycle_id, any_value(graph) AS graph, any_value(severity) AS severity FROM cycle_jobs GROUP BY 1) SELECT cycle_id, to_json({'id': cycle_id, 'graph': graph, 'severity': severity})::VARCHAR AS json FROM j",
-    "p24_scaffolds": f"WITH {_ANS}, js AS (SELECT proposal_id, from_json(j, '{{\"new_files\":[{{\"path\":\"VARCHAR\",\"purpose\":\"VARCHAR\"}}],\"patches\":[{{\"path\":\"VARCHAR\",\"purpose\":\"VARCHAR\"}}]}}') AS s FROM a WHERE j IS NOT NULL), r AS (SELECT proposal_id, unnest(coalesce(s.new_files, []) || coalesce(s.patches, [])) AS e FROM js) SELECT DISTINCT proposal_id, e.path AS path FROM r WHERE regexp_matches(lower(coalesce(nullif(e.purpose, ''), e.path)), 'interface|abstract|contract|shared|common')",
+    "adj_p24_scaffolds": f"WITH {_ANS}, js AS (SELECT proposal_id, from_json(j, '{{\"new_files\":[{{\"path\":\"VARCHAR\",\"purpose\":\"VARCHAR\"}}],\"patches\":[{{\"path\":\"VARCHAR\",\"purpose\":\"VARCHAR\"}}]}}') AS s FROM a WHERE j IS NOT NULL), r AS (SELECT proposal_id, unnest(coalesce(s.new_files, []) || coalesce(s.patches, [])) AS e FROM js) SELECT DISTINCT proposal_id, e.path AS path FROM r WHERE regexp_matches(lower(coalesce(nullif(e.purpose, ''), e.path)), 'interface|abstract|contract|shared|common')",
 }
