@@ -4,11 +4,10 @@ Paths, the comment that opens a file, and its composition tell generated, minifi
 code. A third party's copy whose marks were taken off or that was edited is found by exact containment over inverted
 indexes of line hashes:
 
-* the lines of the files known as third-party, as far as they stand in one library only, are joined to the lines of all
-  other files; a file of whose own lines a large part comes from one library is a copy of it;
-* of the files that nothing marks, the lines that few texts have are indexed by the first text that has them. A text of
-  whose lines a large part stands in one other text was copied, and where the copies lie in :data:`LEAST_PROJECTS`
-  projects, none of them wrote it.
+* the lines of the files known as third-party are joined to the lines of all other files; a file of whose own lines a large
+  part comes from one of those files, or from the lines that one library alone has, is a copy;
+* the rarest lines of the files that nothing marks are looked up among all others. A text of whose lines a large part
+  stands in one other text was copied, and where the copies lie in :data:`LEAST_PROJECTS` projects, none of them wrote it.
 """
 
 from __future__ import annotations
@@ -18,7 +17,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
@@ -28,8 +27,13 @@ from ..tables import clean_path
 CONTAINED, LEAST_LINES = 0.6, 8
 #: Projects that must hold a text nobody marks before it counts as a third party's.
 LEAST_PROJECTS = 3
-#: A line is rare if at most one text in RARE has it, or RARE_TEXTS do.
+#: Lines that more than one text in RARE has, and more than RARE_TEXTS, are met by a broadcast.
 RARE, RARE_TEXTS = 200, 50
+#: Lines among a text's rarest that another must have before the two are compared; LEAST_LINES at most.
+MEET = 2
+#: Lines looked up a text, from which on pairs that change nothing are left out first (for so many texts at least), and
+#: the orders in which a line's texts are ranked for that.
+LOOKUPS, LOOKUP_TEXTS, ORDERS = 200, 25_000, 4
 #: Lines shorter than this (without margins) say nothing.
 LINE_CHARS = 20
 
@@ -185,30 +189,91 @@ def copies(vendored: DataFrame, rest: DataFrame) -> DataFrame:
     """``(_id, library)`` of the files of ``rest`` that are copies of a library, or with an empty library of a text that
     :data:`LEAST_PROJECTS` projects hold.
 
-    Equal line sets are one text, however many files have it. A text's lines meet the inverted index once: it enters a
-    library's own lines under the library, and a line that several texts have under the least of them, so that a text
-    meets one other per line, not all that share it. Lines that more than one text in :data:`RARE` has are not rare;
-    there are RARE times a text's lines of them at most, so they are taken out, or where they are a library's own met,
-    without shuffling by them.
+    Equal line sets are one text, however many files have it. A text of ``rest`` is held against the lines that one
+    library alone has, and against each other text and each library's text that could hold enough of its lines, however
+    many have them: see :func:`_compared`. Where many texts share many lines, pairs that change nothing are left out.
     """
-    texts = rest.groupBy("_text").agg(F.first("_lines").alias("_lines")).withColumn("_n", F.size("_lines"))
-    postings = texts.select("_text", "_n", F.explode("_lines").alias("_h"))
+    texts = rest.groupBy("_text").agg(F.first("_lines").alias("_lines"))
+    parts = vendored.where("library <> ''").select(F.col("_text").alias("_source"), "library", "_lines").dropDuplicates(["_source", "library"])
+    lines = texts.select(F.lit(None).cast("string").alias("library"), "_lines").unionByName(parts.select("library", "_lines")).select("library", F.explode("_lines").alias("_h"))
+    lines = lines.groupBy("_h").agg(F.count("*").cast("int").alias("_df"), F.min("library").alias("library"), F.max("library").alias("_other")).where("_df > 1")
     # read three times below
-    lines = postings.groupBy("_h").agg(F.count("*").alias("_df"), F.min("_text").alias("_first")).where("_df > 1").checkpoint()
-    most = max(RARE_TEXTS, texts.count() // RARE)
-    frequent = F.broadcast(lines.where(F.col("_df") > most).select("_h"))
-    own = vendored.where("library <> ''").select("library", F.explode("_lines").alias("_h")).groupBy("_h").agg(F.min("library").alias("library"), F.max("library").alias("_other")).where("library = _other").select("_h", "library")
-    shared = lines.where(F.col("_df") <= most).select("_h", F.lit("").alias("library"), "_first")
-    index = own.join(frequent, "_h", "left_anti").withColumn("_first", F.lit(None).cast("bigint")).unionByName(shared)
-    hits = postings.join(frequent, "_h", "left_anti").join(index, "_h").select("_text", "_n", "library", "_first")
-    often = postings.join(F.broadcast(own.join(frequent, "_h", "left_semi")), "_h").select("_text", "_n", "library", F.lit(None).cast("bigint").alias("_first"))
-    held = hits.unionByName(often).groupBy("_text", "_n", "library", "_first").agg(F.count("*").alias("_in"))
-    # read by both kinds of copies; narrow
-    held = held.where((F.col("_in") >= LEAST_LINES) & (F.col("_in") >= CONTAINED * F.col("_n"))).checkpoint()
-    known = held.where("library <> ''").groupBy("_text").agg(F.min("library").alias("library"))
-    # a text that no other shares a line with may still lie in several projects
+    lines = lines.select("_h", "_df", F.when(F.col("library") == F.col("_other"), F.col("library")).alias("library")).checkpoint()
+    # a text in RARE has them: RARE times a text's lines at most, so they are met without shuffling by them
+    n_texts = texts.count()
+    most = max(RARE_TEXTS, (n_texts + vendored.count()) // RARE)
+    frequent = F.broadcast(lines.where(F.col("_df") > most))
+    least = F.greatest(F.lit(LEAST_LINES), F.ceil(CONTAINED * F.size("_lines"))).cast("int").alias("_least")
+    postings = texts.select("_text", least, F.explode("_lines").alias("_h"))
+    met = postings.join(frequent.select("_h"), "_h", "left_anti").join(lines.where(F.col("_df") <= most), "_h").unionByName(postings.join(frequent, "_h"))
+    shared = met.groupBy("_text", "_least").agg(F.sort_array(F.collect_list(F.struct("_df", "_h"))).alias("_s"), F.collect_list("library").alias("_own"))
+    # read by the steps below; the lines that others have, the rarest first
+    shared = shared.select("_text", "_least", F.col("_s._h").alias("_lines"), F.col("_s._df").alias("_dfs"), "_own").checkpoint()
+    asked = shared.where(F.size("_lines") >= F.col("_least"))
+    sources = shared.select(F.col("_text").alias("_source"), F.lit("").alias("library"), "_lines").unionByName(parts)
+    of_library = asked.where(F.size("_own") >= F.col("_least")).select("_text", "_least", F.explode("_own").alias("library")).groupBy("_text", "_least", "library").agg(F.count("*").alias("_in")).where(F.col("_in") >= F.col("_least"))
     places = rest.where("_project is not null").select("_text", "_project").distinct()
-    met = held.where("library = ''").select("_text", "_first").unionByName(places.select("_text", F.col("_text").alias("_first"))).distinct()
-    many = met.join(places, "_text").select("_first", "_project").distinct().groupBy("_first").agg(F.count("*").alias("_projects")).where(F.col("_projects") >= LEAST_PROJECTS)
-    spread = met.join(many, "_first").select("_text", F.lit("").alias("library")).distinct()
+    looked_up = F.aggregate(_rarest("_dfs"), F.lit(0).cast("bigint"), lambda n, df: n + df)
+    if (asked.agg(F.sum(looked_up)).first()[0] or 0) <= LOOKUPS * max(LOOKUP_TEXTS, n_texts):
+        pairs = _compared(asked, sources)
+    else:
+        pairs = _compared_where_open(asked, sources, places, of_library)
+    # read by both kinds of copies; narrow
+    pairs = pairs.checkpoint()
+    known = of_library.select("_text", "library").unionByName(pairs.where("library <> ''").select("_text", "library")).groupBy("_text").agg(F.min("library").alias("library"))
+    spread = _spread(pairs.where("library = ''"), places).withColumn("library", F.lit(""))
     return rest.select("_id", "_text").distinct().join(known.unionByName(spread.join(known, "_text", "left_anti")), "_text").select("_id", "library")
+
+
+def _rarest(col: str = "_lines") -> Column:
+    """Of the lines that a text shares, all but its least number less :data:`MEET`, the rarest first."""
+    return F.slice(col, F.lit(1), F.size(col) - F.col("_least") + MEET)
+
+
+def _compared(asked: DataFrame, sources: DataFrame) -> DataFrame:
+    """``(_text, _source, library)``: each text of ``asked`` and each other of ``sources`` that has its least number of lines.
+
+    Who has that number has :data:`MEET` of the rarest lines looked up; only pairs that do are compared, over all lines.
+    """
+    probes = asked.select("_text", F.explode(_rarest()).alias("_h"))
+    pairs = probes.join(sources.select("_source", "library", F.explode("_lines").alias("_h")), "_h").where((F.col("library") != "") | (F.col("_text") != F.col("_source")))
+    pairs = pairs.groupBy("_text", "_source", "library").agg(F.count("*").alias("_in")).where(F.col("_in") >= MEET).select("_text", "_source", "library")
+    pairs = pairs.join(asked.select("_text", "_least", F.col("_lines").alias("_asked")), "_text").join(sources, ["_source", "library"])
+    return pairs.where(F.size(F.array_intersect("_asked", "_lines")) >= F.col("_least")).select("_text", "_source", "library")
+
+
+def _compared_where_open(asked: DataFrame, sources: DataFrame, places: DataFrame, of_library: DataFrame) -> DataFrame:
+    """Pairs of :func:`_compared`, all of those that :func:`copies` could find a copy by that the others don't show.
+
+    Each line leads to the first of its texts in :data:`ORDERS` orders, which finds the copies of a text that many edited.
+    What is still open is compared in full: the texts not found yet with all, and all with these and with those that hold
+    them. Texts whose looked-up lines lie in too few projects are held by too few.
+    """
+    by_library = _compared(asked, sources.where("library <> ''")).checkpoint()
+    sources = sources.where("library = ''")
+    held = sources.select("_source", F.explode("_lines").alias("_h"))
+    ranked = [F.min(F.struct(F.xxhash64("_source", F.lit(i)).alias("_o"), "_source"))["_source"] for i in range(ORDERS)]
+    firsts = held.groupBy("_h").agg(F.array_distinct(F.array(*ranked)).alias("_s")).select("_h", F.explode("_s").alias("_source"))
+    near = asked.select("_text", "_least", F.explode("_lines").alias("_h")).join(firsts, "_h").where("_text <> _source").groupBy("_text", "_least", "_source").agg(F.count("*").alias("_in")).where(F.col("_in") >= F.col("_least"))
+    near = near.select("_text", "_source", F.lit("").alias("library")).checkpoint()
+    found = _spread(near, places).unionByName(by_library.select("_text")).unionByName(of_library.select("_text")).distinct().checkpoint()
+
+    lines = asked.select("_text", F.explode(_rarest()).alias("_h")).join(places, "_text").select("_h", "_project").distinct()
+    lines = lines.groupBy("_h").agg(F.count("*").alias("_n"), F.array_distinct(F.array(F.min("_project"), F.max("_project"))).alias("_ends"))
+    reached = held.join(lines, "_h").select("_source", "_n", F.explode("_ends").alias("_project")).unionByName(places.select(F.col("_text").alias("_source"), F.lit(1).cast("bigint").alias("_n"), "_project"))
+    reached = reached.groupBy("_source").agg(F.max("_n").alias("_n"), F.collect_set("_project").alias("_p")).where((F.col("_n") > 2) | (F.size("_p") >= LEAST_PROJECTS)).select("_source")
+    sources = sources.join(reached, "_source", "left_semi")
+
+    open_pairs = _compared(asked.join(found, "_text", "left_anti"), sources).checkpoint()
+    open_sources = sources.select("_source").join(found.withColumnRenamed("_text", "_source"), "_source", "left_anti").unionByName(open_pairs.select("_source")).distinct()
+    others = _compared(asked.join(found, "_text", "left_semi"), sources.join(open_sources, "_source", "left_semi"))
+    return by_library.unionByName(near).unionByName(open_pairs).unionByName(others).distinct()
+
+
+def _spread(pairs: DataFrame, places: DataFrame) -> DataFrame:
+    """The texts that are, or by ``pairs`` lie in, a text that :data:`LEAST_PROJECTS` projects hold."""
+    # a text that no other shares a line with may still lie in several projects, and one without a project in those of others
+    itself = places.select("_text").unionByName(pairs.select(F.col("_source").alias("_text")))
+    inside = pairs.select("_text", "_source").unionByName(itself.select("_text", F.col("_text").alias("_source"))).distinct()
+    many = inside.join(places, "_text").select("_source", "_project").distinct().groupBy("_source").agg(F.count("*").alias("_projects")).where(F.col("_projects") >= LEAST_PROJECTS)
+    return inside.join(many, "_source").select("_text").distinct()
